@@ -52,8 +52,8 @@ def shared_prefix(a: bytes, b: bytes, at: int) -> int:
 class PatriciaTrie:
     """Byte strings to owners. With a folder it spills subtrees of its root; without one, full() asks to be drained."""
 
-    def __init__(self, budget: int, folder: str | None = None, skip: int = 0):
-        self.root, self.budget, self.folder, self.skip = Node(b""), budget, folder, skip
+    def __init__(self, budget: int, folder: str | None = None, prefix: bytes = b""):
+        self.root, self.budget, self.folder, self.prefix, self.skip = Node(b""), budget, folder, prefix, len(prefix)
         self.held: dict[int, int] = {}
         self.total = 0
         self.spilled: dict[int, str] = {}
@@ -98,8 +98,8 @@ class PatriciaTrie:
     def _spill(self, first: int) -> None:
         handle, path = tempfile.mkstemp(dir=self.folder)
         with os.fdopen(handle, "wb") as f:
-            for key, owner in self._walk(self.root.children.pop(first), b""):
-                pickle.dump((b"\0" * self.skip + key, owner), f)
+            for key, owner in self._walk(self.root.children.pop(first), self.prefix):
+                pickle.dump((key, owner), f)
         self.spilled[first] = path
         self.total -= self.held.pop(first)
 
@@ -114,15 +114,14 @@ class PatriciaTrie:
 
     def items(self) -> Iterator[tuple[bytes, tuple]]:
         """Every string with its owner; a spilled subtree becomes a trie of its own below its common prefix."""
-        for key, owner in self._walk(self.root, b""):
-            yield b"\0" * self.skip + key, owner
+        yield from self._walk(self.root, self.prefix)
         self.root = Node(b"")
         for path in self.spilled.values():
             skip, head = None, b""
             for key, _ in self._read(path):
                 skip = len(key) if skip is None else shared_prefix(head[:skip], key, 0)
                 head = head or key
-            below = PatriciaTrie(self.budget, self.folder, skip or 0)
+            below = PatriciaTrie(self.budget, self.folder, head[:skip])
             for key, owner in self._read(path):
                 below.add(key, owner)
             os.unlink(path)
