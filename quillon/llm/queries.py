@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from quillon.llm.exact_dedup import exact_dedup
 from quillon.llm.mixing import mix_sources
+from quillon.llm.simhash import simhash_components
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +39,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op8_exact_dedup": op8_exact_dedup,
 }
