@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillon.llm.exact_dedup import exact_dedup
 from quillon.llm.mixing import mix_sources
+from quillon.llm.packing import pack_documents
+from quillon.llm.shared import shared_dir
 from quillon.llm.simhash import simhash_components
+from quillon.llm.token_files import read_token_files, write_token_files
+from quillon.llm.tokens import vocabulary
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +35,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    write_token_files(docs, path, vocabulary("byte_bpe_50k.json"), end_id=2)
+    return read_token_files(spark, path)
+
+
 OP8_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS original,
@@ -39,9 +55,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
