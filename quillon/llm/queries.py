@@ -6,7 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillon.llm.chat import conversations_as_json, format_chat, loss_text, parsed_turns
 from quillon.llm.exact_dedup import exact_dedup
 from quillon.llm.mixing import mix_sources
 from quillon.llm.packing import pack_documents
@@ -21,6 +23,23 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+#: The text of both turns of conversation -7: control strings, and an escape in front of one.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    more = [F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(CONTROL_TEXT).alias("text")) for i, r in enumerate(("user", "assistant"))]
+    rows = rows.unionByName(spark.range(1).select(F.inline(F.array(*more))))
+    chats = format_chat(conversations_as_json(rows)).select("conv_id", "formatted", "loss_spans")
+    back = chats.withColumn("_turns", parsed_turns(F.col("formatted"))).withColumn("_loss", loss_text(F.col("formatted"), F.col("loss_spans")))
+    digest = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("_turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),
+        F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
@@ -42,6 +61,21 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+# formatted_chars: "### ", the role, ": ", the text with its escapes (each longer or shorter than its control string), "</turn>\\n"
+OP3_SQL = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, replace(replace(replace(text, '\', '\b'), '### ', '\s'), '</turn>', '\e') AS body FROM r)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(4 + length(role) + 2 + length(body) + 8) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 OP8_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS original,
@@ -56,6 +90,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_chat": op3_chat,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op8_exact_dedup": op8_exact_dedup,
@@ -63,5 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_chat": OP3_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
