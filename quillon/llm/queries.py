@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.chat import conversations_as_json, format_chat, loss_text, parsed_turns
 from quillon.llm.exact_dedup import exact_dedup
+from quillon.llm.main_text import extract_main_text
 from quillon.llm.mixing import mix_sources
 from quillon.llm.packing import pack_documents
 from quillon.llm.shared import shared_dir
@@ -18,6 +19,11 @@ from quillon.llm.token_files import read_token_files, write_token_files
 from quillon.llm.tokens import vocabulary
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return extract_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
@@ -89,6 +95,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_main_text": op1_main_text,
     "op2_packing": op2_packing,
     "op3_chat": op3_chat,
     "op4_simhash": op4_simhash,
