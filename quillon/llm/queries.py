@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.chat import conversations_as_json, format_chat, loss_text, parsed_turns
+from quillon.llm.embedding_dedup import embedding_dedup
 from quillon.llm.exact_dedup import exact_dedup
 from quillon.llm.main_text import extract_main_text
 from quillon.llm.mixing import mix_sources
@@ -55,6 +56,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return embedding_dedup(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat": op3_chat,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_files": op9_token_files,
 }
