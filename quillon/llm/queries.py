@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillon.llm.chat import conversations_as_json, format_chat, loss_text, parsed_turns
 from quillon.llm.embedding_dedup import embedding_dedup
 from quillon.llm.exact_dedup import exact_dedup
+from quillon.llm.line_dedup import line_dedup
 from quillon.llm.main_text import extract_main_text
 from quillon.llm.mixing import mix_sources
 from quillon.llm.packing import pack_documents
@@ -56,6 +57,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return line_dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return embedding_dedup(vectors).select("vec_id", "n_links", "component_id", "kept")
@@ -88,6 +94,29 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+OP6_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(generate_series(1, len(parts))) AS i, unnest(parts) AS line FROM (
+    SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)),
+s AS (
+  SELECT doc_id, i, line, list_sort(list_distinct(list_filter(
+    regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS words
+  FROM l),
+f AS (SELECT words, len(words) AS n, arg_min(doc_id, (doc_id, i)) AS doc_id, arg_min(i, (doc_id, i)) AS i FROM s WHERE len(words) > 0 GROUP BY words),
+t AS (SELECT doc_id, i, n, unnest(words) AS w FROM f),
+p AS (
+  SELECT y.doc_id, y.i FROM t x JOIN t y ON x.w = y.w AND (x.doc_id, x.i) < (y.doc_id, y.i) AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n
+  GROUP BY y.doc_id, y.i, x.doc_id, x.i, x.n, y.n HAVING 5 * count(*) >= 4 * (x.n + y.n - count(*))),
+g AS (
+  SELECT s.*, len(words) > 0 AND ((f.doc_id, f.i) <> (s.doc_id, s.i) OR (s.doc_id, s.i) IN (SELECT (doc_id, i) FROM p)) AS gone
+  FROM s LEFT JOIN f USING (words) )
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text
+FROM documents d LEFT JOIN (
+  SELECT g.doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept
+  FROM g GROUP BY g.doc_id) k ON d.doc_id = k.doc_id
+"""
+
 OP8_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS original,
@@ -106,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat": op3_chat,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_files": op9_token_files,
@@ -113,5 +143,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat": OP3_SQL,
+    "op6_line_dedup": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
