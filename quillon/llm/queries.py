@@ -15,6 +15,7 @@ from quillon.llm.line_dedup import line_dedup
 from quillon.llm.main_text import extract_main_text
 from quillon.llm.mixing import mix_sources
 from quillon.llm.packing import pack_documents
+from quillon.llm.quality import quality_scores
 from quillon.llm.shared import shared_dir
 from quillon.llm.simhash import simhash_components
 from quillon.llm.token_files import read_token_files, write_token_files
@@ -80,6 +81,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # formatted_chars: "### ", the role, ": ", the text with its escapes (each longer or shorter than its control string), "</turn>\\n"
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_scores(docs, labels).select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
 OP3_SQL = r"""
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
@@ -139,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_files": op9_token_files,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
