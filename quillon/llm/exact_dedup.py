@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import ASCII_SPACE
+from quillon.llm.shared import ASCII_SPACE, small_batches
 
 SPACE_BYTES = ASCII_SPACE.encode()
 #: Bytes of strings that one task's trie holds before it spills.
@@ -140,7 +140,7 @@ class PatriciaTrie:
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Before the shuffle: one row a distinct text of the task."""
     trie = PatriciaTrie(RESIDENT_BYTES // 2)
-    for batch in batches:
+    for batch in small_batches(batches):
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             key = text.encode().translate(None, SPACE_BYTES)
             trie.add(key, (-len(text), doc_id is None, doc_id or 0, 1, xxhash.xxh64_intdigest(key) & (1 << 63) - 1))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import discard, stored
+from quillon.llm.shared import discard, small_batches, stored
 
 THRESHOLD = 0.8
 #: Entries of the table of word counts (a word is counted at its hash).
@@ -91,7 +91,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 0: line b of document a and the 128-bit hash of its set. Kind 1: entry a of the count table has b."""
     hasher, counts = Hasher(), np.zeros(COUNT_TABLE, np.int64)
     names = ["kind", "a", "b", "k1", "k2"]
-    for batch in batches:
+    for batch in small_batches(batches):
         x = Lines(batch.column(0).to_pylist(), batch.column(1).to_pylist(), hasher)
         if len(x.doc):
             counts += np.bincount((x.words & np.uint64(COUNT_TABLE - 1)).astype(np.int64), minlength=COUNT_TABLE)
@@ -107,7 +107,7 @@ _POSTING = "word long, k1 long, doc_id long, line long, n int, pos int, picture
 def _postings(batches: Iterator[pa.RecordBatch], counts: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
     """The prefix of every set (once a task)."""
     hasher, seen = Hasher(), set()
-    for batch in batches:
+    for batch in small_batches(batches):
         x = Lines(batch.column(0).to_pylist(), batch.column(1).to_pylist(), hasher, counts)
         if not len(x.doc):
             continue

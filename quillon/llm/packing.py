@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import stored
+from quillon.llm.shared import small_batches, stored
 from quillon.llm.tokens import encoder
 
 #: Slices of a length's pieces that are ranked by separate tasks.
@@ -91,7 +91,7 @@ def plan_packing(lengths: dict[int, int], capacity: int) -> list[tuple[list[int]
 def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    for batch in batches:
+    for batch in small_batches(batches):
         ids = [x + end for x in encoder(vocabulary, "space").ids([t or "" for t in batch.column(1).to_pylist()])]
         rows = [(d, k, k * capacity, (end := min(len(x) // 4, (k + 1) * capacity)) - k * capacity, zlib.crc32(x[4 * k * capacity : 4 * end])) for d, x in zip(batch.column(0).to_pylist(), ids) for k in range(-(-len(x) // (4 * capacity)))]
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()])], names)

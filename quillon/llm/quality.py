@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import discard, stored
+from quillon.llm.shared import discard, small_batches, stored
 
 #: Most frequent words of the trusted text that have entries of their own: a fixed bound on what is broadcast.
 VOCABULARY = 50_000
@@ -57,7 +57,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([fold] * len(c), pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["fold", "word", "n"])
             c.clear()
 
-    for batch in batches:
+    for batch in small_batches(batches):
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             counts[fold_of(i)].update(words_of(text))
         if sum(map(len, counts)) > 400_000:
@@ -106,7 +106,7 @@ def _bigram_counts(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa
                 yield from _packed(fold, keys, n, size, ["fold", "shard", "keys", "n"])
             parts.clear()
 
-    for batch in batches:
+    for batch in small_batches(batches):
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             held[fold_of(i)].append(bigrams(number(text), size))
         if sum(map(len, held[0])) + sum(map(len, held[1])) > 4_000_000:
@@ -222,7 +222,7 @@ def _asked(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordB
         ids.clear()
 
     held = 0
-    for batch in batches:
+    for batch in small_batches(batches):
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ids.append(NO_ID if i is None else i)
             rows.append(bigrams(number(text), size))

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +37,20 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return back
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `limit` bytes of text, or one row: Arrow's batches are bounded in rows only."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            done = ends[at - 1] if at else 0
+            n = max(1, int(np.searchsorted(ends, done + limit, side="right")) - at)
+            yield batch.slice(at, n)
+            at += n
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a stored() table that no later plan reads."""
     spark = df.sparkSession

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import stored
+from quillon.llm.shared import small_batches, stored
 from quillon.llm.tokens import encoder
 
 #: Documents, chosen by the hash of their ids, whose id arrays train the dictionary: a fixed bound.
@@ -50,7 +50,7 @@ def _codec(content: bytes) -> dict:
 def _frames(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, width: int, content: bytes) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=LEVEL, write_dict_id=True, **_codec(content)).compress
     end = np.array([end_id], "<u4").tobytes()
-    for batch in batches:
+    for batch in small_batches(batches):
         ids = [x + end for x in encoder(vocabulary, "before").ids([t or "" for t in batch.column(1).to_pylist()])]
         frames = pa.array([pack(serialized(x, width)) for x in ids], pa.binary())
         yield pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), frames], ["doc_id", "n_tokens", "frame"])
