@@ -1,0 +1,423 @@
+"""The training-data operators against plain Python, exact round trips and SQL."""
+
+import html
+import json
+import random
+import re
+import tempfile
+import zlib
+from itertools import combinations
+
+import numpy as np
+import pytest
+import xxhash
+from conftest import DATA
+from oracle import compare, duck
+from pyspark.sql import functions as F
+
+from quillon.llm import chat, embedding_dedup, exact_dedup, line_dedup, main_text, mixing, packing, quality, queries, simhash, token_files
+from quillon.llm.tokens import encoder, vocabulary
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", "source").cache()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_match_their_sql(spark, name):
+    compare(queries.QUERIES[name](spark, DATA), duck(DATA), queries.ORACLE_SQL[name])
+
+
+# Main text
+
+
+def test_main_text_keeps_the_article_of_every_page(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    for r in main_text.extract_main_text(pages).collect():
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", article))
+        assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_main_text_without_article_marks():
+    page = (
+        '<body><header><h1>Site</h1></header><div id="menu"><ul><li><a href=x>Home</a><li><a>News</a></ul></div><div class="content"><h1>Title &amp; more</h1>'
+        "<p>First paragraph that is long enough to be seen as text by anyone who reads it, really.<p>Second&nbsp;one\n here.<div class=ad>Buy!</div>"
+        "<p>Third with <a href=y>a link</a>. 1 < 2<p>End.</div><aside>Side text that goes on and on and on and on and on and on and on and on and on.</aside>"
+        "<div id=comments><p>A reader's comment that goes on and on and on and on and on and on and on.</div><form>Sign <input> up</form><footer>(c)</footer></body>"
+    )
+    want = ["Title & more", "First paragraph that is long enough to be seen as text by anyone who reads it, really.", "Second one here.", "Third with a link. 1 < 2", "End."]
+    assert main_text.main_text(page) == "\n\n".join(want)
+    assert main_text.main_text("") == main_text.main_text(None) == main_text.main_text("<script>x</script>") == ""
+    assert main_text.main_text("plain") == "plain"
+    assert main_text.main_text("<p>" * 20_000 + "deep") == "deep"
+
+
+def test_main_text_edges(spark):
+    df = spark.createDataFrame([(1, None, "old"), (1, None, "old"), (2, "<p>Hi there</p>", None)], "page_id long, html string, text string")
+    assert sorted(r.text for r in main_text.extract_main_text(df).collect()) == ["", "", "Hi there"]
+    assert main_text.extract_main_text(df.limit(0)).count() == 0
+
+
+# Packing and token files
+
+
+def encoded(name, texts, end):
+    return [np.frombuffer(x, "<u4").tolist() + [end] for x in encoder(vocabulary(name), "space").whole([t or "" for t in texts])]
+
+
+ODD = ["a", "B", "the", " ", "\n", "\t", "  ", " ", "é", "́", "1", "23", "!", "...", "'s", "Σ", " ", "日本", "👍🏽", "<|endoftext|>", "\x00", "İ", "ß", ", ", ". "]
+
+
+@pytest.mark.parametrize(("name", "cut"), [("word_bpe_49k.json", "space"), ("byte_bpe_50k.json", "before")])
+def test_pieces_encode_like_whole_texts(name, cut):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(ODD, k=rng.randint(0, 14))) for _ in range(3000)]
+    e = encoder(vocabulary(name), cut)
+    assert e.ids(texts) == e.whole(texts)
+
+
+def test_packing_round_trip(spark, documents):
+    out = rows(packing.pack_documents(documents, vocabulary("word_bpe_49k.json"), 1, capacity=512))
+    data = rows(documents.select("doc_id", "text"))
+    want = {}
+    for (i, _), ids in zip(data, encoded("word_bpe_49k.json", [t for _, t in data], 1)):
+        for k in range(0, len(ids), 512):
+            part = ids[k : k + 512]
+            want[i, k // 512] = (k, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
+    assert {(d, p): (s, n, c) for d, p, s, n, c, _, _ in out} == want and len(out) == len(want)
+    places = {}
+    for _, _, _, n, _, s, o in out:
+        places.setdefault(s, []).append((o, n))
+    for parts in places.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 512
+    assert len(places) <= 1.03 * sum(n for v in places.values() for _, n in v) / 512 + 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plan_uses_every_piece_and_finds_exact_fills(seed):
+    rng = np.random.default_rng(seed)
+    lengths = {int(k): int(v) for k, v in zip(rng.integers(1, 100, 30), rng.integers(1, 50, 30))}
+    used = {}
+    for pattern, times in packing.plan_packing(lengths, 100):
+        assert sum(pattern) <= 100 and times > 0
+        for x in pattern:
+            used[x] = used.get(x, 0) + times
+    assert used == lengths
+    assert packing.plan_packing({60: 3, 40: 3}, 100) == [([60, 40], 3)]
+    assert packing.plan_packing({50: 2, 30: 2, 20: 2}, 100)[0][1] == 1
+    assert sum(t for _, t in packing.plan_packing({70: 1, 10: 3}, 100)) == 1
+
+
+def test_packing_edges(spark):
+    df = spark.createDataFrame([(None, None, 1), (5, "", 2), (5, "hello there", 3), (5, "hello there", 3)], "doc_id long, text string, start int")
+    out = rows(packing.pack_documents(df, vocabulary("word_bpe_49k.json"), 1))
+    assert len(out) == 4 and {r[5] for r in out} == {0} and sorted(r[3] for r in out) == [1, 1, 3, 3]
+    assert packing.pack_documents(df.limit(0), vocabulary("word_bpe_49k.json"), 1).count() == 0
+
+
+def test_token_files_round_trip(spark, documents):
+    path = tempfile.mkdtemp() + "/files"
+    token_files.write_token_files(documents, path, vocabulary("byte_bpe_50k.json"), 2)
+    data = sorted(rows(documents.select("doc_id", "text")))
+    ids = [np.frombuffer(x, "<u4").tolist() + [2] for x in encoder(vocabulary("byte_bpe_50k.json"), "before").whole([t for _, t in data])]
+    starts = np.cumsum([0, *map(len, ids)])
+    got = sorted(rows(token_files.read_token_files(spark, path, with_ids=True)))
+    assert got == [(d, int(s), len(x), zlib.crc32(np.array(x, "<u4").tobytes()), x) for (d, _), s, x in zip(data, starts, ids)]
+    assert token_files.read_document(spark, path, data[7][0]) == [ids[7]]
+    assert token_files.read_document(spark, path, -1) == []
+
+
+def test_token_files_edges(spark):
+    df = spark.createDataFrame([(None, None), (5, ""), (5, "hello there"), (5, "hello there")], "doc_id long, text string")
+    for table, n in ((df, 4), (df.limit(0), 0)):
+        path = tempfile.mkdtemp() + "/files"
+        token_files.write_token_files(table, path, vocabulary("byte_bpe_50k.json"), 2)
+        out = rows(token_files.read_token_files(spark, path))
+        assert len(out) == n and [r[1] for r in sorted(out, key=lambda r: r[1])] == [0, 1, 2, 5][:n]
+
+
+# Chat
+
+
+def test_chat_layouts_and_round_trip(spark):
+    chats = [
+        {"messages": [{"role": "user", "content": "hi: ### "}, {"role": "gpt", "content": None}]},
+        {"conversations": [{"from": "human", "value": "a\nb"}, {"from": "gpt", "value": "</turn>\\e"}]},
+        {"instruction": "do", "output": "ok", "input": None}, {"instruction": "do", "output": "ok", "input": "x"},
+        {"prompt": "p", "response": "\\### r", "system": "s"}, {"prompt": "p", "completion": "r"}, {"question": "q", "answer": "<</turn>"}, {"other": {"deep": [1]}},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(c), "old") for i, c in enumerate(chats)] + [(8, None, "old"), (9, "no json", "old")], "id int, json string, layout string")
+    out = chat.format_chat(df).withColumn("back", chat.parsed_turns(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).orderBy("id").collect()
+    assert [r.layout for r in out] == ["messages", "conversations", "instruction", "instruction", "prompt", "completion", "question", None, None, None]
+    assert all(r.back == r.turns for r in out)
+    assert [r.loss for r in out] == ["", "</turn>\\e", "ok", "ok", "\\### r", "r", "<</turn>", None, None, None]
+    assert [tuple(t) for t in out[3].turns] == [("user", "do"), ("user", "x"), ("assistant", "ok")]
+    assert chat.format_chat(df.limit(0)).count() == 0
+
+
+def test_control_strings_come_back(spark):
+    parts = ["\\", "### ", "</turn>", "\\s", "\\e", "\\b", "\n", "#", "<", "user: ", "é", ""]
+    rng = random.Random(1)
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 8))) for _ in range(300)]
+    df = spark.createDataFrame([(i, [("user: x", t), ("assistant", t)]) for i, t in enumerate(texts)], "id int, turns array<struct<role: string, text: string>>")
+    for r in chat.formatted(df).withColumn("back", chat.parsed_turns(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).collect():
+        assert r.back == r.turns and r.loss == texts[r.id]
+
+
+# SimHash
+
+
+def test_golay_keys_meet_within_two_bits():
+    leaders = [0] + [sum(1 << p for p in c) for w in (1, 2, 3) for c in combinations(range(23), w)]
+    errors = np.array([sum(1 << p for p in c) for w in (1, 2) for c in combinations(range(23), w)])
+    for leader in leaders:  # by linearity, cosets stand for all values
+        own = set(simhash.golay_keys(np.array([leader]))[0]) - {-1}
+        assert 1 <= len(own) <= 6
+        near = simhash.golay_keys(leader ^ errors)
+        assert np.isin(near, list(own)).any(1).all()
+
+
+def slow_fingerprint(text):
+    words = text.encode().lower().split()
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    ones = [sum(xxhash.xxh64_intdigest(s, 42) >> b & 1 for s in shingles) for b in range(64)]
+    return sum(1 << b for b in range(64) if 2 * ones[b] > len(shingles)) if shingles else 0
+
+
+def components(n, links):
+    label = list(range(n))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        label[b] = a
+    return [root(i) for i in range(n)]
+
+
+def test_simhash_matches_brute_force(spark, documents):
+    data = sorted(rows(documents.select("doc_id", "text")))
+    prints = [slow_fingerprint(t) for _, t in data]
+    links = [(i, j) for i, j in combinations(range(len(data)), 2) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    roots = components(len(data), links)
+    want = {(d, f"{p:016x}", data[r][0]) for (d, _), p, r in zip(data, prints, roots)}
+    assert set(rows(simhash.simhash_components(documents))) == want
+
+
+@pytest.mark.parametrize("limit", [2, 64])
+def test_crowded_keys_lose_no_link(spark, limit):
+    rng = np.random.default_rng(limit)
+    base, prints = int(rng.integers(0, 2**62)), set()
+    while len(prints) < 300:
+        prints.add(base ^ sum({1 << int(b) for b in rng.integers(0, 63, rng.integers(0, 7))}))
+    prints = sorted(prints)
+    found = rows(simhash.fingerprint_links(spark.createDataFrame([(p,) for p in prints], "fp long"), limit))
+    at = {p: i for i, p in enumerate(prints)}
+    near = [(i, j) for i, j in combinations(range(300), 2) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    assert components(300, [(at[a], at[b]) for a, b in found]) == components(300, near)
+
+
+def test_simhash_edges(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (3, "a"), (None, "b c")], "doc_id long, text string")
+    out = rows(simhash.simhash_components(df))
+    assert sorted((d or 0, c or 0) for d, _, c in out) == [(0, 0), (1, 1), (2, 1), (3, 3), (3, 3)]
+    assert simhash.simhash_components(df.limit(0)).count() == 0
+
+
+# Mixing
+
+
+def test_targets_share_the_excess(spark):
+    rng = random.Random(5)
+    sizes = [rng.choice([0, 5, 100, 1000, 5000]) for _ in range(15)]
+    out = mixing.source_targets(spark.createDataFrame([(f"s{i:02}", n) for i, n in enumerate(sizes)], "source string, source_size long")).collect()
+    weights, left, goal, open_ = [(5, 2, 1)[i % 3] for i in range(15)], 1.5 * sum(sizes), [0.0] * 15, set(range(15))
+    while True:
+        share = left / sum(weights[i] for i in open_)
+        over = {i for i in open_ if share * weights[i] > 2 * sizes[i]}
+        if not over:
+            break
+        for i in over:
+            goal[i] = 2.0 * sizes[i]
+            left -= goal[i]
+        open_ -= over
+    for i in open_:
+        goal[i] = share * weights[i]
+    assert [r.target for r in sorted(out)] == pytest.approx(goal)
+
+
+def test_mix_meets_targets_and_repeats(spark, documents):
+    first = rows(mixing.mix_sources(documents, block_words=64).select("doc_id", "source", "size", "source_size", "target", "taken"))
+    again = rows(mixing.mix_sources(documents.repartition(7), block_words=64).select("doc_id", "source", "size", "source_size", "target", "taken"))
+    assert sorted(first) == sorted(again)
+    for s in {r[1] for r in first}:
+        own = [r for r in first if r[1] == s]
+        assert sum(r[5] for r in own) == round(own[0][4]) and sum(r[2] for r in own) == own[0][3]
+    assert all(0 <= r[5] <= 2 * r[2] for r in first)
+
+
+def test_mixed_documents_hold_the_words_taken(spark, documents):
+    taken = {r.doc_id: r.taken for r in mixing.mix_sources(documents, block_words=50).collect()}
+    got = {}
+    for r in mixing.mixed_documents(documents, block_words=50).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
+    assert got == {k: v for k, v in taken.items() if v}
+
+
+def test_permutation(spark):
+    for n in (1, 2, 7, 1000):
+        out = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3)).alias("x")).collect()
+        assert sorted(r.x for r in out) == list(range(n))
+
+
+def test_mixing_edges(spark):
+    df = spark.createDataFrame([(None, None, None, 3), (1, "a b c", "s", 3), (1, "a b c", "s", 3), (2, "", None, 1)], "doc_id long, text string, source string, size int")
+    out = mixing.mix_sources(df).collect()
+    assert len(out) == 4 and sum(r.taken for r in out) == 9 and mixing.mix_sources(df.limit(0)).count() == 0
+
+
+# Lines
+
+
+def line_oracle(data, t=0.8):
+    seen, gone = [], set()
+    for i, text in sorted((d for d in data if d[1] is not None), key=lambda d: d[0]):
+        for k, row in enumerate(text.split("\n")):
+            words = frozenset(row.encode().lower().split())
+            if words:
+                if any(len(words & s) >= t * len(words | s) - 1e-9 for s in seen):
+                    gone.add((i, k))
+                seen.append(words)
+    return gone
+
+
+def test_lines_match_brute_force_in_crowded_lists(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LIST_ROWS", 3)
+    monkeypatch.setattr(line_dedup, "FEW", 1)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(14)]
+    data = [(i, "\n".join(" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(rng.randint(0, 4)))) for i in range(120)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert set(rows(line_dedup.removed_lines(df.repartition(5)))) == line_oracle(data)
+
+
+def test_line_edges(spark):
+    df = spark.createDataFrame([(None, "a b\na b", 1), (1, None, 2), (2, "", 3), (3, "a b\nA  B\n\nc", 4), (4, "x\na b", 5)], "doc_id long, text string, n_lines int")
+    out = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.line_dedup(df).collect()}
+    assert out == {None: ("a b\na b", 2, 0), 1: (None, 0, 0), 2: ("", 1, 0), 3: ("a b\n\nc", 4, 1), 4: ("x", 2, 1)}
+    assert line_dedup.line_dedup(df.limit(0)).count() == 0
+
+
+# Embeddings
+
+
+def test_embeddings_recall_and_edges(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 16))
+    x = np.concatenate([c + rng.normal(scale=0.12, size=(25, 16)) for c in centres])
+    out = {r.vec_id: r for r in embedding_dedup.embedding_dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = near.sum(1)
+    got = np.array([out[i].n_links for i in range(len(x))])
+    assert (got <= want).all() and got.sum() >= 0.97 * want.sum() and want.sum() > 2000
+    v = spark.createDataFrame(
+        [(1, [1.0, 0.0], "x"), (1, [1.0, 0.0], "x"), (2, [2.0, 0.0], None), (3, None, None), (4, [0.0, 0.0], None), (5, [float("nan"), 1.0], None), (6, [None, 1.0], None), (None, [1.0, 0.0], None), (7, [1.0], None), (8, [], None)],
+        "vec_id long, embedding array<double>, kept string")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embedding_dedup.embedding_dedup(v).collect())
+    assert got == [(0, 0, 0, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), *[(i, 0, i, True) for i in range(3, 9)]]
+    assert embedding_dedup.embedding_dedup(v.limit(0)).count() == 0
+
+
+def test_multi_sequence_visits_nearest_cells():
+    rng = np.random.default_rng(0)
+    index = embedding_dedup.MultiIndex(rng.normal(size=(7, 4)), rng.normal(size=(5, 4)), 9)
+    x = rng.normal(size=(50, 8))
+    a, b = embedding_dedup.halves(x)
+    d = embedding_dedup.distances(a, index.first)[:, :, None] + embedding_dedup.distances(b, index.second)[:, None, :]
+    got = np.take_along_axis(d.reshape(50, -1), index.sequence(x, 9), 1)
+    assert np.allclose(got, np.sort(d.reshape(50, -1), 1)[:, :9])
+
+
+# Exact copies
+
+
+@pytest.mark.parametrize("budget", [2_000, 20_000, 10**9])
+def test_trie_with_and_without_spill(budget):
+    rng, want = random.Random(1), {}
+    trie = exact_dedup.PatriciaTrie(budget, tempfile.mkdtemp())
+    for i in range(4000):
+        key = b"common" * rng.randint(0, 1) + bytes(rng.choices(b"ab", k=rng.randint(0, 9)))
+        owner = (-rng.randint(0, 5), False, i, 1, "d")
+        trie.add(key, owner)
+        want[key] = exact_dedup.better(want[key], owner) if key in want else owner
+    got = list(trie.items())
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_exact_edges(spark):
+    df = spark.createDataFrame([(3, "a b", 1), (2, "ab ", 1), (9, "a  b", 1), (None, None, 1), (7, " \n", 1), (7, " \n", 1)], "doc_id long, text string, kept int")
+    out = sorted((r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df).collect())
+    assert out == [(0, 7, 3, False), (2, 9, 3, False), (3, 9, 3, False), (7, 7, 3, True), (7, 7, 3, True), (9, 9, 3, True)]
+    assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
+
+
+# Quality
+
+
+def test_bigram_probabilities_sum_to_one():
+    rng = np.random.default_rng(1)
+    size = 12
+    keys, n = np.unique(quality.bigrams(rng.integers(0, size, 400), size), return_counts=True)
+    follow = np.bincount(keys % size, minlength=size)
+    lower = quality.Lower(follow, np.array([(n == i).sum() for i in range(1, 5)]), 7)
+    shard = quality.Shard(keys, n, lower)
+    p = np.exp(shard.log_p(np.arange(size * size))).reshape(size, size)
+    p[:, quality.UNKNOWN] *= 7  # the class stands for seven types
+    assert p.sum(1) == pytest.approx(np.ones(size))
+
+
+def test_quality_perplexity_matches_plain_python(spark, documents):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    got = {r.doc_id: r for r in quality.quality_scores(documents, labels).collect()}
+    data = {d: t for d, t in rows(documents.select("doc_id", "text"))}
+    trusted = {r.doc_id for r in labels.where("quality = 1").collect()}
+    words = {}
+    types = [set(), set()]
+    for d in trusted & set(data):
+        for w in quality.words_of(data[d]):
+            words[w] = words.get(w, 0) + 1
+            types[quality.fold_of(d)].add(w)
+    vocabulary_ = [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0].encode()))[: quality.VOCABULARY]]
+    number, size = quality.Numberer(vocabulary_), len(vocabulary_) + quality.FIRST_WORD
+    shards = []
+    for fold in (0, 1):
+        train = [quality.bigrams(number(data[d]), size) for d in trusted & set(data) if quality.fold_of(d) == fold]
+        keys, n = np.unique(np.concatenate(train), return_counts=True)
+        lower = quality.Lower(np.bincount(keys % size, minlength=size), np.array([(n == i).sum() for i in range(1, 5)]), 1 + len(types[fold] - set(vocabulary_)))
+        shards.append(quality.Shard(keys, n, lower))
+    for d, t in data.items():
+        logs = shards[1 - quality.fold_of(d)].log_p(quality.bigrams(number(t), size))
+        assert got[d].perplexity == pytest.approx(np.exp(-logs.mean()))
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    kept = [np.mean([got[d].kept for d in truth if d in got and truth[d] == q]) for q in (0, 1)]
+    assert kept[1] > 0.97 and kept[0] < 0.5
+
+
+def test_quality_edges(spark):
+    docs = spark.createDataFrame([(None, None, None, 1.0), (1, "", "en", 2.0), (1, "a b", "en", 2.0)], "doc_id long, text string, lang string, threshold double")
+    labels = spark.createDataFrame([(1, 1), (1, None), (None, 1)], "doc_id long, quality int")
+    out = quality.quality_scores(docs, labels).collect()
+    assert len(out) == 3 and all(r.kept and r.perplexity is None and r.threshold is None for r in out)
+    assert quality.quality_scores(docs.limit(0), labels.limit(0)).count() == 0
