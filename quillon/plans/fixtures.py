@@ -19,7 +19,7 @@ _PRED = (
     "CASE WHEN err OR mute THEN NULL WHEN lost THEN 'unknown_model' WHEN hit THEN route"
     " WHEN (doc_id + v) % 3 = 0 THEN 'simple' WHEN (doc_id + v) % 3 = 1 THEN 'moderate' ELSE 'complex' END AS pred"
 )
-_SPENT = "10 + (doc_id * 7 + v) % 50 AS spent"
+_SPENT = "10 + (doc_id * 7 + v * v * 3) % 53 AS spent"
 
 #: Common table expressions that the SQL of all routing queries starts with.
 BASE_SQL = f"""

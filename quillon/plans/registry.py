@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import metric_queries, pareto_queries
+from quillon.plans import metric_queries, pareto_queries, review_queries
 
-MODULES = [metric_queries, pareto_queries]
+MODULES = [metric_queries, pareto_queries, review_queries]
 
 
 def queries() -> dict:
