@@ -4,7 +4,7 @@ A line is the set of its words (A-Z in lower case). Equal sets fold into the fir
 set are ordered from rare to frequent by counts over all lines (counted in a table of fixed size: the order only has to
 be the same for all sets, it needn't be exact). Two sets with a Jaccard similarity of t share a word among their first
 n - ceil(t n) + 1; postings of these prefixes meet by word and pass filters on length, on position and on a 64-bit
-picture of the set. What is left is verified on the words themselves, and every line that an earlier line matches goes.
+picture of the set (one bit a word, by parity: sets differ in at least as many words as pictures in bits). What is left is verified on the words themselves, and every line that an earlier line matches goes.
 
 A posting list of up to LIST_ROWS lines puts out all its candidates. In a longer one each line puts out a few and says
 that there are more; lines that those don't settle are looked up again with every candidate, list by list in slices.
@@ -29,25 +29,6 @@ COUNT_TABLE = 1 << 17
 LIST_ROWS = 64
 #: Candidates that a line puts out from a longer list.
 FEW = 4
-_WORD_CACHE = 400_000
-
-
-class Hasher:
-    """Words to 64-bit hashes, with a bounded memory."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > _WORD_CACHE:
-                known.clear()
-            for w in set(words).difference(known):
-                known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -55,10 +36,19 @@ def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+#: Bits of a word's name: the hash, and above it the rank of its count.
+_HASH_BITS, _RANK_BITS = 41, 4
+_NAME_BITS = _HASH_BITS + _RANK_BITS
+
+
 class Lines:
-    """The word sets of many texts' lines as flat arrays, each set's words in one order."""
+    """The word sets of many texts' lines as flat arrays, each set's words in ascending order of their names.
 
-    def __init__(self, ids: list, texts: list[str], hasher: Hasher, counts: np.ndarray | None = None):
+    A word's name is the rank of its count and 41 bits of its hash, so names sort from rare to frequent. Two words of
+    one line would have to share all these bits to be taken for one.
+    """
+
+    def __init__(self, ids: list, texts: list[str], ranks: np.ndarray | None = None):
         doc, line, size, words = [], [], [], []
         for i, text in zip(ids, texts):
             for k, row in enumerate((text or "").encode().lower().split(b"\n")):
@@ -68,20 +58,32 @@ class Lines:
                     line.append(k)
                     size.append(len(w))
                     words += w
-        h = hasher(words)
-        owner = np.repeat(np.arange(len(size)), size)
-        rank = counts[h & np.uint64(len(counts) - 1)] if counts is not None else np.zeros(len(h), np.int8)
-        order = np.lexsort((h, rank, owner)) if counts is not None else np.lexsort((h, owner))
-        h, owner = h[order], owner[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-        self.words, self.owner = h[fresh], owner[fresh]
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        owner = np.repeat(np.arange(len(size), dtype=np.uint64), size)
+        name = h >> np.uint64(64 - _HASH_BITS)
+        if ranks is not None:
+            name |= ranks[h & np.uint64(COUNT_TABLE - 1)].astype(np.uint64) << np.uint64(_HASH_BITS)
+        if len(size) < 1 << (64 - _NAME_BITS):
+            both = np.sort((owner << np.uint64(_NAME_BITS)) | name)  # one sort of numbers
+            owner, name = (both >> np.uint64(_NAME_BITS)).astype(np.int64), both & np.uint64((1 << _NAME_BITS) - 1)
+        else:
+            order = np.lexsort((name, owner))
+            owner, name = owner[order].astype(np.int64), name[order]
+        fresh = np.ones(len(name), bool)
+        fresh[1:] = (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])
+        self.words, self.owner = name[fresh], owner[fresh]
         self.doc, self.line = doc, np.array(line, np.int64)
         self.n = np.bincount(self.owner, minlength=len(doc)).astype(np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.n)[:-1]]).astype(np.int64)
+        self.entries = h & np.uint64(COUNT_TABLE - 1)
         if len(doc):
             self.k1 = np.add.reduceat(_mixed(self.words, 1), self.start).view(np.int64)
-            self.k2 = np.add.reduceat(_mixed(self.words, 2), self.start).view(np.int64)
+
+
+def count_ranks(counts: np.ndarray) -> np.ndarray:
+    """A small rank for each entry of the count table, in half powers of two above the least count."""
+    seen = np.maximum(counts, 1)
+    return np.clip(2 * np.log2(seen / seen.min()), 0, (1 << _RANK_BITS) - 1).astype(np.uint8)
 
 
 _PASS = "kind byte, a long, b long, k1 long, k2 long"
@@ -89,12 +91,13 @@ _PASS = "kind byte, a long, b long, k1 long, k2 long"
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 0: line b of document a and the 128-bit hash of its set. Kind 1: entry a of the count table has b."""
-    hasher, counts = Hasher(), np.zeros(COUNT_TABLE, np.int64)
+    counts = np.zeros(COUNT_TABLE, np.int64)
     names = ["kind", "a", "b", "k1", "k2"]
-    for batch in small_batches(batches):
-        x = Lines(batch.column(0).to_pylist(), batch.column(1).to_pylist(), hasher)
+    for batch in small_batches(batches, limit=1 << 20):
+        x = Lines(batch.column(0).to_pylist(), batch.column(1).to_pylist())
         if len(x.doc):
-            counts += np.bincount((x.words & np.uint64(COUNT_TABLE - 1)).astype(np.int64), minlength=COUNT_TABLE)
+            counts += np.bincount(x.entries.astype(np.int64), minlength=COUNT_TABLE)
+            x.k2 = np.add.reduceat(_mixed(x.words, 2), x.start).view(np.int64)
             yield pa.record_batch([pa.array(np.zeros(len(x.doc), np.int8)), pa.array(x.doc, pa.int64()), pa.array(x.line), pa.array(x.k1), pa.array(x.k2)], names)
     at = np.nonzero(counts)[0]
     zero = np.zeros(len(at), np.int64)
@@ -104,11 +107,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _POSTING = "word long, k1 long, doc_id long, line long, n int, pos int, picture long"
 
 
-def _postings(batches: Iterator[pa.RecordBatch], counts: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
     """The prefix of every set (once a task)."""
-    hasher, seen = Hasher(), set()
-    for batch in small_batches(batches):
-        x = Lines(batch.column(0).to_pylist(), batch.column(1).to_pylist(), hasher, counts)
+    seen = set()
+    for batch in small_batches(batches, limit=1 << 20):
+        x = Lines(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ranks)
         if not len(x.doc):
             continue
         k1 = x.k1.tolist()
@@ -119,7 +122,7 @@ def _postings(batches: Iterator[pa.RecordBatch], counts: np.ndarray, threshold:
         pos = np.arange(len(x.words)) - x.start[x.owner]
         take = (pos < prefix[x.owner]) & new[x.owner] & (x.n[x.owner] > 3)  # shorter sets match only equal ones
         word = x.words.view(np.int64)
-        picture = np.bitwise_or.reduceat(np.uint64(1) << (x.words >> np.uint64(58)), x.start).view(np.int64)
+        picture = np.bitwise_xor.reduceat(np.uint64(1) << (_mixed(x.words, 3) >> np.uint64(58)), x.start).view(np.int64)
         own = x.owner[take]
         yield pa.record_batch(
             [pa.array(word[take]), pa.array(x.k1[own]), pa.array(x.doc, pa.int64()).take(pa.array(own)), pa.array(x.line[own]),
@@ -137,34 +140,39 @@ def _passes(a: dict, b: dict, threshold: float) -> np.ndarray:
     return (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (reach >= need) & (n + m - apart >= 2 * need)
 
 
+#: Postings looked at together.
+_TOGETHER = 200_000
+
+
 def _candidates(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Posting lists, sorted by word and place, to (doc_id, line) with an earlier (x_doc, x_line), or null for "more"."""
-    left: dict[str, np.ndarray] | None = None
+    held, size = [], 0
     for batch in batches:
-        now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
-        if left is not None:
-            now = {c: np.concatenate([left[c], now[c]]) for c in now}
-        cut = int(np.searchsorted(now["word"], now["word"][-1])) if len(now["word"]) else 0
-        yield from _from_lists({c: v[:cut] for c, v in now.items()}, threshold)
-        left = {c: v[cut:] for c, v in now.items()}
-    if left is not None:
-        yield from _from_lists(left, threshold)
+        held.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names})
+        size += batch.num_rows
+        if size >= _TOGETHER:
+            now = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+            cut = int(np.searchsorted(now["word"], now["word"][-1]))
+            yield from _from_lists({c: v[:cut] for c, v in now.items()}, threshold)
+            held = [{c: v[cut:] for c, v in now.items()}]
+            size = len(held[0]["word"])
+    if held:
+        yield from _from_lists({c: np.concatenate([h[c] for h in held]) for c in held[0]}, threshold)
 
 
 def _from_lists(p: dict[str, np.ndarray], threshold: float) -> Iterator[pa.RecordBatch]:
     if len(p["word"]) < 2:
         return
-    order = np.lexsort((p["line"], p["doc_id"], p["k1"], p["word"]))  # tasks may bring one set several times
+    order = np.lexsort((p["k1"], p["word"]))  # stable: of one set that several tasks bring, the earliest place is first
     first = np.ones(len(order), bool)
     first[1:] = (p["k1"][order][1:] != p["k1"][order][:-1]) | (p["word"][order][1:] != p["word"][order][:-1])
-    keep = order[first]
-    keep = keep[np.lexsort((p["line"][keep], p["doc_id"][keep], p["word"][keep]))]
+    keep = np.sort(order[first])
     p = {c: v[keep] for c, v in p.items()}
     word, n = p["word"], len(keep)
     begin = np.concatenate([[0], np.nonzero(word[1:] != word[:-1])[0] + 1])
     length = np.diff(np.concatenate([begin, [n]]))
     long_list = np.repeat(length > LIST_ROWS, length)
-    given, more = np.zeros(n, np.int64), np.zeros(n, bool)
+    given, more, found = np.zeros(n, np.int64), np.zeros(n, bool), []
     alive = np.arange(n)
     for lag in range(1, int(length.max())):
         alive = alive[alive + lag < n]
@@ -178,8 +186,10 @@ def _from_lists(p: dict[str, np.ndarray], threshold: float) -> Iterator[pa.Recor
         more[y[stop]] = True
         pairs, y = pairs[~stop], y[~stop]
         given[y] += 1
-        if len(y):
-            yield pa.record_batch([pa.array(p["doc_id"][y]), pa.array(p["line"][y]), pa.array(p["doc_id"][pairs]), pa.array(p["line"][pairs])], _PAIR)
+        found.append((y, pairs))
+    if found:
+        y, x = (np.concatenate(side) for side in zip(*found))
+        yield pa.record_batch([pa.array(p["doc_id"][y]), pa.array(p["line"][y]), pa.array(p["doc_id"][x]), pa.array(p["line"][x])], _PAIR)
     y = np.nonzero(more)[0]
     none = pa.nulls(len(y), pa.int64())
     yield pa.record_batch([pa.array(p["doc_id"][y]), pa.array(p["line"][y]), none, none], _PAIR)
@@ -198,19 +208,20 @@ def _chosen_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if k < len(rows):
                     ids.append(i)
                     lines.append(k)
-                    sets.append(sorted(set(rows[k].split())))
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(lines, pa.int64()), pa.array(sets, pa.list_(pa.binary()))], ["d", "l", "words"])
+                    sets.append(b" ".join(sorted(set(rows[k].split()))).decode())
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(lines, pa.int64()), pa.array(sets, pa.string())], ["d", "l", "words"])
 
 
 def _similar(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """The (doc_id, line) of pairs whose words are similar enough to those of (x_doc, x_line)."""
     wanted = pairs.select("doc_id", "line").union(pairs.select("x_doc", "x_line")).groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
-    sets = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_chosen_lines, "d long, l long, words array<binary>")
+    sets = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_chosen_lines, "d long, l long, words string")
     sets = stored(sets, "line-sets")
     y = sets.select(F.col("d").alias("doc_id"), F.col("l").alias("line"), F.col("words").alias("yw"))
     x = sets.select(F.col("d").alias("x_doc"), F.col("l").alias("x_line"), F.col("words").alias("xw"))
-    both = F.size(F.array_intersect("yw", "xw"))
-    near = both >= threshold * (F.size("yw") + F.size("xw") - both) - 1e-9
+    a, b = F.split("yw", " "), F.split("xw", " ")
+    both = F.size(F.array_intersect(a, b))
+    near = both >= threshold * (F.size(a) + F.size(b) - both) - 1e-9
     return pairs.join(y, ["doc_id", "line"]).join(x, ["x_doc", "x_line"]).where(near).select("doc_id", "line").distinct()
 
 
@@ -227,29 +238,30 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table = scan.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).toArrow()  # at most COUNT_TABLE rows
     counts = np.zeros(COUNT_TABLE, np.int64)
     counts[table["a"].to_numpy()] = table["b"].to_numpy()
-    found = _near_pairs(rows, counts, threshold)
+    ranks = count_ranks(counts)
+    found = _near_pairs(rows, ranks, threshold)
     pairs = stored(found, "line-pairs")
     settled = stored(_similar(pairs.where("x_doc IS NOT NULL").distinct(), rows, threshold), "line-near")
     out = again.union(settled)
     rest = stored(pairs.where("x_doc IS NULL").select("doc_id", "line").distinct().join(settled, ["doc_id", "line"], "left_anti"), "line-rest")
     discard(pairs)
     if not rest.isEmpty():
-        out = out.union(_searched_again(rest, rows, counts, threshold))
+        out = out.union(_searched_again(rest, rows, ranks, threshold))
     return out.distinct()
 
 
-def _near_pairs(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    postings = rows.mapInArrow(partial(_postings, counts=counts, threshold=threshold), _POSTING)
-    dealt = postings.repartition("word").sortWithinPartitions("word")
+def _near_pairs(rows: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
+    postings = rows.mapInArrow(partial(_postings, ranks=ranks, threshold=threshold), _POSTING)
+    dealt = postings.repartition("word").sortWithinPartitions("word", "doc_id", "line")
     return dealt.mapInArrow(partial(_candidates, threshold=threshold), _PAIR_SCHEMA)
 
 
-def _searched_again(rest: DataFrame, rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
+def _searched_again(rest: DataFrame, rows: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
     """Lines that long lists left open, against every posting of the words of their prefixes."""
     wanted = rest.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
     own = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_only_lines, "doc_id long, text string")
-    probes = own.mapInArrow(partial(_postings, counts=counts, threshold=threshold), _POSTING)
-    every = rows.mapInArrow(partial(_postings, counts=counts, threshold=threshold), _POSTING)
+    probes = own.mapInArrow(partial(_postings, ranks=ranks, threshold=threshold), _POSTING)
+    every = rows.mapInArrow(partial(_postings, ranks=ranks, threshold=threshold), _POSTING)
     p = probes.select("word", *[F.col(c).alias(f"y_{c}") for c in ("k1", "doc_id", "line", "n", "pos", "picture")])
     need = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("y_n")) - 1e-9)
     earlier = (F.col("doc_id") < F.col("y_doc_id")) | ((F.col("doc_id") == F.col("y_doc_id")) & (F.col("line") < F.col("y_line")))
