@@ -36,6 +36,8 @@ LEAST_WORDS = 1_000
 UNKNOWN, EDGE, FIRST_WORD = 0, 1, 2
 #: Stands for a null id.
 NO_ID = -(1 << 63)
+#: Largest number of trusted ids that is broadcast (8 bytes each); more are joined.
+BROADCAST_IDS = 4_000_000
 #: Bins of log perplexity that quantiles are read from.
 BINS = 1_000
 
@@ -49,6 +51,15 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").split()
 
 
+def _among(batches: Iterator[pa.RecordBatch], ids) -> Iterator[pa.RecordBatch]:
+    """The rows whose id is one of the broadcast sorted ids."""
+    known = ids.value
+    for batch in batches:
+        own = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+        yield batch.filter(pa.array(known[at] == own)) if len(known) else batch.slice(0, 0)
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = (Counter(), Counter())
 
@@ -263,7 +274,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chosen = rows.join(trusted.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    known = stored(trusted.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "lm-trusted")
+    if known.count() <= BROADCAST_IDS:  # the texts stay where they are
+        ids = spark.sparkContext.broadcast(np.sort(known.toArrow()["doc_id"].to_numpy()))
+        chosen = rows.mapInArrow(partial(_among, ids=ids), rows.schema)
+    else:
+        chosen = rows.join(known, "doc_id", "left_semi").select("doc_id", "text")
     counts = stored(chosen.mapInArrow(_word_counts, "fold int, word string, n long").groupBy("word").agg(
         F.sum(F.when(F.col("fold") == 0, F.col("n"))).alias("n0"), F.sum(F.when(F.col("fold") == 1, F.col("n"))).alias("n1"), F.sum("n").alias("n")), "lm-words")
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY)
@@ -271,6 +287,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     totals = counts.agg(F.sum("n0"), F.sum("n1"), F.count("n0"), F.count("n1")).first()
     size = len(words) + FIRST_WORD
     inside = top.agg(F.count("n0"), F.count("n1")).first()
+    discard(counts)
     vocabulary = spark.sparkContext.broadcast(words)
     packed = chosen.mapInArrow(partial(_bigram_counts, vocabulary=vocabulary), "fold int, shard int, keys array<long>, n array<long>")
     model = stored(packed.groupBy("fold", "shard").applyInArrow(_summed, "fold int, shard int, keys array<long>, n array<long>"), "lm-bigrams")
