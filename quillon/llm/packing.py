@@ -93,7 +93,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, cap
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     for batch in small_batches(batches):
         ids = [x + end for x in encoder(vocabulary, "space").ids([t or "" for t in batch.column(1).to_pylist()])]
-        rows = [(d, k, k * capacity, (end := min(len(x) // 4, (k + 1) * capacity)) - k * capacity, zlib.crc32(x[4 * k * capacity : 4 * end])) for d, x in zip(batch.column(0).to_pylist(), ids) for k in range(-(-len(x) // (4 * capacity)))]
+        rows = []
+        for d, x in zip(batch.column(0).to_pylist(), ids):
+            for start in range(0, len(x) // 4, capacity):
+                part = x[4 * start : 4 * (start + capacity)]
+                rows.append((d, start // capacity, start, len(part) // 4, zlib.crc32(part)))
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()])], names)
 
 

@@ -9,6 +9,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import DATA
@@ -16,6 +17,7 @@ from oracle import compare, duck
 from pyspark.sql import functions as F
 
 from quillon.llm import chat, embedding_dedup, exact_dedup, line_dedup, main_text, mixing, packing, quality, queries, simhash, token_files
+from quillon.llm.shared import small_batches
 from quillon.llm.tokens import encoder, vocabulary
 
 
@@ -115,6 +117,13 @@ def test_plan_uses_every_piece_and_finds_exact_fills(seed):
     assert sum(t for _, t in packing.plan_packing({70: 1, 10: 3}, 100)) == 1
 
 
+def test_texts_come_in_small_batches():
+    batch = pa.record_batch([pa.array([1, 2, 3, 4]), pa.array(["a" * 10, None, "b" * 3, "c" * 30])], ["doc_id", "text"])
+    assert [b.num_rows for b in small_batches([batch, batch.slice(0, 0)], limit=14)] == [3, 1]
+    out = list(packing._pieces([batch.slice(i, 1) for i in range(4)], vocabulary("word_bpe_49k.json"), 1, 4))
+    assert [r for b in out for r in b.column(0).to_pylist()][:3] == [1, 2, 3] and len(out) == 4
+
+
 def test_packing_edges(spark):
     df = spark.createDataFrame([(None, None, 1), (5, "", 2), (5, "hello there", 3), (5, "hello there", 3)], "doc_id long, text string, start int")
     out = rows(packing.pack_documents(df, vocabulary("word_bpe_49k.json"), 1))
