@@ -198,7 +198,7 @@ class MetricRegistry:
         for o in outs[1:]:
             every = every.unionByName(o)
         clash = F.assert_true(F.size(F.collect_set("_metric")) == 1, F.concat(F.lit("two metrics give the key "), F.first("key")))
-        return every.groupBy(*keys, "key").agg(F.first("value").alias("value"), clash.alias("_ok")).drop("_ok")
+        return every.groupBy(*keys, "key").agg(F.when(clash.isNull(), F.first("value")).alias("value"))
 
 
 def per_group_metric(pairs: DataFrame, function: Callable, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -73,12 +73,13 @@ def hypervolume(front: DataFrame, reference: DataFrame, keys: tuple[str, ...] =
 
 
 def knee_point(front: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """One row a group: the point farthest from the line between the ends of lowest and highest quality; of two points the better."""
+    """One row a group: the point farthest from the line between the ends of lowest and of highest quality; of two points the better."""
     group = Window.partitionBy(*keys)
     low, high = F.min_by("cost", F.struct("quality", "version")).over(group), F.min_by("cost", F.struct(-F.col("quality"), F.col("version"))).over(group)
-    dq, dc = F.max("quality").over(group) - F.min("quality").over(group), high - low
-    x = F.when(dq != 0, (F.col("quality") - F.min("quality").over(group)) / dq).otherwise(0.0)
-    y = F.when(dc != 0, (F.col("cost") - low) / dc).otherwise(0.0)
+    least = F.min("quality").over(group)
+    dq, dc = F.max("quality").over(group) - least, low - high
+    x = (F.col("quality") - least) / F.when(dq != 0, dq).otherwise(1.0)  # the low end is at (0, 1), the high end at (1, 0)
+    y = (F.col("cost") - high) / F.when(dc != 0, dc).otherwise(1.0)
     rows = front.withColumn("_n", F.count("*").over(group)).withColumn("_far", F.when(F.col("_n") <= 2, F.col("quality").cast("double")).otherwise(F.abs(x + y - 1)))
     rank = F.row_number().over(group.orderBy(F.desc("_far"), "version"))
     return rows.withColumn("_r", rank).where("_r = 1").drop("_r", "_n", "_far")

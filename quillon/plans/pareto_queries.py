@@ -57,7 +57,7 @@ def hypervolume(spark, sf_dir):
 
 
 @query(FRONT_SQL + """, e AS (SELECT run_id, count(*) AS n, min(q) AS ql, max(q) AS qh, arg_min(c, (q, version)) AS cl, arg_min(c, (-q, version)) AS ch FROM front GROUP BY run_id),
-x AS (SELECT f.*, CASE WHEN n <= 2 THEN CAST(q AS DOUBLE) ELSE abs(CASE WHEN qh <> ql THEN (q - ql) / (qh - ql) ELSE 0.0 END + CASE WHEN ch <> cl THEN (c - cl) / (ch - cl) ELSE 0.0 END - 1) END AS far FROM front f JOIN e USING (run_id))
+x AS (SELECT f.*, CASE WHEN n <= 2 THEN CAST(q AS DOUBLE) ELSE abs((q - ql) / CASE WHEN qh <> ql THEN qh - ql ELSE 1.0 END + (c - ch) / CASE WHEN ch <> cl THEN cl - ch ELSE 1.0 END - 1) END AS far FROM front f JOIN e USING (run_id))
 SELECT run_id, arg_min(version, (-far, version)) AS version, arg_min(q, (-far, version)) AS quality, arg_min(c, (-far, version)) AS cost FROM x GROUP BY run_id""")
 def knee_point(spark, sf_dir):
     return p.knee_point(p.pareto_front(candidates(spark, sf_dir))).select("run_id", "version", "quality", "cost")

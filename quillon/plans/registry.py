@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import data_queries, metric_queries, pareto_queries, review_queries
+from quillon.plans import data_queries, metric_queries, pareto_queries, review_queries, state_queries
 
-MODULES = [data_queries, metric_queries, pareto_queries, review_queries]
+MODULES = [data_queries, metric_queries, pareto_queries, review_queries, state_queries]
 
 
 def queries() -> dict:
