@@ -14,12 +14,10 @@ from itertools import chain
 
 import numpy as np
 
-#: Pieces remembered by one Python worker (about 100 MB). Beyond that, pieces are encoded again where they come up.
-REMEMBERED = 500_000
+#: Pieces remembered by one Python worker (about 150 MB). Beyond that, pieces are encoded again where they come up.
+REMEMBERED = 800_000
 #: Two white-space characters in a row, one at either end, or one that is neither a space nor a line feed.
 _UNSURE = re.compile(r"\s\s|^\s|\s$|[^\S \n]|\x00")
-#: A full stop or comma after a letter always begins a new piece.
-_STOP = re.compile(r"(?<=[a-zA-ZÀ-ÖØ-öø-ÿ])(?=[.,])")
 
 
 class PieceEncoder:
@@ -48,18 +46,24 @@ class PieceEncoder:
                 text = text.lower()  # letter by letter in this range, like the vocabulary's own lowering
             except UnicodeEncodeError:
                 pass
-            return _STOP.sub(" ", text).replace("\n", " ").split(" ")
+            return text.replace("\n", " ").split(" ")
         if _UNSURE.search(text):
             return [text]
         # a line feed between two words is a piece of its own, a space goes with what follows it
-        return _STOP.sub("\x00", text).replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
+        return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
-        new = list(set(chain.from_iterable(cut)).difference(self.known))
+        new = set(chain.from_iterable(cut)).difference(self.known)
+        # a full stop or comma after a letter (one that lowering leaves one) always begins a new piece, so the word before it is looked up by itself
+        stopped = {x for x in new if x[-1:] in (".", ",") and x[-2:-1].isalpha() and x[-2] < "Ā"}
+        bare = new - stopped | {x[:-1] for x in stopped} | {x[-1] for x in stopped}
+        unknown = list(bare.difference(self.known))
         fresh: dict[str, bytes] = {}
-        for at in range(0, len(new), 10_000):
-            fresh.update(zip(new[at : at + 10_000], self.whole(new[at : at + 10_000])))
+        for at in range(0, len(unknown), 10_000):
+            fresh.update(zip(unknown[at : at + 10_000], self.whole(unknown[at : at + 10_000])))
+        of = lambda x: fresh[x] if x in fresh else self.known[x]
+        fresh.update({x: of(x[:-1]) + of(x[-1]) for x in stopped})
         if len(self.known) + len(fresh) <= REMEMBERED:
             self.known.update((k, v) for k, v in fresh.items() if len(k) < 100)
         out = []
