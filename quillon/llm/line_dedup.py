@@ -247,7 +247,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     discard(pairs)
     if not rest.isEmpty():
         out = out.union(_searched_again(rest, rows, ranks, threshold))
-    return out.distinct()
+    done = stored(out.distinct(), "lines-gone")
+    for table in (scan, settled, rest):  # the result stands by itself
+        discard(table)
+    return done
 
 
 def _near_pairs(rows: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
