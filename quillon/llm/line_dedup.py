@@ -3,11 +3,12 @@
 A line is the set of its words (A-Z in lower case). Equal sets fold into the first line that has them. The words of a
 set are ordered from rare to frequent by counts over all lines (counted in a table of fixed size: the order only has to
 be the same for all sets, it needn't be exact). Two sets with a Jaccard similarity of t share a word among their first
-n - ceil(t n) + 1; postings of these prefixes meet by word and pass filters on length, on position and on a 64-bit
-picture of the set (one bit a word, by parity: sets differ in at least as many words as pictures in bits). What is left is verified on the words themselves, and every line that an earlier line matches goes.
+n - ceil(t n) + 1; postings of these prefixes meet by word and pass filters on length, on position and on a 128-bit
+picture of the set (one bit a word, by parity: sets differ in at least as many words as pictures in bits). What is
+left is verified on the words themselves, and every line that an earlier line matches goes.
 
 A posting list of up to LIST_ROWS lines puts out all its candidates. In a longer one each line puts out a few and says
-that there are more; lines that those don't settle are looked up again with every candidate, list by list in slices.
+that there are more; lines that those don't settle are looked up again with every candidate.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -104,7 +106,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(np.ones(len(at), np.int8)), pa.array(at), pa.array(counts[at]), pa.array(zero), pa.array(zero)], names)
 
 
-_POSTING = "word long, k1 long, doc_id long, line long, n int, pos int, picture long"
+_POSTING = "word long, k1 long, doc_id long, line long, n int, pos int, picture long, picture2 long"
 
 
 def _postings(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -122,22 +124,27 @@ def _postings(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, threshold: f
         pos = np.arange(len(x.words)) - x.start[x.owner]
         take = (pos < prefix[x.owner]) & new[x.owner] & (x.n[x.owner] > 3)  # shorter sets match only equal ones
         word = x.words.view(np.int64)
-        picture = np.bitwise_xor.reduceat(np.uint64(1) << (_mixed(x.words, 3) >> np.uint64(58)), x.start).view(np.int64)
+        place = _mixed(x.words, 3) >> np.uint64(57)
+        bit = np.uint64(1) << (place & np.uint64(63))
+        pictures = [np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == half, bit, np.uint64(0)), x.start).view(np.int64) for half in (0, 1)]
         own = x.owner[take]
         yield pa.record_batch(
             [pa.array(word[take]), pa.array(x.k1[own]), pa.array(x.doc, pa.int64()).take(pa.array(own)), pa.array(x.line[own]),
-             pa.array(x.n[own].astype(np.int32)), pa.array(pos[take].astype(np.int32)), pa.array(picture[own])],
-            ["word", "k1", "doc_id", "line", "n", "pos", "picture"],
+             pa.array(x.n[own].astype(np.int32)), pa.array(pos[take].astype(np.int32)), *[pa.array(x[own]) for x in pictures]],
+            ["word", "k1", "doc_id", "line", "n", "pos", "picture", "picture2"],
         )
 
 
-def _passes(a: dict, b: dict, threshold: float) -> np.ndarray:
-    """Length, position and picture filters on pairs of postings; none drops a pair that is similar enough."""
+def _passes(a: dict, b: dict, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Words that differ at least, and whether pairs of postings pass the filters on length, position and picture.
+
+    No filter drops a pair that is similar enough.
+    """
     n, m = a["n"].astype(np.int64), b["n"].astype(np.int64)
     need = np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
     reach = 1 + np.minimum(n - a["pos"] - 1, m - b["pos"] - 1)
-    apart = np.bitwise_count((a["picture"] ^ b["picture"]).view(np.uint64)).astype(np.int64)
-    return (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (reach >= need) & (n + m - apart >= 2 * need)
+    apart = sum(np.bitwise_count((a[c] ^ b[c]).view(np.uint64)).astype(np.int64) for c in ("picture", "picture2"))
+    return apart, (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (reach >= need) & (n + m - apart >= 2 * need)
 
 
 #: Postings looked at together.
@@ -180,49 +187,105 @@ def _from_lists(p: dict[str, np.ndarray], threshold: float) -> Iterator[pa.Recor
         # a line that has put out its few stops at the first candidate beyond them
         pairs = alive[~more[alive + lag]]
         y = pairs + lag
-        good = _passes({c: p[c][pairs] for c in ("n", "pos", "picture")}, {c: p[c][y] for c in ("n", "pos", "picture")}, threshold)
-        pairs, y = pairs[good], y[good]
+        fields = ("n", "pos", "picture", "picture2")
+        apart, good = _passes({c: p[c][pairs] for c in fields}, {c: p[c][y] for c in fields}, threshold)
+        pairs, y, apart = pairs[good], y[good], apart[good]
         stop = long_list[y] & (given[y] >= FEW)
         more[y[stop]] = True
-        pairs, y = pairs[~stop], y[~stop]
+        pairs, y, apart = pairs[~stop], y[~stop], apart[~stop]
         given[y] += 1
-        found.append((y, pairs))
+        found.append((y, pairs, apart))
     if found:
-        y, x = (np.concatenate(side) for side in zip(*found))
-        yield pa.record_batch([pa.array(p["doc_id"][y]), pa.array(p["line"][y]), pa.array(p["doc_id"][x]), pa.array(p["line"][x])], _PAIR)
+        y, x, apart = (np.concatenate(side) for side in zip(*found))
+        yield pa.record_batch([pa.array(p["doc_id"][y]), pa.array(p["line"][y]), pa.array(p["doc_id"][x]), pa.array(p["line"][x]), pa.array(apart.astype(np.int32))], _PAIR)
     y = np.nonzero(more)[0]
     none = pa.nulls(len(y), pa.int64())
-    yield pa.record_batch([pa.array(p["doc_id"][y]), pa.array(p["line"][y]), none, none], _PAIR)
+    yield pa.record_batch([pa.array(p["doc_id"][y]), pa.array(p["line"][y]), none, none, pa.nulls(len(y), pa.int32())], _PAIR)
+
+
+_PAIR = ["doc_id", "line", "x_doc", "x_line", "apart"]
+_PAIR_SCHEMA = "doc_id long, line long, x_doc long, x_line long, apart int"
+
+
+#: Largest number of lines whose places are broadcast (8 or 16 bytes each); more are joined.
+BROADCAST_LINES = 4_000_000
+
+
+def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return _mixed(_mixed(doc.view(np.uint64), 5) + line.view(np.uint64), 6).view(np.int64)
 
 
-_PAIR = ["doc_id", "line", "x_doc", "x_line"]
-_PAIR_SCHEMA = "doc_id long, line long, x_doc long, x_line long"
+def _words(row: str) -> str:
+    return b" ".join(sorted(set(row.encode().lower().split()))).decode()
 
 
-def _chosen_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _broadcast_lines(batches: Iterator[pa.RecordBatch], places) -> Iterator[pa.RecordBatch]:
+    """The lines whose place is one of the broadcast places, and the few that share a place's hash."""
+    known = places.value
     for batch in batches:
-        ids, lines, sets = [], [], []
+        out = []
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows = (text or "").split("\n")
+            own = _place(np.full(len(rows), i, np.int64), np.arange(len(rows)))
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            out += [(i, int(k), _words(rows[k])) for k in np.nonzero(known[at] == own)[0]]
+        d, k, w = zip(*out) if out else ((), (), ())
+        yield pa.record_batch([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(w, pa.string())], ["d", "l", "words"])
+
+
+def _joined_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
         for i, text, wanted in zip(*(c.to_pylist() for c in batch.columns[:3])):
-            rows = (text or "").encode().lower().split(b"\n")
-            for k in set(wanted):
-                if k < len(rows):
-                    ids.append(i)
-                    lines.append(k)
-                    sets.append(b" ".join(sorted(set(rows[k].split()))).decode())
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(lines, pa.int64()), pa.array(sets, pa.string())], ["d", "l", "words"])
+            rows = (text or "").split("\n")
+            out += [(i, k, _words(rows[k])) for k in set(wanted) if k < len(rows)]
+        d, k, w = zip(*out) if out else ((), (), ())
+        yield pa.record_batch([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(w, pa.string())], ["d", "l", "words"])
+
+
+def _sets(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """d, l, words of every line in pairs."""
+    spark, made = rows.sparkSession, "d long, l long, words string"
+    lines = stored(pairs.select("doc_id", "line").union(pairs.select("x_doc", "x_line")).distinct(), "line-wanted")
+    if lines.count() > BROADCAST_LINES:
+        wanted = lines.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
+        found = stored(rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_joined_lines, made), "line-sets")
+    else:
+        t = lines.toArrow()
+        places = np.sort(_place(t["doc_id"].to_numpy(), t["line"].to_numpy())) if len(t) else np.zeros(1, np.int64)
+        found = stored(rows.mapInArrow(partial(_broadcast_lines, places=spark.sparkContext.broadcast(places)), made), "line-sets")
+    discard(lines)
+    return found
+
+
+def _jaccard(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch.column("yw").to_pylist(), batch.column("xw").to_pylist()):
+            a, b = set(a.split(" ")), set(b.split(" "))
+            both = len(a & b)
+            keep.append(both >= threshold * (len(a) + len(b) - both) - 1e-9)
+        yield batch.select(["doc_id", "line"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The (doc_id, line) of pairs whose words are similar enough to those of (x_doc, x_line)."""
-    wanted = pairs.select("doc_id", "line").union(pairs.select("x_doc", "x_line")).groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
-    sets = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_chosen_lines, "d long, l long, words string")
-    sets = stored(sets, "line-sets")
     y = sets.select(F.col("d").alias("doc_id"), F.col("l").alias("line"), F.col("words").alias("yw"))
     x = sets.select(F.col("d").alias("x_doc"), F.col("l").alias("x_line"), F.col("words").alias("xw"))
-    a, b = F.split("yw", " "), F.split("xw", " ")
-    both = F.size(F.array_intersect(a, b))
-    near = both >= threshold * (F.size(a) + F.size(b) - both) - 1e-9
-    return pairs.join(y, ["doc_id", "line"]).join(x, ["x_doc", "x_line"]).where(near).select("doc_id", "line").distinct()
+    met = pairs.select("doc_id", "line", "x_doc", "x_line").join(y, ["doc_id", "line"]).join(x, ["x_doc", "x_line"])
+    return met.mapInArrow(partial(_jaccard, threshold=threshold), "doc_id long, line long").distinct()
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """The lines of pairs that at least one of their candidates matches: the likeliest is tried first, then all others."""
+    sets = _sets(pairs, rows)
+    likely = pairs.groupBy("doc_id", "line").agg(F.min_by(F.struct("x_doc", "x_line"), F.struct("apart", "x_doc", "x_line")).alias("x")).select("doc_id", "line", "x.*")
+    first = stored(_verified(likely, sets, threshold), "line-first")
+    others = pairs.join(first, ["doc_id", "line"], "left_anti").join(likely, ["doc_id", "line", "x_doc", "x_line"], "left_anti").select("doc_id", "line", "x_doc", "x_line").distinct()
+    out = stored(first.union(_verified(others, sets, threshold)), "line-near")
+    discard(sets)
+    discard(first)
+    return out
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -241,7 +304,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ranks = count_ranks(counts)
     found = _near_pairs(rows, ranks, threshold)
     pairs = stored(found, "line-pairs")
-    settled = stored(_similar(pairs.where("x_doc IS NOT NULL").distinct(), rows, threshold), "line-near")
+    settled = _similar(pairs.where("x_doc IS NOT NULL"), rows, threshold)
     out = again.union(settled)
     rest = stored(pairs.where("x_doc IS NULL").select("doc_id", "line").distinct().join(settled, ["doc_id", "line"], "left_anti"), "line-rest")
     discard(pairs)
@@ -265,16 +328,17 @@ def _searched_again(rest: DataFrame, rows: DataFrame, ranks: np.ndarray, thresho
     own = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_only_lines, "doc_id long, text string")
     probes = own.mapInArrow(partial(_postings, ranks=ranks, threshold=threshold), _POSTING)
     every = rows.mapInArrow(partial(_postings, ranks=ranks, threshold=threshold), _POSTING)
-    p = probes.select("word", *[F.col(c).alias(f"y_{c}") for c in ("k1", "doc_id", "line", "n", "pos", "picture")])
+    p = probes.select("word", *[F.col(c).alias(f"y_{c}") for c in ("k1", "doc_id", "line", "n", "pos", "picture", "picture2")])
     need = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("y_n")) - 1e-9)
     earlier = (F.col("doc_id") < F.col("y_doc_id")) | ((F.col("doc_id") == F.col("y_doc_id")) & (F.col("line") < F.col("y_line")))
     met = (
         every.join(p, "word").where(earlier & (F.col("k1") != F.col("y_k1")))
         .where(F.least("n", "y_n") >= threshold * F.greatest("n", "y_n") - 1e-9)
         .where(1 + F.least(F.col("n") - F.col("pos"), F.col("y_n") - F.col("y_pos")) - 1 >= need)
-        .where(F.col("n") + F.col("y_n") - F.bit_count(F.col("picture").bitwiseXOR(F.col("y_picture"))) >= 2 * need)
+        .withColumn("apart", F.bit_count(F.col("picture").bitwiseXOR(F.col("y_picture"))) + F.bit_count(F.col("picture2").bitwiseXOR(F.col("y_picture2"))))
+        .where(F.col("n") + F.col("y_n") - F.col("apart") >= 2 * need)
     )
-    pairs = stored(met.select(F.col("y_doc_id").alias("doc_id"), F.col("y_line").alias("line"), F.col("doc_id").alias("x_doc"), F.col("line").alias("x_line")).distinct(), "line-pairs")
+    pairs = stored(met.select(F.col("y_doc_id").alias("doc_id"), F.col("y_line").alias("line"), F.col("doc_id").alias("x_doc"), F.col("line").alias("x_line"), "apart"), "line-pairs")
     return _similar(pairs, rows, threshold)
 
 
@@ -297,10 +361,26 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own. An empty table gives an empty result.
     """
     bare = docs.drop("n_lines", "n_removed")
-    gone = removed_lines(docs, id_col, text_col, threshold).groupBy("doc_id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    joined = bare.join(gone, F.col(id_col).cast("long") == F.col("_id"), "left")
-    rows = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(rows, lambda x, i: ~F.array_contains(F.col("_gone"), i.cast("long"))), "\n")
-    n_removed = F.coalesce(F.size("_gone"), F.lit(0))
+    gone = removed_lines(docs, id_col, text_col, threshold)
+    split = F.split(F.col(text_col), "\n")
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).cast("long")
+    key = F.col(id_col).cast("long")
+    if gone.count() <= BROADCAST_LINES:  # the texts stay where they are
+        t = gone.toArrow()
+        order = np.lexsort((t["line"].to_numpy(), t["doc_id"].to_numpy()))
+        known = docs.sparkSession.sparkContext.broadcast((t["doc_id"].to_numpy()[order], t["line"].to_numpy()[order]))
+
+        @F.pandas_udf("array<long>")
+        def gone_from(ids: pd.Series) -> pd.Series:
+            doc, line = known.value
+            own = ids.fillna(-1).astype("int64").to_numpy()
+            low, high = np.searchsorted(doc, own, "left"), np.searchsorted(doc, own, "right")
+            return pd.Series([line[a:b] if a < b and ok else None for a, b, ok in zip(low, high, ids.notna())])
+
+        joined = bare.withColumn("_gone", gone_from(key))
+    else:
+        lists = gone.groupBy("doc_id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc_id", "_id")
+        joined = bare.join(lists, key == F.col("_id"), "left").drop("_id")
+    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_gone"), i.cast("long"))), "\n")
     others = [F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in bare.columns]
-    return joined.select(*others, F.when(F.col(text_col).isNull(), 0).otherwise(F.size(rows)).cast("long").alias("n_lines"), F.greatest(n_removed, F.lit(0)).cast("long").alias("n_removed"))
+    return joined.select(*others, n_lines.alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"))
