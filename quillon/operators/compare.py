@@ -135,3 +135,16 @@ def batch_outcomes(variants: DataFrame, candidates: DataFrame, keys: tuple[str,
     parent = c.select(*keys, F.col("version").alias("parent_version"), F.col("quality").alias("_pq"))
     j = variants.join(scored, [*keys, "version"], "left").join(parent, [*keys, "parent_version"], "left")
     return j.select(*keys, "version", "quality", (F.col("quality") - F.col("_pq")).alias("delta"), F.when(F.col("quality").isNotNull(), F.col("_best").isNull() | (F.col("quality") > F.col("_best"))).alias("is_new_best"))
+
+
+def evaluated_versions(reports: DataFrame, front: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """keys, version, quality, cost, on_front: every version with a report; zeros for one that isn't on the front."""
+    f = front.select(*keys, "version", F.col("quality").alias("_q"), F.col("cost").alias("_c"))
+    j = reports.select(*keys, "version").distinct().join(f, [*keys, "version"], "left")
+    return j.select(*keys, "version", F.coalesce("_q", F.lit(0)).alias("quality"), F.coalesce("_c", F.lit(0)).alias("cost"), F.col("_q").isNotNull().alias("on_front"))
+
+
+def score_report(metrics: DataFrame, results: DataFrame, previous: DataFrame | None = None, keys: tuple[str, ...] = ("run_id", "version")) -> dict[str, DataFrame]:
+    """The parts of a report: metrics, failed results, and the differences from an earlier report's metrics."""
+    failed = results.where("error IS NOT NULL").select(*keys, "example_id", "error", "retries")
+    return {"metrics": metrics, "errors": failed} | ({} if previous is None else {"diff": metric_diffs(previous, metrics, keys)})

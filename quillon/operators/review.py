@@ -29,6 +29,11 @@ def confusion_impact(pairs: DataFrame, examples: DataFrame, keys: tuple[str, ...
         (F.col("_c") / F.col("n") / 1e6).alias("mean_cost"), (F.col("_q") / F.col("n") / 1e6).alias("mean_quality"))
 
 
+def confusion_cell(impact: DataFrame, true_route: str, pred_route: str) -> DataFrame:
+    """One cell of confusion_impact."""
+    return impact.where((F.col("true_route") == true_route) & (F.col("pred_route") == pred_route))
+
+
 def sample_ids(rows: DataFrame, cell: tuple[str, ...], k: int = 3) -> DataFrame:
     """cell, ids: the k smallest ids of each cell."""
     ranked = rows.select(*cell, "id").distinct().withColumn("_r", F.row_number().over(Window.partitionBy(*cell).orderBy("id"))).where(F.col("_r") <= k)

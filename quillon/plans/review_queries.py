@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from quillon.operators import compare as c
 from quillon.operators import metrics as m
 from quillon.operators import review as r
+from quillon.operators.pareto import candidate_points as points_of
+from quillon.operators.pareto import pareto_front
 from quillon.plans.fixtures import BASE_SQL, candidates, examples, results
 from quillon.plans.metric_queries import CQ_SQL, PRF_SQL, V, pairs
 
@@ -237,3 +239,39 @@ def round_progress(spark, sf_dir):
     rounds = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("run_id"), F.col("l_linenumber").alias("round")).agg(
         F.count("*").alias("evaluated"), F.sum("l_partkey").alias("cost"), F.max("l_partkey").alias("hypervolume"), F.max(F.expr("l_orderkey % 8")).alias("stagnation"))
     return r.round_progress(rounds, max_rounds=7).withColumn("hypervolume_change", F.col("hypervolume_change").cast("double"))
+
+
+@query(MIS_SQL + "SELECT true_route, pred_route, count(*) AS n, CAST(sum(dc) AS BIGINT) / 1e6 AS cost_impact FROM mis WHERE true_route = 'simple' AND pred_route = 'complex' GROUP BY ALL")
+def confusion_cell(spark, sf_dir):
+    return r.confusion_cell(confusion_impact(spark, sf_dir), "simple", "complex").select("true_route", "pred_route", "n", "cost_impact")
+
+
+@query(SCORE_SQL + """, b AS (SELECT run_id, round, route, max(score) AS recall, arg_max(support, (score, support)) AS support FROM sc WHERE score IS NOT NULL GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY run_id, route ORDER BY round DESC) AS k FROM b),
+t AS (SELECT run_id, route, max(support) FILTER (k = 1) AS support, max(recall) FILTER (k = 1) < coalesce(max(recall) FILTER (k = 2), max(recall) FILTER (k = 1)) AS regressed FROM k GROUP BY ALL)
+SELECT run_id, route, support, regressed FROM t WHERE regressed OR support >= (SELECT median(support) FROM t u WHERE u.run_id = t.run_id)""")
+def regression_or_high_support(spark, sf_dir):
+    rows = _scores(spark, sf_dir).where("score IS NOT NULL").withColumnRenamed("score", "recall")
+    return r.regression_or_high_support(r.recall_trend(rows)).select("run_id", "route", "support", "regressed")
+
+
+@query(TARGET_SQL + """, q AS (SELECT *, CASE WHEN value IS NULL THEN NULL ELSE coalesce(least(ratio, 1.0), CASE WHEN met THEN 1.0 ELSE 0.0 END) END AS p FROM tp),
+ts AS (SELECT version, count(*) FILTER (met) AS n_met, sum(p) AS progress, min(p) AS least FROM q GROUP BY version)
+SELECT arg_min(version, (-n_met, -round(progress, 9), -least, version)) AS best FROM ts""")
+def best_version(spark, sf_dir):
+    met = c.targets_met(_metrics(spark, sf_dir), _targets(spark), V).withColumn("progress", F.round("progress", 9))
+    return c.best_version(met, ())
+
+
+@query(BASE_SQL + """, front AS (SELECT * FROM cand a WHERE NOT EXISTS (SELECT 1 FROM cand b WHERE b.run_id = a.run_id AND b.q >= a.q AND b.c <= a.c AND (b.q > a.q OR b.c < a.c)))
+SELECT a.run_id, a.version, coalesce(f.q, 0) AS quality, coalesce(f.c, 0) AS cost, f.q IS NOT NULL AS on_front FROM cand a LEFT JOIN front f USING (run_id, version) WHERE a.round % 2 = 0""")
+def evaluated_versions(spark, sf_dir):
+    points = candidates(spark, sf_dir)
+    return c.evaluated_versions(points.where("round % 2 = 0"), pareto_front(points))
+
+
+@query(CQ_SQL + "SELECT version, round(quality_change, 4) AS quality_delta, round(cost_change_with_overhead, 4) AS cost_delta, round(predicted_quality, 4) AS quality_abs, round(predicted_cost + routing_overhead, 4) AS cost_abs FROM cq")
+def candidate_points(spark, sf_dir):
+    wide = m.cost_quality_change(pairs(spark, sf_dir), V)
+    stored = wide.select("version", F.lit(0.0).alias("quality"), F.lit(0.0).alias("cost"))
+    return points_of(stored, wide, ())
