@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.shared import smallest_reachable, stored
+from quillon.llm.shared import hashed_sample, smallest_reachable, stored
 
 #: Rows that train the codebooks and measure the recall: a fixed bound; every row is indexed.
 SAMPLE_ROWS = 8_000
@@ -155,8 +155,8 @@ def _in_block(queries: pa.Table, members: pa.Table, threshold: float) -> pa.Tabl
 
 def _linked(reps: DataFrame, rows: int, threshold: float, target: float) -> DataFrame:
     """rep, n, other over representatives of one dimension; n adds up to the copies of a vector's neighbours."""
-    sample = reps.select("embedding", F.xxhash64("rep").alias("h")).orderBy("h").limit(SAMPLE_ROWS)
-    x = unit(_matrix(sample.select("embedding").toArrow()["embedding"]))
+    sample = hashed_sample(reps.select("rep", "embedding"), ["rep"], SAMPLE_ROWS, rows).toArrow()
+    x = unit(_matrix(sample.sort_by("h").slice(0, SAMPLE_ROWS)["embedding"]))
     index = fit_index(x, int(np.clip(np.ceil(np.sqrt(rows / CELL_ROWS)), FEWEST, MOST)), threshold, target)
     with_cells = T.StructType([*reps.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
     placed = stored(reps.mapInArrow(partial(_visiting, index=index), with_cells), "vector-cells")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import small_batches, stored
+from quillon.llm.shared import hashed_sample, small_batches, stored
 from quillon.llm.tokens import encoder
 
 #: Documents, chosen by the hash of their ids, whose id arrays train the dictionary: a fixed bound.
@@ -92,8 +92,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
     spark = docs.sparkSession
     width = 2 if max(vocabulary_size, end_id + 1) <= 1 << 16 else 4
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chosen = rows.where("length(text) > 0").select("text", F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(SAMPLE_DOCUMENTS)
-    texts = [r[0] for r in chosen.collect()]
+    sample = hashed_sample(rows.where("length(text) > 0"), ["doc_id", "text"], SAMPLE_DOCUMENTS, rows.count()).select("h", "text").collect()
+    texts = [r["text"] for r in sorted(sample)[:SAMPLE_DOCUMENTS]]
     content = train_dictionary([serialized(x, width) for x in encoder(vocabulary, "before").ids(texts)])
     dict_hash = hashlib.sha256(content).hexdigest()
     spark.createDataFrame([(dict_hash, bytearray(content))], "hash string, content binary").coalesce(1).write.parquet(f"{path}/dictionary")
