@@ -1,34 +1,39 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney bigram model of trusted text.
 
 Trusted documents are split into two folds by the hash of their ids; a document is scored by the model of the other
-fold, so no document is judged by its own words. The vocabulary has a fixed size; a word outside it is the unknown
-class, whose probability is shared evenly by all word types that the training text has there, so that a text of unseen
-words isn't cheap. Bigrams are counted in shards by context word; each shard works out its discounts' back-off weights
-and probabilities, and the documents' bigrams, packed by task and shard, join the shard's table there. Sums of log
-probabilities come back by document. A document is rejected if its perplexity is above a quantile of the trusted
-documents' perplexities in its language.
+fold, so no document is judged by its own words. Every word type of the trusted text has counts of its own; all other
+words are one unknown class. Words are known by 63 bits of a hash and bigrams by 63 bits of their words' hashes, so no
+vocabulary is sent around. The log probability of a bigram is that of its context's back-off weight and its word's
+continuation probability, plus a gain if it was seen; so a document's score is a sum of values looked up by word and by
+bigram. Both are dealt to shards by their hashes, which spreads the bigrams of a hot context too, and the number of
+shards comes from the counted words. Sums come back by document. A document is rejected if its perplexity is above a
+quantile of the trusted documents' perplexities in its language.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import discard, small_batches, stored
-
-#: Most frequent words of the trusted text that have entries of their own: a fixed bound on what is broadcast.
-VOCABULARY = 50_000
-#: Shards of the bigram table: those of one fold, by context.
-SHARDS = 16
+from quillon.llm.shared import discard, shuffles_freed, small_batches, stored
+
+#: Bound on the word types that have entries of their own: none.
+VOCABULARY = None
+#: Least number of shards, and the trusted words of a fold for each of them.
+SHARDS, SHARD_WORDS = 16, 4_000_000
+#: Words of documents whose questions to one shard meet in one place.
+SLICE_WORDS = 8_000_000
+#: Parts of each fold's documents that are scored one after another, so that only one part's questions take up disk.
+PARTS = 2
+#: Words that a task holds before it deals out their counts or questions.
+HELD_WORDS = 1_500_000
 QUANTILE = 0.99
 #: The model needs so many words of other trusted text before it may reject anything.
 LEAST_WORDS = 1_000
@@ -46,6 +51,10 @@ def fold_of(doc_id: int | None) -> int:
     return xxhash.xxh64_intdigest(str(doc_id).encode(), 5) & 1
 
 
+def part_of(doc_id: int | None) -> int:
+    return (xxhash.xxh64_intdigest(str(doc_id).encode(), 5) >> 1) % PARTS
+
+
 def words_of(text: str | None) -> list[str]:
     """Words with the punctuation on them; case is kept, since shouting is a sign too."""
     return (text or "").split()
@@ -60,24 +69,8 @@ def _among(batches: Iterator[pa.RecordBatch], ids) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(known[at] == own)) if len(known) else batch.slice(0, 0)
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = (Counter(), Counter())
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        for fold, c in enumerate(counts):
-            yield pa.record_batch([pa.array([fold] * len(c), pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["fold", "word", "n"])
-            c.clear()
-
-    for batch in small_batches(batches):
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts[fold_of(i)].update(words_of(text))
-        if sum(map(len, counts)) > 400_000:
-            yield from rows()
-    yield from rows()
-
-
 class Numberer:
-    """Texts to arrays of word ids, an edge before and after each."""
+    """Texts to arrays of word ids, an edge before and after each: with Lower and Shard the model in one place."""
 
     def __init__(self, vocabulary: list[str]):
         self.ids = {w: k + FIRST_WORD for k, w in enumerate(vocabulary)}
@@ -94,58 +87,6 @@ def bigrams(ids: np.ndarray, size: int) -> np.ndarray:
     return ids[:-1] * size + ids[1:]
 
 
-def _packed(fold: int, keys: np.ndarray, values: np.ndarray, size: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """One row a shard with the sorted keys of that shard and their values."""
-    shard = keys // size % SHARDS
-    order = np.argsort(shard, kind="stable")
-    ends = np.searchsorted(shard[order], np.arange(SHARDS + 1))
-    for s in range(SHARDS):
-        at = order[ends[s] : ends[s + 1]]
-        if len(at):
-            yield pa.record_batch([pa.array([fold], pa.int32()), pa.array([s], pa.int32()), pa.array([keys[at]], pa.list_(pa.int64())), pa.array([values[at]], pa.list_(pa.int64()))], names)
-
-
-def _bigram_counts(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    """Training counts of one task, combined before they are dealt out."""
-    number, size = Numberer(vocabulary.value), len(vocabulary.value) + FIRST_WORD
-    held: tuple[list, list] = ([], [])
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        for fold, parts in enumerate(held):
-            if parts:
-                keys, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield from _packed(fold, keys, n, size, ["fold", "shard", "keys", "n"])
-            parts.clear()
-
-    for batch in small_batches(batches):
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held[fold_of(i)].append(bigrams(number(text), size))
-        if sum(map(len, held[0])) + sum(map(len, held[1])) > 4_000_000:
-            yield from rows()
-    yield from rows()
-
-
-def _summed(table: pa.Table) -> pa.Table:
-    """The counts of one shard."""
-    keys = table["keys"].combine_chunks().flatten().to_numpy()
-    n = table["n"].combine_chunks().flatten().to_numpy()
-    unique, place = np.unique(keys, return_inverse=True)
-    total = np.bincount(place, n).astype(np.int64) if len(keys) else n
-    return pa.table([table["fold"][:1], table["shard"][:1], pa.array([unique], pa.list_(pa.int64())), pa.array([total], pa.list_(pa.int64()))], ["fold", "shard", "keys", "n"])
-
-
-def _continuations(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """For a shard: how many contexts each word follows, and how many bigrams occur once to four times."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            keys, n = batch.column("keys")[row].values.to_numpy(), batch.column("n")[row].values.to_numpy()
-            follow = np.bincount(keys % size, minlength=size)
-            at = np.nonzero(follow)[0]
-            k = len(at)
-            fold = batch.column("fold")[row].as_py()
-            yield pa.record_batch([pa.array([fold] * (k + 4), pa.int32()), pa.array(np.concatenate([at, -np.arange(1, 5)])), pa.array(np.concatenate([follow[at], [(n == i).sum() for i in range(1, 5)]]))], ["fold", "word", "n"])
-
-
 def discounts(n: np.ndarray) -> np.ndarray:
     """D1, D2 and D3+ of modified Kneser-Ney from the numbers of bigrams that occur one to four times."""
     n1, n2, n3, n4 = (max(float(x), 1.0) for x in n)
@@ -190,80 +131,302 @@ class Shard:
         return np.log(p) + np.where(word == UNKNOWN, self.lower.each_unseen, 0.0)
 
 
-_ASK = "fold int, shard int, slice int, ids binary, keys binary, docs binary, n binary"
+# Known words and bigrams by hash
+
+
+#: Stands for a text's start and end; no word has a space.
+EDGE_HASH = np.int64(xxhash.xxh3_64_intdigest(b" ") >> 1)
+
+
+def hashed_words(text: str | None) -> np.ndarray:
+    """63 bits for each word."""
+    words = words_of(text)
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, map(partial(str.encode, errors="surrogatepass"), words)), np.uint64, len(words)) >> np.uint64(1)).view(np.int64)
+
+
+def hashed_bigrams(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    c, w = context.view(np.uint64), word.view(np.uint64)
+    x = (c ^ (c >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + w
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(29))) >> np.uint64(1)).view(np.int64)
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """By the leading bits, so that sorted keys are sorted by shard."""
+    return (keys >> 31) * shards >> 32
+
+
+def _edged(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and words of the bigrams of texts one after another, edges included."""
+    edge = np.array([EDGE_HASH])
+    context = np.concatenate([x for r in rows for x in (edge, r)])
+    word = np.concatenate([x for r in rows for x in (r, edge)])
+    return context, word
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Non-negative integers in the narrowest width, compressed; the first byte is the width."""
+    """Non-negative integers in the narrowest width, byte by byte of all, compressed; the first byte is the width."""
     width = next(w for w in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << (8 * w - 1))
-    return bytes([width]) + zstandard.compress(x.astype(f"<i{width}").tobytes(), 1)
+    return bytes([width]) + zstandard.compress(x.astype(f"<i{width}").view(np.uint8).reshape(-1, width).T.tobytes(), 1)
 
 
 def _large(b: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(b[1:]), f"<i{b[0]}").astype(np.int64)
+    planes = np.frombuffer(zstandard.decompress(b[1:]), np.uint8).reshape(b[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<i{b[0]}").ravel().astype(np.int64)
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """Ascending integers."""
+    return _small(np.diff(x, prepend=0))
 
 
-def _asked(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    """The bigrams of many documents at a time, packed by the shard that answers them."""
-    number, size = Numberer(vocabulary.value), len(vocabulary.value) + FIRST_WORD
-    rows, ids = [], []
+def _climbed(b: bytes) -> np.ndarray:
+    return np.cumsum(_large(b))
 
-    def packed() -> Iterator[pa.RecordBatch]:
-        sizes = [len(x) for x in rows]
-        keys, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
-        fold = np.repeat(np.array([1 - fold_of(None if i == NO_ID else i) for i in ids], np.int64), sizes)
-        place = fold * SHARDS + keys // size % SHARDS
-        order = np.lexsort((doc, keys, place))
-        keys, doc, place = keys[order], doc[order], place[order]
+
+def _row(names: list[str], *values) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for v in values], names)
+
+
+def _joined(table: pa.Table, column: str, decode) -> np.ndarray:
+    parts = [decode(x) for x in table[column].to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the word types of some texts, with their counts by fold."""
+    held: tuple[list, list] = ([], [])
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for fold, parts in enumerate(held):
+            if parts:
+                h, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.record_batch([pa.array(h), *[pa.array(n if k == fold else np.zeros(len(n), np.int64)) for k in (0, 1)]], ["h", "n0", "n1"])
+            parts.clear()
+
+    for batch in small_batches(batches):
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held[fold_of(i)].append(hashed_words(text))
+        if sum(len(x) for parts in held for x in parts) > HELD_WORDS:
+            yield from rows()
+    yield from rows()
+
+
+def _texts(batches: Iterator[pa.RecordBatch], fold: int, part: int | None = None) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Ids and hashed words of one fold's texts (or a part of them), about HELD_WORDS at a time."""
+    ids, rows, held = [], [], 0
+    for batch in small_batches(batches):
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if fold_of(i) == fold and part in (None, part_of(i)):
+                ids.append(NO_ID if i is None else i)
+                rows.append(hashed_words(text.as_py()))
+                held += len(rows[-1]) + 1
+                if held > HELD_WORDS:
+                    yield ids, rows
+                    ids, rows, held = [], [], 0
+    if rows:
+        yield ids, rows
+
+
+_COUNTED = "shard long, c binary, w binary, n binary"
+
+
+def _counted(keys: np.ndarray, c: np.ndarray, w: np.ndarray, n: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """Counts of bigrams, one row a shard, sorted by context and word."""
+    ends = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
+    for s in range(shards):
+        a, b = ends[s], ends[s + 1]
+        if a < b:
+            order = np.lexsort((w[a:b], c[a:b])) + a
+            yield _row(["shard", "c", "w", "n"], s, _steps(c[order]), _small(w[order]), _small(n[order]))
+
+
+def _bigram_counts(batches: Iterator[pa.RecordBatch], fold: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Training counts of one task, combined before they are dealt out."""
+    for _, rows in _texts(batches, fold):
+        c, w = _edged(rows)
+        keys, first, n = np.unique(hashed_bigrams(c, w), return_index=True, return_counts=True)
+        yield from _counted(keys, c[first], w[first], n, shards)
+
+
+def _summed(table: pa.Table, shards: int) -> pa.Table:
+    """The counts of one shard."""
+    c, w, n = _joined(table, "c", _climbed), _joined(table, "w", _large), _joined(table, "n", _large)
+    keys, first, place = np.unique(hashed_bigrams(c, w), return_index=True, return_inverse=True)
+    return pa.Table.from_batches(list(_counted(keys, c[first], w[first], np.bincount(place, n).astype(np.int64), shards)))
+
+
+_SUMS = ("total", "once", "twice", "more", "follow")
+_TYPED = "kind long, shard long, owner long, h binary, " + ", ".join(f"{x} binary" for x in _SUMS)
+#: Kinds of rows: counts that a bigram shard sends of its types, the sums that it gets back, and a type shard's own.
+SENT, BACK, OWN = 0, 1, 2
+
+
+def _typed(kind: int, shard: int, owner: int, h: np.ndarray, sums: list[np.ndarray]) -> pa.RecordBatch:
+    return _row(["kind", "shard", "owner", "h", *_SUMS], kind, shard, owner, _steps(h), *map(_small, sums))
+
+
+def _type_counts(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """For each bigram shard and type: its count as a context, how many of its bigrams occur once, twice or more, how many contexts it follows."""
+    for batch in batches:
+        for s, c, w, n in zip(*(batch.column(x).to_pylist() for x in ("shard", "c", "w", "n"))):
+            c, w, n = _climbed(c), _large(w), _large(n)
+            h, place = np.unique(np.concatenate([c, w]), return_inverse=True)
+            at, to = place[: len(c)], place[len(c) :]
+            sums = [np.bincount(at, x, len(h)).astype(np.int64) for x in (n, n == 1, n == 2, n > 2)] + [np.bincount(to, minlength=len(h))]
+            ends = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
+            for t in range(shards):
+                a, b = ends[t], ends[t + 1]
+                if a < b:
+                    yield _typed(SENT, t, s, h[a:b], [x[a:b] for x in sums])
+
+
+def _without_counts(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """All types of both folds: one that only the other fold has isn't unknown."""
+    for batch in batches:
+        h = np.sort(batch.column(0).to_numpy())
+        ends = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
+        for t in range(shards):
+            part = h[ends[t] : ends[t + 1]]
+            if len(part):
+                yield _typed(SENT, t, -1, part, [np.zeros(len(part), np.int64)] * len(_SUMS))
+
+
+def _type_sums(table: pa.Table) -> pa.Table:
+    """The sums of one shard's types, for itself and for each bigram shard that asked."""
+    owners, asked = table["owner"].to_pylist(), [_climbed(x) for x in table["h"].to_pylist()]
+    h, place = np.unique(np.concatenate(asked), return_inverse=True)
+    sums = [np.bincount(place, _joined(table, x, _large), len(h)).astype(np.int64) for x in _SUMS]
+    own = table["shard"][0].as_py()
+    out = [_typed(OWN, own, own, h, sums)]
+    for owner, part in zip(owners, asked):
+        if owner < 0:
+            continue
+        at = np.searchsorted(h, part)
+        out.append(_typed(BACK, owner, own, part, [x[at] for x in sums]))
+    return pa.Table.from_batches(out)
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """How many of a column's counts are 1, 2, 3, 4, and over 4 (5), and their sum (0)."""
+    for batch in batches:
+        for x in batch.column(column).to_pylist():
+            n = _large(x)
+            yield pa.record_batch([pa.array(range(6)), pa.array([int(n.sum()), *((n == i).sum() for i in range(1, 5)), (n > 4).sum()], pa.int64())], ["of", "n"])
+
+
+def _occurring(df: DataFrame, column: str) -> np.ndarray:
+    found = np.zeros(6, np.int64)
+    for r in df.select(column).mapInArrow(partial(_occurrences, column=column), "of long, n long").groupBy("of").agg(F.sum("n").alias("n")).collect():
+        found[r["of"]] = r["n"]
+    return found
+
+
+class Levels:
+    """What every shard of one fold needs to turn sums into probabilities."""
+
+    def __init__(self, bigrams_: np.ndarray, follow: np.ndarray, types: int):
+        self.d, self.lower_d = discounts(bigrams_[1:5]), discounts(follow[1:5])
+        self.total = max(float(follow[0]), 1.0)
+        cut = follow[1] * self.lower_d[0] + follow[2] * self.lower_d[1] + follow[3:].sum() * self.lower_d[2]
+        self.even = (cut / self.total if follow[0] else 1.0) / (types + 3)  # the edge, and the unknown class for two
+        self.unknown = float(np.log(2 * self.even))
+
+    def of(self, total: np.ndarray, once: np.ndarray, twice: np.ndarray, more: np.ndarray, follow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Back-off weights and continuation probabilities of types."""
+        weight = np.where(total > 0, (once * self.d[0] + twice * self.d[1] + more * self.d[2]) / np.maximum(total, 1), 1.0)
+        cut = np.select([follow == 1, follow == 2, follow > 2], self.lower_d, 0.0)
+        return weight, np.maximum(follow - cut, 0) / self.total + self.even
+
+
+_TABLE = "shard long, keys binary, gain binary"
+
+
+def _table(counted: pa.Table, typed: pa.Table, levels: Levels) -> pa.Table:
+    """Gains of one shard's words over the unknown class, and of its bigrams over their words."""
+    own, back = (typed.filter(pa.array(typed["kind"].to_numpy() == k)) for k in (OWN, BACK))
+    keys, gains, shard = [], [], (typed if len(typed) else counted)["shard"][0].as_py()
+    if len(own):
+        keys.append(_joined(own, "h", _climbed))
+        weight, lower = levels.of(*(_joined(own, x, _large) for x in _SUMS))
+        gains.append(np.log(weight) + np.log(lower) - levels.unknown)
+    if len(counted):
+        c, w, n = _joined(counted, "c", _climbed), _joined(counted, "w", _large), _joined(counted, "n", _large)
+        h, sums = _joined(back, "h", _climbed), [_joined(back, x, _large) for x in _SUMS]
+        order = np.argsort(h)
+        h, sums = h[order], [x[order] for x in sums]
+        weight, lower = levels.of(*sums)
+        at, to = np.searchsorted(h, c), np.searchsorted(h, w)
+        rest = np.maximum(n - np.select([n == 1, n == 2, n > 2], levels.d, 0.0), 0) / sums[0][at]
+        keys.append(hashed_bigrams(c, w))
+        gains.append(np.log1p(rest / (weight[at] * lower[to])))
+    keys, gains = np.concatenate(keys), np.concatenate(gains)
+    order = np.argsort(keys)
+    return pa.Table.from_batches([_row(["shard", "keys", "gain"], shard, _steps(keys[order]), gains[order].tobytes())])
+
+
+_ASK = "shard long, slice long, ids binary, keys binary, docs binary, n binary"
+
+
+def _asked(batches: Iterator[pa.RecordBatch], fold: int, part: int, shards: int, slices: int) -> Iterator[pa.RecordBatch]:
+    """The words and bigrams of many documents at a time, packed by the shard that answers them."""
+    for ids, rows in _texts(batches, fold, part):
+        c, w = _edged(rows)
+        doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) + 1 for x in rows])
+        keys, doc = np.concatenate([hashed_bigrams(c, w), w]), np.concatenate([doc, doc])
+        del c, w
+        order = np.argsort(keys, kind="stable")  # bigrams and words are apart, so documents ascend in a key
+        keys, doc = keys[order], doc[order]
         first = np.ones(len(keys), bool)
         first[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
         at = np.nonzero(first)[0]
-        n = np.diff(np.concatenate([at, [len(keys)]]))
-        keys, doc, place = keys[at], doc[at], place[at]
-        ends = np.searchsorted(place, np.arange(2 * SHARDS + 1))
+        n = np.diff(at, append=len(keys))
+        keys, doc = keys[at], doc[at]
+        ends = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
         known = np.array(ids, np.int64)
-        piece = int(known[0]) % SLICES
-        for s in range(2 * SHARDS):
+        piece = int(xxhash.xxh3_64_intdigest(known.tobytes()) % slices)
+        for s in range(shards):
             a, b = ends[s], ends[s + 1]
             if a < b:
                 here, local = np.unique(doc[a:b], return_inverse=True)
-                columns = [known[here].tobytes(), _small(np.diff(keys[a:b], prepend=0)), _small(local), _small(n[a:b])]
-                yield pa.record_batch([pa.array([x], pa.int32()) for x in (s // SHARDS, s % SHARDS, piece)] + [pa.array([x], pa.binary()) for x in columns], ["fold", "shard", "slice", "ids", "keys", "docs", "n"])
-        rows.clear()
-        ids.clear()
-
-    held = 0
-    for batch in small_batches(batches):
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids.append(NO_ID if i is None else i)
-            rows.append(bigrams(number(text), size))
-            held += len(rows[-1])
-            if held > 2_500_000:
-                yield from packed()
-                held = 0
-    if rows:
-        yield from packed()
+                yield _row(["shard", "slice", "ids", "keys", "docs", "n"], s, piece, known[here].tobytes(), _steps(keys[a:b]), _small(local), _small(n[a:b]))
 
 
-def _scored(asked: pa.Table, model: pa.Table, lowers) -> pa.Table:
-    """The packed bigrams of one slice of one shard against the shard's table: sums of log probabilities by id."""
+def _scored(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """The questions of one slice to one shard against the shard's table: sums of gains by id, and the number of questions."""
     if not len(asked):
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.int64())], ["id", "log_p", "n"])
-    none = np.zeros(0, np.int64)
-    keys = model["keys"].combine_chunks().flatten().to_numpy() if len(model) else none
-    n = model["n"].combine_chunks().flatten().to_numpy() if len(model) else none
-    shard = Shard(keys, n, lowers.value[asked["fold"][0].as_py()])
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.int64())], ["id", "gain", "n"])
+    keys = _climbed(model["keys"][0].as_py()) if len(model) else np.zeros(1, np.int64) - 1
+    gain = np.append(np.frombuffer(model["gain"][0].as_py()) if len(model) else np.zeros(1), 0.0)
     ids, sums, counts = [], [], []
-    for i, k, d, c in zip(*(asked[x].to_pylist() for x in ("ids", "keys", "docs", "n"))):
-        d, c = _large(d), _large(c)
-        ids.append(np.frombuffer(i, np.int64))
-        sums.append(np.bincount(d, shard.log_p(np.cumsum(_large(k))) * c))
+    for i, k, d, c in zip(*(asked[x] for x in ("ids", "keys", "docs", "n"))):
+        k, d, c = _climbed(k.as_py()), _large(d.as_py()), _large(c.as_py())
+        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+        ids.append(np.frombuffer(i.as_py(), np.int64))
+        sums.append(np.bincount(d, np.where(keys[at] == k, gain[at], 0.0) * c))
         counts.append(np.bincount(d, c).astype(np.int64))
-    return pa.table([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sums)), pa.array(np.concatenate(counts))], ["id", "log_p", "n"])
-
-
-#: Slices of a shard's questions, so that questions of one shard aren't gathered in one place.
-SLICES = 4
+    return pa.table([pa.array(np.concatenate(x)) for x in (ids, sums, counts)], ["id", "gain", "n"])
+
+
+def _by_fold(rows: DataFrame, chosen: DataFrame, types: DataFrame, fold: int, n_types: int, shards: int, slices: int) -> DataFrame:
+    """id, perplexity of the other fold's documents under the model of one fold."""
+    counts = chosen.mapInArrow(partial(_bigram_counts, fold=fold, shards=shards), _COUNTED)
+    counted = stored(counts.groupBy("shard").applyInArrow(lambda t: _summed(t, shards), _COUNTED), "lm-bigrams")
+    sent = counted.mapInArrow(partial(_type_counts, shards=shards), _TYPED).union(types.select("h").mapInArrow(partial(_without_counts, shards=shards), _TYPED))
+    typed = stored(sent.groupBy("shard").applyInArrow(_type_sums, _TYPED), "lm-types")
+    levels = Levels(_occurring(counted, "n"), _occurring(typed.where(F.col("kind") == OWN), "follow"), n_types)
+    table = stored(counted.groupBy("shard").cogroup(typed.groupBy("shard")).applyInArrow(partial(_table, levels=levels), _TABLE), "lm-table")
+    discard(counted)
+    discard(typed)
+    sliced = table.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    parts = []
+    for part in range(PARTS):
+        asked = rows.mapInArrow(partial(_asked, fold=1 - fold, part=part, shards=shards, slices=slices), _ASK)
+        met = asked.groupBy("shard", "slice").cogroup(sliced.groupBy("shard", "slice")).applyInArrow(_scored, "id long, gain double, n long")
+        sums = met.groupBy("id").agg(F.sum("gain").alias("gain"), (F.sum("n") / 2).alias("n"))  # a word and a bigram for each place
+        parts.append(stored(sums.select("id", F.exp(-F.col("gain") / F.col("n") - levels.unknown).alias("perplexity")), "lm-part"))
+    discard(table)
+    return reduce(DataFrame.union, parts)
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,36 +443,20 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
         chosen = rows.mapInArrow(partial(_among, ids=ids), rows.schema)
     else:
         chosen = rows.join(known, "doc_id", "left_semi").select("doc_id", "text")
-    counts = stored(chosen.mapInArrow(_word_counts, "fold int, word string, n long").groupBy("word").agg(
-        F.sum(F.when(F.col("fold") == 0, F.col("n"))).alias("n0"), F.sum(F.when(F.col("fold") == 1, F.col("n"))).alias("n1"), F.sum("n").alias("n")), "lm-words")
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY)
-    words = [r["word"] for r in top.select("word").collect()]  # at most VOCABULARY
-    totals = counts.agg(F.sum("n0"), F.sum("n1"), F.count("n0"), F.count("n1")).first()
-    size = len(words) + FIRST_WORD
-    inside = top.agg(F.count("n0"), F.count("n1")).first()
-    discard(counts)
-    vocabulary = spark.sparkContext.broadcast(words)
-    packed = chosen.mapInArrow(partial(_bigram_counts, vocabulary=vocabulary), "fold int, shard int, keys array<long>, n array<long>")
-    model = stored(packed.groupBy("fold", "shard").applyInArrow(_summed, "fold int, shard int, keys array<long>, n array<long>"), "lm-bigrams")
-    follow = model.mapInArrow(partial(_continuations, size=size), "fold int, word long, n long").groupBy("fold", "word").agg(F.sum("n").alias("n")).toArrow()  # two rows a word at most
-    lowers = []
-    for fold in (0, 1):
-        mine = follow.filter(pc.equal(follow["fold"], fold))
-        w, n = mine["word"].to_numpy(), mine["n"].to_numpy()
-        f, few = np.zeros(size, np.int64), np.zeros(4, np.int64)
-        f[w[w >= 0]] = n[w >= 0]
-        few[-w[w < 0] - 1] = n[w < 0]
-        lowers.append(Lower(f, few, 1 + totals[2 + fold] - inside[fold]))
-    enough = [(totals[fold] or 0) >= LEAST_WORDS for fold in (0, 1)]
-    lowers = spark.sparkContext.broadcast(lowers)
-    asked = rows.mapInArrow(partial(_asked, vocabulary=vocabulary), _ASK)
-    sliced = model.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
-    key = ["fold", "shard", "slice"]
-    met = asked.groupBy(*key).cogroup(sliced.groupBy(*key)).applyInArrow(partial(_scored, lowers=lowers), "id long, log_p double, n long")
-    sums = met.groupBy("id").agg(F.sum("log_p").alias("log_p"), F.sum("n").alias("n"))
-    if not all(enough):
-        return sums.select("id", F.lit(None).cast("double").alias("perplexity"))
-    return sums.select("id", F.exp(-F.col("log_p") / F.col("n")).alias("perplexity"))
+    types = chosen.mapInArrow(_types, "h long, n0 long, n1 long").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    with shuffles_freed(spark):
+        types = stored(types, "lm-words")
+    total = types.agg(F.count("*").alias("types"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
+    words = [total["n0"] or 0, total["n1"] or 0]
+    if min(words) < LEAST_WORDS:
+        return rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id")).distinct().withColumn("perplexity", F.lit(None).cast("double"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(SHARDS, -(-max(words) // SHARD_WORDS))
+    slices = max(1, -(-size // (6 * SLICE_WORDS * shards * 2 * PARTS)))
+    with shuffles_freed(spark):
+        first, second = [_by_fold(rows, chosen, types, fold, total["types"], shards, slices) for fold in (0, 1)]
+    discard(types)
+    return first.union(second)
 
 
 def language_thresholds(scored: DataFrame, quantile: float) -> DataFrame:

@@ -430,3 +430,35 @@ def test_quality_edges(spark):
     out = quality.quality_scores(docs, labels).collect()
     assert len(out) == 3 and all(r.kept and r.perplexity is None and r.threshold is None for r in out)
     assert quality.quality_scores(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_every_trusted_type_has_its_own_counts(spark):
+    assert quality.VOCABULARY is None
+    rng = random.Random(8)
+    frequent, rare = [f"w{i}" for i in range(30)], iter(range(10**9))
+    texts = {}
+    for i in range(600):  # 54,000 types, each in two documents or more of one fold or both
+        texts[i] = " ".join(x for _ in range(45) for k in (next(rare),) for x in (rng.choice(frequent), f"r{k}", f"s{k}"))
+    copies = {1000 + i: t for i, t in texts.items()}
+    texts |= copies
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in texts], "doc_id long, quality int")
+    got = {r.doc_id: r.perplexity for r in quality.quality_scores(docs, labels).collect()}
+    vocabulary_ = sorted({w for t in texts.values() for w in t.split()})
+    assert len(vocabulary_) > 50_000
+    number, size = quality.Numberer(vocabulary_), len(vocabulary_) + quality.FIRST_WORD
+    for fold in (0, 1):
+        keys, n = np.unique(np.concatenate([quality.bigrams(number(t), size) for i, t in texts.items() if quality.fold_of(i) == fold]), return_counts=True)
+        shard = quality.Shard(keys, n, quality.Lower(np.bincount(keys % size, minlength=size), np.array([(n == i).sum() for i in range(1, 5)]), 1))
+        for i, t in texts.items():
+            if quality.fold_of(i) != fold:
+                assert got[i] == pytest.approx(np.exp(-shard.log_p(quality.bigrams(number(t), size)).mean()))
+
+
+def test_quality_is_the_same_at_any_sharding(spark, documents, monkeypatch):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    want = {r.doc_id: r.perplexity for r in quality.quality_scores(documents, labels).collect()}
+    for name, value in (("SHARDS", 1), ("SHARD_WORDS", 3_000), ("SLICE_WORDS", 1_000)):
+        monkeypatch.setattr(quality, name, value)
+    got = {r.doc_id: r.perplexity for r in quality.quality_scores(documents.repartition(5), labels).collect()}
+    assert got == pytest.approx(want)
