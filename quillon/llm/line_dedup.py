@@ -110,14 +110,18 @@ _POSTING = "word long, k1 long, doc_id long, line long, n int, pos int, picture
 
 
 def _postings(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
-    """The prefix of every set (once a task)."""
-    seen = set()
+    """The prefix of every set, where a task first meets it and again at each earlier place, so that its first is among them."""
+    seen: dict[int, int] = {}
     for batch in small_batches(batches, limit=1 << 20):
         x = Lines(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ranks)
         if not len(x.doc):
             continue
-        k1 = x.k1.tolist()
-        new = np.array([k not in seen and not seen.add(k) for k in k1])
+        new = np.zeros(len(x.doc), bool)
+        for at, (k, doc, line) in enumerate(zip(x.k1.tolist(), x.doc, x.line.tolist())):
+            place = (doc << 32) | line
+            if k not in seen or place < seen[k]:
+                seen[k] = place
+                new[at] = True
         if len(seen) > 1_000_000:
             seen.clear()
         prefix = x.n - np.ceil(threshold * x.n - 1e-9).astype(np.int64) + 1

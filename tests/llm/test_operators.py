@@ -320,6 +320,22 @@ def test_lines_match_brute_force_in_crowded_lists(spark, monkeypatch):
     assert set(rows(line_dedup.removed_lines(df.repartition(5)))) == line_oracle(data)
 
 
+def test_lines_in_rows_out_of_order(spark):
+    rng = random.Random(6)
+    lines = [rng.sample(range(100), 12) for _ in range(8)]
+    data = []
+    for i in range(90):
+        words = list(rng.choice(lines))
+        if rng.random() < 0.5:
+            words[rng.randrange(12)] = 1_000 + i
+        data.append((i, " ".join(f"w{w}" for w in words)))
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    assert set(rows(line_dedup.removed_lines(df))) == line_oracle(data)
+    few = [(5, "a b c d e f g h i j"), (3, "a b c d e f g h i x"), (1, "a b c d e f g h i j")]
+    assert set(rows(line_dedup.removed_lines(spark.createDataFrame(few, "doc_id long, text string").coalesce(1)))) == {(3, 0), (5, 0)}
+
+
 def test_line_edges(spark):
     df = spark.createDataFrame([(None, "a b\na b", 1), (1, None, 2), (2, "", 3), (3, "a b\nA  B\n\nc", 4), (4, "x\na b", 5)], "doc_id long, text string, n_lines int")
     out = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.line_dedup(df).collect()}
