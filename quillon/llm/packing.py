@@ -88,16 +88,15 @@ def plan_packing(lengths: dict[int, int], capacity: int) -> list[tuple[list[int]
     return plan
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
-    end = np.array([end_id], "<u4").tobytes()
+def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, capacity: int, special_as_text: bool = False) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    for batch in small_batches(batches):
-        ids = [x + end for x in encoder(vocabulary, "space").ids([t or "" for t in batch.column(1).to_pylist()])]
+    for batch in small_batches(batches, limit=4 << 20):
         rows = []
-        for d, x in zip(batch.column(0).to_pylist(), ids):
-            for start in range(0, len(x) // 4, capacity):
-                part = x[4 * start : 4 * (start + capacity)]
-                rows.append((d, start // capacity, start, len(part) // 4, zlib.crc32(part)))
+        for d, x in zip(batch.column(0).to_pylist(), encoder(vocabulary, "space", special_as_text).arrays(batch.column(1))):
+            x = np.append(x, np.uint32(end_id))
+            for start in range(0, len(x), capacity):
+                part = x[start : start + capacity]
+                rows.append((d, start // capacity, start, len(part), zlib.crc32(part)))
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()])], names)
 
 
@@ -111,16 +110,18 @@ def _placed(batches: Iterator[pa.RecordBatch], keys: np.ndarray, first: np.ndarr
         yield pa.record_batch([*keep, pa.array(sequence), pa.array(offsets[at])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset.
 
+    A special token's string in a text gives that token, as the library has it; with special_as_text it is ordinary text.
+
     A document is its token ids and end_id (null or empty text: end_id alone); one of more than `capacity` ids is cut
     into pieces of that length, the last of which may be shorter. Sequences hold at most `capacity` ids without gaps.
     Null ids and repeated rows are documents of their own. Equal rows may swap places; all else is the same at any
     partitioning. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut = rows.mapInArrow(partial(_pieces, vocabulary=vocabulary, end_id=end_id, capacity=capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    cut = rows.mapInArrow(partial(_pieces, vocabulary=vocabulary, end_id=end_id, capacity=capacity, special_as_text=special_as_text), "doc_id long, piece int, start long, length long, ids_crc32 long")
     cut = stored(cut.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SLICES)).cast("int")), "pieces")
     totals = stored(cut.groupBy("length", "slice").agg(F.count("*").alias("n")), "piece-counts")
     lengths = {r["length"]: r["n"] for r in totals.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows

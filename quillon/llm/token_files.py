@@ -31,8 +31,8 @@ SHARD_DOCUMENTS = 50_000
 LEVEL = 3
 
 
-def serialized(ids: bytes, width: int) -> bytes:
-    return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+def serialized(ids: np.ndarray, width: int) -> bytes:
+    return ids.astype(f"<u{width}").tobytes()
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
@@ -47,13 +47,12 @@ def _codec(content: bytes) -> dict:
     return {"dict_data": zstandard.ZstdCompressionDict(content)} if content else {}
 
 
-def _frames(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, width: int, content: bytes) -> Iterator[pa.RecordBatch]:
+def _frames(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, width: int, content: bytes, special_as_text: bool) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=LEVEL, write_dict_id=True, **_codec(content)).compress
-    end = np.array([end_id], "<u4").tobytes()
-    for batch in small_batches(batches):
-        ids = [x + end for x in encoder(vocabulary, "before").ids([t or "" for t in batch.column(1).to_pylist()])]
+    for batch in small_batches(batches, limit=4 << 20):
+        ids = [np.append(x, np.uint32(end_id)) for x in encoder(vocabulary, "before", special_as_text).arrays(batch.column(1))]
         frames = pa.array([pack(serialized(x, width)) for x in ids], pa.binary())
-        yield pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), frames], ["doc_id", "n_tokens", "frame"])
+        yield pa.record_batch([batch.column(0), pa.array(list(map(len, ids)), pa.int64()), frames], ["doc_id", "n_tokens", "frame"])
 
 
 _SHARD = "part int, seq int, dict_hash string, width int, doc_ids array<long>, n_tokens array<long>, offsets array<long>, blob binary, tokens long"
@@ -83,21 +82,23 @@ def _shards(batches: Iterator[pa.RecordBatch], dict_hash: str, width: int) -> It
         yield shard()
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", vocabulary_size: int = 50_257) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> None:
     """Encode every whole text, append end_id, and write the file set under path in ascending id order (null first).
 
-    A null or empty text is the end id alone. Repeated ids stay, ordered by length and content. An empty table gives a
+    Ids take two bytes each if all of the vocabulary's fit, else four. A special token's string in a text gives that
+    token, as the library has it; with special_as_text it is ordinary text. A null or empty text is the end id alone. Repeated ids stay, ordered by length and content. An empty table gives a
     dictionary without content and no shard.
     """
     spark = docs.sparkSession
-    width = 2 if max(vocabulary_size, end_id + 1) <= 1 << 16 else 4
+    own = encoder(vocabulary, "before", special_as_text)
+    width = 2 if max(own.size, end_id + 1) <= 1 << 16 else 4
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sample = hashed_sample(rows.where("length(text) > 0"), ["doc_id", "text"], SAMPLE_DOCUMENTS, rows.count()).select("h", "text").collect()
     texts = [r["text"] for r in sorted(sample)[:SAMPLE_DOCUMENTS]]
-    content = train_dictionary([serialized(x, width) for x in encoder(vocabulary, "before").ids(texts)])
+    content = train_dictionary([serialized(x, width) for x in own.arrays(pa.array(texts, pa.string()))])
     dict_hash = hashlib.sha256(content).hexdigest()
     spark.createDataFrame([(dict_hash, bytearray(content))], "hash string, content binary").coalesce(1).write.parquet(f"{path}/dictionary")
-    frames = stored(rows.mapInArrow(partial(_frames, vocabulary=vocabulary, end_id=end_id, width=width, content=content), "doc_id long, n_tokens long, frame binary"), "token-frames")
+    frames = stored(rows.mapInArrow(partial(_frames, vocabulary=vocabulary, end_id=end_id, width=width, content=content, special_as_text=special_as_text), "doc_id long, n_tokens long, frame binary"), "token-frames")
     key = [F.col("doc_id").asc_nulls_first(), "n_tokens", F.xxhash64("frame")]
     ordered = frames.repartitionByRange(*key).sortWithinPartitions(*key)
     ordered.mapInArrow(partial(_shards, dict_hash=dict_hash, width=width), _SHARD).write.option("compression", "uncompressed").parquet(f"{path}/shards")

@@ -16,9 +16,11 @@ from conftest import DATA
 from oracle import compare, duck
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, embedding_dedup, exact_dedup, line_dedup, main_text, mixing, packing, quality, queries, simhash, token_files
+from tokenizers import Tokenizer
+
+from quillon.llm import chat, embedding_dedup, exact_dedup, line_dedup, main_text, mixing, packing, quality, queries, simhash, token_files, tokens
 from quillon.llm.shared import small_batches
-from quillon.llm.tokens import encoder, vocabulary
+from quillon.llm.tokens import vocabulary
 
 
 def rows(df):
@@ -70,18 +72,32 @@ def test_main_text_edges(spark):
 
 
 def encoded(name, texts, end):
-    return [np.frombuffer(x, "<u4").tolist() + [end] for x in encoder(vocabulary(name), "space").whole([t or "" for t in texts])]
+    return [e.ids + [end] for e in Tokenizer.from_file(vocabulary(name)).encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
-ODD = ["a", "B", "the", " ", "\n", "\t", "  ", " ", "é", "́", "1", "23", "!", "...", "'s", "Σ", " ", "日本", "👍🏽", "<|endoftext|>", "\x00", "İ", "ß", ", ", ". "]
+ODD = ["a", "B", "the", " ", "\n", "\t", "  ", "\u2003", "\u00e9", "\u0301", "1", "23", "!", "...", "'s", "Σ", "\u00a0", "日本", "👍🏽", "<|endoftext|>", "<|startoftext|>", "\x00", "İ", "ß", ", ", ". ", "\x1c", "\x85"]
 
 
+@pytest.mark.parametrize("special_as_text", [False, True])
 @pytest.mark.parametrize(("name", "cut"), [("word_bpe_49k.json", "space"), ("byte_bpe_50k.json", "before")])
-def test_pieces_encode_like_whole_texts(name, cut):
+def test_pieces_encode_like_whole_texts(name, cut, special_as_text, monkeypatch):
     rng = random.Random(3)
     texts = ["".join(rng.choices(ODD, k=rng.randint(0, 14))) for _ in range(3000)]
-    e = encoder(vocabulary(name), cut)
-    assert e.ids(texts) == e.whole(texts)
+    fresh = Tokenizer.from_file(vocabulary(name))
+    fresh.encode_special_tokens = special_as_text
+    want = [e.ids for e in fresh.encode_batch(texts, add_special_tokens=False)]
+    e = tokens.PieceEncoder(vocabulary(name), cut, special_as_text)
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    for at in (0, 500, 500):
+        assert [x.tolist() for x in e.arrays(pa.array(texts[at:]))] == want[at:]
+    assert e.arrays(pa.array([None, ""], pa.string()))[0].tolist() == [] and e.arrays(pa.array([], pa.string())) == []
+
+
+def test_special_tokens_are_the_librarys():
+    fresh = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    for text in ("a <|endoftext|> b", "<|startoftext|> x"):
+        want = fresh.encode(text, add_special_tokens=False).ids
+        assert tokens.encoder(vocabulary("word_bpe_49k.json"), "space").arrays(pa.array([text]))[0].tolist() == want
 
 
 def test_packing_round_trip(spark, documents):
@@ -135,7 +151,7 @@ def test_token_files_round_trip(spark, documents):
     path = tempfile.mkdtemp() + "/files"
     token_files.write_token_files(documents, path, vocabulary("byte_bpe_50k.json"), 2)
     data = sorted(rows(documents.select("doc_id", "text")))
-    ids = [np.frombuffer(x, "<u4").tolist() + [2] for x in encoder(vocabulary("byte_bpe_50k.json"), "before").whole([t for _, t in data])]
+    ids = encoded("byte_bpe_50k.json", [t for _, t in data], 2)
     starts = np.cumsum([0, *map(len, ids)])
     got = sorted(rows(token_files.read_token_files(spark, path, with_ids=True)))
     assert got == [(d, int(s), len(x), zlib.crc32(np.array(x, "<u4").tobytes()), x) for (d, _), s, x in zip(data, starts, ids)]
