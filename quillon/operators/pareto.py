@@ -5,8 +5,10 @@ Frames have the key columns, version, quality and cost. Ties go by version.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -90,23 +92,83 @@ def rank_front(front: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return front.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("quality"), "cost", "version")))
 
 
-def near_misses(points: DataFrame, front: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def near_misses(points: DataFrame, front: DataFrame, keys: tuple[str, ...] = KEYS, chunk: int = 100_000) -> DataFrame:
     """keys, version, dominated_by, quality_gap, cost_gap: each dominated point with the front member of the smallest gap sum that dominates it.
 
-    A front is a set of levels, few beside the points, so the join by run with the dominance test stays narrow.
+    A front in order of quality is a staircase, so the members that dominate a point are a stretch of it, and the
+    smallest gap sum is that of the member with the least quality minus cost in the stretch. A run's points are dealt
+    out in chunks of bounded size, each with the run's front beside it; no pair is formed. Of equal sums the first by name.
     """
-    f = front.select(*keys, F.col("version").alias("dominated_by"), F.col("quality").alias("_q"), F.col("cost").alias("_c"))
-    dominated = (F.col("_q") >= F.col("quality")) & (F.col("_c") <= F.col("cost")) & ((F.col("_q") > F.col("quality")) | (F.col("_c") < F.col("cost")))
-    met = points.join(f, list(keys)).where(dominated).withColumn("quality_gap", F.col("_q") - F.col("quality")).withColumn("cost_gap", F.col("cost") - F.col("_c"))
-    best = F.min_by(F.struct("dominated_by", "quality_gap", "cost_gap"), F.struct(F.col("quality_gap") + F.col("cost_gap"), F.col("dominated_by"))).alias("b")
-    return met.groupBy(*keys, "version").agg(best).select(*keys, "version", "b.*")
+    key = [F.col(k) for k in keys]
+    sizes = points.groupBy(*keys).agg(F.ceil(F.count("*") / chunk).cast("int").alias("_chunks"))
+    dealt = points.join(sizes, list(keys)).select(*key, "version", "quality", "cost", F.pmod(F.xxhash64("version"), F.col("_chunks")).cast("int").alias("_chunk"))
+    beside = front.join(sizes, list(keys)).select(*key, F.col("version").alias("name"), F.col("quality").alias("q"), F.col("cost").alias("c"), F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"))
+    kinds = dict(points.dtypes)
+    made = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", version string, dominated_by string, quality_gap {kinds['quality']}, cost_gap {kinds['cost']}"
+    names = [*keys, "version", "dominated_by", "quality_gap", "cost_gap"]
+
+    def run(p: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        if p.empty or f.empty:
+            return pd.DataFrame(columns=names)
+        f = f.sort_values(["q", "name"]).reset_index(drop=True)
+        q, c = f["q"].to_numpy(), f["c"].to_numpy()
+        order = f.assign(s=q - c).sort_values(["s", "name"]).index.to_numpy()
+        rank = np.empty(len(f), np.int64)
+        rank[order] = np.arange(len(f))
+        low = np.searchsorted(q, p["quality"].to_numpy(), "left")
+        high = np.searchsorted(c, p["cost"].to_numpy(), "right")
+        on_front = (low < high) & (q[np.minimum(low, len(f) - 1)] == p["quality"].to_numpy()) & (c[np.maximum(high - 1, 0)] == p["cost"].to_numpy())
+        some = (low < high) & ~on_front
+        p, low, high = p[some], low[some], high[some]
+        best = order[_range_least(rank, low, high)]
+        out = p[[*keys, "version"]].assign(dominated_by=f["name"].to_numpy()[best], quality_gap=q[best] - p["quality"].to_numpy(), cost_gap=p["cost"].to_numpy() - c[best])
+        return out[names]
+
+    group = [*keys, "_chunk"]
+    return dealt.groupBy(*group).cogroup(_renewed(beside).groupBy(*group)).applyInPandas(run, made)
+
+
+def _renewed(df: DataFrame) -> DataFrame:
+    """df with columns of its own: two frames that come from one table can then meet in a cogroup."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def _range_least(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of x[low:high] for many non-empty stretches, from minima over stretches of powers of two."""
+    levels = [x]
+    while 2 << len(levels) - 1 <= len(x):
+        half = 1 << len(levels) - 1
+        levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
+    k = np.frexp((high - low).astype(float))[1] - 1
+    out = np.empty(len(low), x.dtype)
+    for i, level in enumerate(levels):
+        at = k == i
+        out[at] = np.minimum(level[low[at]], level[high[at] - (1 << i)])
+    return out
+
+
+def fronts_by_round(points: DataFrame, rounds: DataFrame, keys: tuple[str, ...] = KEYS, axes: tuple[str, str] = ("quality", "cost")) -> DataFrame:
+    """keys, round, version, quality, cost, is_new: the front among all points introduced by each round of the run.
+
+    axes names the two columns: the changes against the baseline, or the absolute figures. Each round's own points are
+    cut to their skyline first; a run's fold then joins the front so far with the next round's skyline.
+    """
+    named = points.select(*keys, "round", "version", F.col(axes[0]).alias("quality"), F.col(axes[1]).alias("cost"))
+    own = pareto_front(named, (*keys, "round"))
+    every = own.withColumn("_p", F.lit(True)).unionByName(rounds.select(*keys, "round").distinct().withColumn("_p", F.lit(False)), allowMissingColumns=True)
+    out = named.limit(0).withColumn("is_new", F.lit(True)).select(*keys, "round", "version", "quality", "cost", "is_new").schema
+    names = out.names
 
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        asked = set(frame["round"][~frame["_p"].astype(bool)])
+        front, outs = frame.iloc[:0], []
+        for r, new in frame.groupby("round", sort=True):
+            front = _skyline(pd.concat([front, new[new["_p"].astype(bool)]]))
+            if r in asked:
+                outs.append(front.assign(is_new=front["round"] == r).assign(round=r)[names])
+        return pd.concat(outs) if outs else frame.iloc[:0].assign(is_new=True)[names]
 
-def fronts_by_round(points: DataFrame, rounds: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """keys, round, version, quality, cost, is_new: the front among all points introduced by each round of the run."""
-    seen = points.withColumnRenamed("round", "introduced").join(rounds.select(*keys, "round").distinct(), list(keys)).where("introduced <= round")
-    front = pareto_front(seen, (*keys, "round"))
-    return front.select(*keys, "round", "version", "quality", "cost", (F.col("introduced") == F.col("round")).alias("is_new"))
+    return every.groupBy(*keys).applyInPandas(run, out)
 
 
 def journey(points: DataFrame, rounds: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -127,19 +189,35 @@ def front_improvement(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = KE
 
 
 def candidate_points(candidates: DataFrame, metrics: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Per version the relative and the absolute point: stored values where the metrics have none; absolute cost has the overhead in it."""
+    """Per version the relative and the absolute point, to four places; absolute cost has the overhead in it.
+
+    Stored values stand in where the metrics have none; an absolute cost that is nowhere is 0.
+    """
     m = metrics.select(*keys, "version", *[F.col(c).alias(f"_{c}") for c in ("quality_change", "cost_change_with_overhead", "predicted_quality", "predicted_cost", "routing_overhead")])
     j = candidates.join(m, [*keys, "version"], "left")
     return j.select(
         *keys, "version", F.round(F.coalesce("_quality_change", "quality"), 4).alias("quality_delta"), F.round(F.coalesce("_cost_change_with_overhead", "cost"), 4).alias("cost_delta"),
-        F.round("_predicted_quality", 4).alias("quality_abs"), F.round(F.col("_predicted_cost") + F.coalesce("_routing_overhead", F.lit(0.0)), 4).alias("cost_abs"))
+        F.round(F.coalesce("_predicted_quality", "quality"), 4).alias("quality_abs"), F.round(F.coalesce(F.col("_predicted_cost") + F.coalesce("_routing_overhead", F.lit(0.0)), "cost", F.lit(0.0)), 4).alias("cost_abs"))
 
 
-# Folds whose state goes from step to step: one small group a run
+def absolute_marks(metrics: DataFrame, targets: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, mark ("target", "oracle"), quality_delta, cost_delta, quality_abs, cost_abs: marks of a run as changes and in absolute figures, to six places.
 
+    A run's baseline and oracle are the same for all its versions, so the first by name that has them gives them. The
+    target for quality is the first upward one by metric, that for cost the first downward one; what is missing is null.
+    """
+    named = ("baseline_quality", "baseline_cost", "oracle_quality_change", "oracle_cost_change")
+    first = metrics.where(" AND ".join(f"{c} IS NOT NULL" for c in named)).groupBy(*keys).agg(F.min_by(F.struct(*named), "version").alias("m")).select(*keys, "m.*")
+    up, down = F.col("operator").isin(">=", ">"), F.col("operator").isin("<=", "<")
+    wanted = targets.agg(*[F.min_by(F.when(side, F.col("threshold")), F.when(side, F.col("metric"))).alias(name) for side, name in ((up, "tq"), (down, "tc"))])
+    absolute = lambda base, change: F.round(F.col(base) * (1 + change), 6)
+    mark = lambda name, q, c: F.struct(
+        F.lit(name).alias("mark"), F.round(q, 6).alias("quality_delta"), F.round(c, 6).alias("cost_delta"), absolute("baseline_quality", q).alias("quality_abs"), absolute("baseline_cost", c).alias("cost_abs"))
+    marks = F.array(mark("target", F.col("tq"), F.col("tc")), mark("oracle", F.col("oracle_quality_change"), F.col("oracle_cost_change")))
+    return first.join(F.broadcast(wanted)).select(*keys, F.inline(marks))  # one row
 
-def _dominates(a, b) -> bool:
-    return a["quality"] >= b["quality"] and a["cost"] <= b["cost"] and (a["quality"] > b["quality"] or a["cost"] < b["cost"])
+
+# Folds whose state goes from step to step: one small group a run
 
 
 def _distances(front: pd.DataFrame) -> pd.Series:
@@ -178,87 +256,170 @@ def _skyline(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def prune_to_size(front: DataFrame, size: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """The front with the least crowded points: drops the smallest distance again and again, never the best quality or cost."""
+    """The front with the least crowded points: drops the smallest distance again and again, never the best quality or cost.
+
+    A run's front meets in one task: the order in which points go depends on all of them.
+    """
     return front.groupBy(*keys).applyInPandas(lambda f: _pruned(f, size), front.schema)
 
 
 def incremental_front(points: DataFrame, keys: tuple[str, ...] = KEYS, order: str = "seq") -> DataFrame:
-    """points plus accepted and on_front: inserted in order, a point is turned away if a member dominates or equals it, and evicts what it dominates."""
+    """points plus accepted and on_front: inserted in order (then by version), a point is turned away if a member dominates or equals it, and evicts what it dominates.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([order, "version"]).reset_index(drop=True)
-        members: list[int] = []
+    A point is accepted if no earlier one is as good and as cheap, and stays if no later one evicts it. The points of
+    one step of the order form a block; what all earlier blocks can turn away is their front, so each block is held
+    against the front before it and then run through by itself with a sorted staircase.
+    """
+    before = fronts_before(points, keys, order)
+    kinds = ", ".join(f"`{n}` {t}" for n, t in points.dtypes)
+    names = [*points.columns, "accepted"]
+
+    def run(frame: pd.DataFrame, earlier: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("version")
+        stairs = sorted(zip(earlier["quality"], earlier["cost"]))
+        qs, cs = [x[0] for x in stairs], [x[1] for x in stairs]
         accepted = np.zeros(len(frame), bool)
-        q, c = frame["quality"].to_numpy(), frame["cost"].to_numpy()
-        for i in range(len(frame)):
-            if any(q[k] >= q[i] and c[k] <= c[i] for k in members):
+        for i, (q, c) in enumerate(zip(frame["quality"].to_numpy(), frame["cost"].to_numpy())):
+            at = bisect.bisect_left(qs, q)
+            if at < len(qs) and cs[at] <= c:
                 continue
-            members = [k for k in members if not (q[i] >= q[k] and c[i] <= c[k])] + [i]
             accepted[i] = True
-        on = np.zeros(len(frame), bool)
-        on[members] = True
-        return frame.assign(accepted=accepted, on_front=on)
-
-    kinds = ", ".join(f"`{n}` {t}" for n, t in points.dtypes)
-    return points.groupBy(*keys).applyInPandas(run, f"{kinds}, accepted boolean, on_front boolean")
-
-
-def elite_set(old: DataFrame, new: DataFrame, size: int = 7, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """keys, version, quality, cost, is_new: placeholders at (0, 0) go, the newer row of a version counts, then the front, pruned to size.
-
-    A run without old members keeps all of its new ones.
-    """
-    both = old.select(*keys, "version", "quality", "cost", F.lit(False).alias("is_new")).unionByName(new.select(*keys, "version", "quality", "cost", F.lit(True).alias("is_new")))
-    rows = both.where("NOT (quality = 0 AND cost = 0)").groupBy(*keys, "version").agg(F.max_by(F.struct("quality", "cost"), "is_new").alias("p"), F.max("is_new").alias("is_new"), F.min("is_new").alias("_only_new"))
-    rows = rows.select(*keys, "version", "p.*", F.col("_only_new").alias("is_new"))
-    schema = rows.schema
+            if at < len(qs) and qs[at] == q:
+                cs[at] = c
+            else:
+                qs.insert(at, q)
+                cs.insert(at, c)
+            low = bisect.bisect_left(cs, c, 0, at)
+            del qs[low:at], cs[low:at]
+        return frame.assign(accepted=accepted)[names]
+
+    group = [*keys, order]
+    taken = points.groupBy(*group).cogroup(_renewed(before).groupBy(*group)).applyInPandas(run, f"{kinds}, accepted boolean")
+    last = pareto_front(points, keys).groupBy(*keys, "quality", "cost").agg(F.min(F.struct(order, "version")).alias("_first"))
+    j = taken.join(last, [*keys, "quality", "cost"], "left")
+    on = F.coalesce((F.col(order) == F.col(f"_first.{order}")) & (F.col("version") == F.col("_first.version")), F.lit(False))
+    return j.select(*points.columns, "accepted", on.alias("on_front"))
+
+
+def fronts_before(points: DataFrame, keys: tuple[str, ...] = KEYS, order: str = "round") -> DataFrame:
+    """keys, order, quality, cost: for each step of the order the front of all steps before it, each point once."""
+    own = pareto_front(points.select(*keys, order, "quality", "cost"), (*keys, order)).distinct()
+    names = own.columns
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame if frame["is_new"].all() else _pruned(_skyline(frame), size)
-
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+        front, outs = frame.iloc[:0], []
+        for step, new in frame.groupby(order, sort=True):
+            outs.append(front.assign(**{order: step})[names])
+            front = _skyline(pd.concat([front, new])).drop_duplicates(["quality", "cost"])
+        return pd.concat(outs).astype(frame.dtypes.to_dict())
 
+    return own.groupBy(*keys).applyInPandas(run, own.schema)
 
-ROUND_SCHEMA = "round int, elite_size int, new_entries int, hypervolume double, improvement double, stagnation int, epsilon double, evaluated int, backtracked boolean, converged boolean"
 
+def elite_set(old: DataFrame, new: DataFrame, size: int = 7, keys: tuple[str, ...] = KEYS, cold_start: bool = False) -> DataFrame:
+    """keys, version, quality, cost, is_new: old members and new points, of which the front, pruned to size.
 
-def advance_rounds(points: DataFrame, keys: tuple[str, ...] = KEYS, epsilon: float = 0.001, limit: int = 5, max_rounds: int = 50, budget: int = 60, size: int = 7, target_quality: float | None = None) -> DataFrame:
-    """One row a round of a run: elite set, hypervolume, its relative improvement, stagnation and convergence.
-
-    Stagnation grows by 1 where the improvement is below epsilon and restarts otherwise; once a member reaches
-    target_quality, epsilon is halved, once, to 0.0005 at least; a stagnation of 2 asks for backtracking. A run has
-    converged when the budget is used up and stagnation is at its limit, or at the last round.
+    New placeholders at (0, 0) go; of a version that both have, the new point counts, and is_new marks versions that
+    weren't members. With cold_start, the first round of a run, all that is scored stays.
+    """
+    fresh = new.where("NOT (quality = 0 AND cost = 0)")
+    both = old.select(*keys, "version", "quality", "cost", F.lit(False).alias("is_new")).unionByName(fresh.select(*keys, "version", "quality", "cost", F.lit(True).alias("is_new")))
+    rows = both.groupBy(*keys, "version").agg(F.max_by(F.struct("quality", "cost"), F.struct("is_new", "quality", -F.col("cost"))).alias("p"), F.min("is_new").alias("is_new"))
+    rows = rows.select(*keys, "version", "p.*", "is_new")
+    return rows if cold_start else prune_to_size(pareto_front(rows, keys), size, keys)
+
+
+ROUND_SCHEMA = (
+    "round int, elite_size int, new_entries int, hypervolume double, improvement double, stagnation int, epsilon double, evaluated int, spread double, routing_cost double,"
+    " backtracked boolean, converged boolean, reason string"
+)
+
+
+def advance_rounds(
+    points: DataFrame, keys: tuple[str, ...] = KEYS, epsilon: float = 0.001, limit: int = 5, max_rounds: int = 50, budget: int = 60, size: int = 7,
+    least_epsilon: float = 0.0005, backtrack: int = 2, met: str | None = None,
+) -> DataFrame:
+    """One row a round of a run, until it converges: elite set, hypervolume, stagnation, epsilon and convergence.
+
+    points has round, version, quality and cost, may have eval_status (only "complete" and null are scored) and the
+    boolean column `met`, which marks points that meet all targets. A round's reference point comes from the elite set
+    before it and its scored points. The first round keeps all of them (placeholders at (0, 0) never enter) and can't
+    stagnate; later ones keep the front, pruned to size. Stagnation grows where the hypervolume, relative to the one
+    before if that is above 0, doesn't rise by more than epsilon, and restarts otherwise. Once a member meets all
+    targets, epsilon is halved, once, to least_epsilon at least, and stagnation restarts. A round in which nothing is
+    scored keeps the elite set and adds to stagnation. Converged: the budget is used up and stagnation at its limit, or
+    the last round. evaluated counts all points so far, improvement is the rise of the hypervolume, at least 0.
+
+    Spark cuts each round to counts and its skyline (with points of versions that come up in several rounds); only
+    these meet in the fold of a run. Of a version's points in one round the better counts.
     """
+    scored = F.coalesce(F.col("eval_status") == "complete", F.lit(True)) if "eval_status" in points.columns else F.lit(True)
+    head = F.row_number().over(Window.partitionBy(*keys).orderBy("round"))
+    steps = points.select(*keys, "round").distinct().withColumn("_step", head.cast("int"))
+    rows = points.select(*keys, "round", "version", F.col("quality").cast("double"), F.col("cost").cast("double"), F.coalesce(F.col(met) if met else F.lit(False), F.lit(False)).alias("_met"), scored.alias("_ok"))
+    rows = rows.join(steps, [*keys, "round"])
+    ok = lambda c: F.when(F.col("_ok"), F.col(c))
+    totals = rows.groupBy(*keys, "round", "_step").agg(
+        F.count("*").alias("_n"), F.count_if("_ok").alias("_scored"), F.min(ok("quality")).alias("_q"), F.max(ok("cost")).alias("_c"), F.sum(ok("cost")).alias("_spent"))
+    entered = rows.where("_ok AND NOT (quality = 0 AND cost = 0)").groupBy(*keys, "_step", "version").agg(F.max_by(F.struct("quality", "cost", "_met"), F.struct("quality", -F.col("cost"))).alias("p")).select(*keys, "_step", "version", "p.*")
+    # the first round keeps dominated points too: what they add is a few figures
+    cold = entered.where("_step = 1")
+    reference = totals.where("_step = 1").select(*keys, F.when(F.col("_q") > 0, F.col("_q") * 0.9).otherwise(-0.1).alias("ref_quality"), F.when(F.col("_c") > 0, F.col("_c") * 1.1).otherwise(0.1).alias("ref_cost"))
+    levels = cold.groupBy(*keys, "quality").agg(F.max("cost").alias("cost")).withColumn("version", F.lit(""))
+    first = cold.groupBy(*keys).agg(F.count("*").alias("_size"), F.min("quality").alias("_low"), F.max("quality").alias("_high"), F.max("cost").alias("_dear"), F.bool_or("_met").alias("_any")).join(hypervolume(levels, reference, keys), list(keys)).withColumn("_step", F.lit(1))
+    totals = totals.join(first, [*keys, "_step"], "left")
+    again = entered.groupBy(*keys, "version").agg(F.count("*").alias("_times")).where("_times > 1").select(*keys, "version")
+    few = pareto_front(entered, (*keys, "_step")).unionByName(entered.join(again, [*keys, "version"], "left_semi")).distinct()
+    kinds = dict(points.dtypes)
+    made = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + ROUND_SCHEMA
+    fold = partial(_fold, keys=keys, epsilon=epsilon, limit=limit, max_rounds=max_rounds, budget=budget, size=size, least_epsilon=least_epsilon, backtrack=backtrack)
+    return totals.groupBy(*keys).cogroup(_renewed(few).groupBy(*keys)).applyInPandas(fold, made)
+
+
+def _volume(front: pd.DataFrame, reference: tuple[float, float]) -> float:
+    total, q0 = 0.0, reference[0]
+    for q, c in front.sort_values(["quality", "cost"], ascending=[True, False])[["quality", "cost"]].itertuples(index=False):
+        if q > q0 and reference[1] > c:
+            total += (q - q0) * (reference[1] - c)
+        q0 = q
+    return total
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        head = {k: frame[k].iloc[0] for k in keys}
-        elite, last, stagnation, eps, halved, evaluated, out = frame.iloc[:0], 0.0, 0, epsilon, False, 0, []
-        reference = None
-        for r, new in frame.groupby("round", sort=True):
-            evaluated += len(new)
-            scored = new[~((new["quality"] == 0) & (new["cost"] == 0))]
-            had = set(elite["version"])
-            if len(scored):
-                if reference is None:
-                    q, c = scored["quality"].min(), scored["cost"].max()
-                    reference = (q * 0.9 if q > 0 else -0.1, c * 1.1 if c > 0 else 0.1)
-                elite = scored if elite.empty else _pruned(_skyline(pd.concat([elite, scored]).drop_duplicates("version", keep="last")), size)
-            volume = 0.0
-            if reference:
-                q0 = reference[0]
-                for p in _skyline(elite).sort_values(["quality", "cost"], ascending=[True, False]).itertuples():
-                    volume += max(p.quality - q0, 0) * max(reference[1] - p.cost, 0)
-                    q0 = max(q0, p.quality)
-            gain = (volume - last) / last if last > 0 else (1.0 if volume > 0 else 0.0)
-            if not halved and target_quality is not None and len(elite) and elite["quality"].max() >= target_quality:
-                eps, halved = max(eps / 2, 0.0005), True
-            stagnation = stagnation + 1 if gain < eps else 0
-            out.append({**head, "round": r, "elite_size": len(elite), "new_entries": len(set(elite["version"]) - had), "hypervolume": volume, "improvement": gain, "stagnation": stagnation, "epsilon": eps,
-                        "evaluated": evaluated, "backtracked": stagnation >= 2, "converged": (evaluated >= budget and stagnation >= limit) or r >= max_rounds})
-            last = volume
-            if out[-1]["converged"]:
-                break
-        return pd.DataFrame(out)
-
-    kinds = ", ".join(f"`{k}` {dict(points.dtypes)[k]}" for k in keys)
-    return points.groupBy(*keys).applyInPandas(run, f"{kinds}, {ROUND_SCHEMA}")
+
+def _fold(totals: pd.DataFrame, few: pd.DataFrame, keys, epsilon, limit, max_rounds, budget, size, least_epsilon, backtrack) -> pd.DataFrame:
+    out, elite, count, spread, volume, stagnation, halved, evaluated = [], few.iloc[:0], 0, 0.0, 0.0, 0, False, 0
+    low, dear = math.inf, -math.inf  # of the elite set
+    for t in totals.sort_values("_step").to_dict("records"):
+        step, before, entries = t["_step"], volume, 0
+        evaluated += int(t["_n"])
+        if not t["_scored"]:
+            stagnation += 1
+        else:
+            new = few[few["_step"] == step]
+            low, dear = min(low, t["_q"]), max(dear, t["_c"])
+            if step == 1:
+                count = entries = 0 if pd.isna(t["_size"]) else int(t["_size"])
+                elite, volume, reached = new, t["hypervolume"] if count else 0.0, bool(count and t["_any"])
+                spread = t["_high"] - t["_low"] if count > 1 else 0.0
+                low, dear = (t["_low"], t["_dear"]) if count else (math.inf, -math.inf)
+            else:
+                reference = (low * 0.9 if low > 0 else -0.1, dear * 1.1 if dear > 0 else 0.1)
+                had = set(elite["version"])
+                elite = _pruned(_skyline(pd.concat([elite, new]).drop_duplicates("version", keep="last")), size)
+                count, entries = len(elite), len(set(elite["version"]) - had)
+                volume, reached = _volume(elite, reference), bool(elite["_met"].any())
+                gain = (volume - before) / before if before > 0 else volume
+                stagnation = 0 if gain > epsilon else stagnation + 1
+                spread = float(elite["quality"].max() - elite["quality"].min()) if count > 1 else 0.0
+                low, dear = (elite["quality"].min(), elite["cost"].max()) if count else (math.inf, -math.inf)
+            if reached and not halved:
+                epsilon, stagnation, halved = max(epsilon / 2, least_epsilon), 0, True
+        last = step >= max_rounds
+        converged = (evaluated >= budget and stagnation >= limit) or last
+        out.append({
+            **{k: t[k] for k in keys}, "round": t["round"], "elite_size": count, "new_entries": entries, "hypervolume": volume, "improvement": max(0.0, volume - before), "stagnation": stagnation,
+            "epsilon": epsilon, "evaluated": evaluated, "spread": spread, "routing_cost": 0.0 if pd.isna(t["_spent"]) else t["_spent"], "backtracked": stagnation >= backtrack, "converged": converged,
+            "reason": ("max_rounds" if last else "stagnation") if converged else None,
+        })
+        if converged:
+            break
+    return pd.DataFrame(out)

@@ -75,13 +75,22 @@ def near_misses(spark, sf_dir):
     return p.near_misses(points, p.pareto_front(points))
 
 
-@query(BASE_SQL + """, r AS (SELECT DISTINCT run_id, round AS r FROM cand), s AS (SELECT r.run_id, r.r, version, round, q, c FROM r JOIN cand ON cand.run_id = r.run_id AND cand.round <= r.r)
-SELECT run_id, r AS round, version, q AS quality, c AS cost, round = r AS is_new FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.run_id = a.run_id AND b.r = a.r AND b.q >= a.q AND b.c <= a.c AND (b.q > a.q OR b.c < a.c))""")
+ROUND_FRONT_SQL = BASE_SQL + """, r AS (SELECT DISTINCT run_id, round AS r FROM cand), s AS (SELECT r.run_id, r.r, version, round, {q} AS q, {c} AS c FROM r JOIN cand ON cand.run_id = r.run_id AND cand.round <= r.r)
+SELECT run_id, r AS round, version, q AS quality, c AS cost, round = r AS is_new FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.run_id = a.run_id AND b.r = a.r AND b.q >= a.q AND b.c <= a.c AND (b.q > a.q OR b.c < a.c))"""
+
+
+@query(ROUND_FRONT_SQL.format(q="q", c="c"))
 def fronts_by_round(spark, sf_dir):
     points = candidates(spark, sf_dir)
     return p.fronts_by_round(points, points)
 
 
+@query(ROUND_FRONT_SQL.format(q="2000 + q // 3", c="500 + 2 * c"))
+def fronts_by_round_absolute(spark, sf_dir):
+    points = candidates(spark, sf_dir).selectExpr("*", "2000 + quality div 3 AS quality_abs", "500 + 2 * cost AS cost_abs")
+    return p.fronts_by_round(points, points, axes=("quality_abs", "cost_abs"))
+
+
 @query(BASE_SQL + """, r AS (SELECT DISTINCT run_id, round AS r FROM cand)
 SELECT r.run_id, r AS round, arg_min(version, (-q, c, round, version)) AS version, arg_min(q, (-q, c, round, version)) AS quality, arg_min(c, (-q, c, round, version)) AS cost FROM r JOIN cand ON cand.run_id = r.run_id AND cand.round <= r GROUP BY ALL""")
 def journey(spark, sf_dir):
@@ -116,4 +125,5 @@ def elite_set(spark, sf_dir):
 
 @query(None)
 def advance_rounds(spark, sf_dir):
-    return p.advance_rounds(candidates(spark, sf_dir).select("run_id", "version", "round", "quality", "cost"), target_quality=990)
+    points = candidates(spark, sf_dir).select("run_id", "version", "round", "quality", "cost", F.expr("quality >= 900 AND cost <= 300").alias("meets"), F.expr("IF(cost % 11 = 0 OR round = 6 AND run_id = 2, 'failed', 'complete')").alias("eval_status"))
+    return p.advance_rounds(points, met="meets", budget=500, limit=2)
