@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from quillon.operators import bootstrap as b
@@ -12,6 +9,7 @@ from quillon.operators import inference
 from quillon.operators import metrics as m
 from quillon.plans.fixtures import BASE_SQL, candidates, examples, results
 from quillon.plans.metric_queries import V, pairs
+from quillon.sources.shared import shared_path
 from quillon.streaming import results as stream
 
 QUERIES: dict = {}
@@ -28,14 +26,46 @@ def query(sql: str | None):
     return add
 
 
-def _shared(spark) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query(None)
 def bootstrap_ci(spark, sf_dir):
-    return b.bootstrap_ci(pairs(spark, sf_dir), n_replicates=400, seed=7)
+    """With as many replicates as the number of pairs asks for; bootstrap_ci_checked holds the same function against SQL."""
+    return b.bootstrap_ci(pairs(spark, sf_dir))
+
+
+def _mix_steps(name: str, x: str, source: str, columns: str) -> str:
+    """CTEs that put the finaliser's steps one after the other, so that no expression is written out twice."""
+    return (
+        f"{name}1 AS (SELECT {columns}, {x} AS x FROM {source}), {name}2 AS (SELECT {columns}, xor(x, x >> 16) * {b.MIX[0]}::UBIGINT % 4294967296 AS x FROM {name}1), "
+        f"{name}3 AS (SELECT {columns}, xor(x, x >> 13) * {b.MIX[1]}::UBIGINT % 4294967296 AS x FROM {name}2), {name}4 AS MATERIALIZED (SELECT {columns}, xor(x, x >> 16) AS x FROM {name}3)"
+    )
+
+
+_FIGURES = "baseline_cost baseline_quality predicted_cost predicted_quality oracle_cost oracle_quality routing_overhead cost_change cost_change_with_overhead quality_change oracle_cost_change oracle_quality_change oracle_quality_captured".split()
+BOOTSTRAP_SQL = BASE_SQL + ", " + _mix_steps("r", f"(b * {b.GOLDEN}::UBIGINT + 7) % 4294967296", "(SELECT b::UBIGINT AS b FROM generate_series(0, 29) AS t(b))", "b") + ", hp AS (SELECT *, ('0x' || substr(md5(id), 1, 8))::UBIGINT AS h FROM pairs), " + _mix_steps(
+    "w", "(h + r4.x) % 4294967296", "hp, r4", "version, b, route, pred, qs, qm, qc, cs, cm, cc, spent") + ", wk AS MATERIALIZED (SELECT *, " + " + ".join(f"CASE WHEN x >> 16 >= {c} THEN 1 ELSE 0 END" for c in b.CUTS if c < 65_536) + """ AS k FROM w4),
+wc AS MATERIALIZED (SELECT version, b, route AS t, coalesce(pred, '') AS p, CAST(sum(k) AS BIGINT) AS n FROM wk GROUP BY ALL HAVING sum(k) > 0),
+cl AS MATERIALIZED (SELECT version, b, t AS c FROM wc UNION SELECT version, b, p FROM wc), ts AS (SELECT version, b, t AS c, sum(n) AS s FROM wc GROUP BY ALL), ps AS (SELECT version, b, p AS c, sum(n) AS s FROM wc GROUP BY ALL), hs AS (SELECT version, b, t AS c, n AS s FROM wc WHERE t = p),
+pr AS (SELECT version, b, c, CASE WHEN ps.s > 0 THEN coalesce(hs.s, 0) / ps.s ELSE 0.0 END AS precision, CASE WHEN ts.s > 0 THEN coalesce(hs.s, 0) / ts.s ELSE 0.0 END AS recall FROM cl LEFT JOIN ts USING (version, b, c) LEFT JOIN ps USING (version, b, c) LEFT JOIN hs USING (version, b, c)),
+pf AS MATERIALIZED (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM pr),
+bl AS (SELECT version, b, sum(k * qs) AS a, sum(k * qm) AS m, sum(k * qc) AS z FROM wk GROUP BY ALL HAVING sum(k) > 0), bs AS (SELECT version, b, CASE WHEN z >= m AND z >= a THEN 'complex' WHEN m >= a THEN 'moderate' ELSE 'simple' END AS baseline FROM bl),
+s AS (SELECT version, b, CAST(sum(k * CASE baseline WHEN 'simple' THEN cs WHEN 'moderate' THEN cm ELSE cc END) AS BIGINT) AS bc, CAST(sum(k * 1000 * CASE baseline WHEN 'simple' THEN qs WHEN 'moderate' THEN qm ELSE qc END) AS BIGINT) AS bq,
+  CAST(sum(k * CASE pred WHEN 'simple' THEN cs WHEN 'moderate' THEN cm WHEN 'complex' THEN cc ELSE 0 END) AS BIGINT) AS pc, CAST(sum(k * 1000 * CASE pred WHEN 'simple' THEN qs WHEN 'moderate' THEN qm WHEN 'complex' THEN qc ELSE 0 END) AS BIGINT) AS pq,
+  CAST(sum(k * CASE route WHEN 'simple' THEN cs WHEN 'moderate' THEN cm ELSE cc END) AS BIGINT) AS oc, CAST(sum(k * 1000 * CASE route WHEN 'simple' THEN qs WHEN 'moderate' THEN qm ELSE qc END) AS BIGINT) AS oq, CAST(sum(k * spent) AS BIGINT) AS ov
+  FROM wk JOIN bs USING (version, b) WHERE pred IS NULL OR pred <> 'unknown_model' GROUP BY ALL),
+cq AS MATERIALIZED (SELECT version, b, bc / 1e6 AS baseline_cost, bq / 1e6 AS baseline_quality, pc / 1e6 AS predicted_cost, pq / 1e6 AS predicted_quality, oc / 1e6 AS oracle_cost, oq / 1e6 AS oracle_quality, ov / 1e6 AS routing_overhead, (pc - bc) / bc AS cost_change,
+  (pc + ov - bc) / bc AS cost_change_with_overhead, (pq - bq) / bq AS quality_change, (oc - bc) / bc AS oracle_cost_change, (oq - bq) / bq AS oracle_quality_change, CASE WHEN oq <> bq THEN (1 + (pq - bq) / bq) / (1 + (oq - bq) / bq) ELSE 1.0 END AS oracle_quality_captured FROM s),
+v AS (SELECT version, 'accuracy' AS key, sum(n) FILTER (t = p) / sum(n) AS value FROM wc GROUP BY version, b UNION ALL SELECT version, 'f1/macro', avg(f1) FROM pf GROUP BY version, b
+  UNION ALL SELECT version, unnest([concat('precision/', c), concat('recall/', c), concat('f1/', c)]), unnest([precision, recall, f1]) FROM pf
+  UNION ALL SELECT x.version, concat('confusion/', x.c, '/', y.c), coalesce(n, 0) FROM cl x JOIN cl y USING (version, b) LEFT JOIN wc ON wc.version = x.version AND wc.b = x.b AND t = x.c AND p = y.c
+  UNION ALL """ + " UNION ALL ".join(f"SELECT version, '{k}', {k} FROM cq" for k in _FIGURES) + """),
+li AS (SELECT version, key, list_sort(list(round(value, 9))) AS v FROM v GROUP BY ALL HAVING count(*) >= 2)
+SELECT version, key, v[CAST(floor(0.05::DOUBLE * len(v)) AS BIGINT) + 1] AS lower, v[least(CAST(floor(0.95::DOUBLE * len(v)) AS BIGINT), len(v) - 1) + 1] AS upper, len(v) AS n_replicates FROM li"""
+
+
+@query(BOOTSTRAP_SQL)
+def bootstrap_ci_checked(spark, sf_dir):
+    out = b.bootstrap_ci(pairs(spark, sf_dir), n_replicates=30, seed=7, level=0.9)
+    return out.withColumns({"lower": F.round("lower", 9), "upper": F.round("upper", 9), "n_replicates": F.col("n_replicates").cast("long")})
 
 
 _CUTS = [int(c * 1_000_000) for c in b.poisson_cuts(8)]
@@ -56,18 +86,18 @@ def echo_inference(spark, sf_dir):
 
 @query(BASE_SQL + "SELECT version, true_route, pred_route, n FROM cells")
 def stream_confusion(spark, sf_dir):
-    at = _shared(spark)
+    at = shared_path(spark, "stream")
     r = results(spark, sf_dir).select("version", "example_id", "output", "error")
     r.union(r.where("version = 'v1'")).write.parquet(f"{at}/in")  # some arrive twice
     schema = r.schema
     arriving = spark.readStream.schema(schema).parquet(f"{at}/in").withColumn("arrived", F.current_timestamp())
     cells = stream.confusion_stream(arriving, examples(spark, sf_dir))
-    return stream.run_to_end(cells, f"cells_{uuid.uuid4().hex}", f"{at}/state")
+    return stream.run_to_end(cells, f"{at}/cells", f"{at}/state")
 
 
 @query(BASE_SQL + "SELECT run_id, version, round, q AS quality, c AS cost FROM cand a WHERE NOT EXISTS (SELECT 1 FROM cand b WHERE b.run_id = a.run_id AND b.q >= a.q AND b.c <= a.c AND (b.q > a.q OR b.c < a.c))")
 def stream_front(spark, sf_dir):
-    at = _shared(spark)
+    at = shared_path(spark, "stream")
     c = candidates(spark, sf_dir)
     c.repartition(3).write.parquet(f"{at}/in")
     arriving = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
