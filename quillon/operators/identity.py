@@ -12,12 +12,15 @@ _DIGITS = 3
 def dataset_fingerprint(examples: DataFrame) -> DataFrame:
     """fingerprint (16 hex digits) of all (id, input, route): any order of rows gives the same, a repeated row doesn't.
 
-    Row hashes are gathered by their first digits, hashed a bucket, and the buckets' hashes are hashed; more digits
-    suit more rows.
+    Row hashes are gathered by their first six digits and hashed, those hashes by the first three, and then all: no
+    group has more than 4,096 entries but the first ones, of which there are 16 million.
     """
     row = F.sha2(F.concat_ws("\t", F.coalesce("id", F.lit("")), F.coalesce("input", F.lit("")), F.coalesce("route", F.lit(""))), 256)
-    buckets = examples.select(row.alias("h")).groupBy(F.substring("h", 1, _DIGITS).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return buckets.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256), 1, 16).alias("fingerprint"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256)
+    level = examples.select(row.alias("h")).withColumn("b", F.substring("h", 1, 6))
+    for digits in (6, _DIGITS):
+        level = level.groupBy(F.substring("b", 1, digits).alias("g")).agg(joined.alias("h")).select(F.col("g").alias("b"), "h")
+    return level.agg(F.substring(joined, 1, 16).alias("fingerprint"))
 
 
 def stratified_split(examples: DataFrame, dev_ratio: float = 0.2, seed: str = "") -> DataFrame:
@@ -54,14 +57,16 @@ def add_missing_ids(rows: DataFrame, prefix: str = "row", start: int = 1) -> Dat
     """rows with ids; the i-th row without one, by row_idx, is prefix-N with the i-th whole number from start that no id has.
 
     added marks them. Used numbers cut the whole numbers into gaps; the running count of free numbers before each gap
-    places a rank by a range of ranks. Ranks are counted in two levels, by blocks of row_idx.
+    places a rank by a range of ranks. Ranks are counted in two levels: by blocks of used numbers and of row_idx.
     """
     used_re = rf"^{prefix}-(0|[1-9]\d*)$"
     missing = F.col("id").isNull() | (F.trim("id") == "")
     used = rows.where(~missing).select(F.regexp_extract("id", used_re, 1).alias("n")).where("n <> ''").select(F.col("n").cast("long").alias("n")).where(F.col("n") >= start).distinct()
-    order = Window.orderBy("n")
+    numbered = used.withColumn("_ub", F.floor(F.col("n") / 100_000))
+    tens = numbered.groupBy("_ub").agg(F.count("*").alias("c")).withColumn("_ubase", F.coalesce(F.sum("c").over(Window.orderBy("_ub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_ub", "_ubase")
     # after the k-th used number n, ranks from n - start - k + 1 on have k used numbers before them
-    gaps = used.withColumn("k", F.row_number().over(order)).select((F.col("n") - start - F.col("k") + 2).alias("from_rank"), "k")
+    ranked_used = numbered.withColumn("_own", F.row_number().over(Window.partitionBy("_ub").orderBy("n"))).join(tens, "_ub").select("n", (F.col("_ubase") + F.col("_own")).alias("k"))
+    gaps = ranked_used.select((F.col("n") - start - F.col("k") + 2).alias("from_rank"), "k")
     gaps = gaps.groupBy("from_rank").agg(F.max("k").alias("k"))
     lacking = rows.where(missing).withColumn("_block", F.floor(F.col("row_idx") / 100_000))
     sizes = lacking.groupBy("_block").agg(F.count("*").alias("c")).withColumn("_base", F.coalesce(F.sum("c").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_block", "_base")
@@ -83,11 +88,20 @@ def filter_holdout(holdout: DataFrame, shown: DataFrame) -> DataFrame:
     return every.join(shown.where("id IS NOT NULL").distinct(), ["version", "id"], "left_anti")
 
 
-def remaining_examples(examples: DataFrame, results: DataFrame, same_run: bool) -> DataFrame:
-    """Examples without a successful result; all of them if the earlier run isn't the same (its fingerprint differs)."""
-    if not same_run:
-        return examples
-    return examples.join(results.where("error IS NULL AND example_id IS NOT NULL").select(F.col("example_id").alias("id")).distinct(), "id", "left_anti")
+def remaining_examples(examples: DataFrame, results: DataFrame, earlier: DataFrame, current: DataFrame) -> DataFrame:
+    """Examples without a successful result in an earlier run that is the same as the current one; else all of them.
+
+    earlier and current have the fingerprints (prompt_version, backend, data_source) of the earlier results, if they
+    have any, and of this run: one row each. Runs are the same if all three agree.
+    """
+    kinds = ["prompt_version", "backend", "data_source"]
+    agree = None
+    for k in kinds:
+        this = F.col(f"_a.{k}").eqNullSafe(F.col(f"_b.{k}"))
+        agree = this if agree is None else agree & this
+    same = earlier.select(*kinds).alias("_a").join(current.select(*kinds).alias("_b"), agree).limit(1).select(F.lit(True).alias("_same"))
+    done = results.where("error IS NULL AND example_id IS NOT NULL").select(F.col("example_id").alias("id")).distinct().join(F.broadcast(same)).drop("_same")  # at most one row
+    return examples.join(done, "id", "left_anti")
 
 
 def latest_results(earlier: DataFrame, later: DataFrame, keys: tuple[str, ...] = ("version", "example_id")) -> DataFrame:
@@ -103,9 +117,14 @@ def append_archive(archive: DataFrame, new: DataFrame, keys: tuple[str, ...] = (
 
 
 def merge_candidates(sources: list[tuple[str, DataFrame]], keys: tuple[str, ...] = ("run_id", "version")) -> DataFrame:
-    """One row a version from several sources; the first source that has it counts. source names it."""
+    """One row a version from several sources; the first source that has it counts. source names it.
+
+    Where a source has eval_status, only rows that are complete, scored or null in it count.
+    """
     every = None
     for i, (name, df) in enumerate(sources):
+        if "eval_status" in df.columns:
+            df = df.where(F.col("eval_status").isNull() | F.col("eval_status").isin("complete", "scored"))
         part = df.select(*keys, "parent_version", "quality", "cost", F.lit(name).alias("source"), F.lit(i).alias("_i"))
         every = part if every is None else every.unionByName(part)
     fields = ["parent_version", "quality", "cost", "source"]
@@ -119,8 +138,36 @@ def label_by_utility(examples: DataFrame, weight: float = 0.8, k: int | None = N
     """
     each = F.transform(F.map_entries("routes"), lambda e: F.struct((-(F.coalesce(e["value"]["quality_score"], F.lit(0.0)) - weight * F.coalesce(e["value"]["cost"], F.lit(0.0)))).alias("u"), e["key"].alias("r")))
     top = examples.select("id", F.array_sort(each).alias("t")).select("id", F.col("t")[0]["r"].alias("selected"), (-F.col("t")[0]["u"]).alias("utility"), F.when(F.size("t") > 1, F.col("t")[1]["u"] - F.col("t")[0]["u"]).alias("gap"))
-    cuts = top.agg(F.percentile("gap", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_c"))
-    rows = top.join(F.broadcast(cuts)).withColumn("bucket", F.when(F.col("gap") <= F.col("_c")[0], 0).when(F.col("gap") <= F.col("_c")[1], 1).otherwise(2)).drop("_c")  # one row
+    cuts = exact_quantiles(top, "gap", (1 / 3, 2 / 3))
+    rows = top.join(F.broadcast(cuts)).withColumn("bucket", F.when(F.col("gap") <= F.col("_q")[0], 0).when(F.col("gap") <= F.col("_q")[1], 1).otherwise(2)).drop("_q")  # one row
     if k is None:
         return rows
-    return rows.withColumn("_s", F.sha2("id", 256)).withColumn("chosen", F.row_number().over(Window.partitionBy("bucket").orderBy("_s")) <= k).drop("_s")
+    # at most k of each slice of the hashes go on to the last ranking
+    hashed = rows.withColumn("_s", F.sha2("id", 256))
+    near = hashed.withColumn("_r", F.row_number().over(Window.partitionBy("bucket", F.substring("_s", 1, _DIGITS)).orderBy("_s"))).where(F.col("_r") <= k)
+    best = near.withColumn("_r", F.row_number().over(Window.partitionBy("bucket").orderBy("_s"))).where(F.col("_r") <= k).groupBy("bucket").agg(F.max("_s").alias("_last"))
+    return hashed.join(F.broadcast(best), "bucket").withColumn("chosen", F.col("_s") <= F.col("_last")).select(*rows.columns, "chosen")  # three rows
+
+
+def exact_quantiles(rows: DataFrame, column: str, shares: tuple[float, ...], bins: int = 4096) -> DataFrame:
+    """_q: the quantiles of a column with linear interpolation between ranks, exactly; one row, nulls where there is no value.
+
+    Values are counted in even bins; only the bins that hold a wanted rank are sorted, each by itself.
+    """
+    x = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    ends = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("all"))
+    place = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0).cast("int")
+    binned = x.join(F.broadcast(ends)).withColumn("bin", place)  # one row
+    counts = binned.groupBy("bin").agg(F.count("*").alias("n"), F.first("all").alias("all"))
+    counts = counts.withColumn("below", F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a bin
+    at = lambda q: (F.col("all") - 1) * F.lit(float(q))
+    holds = lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("n"))
+    wanted = None
+    for q in shares:
+        this = holds(F.floor(at(q))) | holds(F.ceil(at(q)))
+        wanted = this if wanted is None else wanted | this
+    few = binned.join(F.broadcast(counts.where(wanted).select("bin", "below")), "bin").withColumn("r", F.col("below") + F.row_number().over(Window.partitionBy("bin").orderBy("x")) - 1)
+    value = lambda r: F.max(F.when(F.col("r") == r, F.col("x")))
+    low, high = [value(F.floor(at(q))) for q in shares], [value(F.ceil(at(q))) for q in shares]
+    sums = few.agg(F.max("all").alias("all"), *[v.alias(f"l{i}") for i, v in enumerate(low)], *[v.alias(f"h{i}") for i, v in enumerate(high)])
+    return sums.select(F.array(*[F.col(f"l{i}") + (F.col(f"h{i}") - F.col(f"l{i}")) * (at(q) - F.floor(at(q))) for i, q in enumerate(shares)]).alias("_q"))

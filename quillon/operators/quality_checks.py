@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,13 +49,13 @@ def row_checks(rows: DataFrame, v: str = "v") -> DataFrame:
     return rows.select("row_idx", row_id.alias("id"), F.try_variant_get(v, "$.expected.route", "string").alias("_route"), (kind["expected.route"] == "STRING").alias("_has_route"), key_set.alias("_keys"), failed.alias("failed"))
 
 
-def violations(rows: DataFrame, v: str = "v") -> DataFrame:
+def violations(rows: DataFrame, v: str = "v", checked: DataFrame | None = None) -> DataFrame:
     """check, row_idx, id: every failing row of every check.
 
-    Repeated ids are counted first; only those that repeat are ranked. The set of models is held against that of the
+    `checked` is row_checks(rows), where the caller has stored it: it is read for four ends. Repeated ids are counted first; only those that repeat are ranked. The set of models is held against that of the
     first row that has one.
     """
-    checked = row_checks(rows, v)
+    checked = row_checks(rows, v) if checked is None else checked
     single = checked.select(F.explode("failed").alias("check"), "row_idx", "id")
     many = checked.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n"), F.min("row_idx").alias("first")).where("n > 1").select("id", "first")
     again = checked.select("row_idx", "id").join(many, "id").where("row_idx <> first").select(F.lit("unique_ids").alias("check"), "row_idx", "id")
@@ -60,9 +65,23 @@ def violations(rows: DataFrame, v: str = "v") -> DataFrame:
 
 
 def findings(found: DataFrame, samples: int = 5) -> DataFrame:
-    """check, severity, status, n_violations, sample_row_indices: one row a check."""
-    ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy("check", F.pmod("row_idx", F.lit(64))).orderBy("row_idx"))).groupBy("check").agg(
-        F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(F.when(F.col("_r") <= samples, F.col("row_idx")))), 1, samples).alias("rows"))
+    """check, severity, status, n_violations, sample_row_indices (the smallest): one row a check.
+
+    A task counts its violations and keeps the smallest indices of each check, so a few rows a task are shuffled.
+    """
+    names = [c for c, _ in CHECKS]
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, least = dict.fromkeys(names, 0), {c: np.zeros(0, np.int64) for c in names}
+        for batch in batches:
+            for c in names:
+                own = batch.column(1).filter(pc.equal(batch.column(0), c)).to_numpy(zero_copy_only=False).astype(np.int64)
+                counts[c] += len(own)
+                least[c] = np.sort(np.concatenate([least[c], own]))[:samples]
+        yield pa.record_batch([pa.array(names), pa.array([counts[c] for c in names], pa.int64()), pa.array([least[c] for c in names], pa.list_(pa.int64()))], ["check", "n", "rows"])
+
+    parts = found.select("check", F.col("row_idx").cast("long")).mapInArrow(few, "check string, n long, rows array<long>")
+    ranked = parts.groupBy("check").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("rows"))), 1, samples).alias("rows"))  # a row a task and check
     every = found.sparkSession.createDataFrame(list(CHECKS), "check string, severity string")
     j = every.join(ranked, "check", "left")
     return j.select("check", "severity", F.when(F.col("n") > 0, "fail").otherwise("pass").alias("status"), F.coalesce("n", F.lit(0)).cast("long").alias("n_violations"), F.coalesce("rows", F.array().cast("array<bigint>")).alias("sample_row_indices"))
@@ -104,3 +123,16 @@ def query_length_stats(examples: DataFrame, text: str = "input", approximate: bo
     p95 = F.approx_percentile(size, 0.95) if approximate else F.percentile(size, F.lit(0.95))
     zero = lambda x: F.coalesce(x, F.lit(0))
     return examples.where(F.col(text).isNotNull()).agg(zero(F.min(size)).alias("shortest"), zero(F.max(size)).alias("longest"), zero(F.sum(size) / F.count("*")).cast("double").alias("mean"), zero(p95).cast("double").alias("p95"), F.count("*").alias("n"))
+
+
+def quality_report(found: DataFrame, examples: DataFrame, expected: list[str] | None = None, least_share: float = 0.10, least_rows: int = 5) -> DataFrame:
+    """section ("check", "distribution", "volume", "length", "gate"), name, status ("pass", "warning", "fail" or null), value: all checks in one table."""
+    none = F.lit(None).cast("string")
+    checks = findings(found)
+    rows = checks.select(F.lit("check").alias("section"), F.col("check").alias("name"), F.when((F.col("status") == "fail") & (F.col("severity") == "warning"), "warning").otherwise(F.col("status")).alias("status"), F.col("n_violations").cast("double").alias("value"))
+    shares = label_distribution(examples, least_share).select(F.lit("distribution"), "route", F.when(F.col("imbalanced"), "warning").otherwise("pass"), F.col("share"))
+    volumes = volume_adequacy(examples, expected, least_rows).select(F.lit("volume"), "route", F.when(F.col("adequate"), "pass").otherwise("warning"), F.col("n").cast("double"))
+    lengths = query_length_stats(examples)
+    flat = lengths.select(F.lit("length"), F.inline(F.array(*[F.struct(F.lit(c), none, F.col(c).cast("double")) for c in lengths.columns])))
+    gate = passes(found).select(F.lit("gate"), F.lit("critical"), F.when(F.col("passed"), "pass").otherwise("fail"), F.lit(None).cast("double"))
+    return rows.union(shares).union(volumes).union(flat).union(gate)

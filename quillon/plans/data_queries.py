@@ -9,6 +9,7 @@ from quillon.operators import mapping as p
 from quillon.operators import quality_checks as q
 from quillon.plans.fixtures import BASE_SQL, candidates, examples, results
 from quillon.sources import files
+from quillon.sources.shared import kept, shared_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -37,6 +38,11 @@ def raw_rows(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id AS row_idx", f"try_parse_json({text}) AS v")
 
 
+def _violations(spark, sf_dir):
+    rows = raw_rows(spark, sf_dir)
+    return q.violations(rows, checked=kept(q.row_checks(rows), "checked"))
+
+
 VIOLATION_SQL = """WITH r AS (SELECT doc_id, doc_id % 23 AS m, CASE WHEN doc_id % 23 IN (1, 2) THEN NULL WHEN doc_id % 23 = 13 THEN 'dup' ELSE concat('d', doc_id) END AS id FROM documents),
 f AS (SELECT 'required_keys' AS "check", doc_id, id FROM r WHERE m IN (1, 3, 5, 6) UNION ALL SELECT 'types', doc_id, id FROM r WHERE m IN (2, 4, 5, 9) UNION ALL SELECT 'route_in_routes', doc_id, id FROM r WHERE m = 7
   UNION ALL SELECT 'non_empty_routes', doc_id, id FROM r WHERE m = 8 UNION ALL SELECT 'consistent_model_set', doc_id, id FROM r WHERE m = 12 UNION ALL SELECT 'null_fields', doc_id, id FROM r WHERE m = 10
@@ -46,7 +52,7 @@ f AS (SELECT 'required_keys' AS "check", doc_id, id FROM r WHERE m IN (1, 3, 5,
 
 @query(VIOLATION_SQL + """SELECT "check", doc_id AS row_idx, id FROM f""")
 def schema_violations(spark, sf_dir):
-    return q.violations(raw_rows(spark, sf_dir))
+    return _violations(spark, sf_dir)
 
 
 @query(VIOLATION_SQL + """, k AS (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY doc_id) AS k FROM f), c AS (SELECT * FROM (VALUES ('required_keys', 'critical'), ('types', 'critical'), ('route_in_routes', 'critical'), ('non_empty_routes', 'warning'),
@@ -54,13 +60,25 @@ def schema_violations(spark, sf_dir):
 SELECT name AS "check", severity, CASE WHEN count(doc_id) > 0 THEN 'fail' ELSE 'pass' END AS status, count(doc_id) AS n_violations, coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (k <= 5), '') AS samples
 FROM c LEFT JOIN k ON k."check" = name GROUP BY ALL""")
 def schema_findings(spark, sf_dir):
-    out = q.findings(q.violations(raw_rows(spark, sf_dir)))
+    out = q.findings(_violations(spark, sf_dir))
     return out.withColumn("samples", F.array_join(F.col("sample_row_indices").cast("array<string>"), ",")).drop("sample_row_indices")
 
 
+@query(VIOLATION_SQL + """, c AS (SELECT * FROM (VALUES ('required_keys', 'fail'), ('types', 'fail'), ('route_in_routes', 'fail'), ('non_empty_routes', 'warning'), ('consistent_model_set', 'fail'), ('unique_ids', 'fail'), ('null_fields', 'warning'), ('canonical_route_fields', 'fail')) AS t(name, bad)),
+cn AS (SELECT name, bad, count(doc_id) AS n FROM c LEFT JOIN f ON f."check" = name GROUP BY ALL), e AS (SELECT lang AS route, text FROM documents), g AS (SELECT route, count(*) AS n, count(*) / (SELECT count(*) FROM e) AS s FROM e GROUP BY route),
+l AS (SELECT min(length(text)) AS a, max(length(text)) AS b, CAST(sum(length(text)) AS BIGINT) / count(*) AS c, quantile_cont(length(text), 0.95) AS d, count(*) AS n FROM e WHERE text IS NOT NULL)
+SELECT 'check' AS section, name, CASE WHEN n > 0 THEN bad ELSE 'pass' END AS status, CAST(n AS DOUBLE) AS value FROM cn UNION ALL SELECT 'distribution', route, CASE WHEN s < 0.2 THEN 'warning' ELSE 'pass' END, s FROM g
+UNION ALL SELECT 'volume', route, CASE WHEN n >= 60 THEN 'pass' ELSE 'warning' END, n FROM g UNION ALL SELECT 'volume', 'xx', 'warning', 0
+UNION ALL SELECT 'length', unnest(['shortest', 'longest', 'mean', 'p95', 'n']), NULL, round(unnest([a, b, c, d, n]), 6) FROM l UNION ALL SELECT 'gate', 'critical', CASE WHEN (SELECT sum(n) FROM cn WHERE bad = 'fail') > 0 THEN 'fail' ELSE 'pass' END, NULL""")
+def quality_report(spark, sf_dir):
+    ex = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("lang").alias("route"), F.col("text").alias("input"))
+    out = q.quality_report(_violations(spark, sf_dir), ex, ["en", "es", "de", "fr", "xx"], 0.2, 60)
+    return out.withColumn("value", F.when(F.col("section") == "length", F.round("value", 6)).otherwise(F.col("value")))
+
+
 @query("SELECT count(*) FILTER (doc_id % 23 IN (1, 2, 3, 4, 5, 6, 7, 9, 11, 12)) = 0 AS passed FROM documents")
 def quality_gate(spark, sf_dir):
-    return q.passes(q.violations(raw_rows(spark, sf_dir)))
+    return q.passes(_violations(spark, sf_dir))
 
 
 @query("SELECT * FROM (VALUES ('extra', 'only in rows'), ('fast', 'only in names')) AS t(route, place)")
@@ -90,12 +108,155 @@ def nested_paths(spark, sf_dir):
     return files.nested_paths(raw_rows(spark, sf_dir))
 
 
-@query("""SELECT count(*) AS n_rows, 'expected,id,input' AS first_columns, 'expected,id,input' AS all_columns FROM documents""")
+LINES_SQL = r"""WITH l AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS line, CASE doc_id % 17 WHEN 3 THEN '' WHEN 4 THEN '{"a": ' WHEN 5 THEN '[1]' WHEN 6 THEN '{"__meta__": "x"}' ELSE concat('{"a": ', doc_id, ', "b": {"c,d": "', lang, '"}}') END AS value FROM documents),
+k AS (SELECT *, doc_id % 17 IN (4, 5) AS bad, doc_id % 17 = 6 AS meta FROM l WHERE value <> '')
+"""
+
+
+def _lines(spark, sf_dir):
+    """A folder of JSON lines by doc_id, some blank, some broken; and its path."""
+    value = "CASE doc_id % 17 WHEN 3 THEN '' WHEN 4 THEN '{\"a\": ' WHEN 5 THEN '[1]' WHEN 6 THEN '{\"__meta__\": \"x\"}' ELSE concat('{\"a\": ', doc_id, ', \"b\": {\"c,d\": \"', lang, '\"}}') END AS value"
+    path = shared_path(spark, "lines")
+    spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", value).orderBy("doc_id").select("value").write.text(path)
+    return path
+
+
+@query(LINES_SQL + """SELECT line AS row_idx, CASE WHEN meta THEN NULL ELSE doc_id END AS a FROM k WHERE NOT bad""")
+def jsonl_rows(spark, sf_dir):
+    good, _ = files.read_jsonl(spark, _lines(spark, sf_dir))
+    return good.select("row_idx", F.try_variant_get("v", "$.a", "bigint").alias("a"))
+
+
+@query(LINES_SQL + """SELECT line + 1 AS line FROM k WHERE bad""")
+def jsonl_bad_lines(spark, sf_dir):
+    return files.read_jsonl(spark, _lines(spark, sf_dir))[1]
+
+
+@query(LINES_SQL + """SELECT line AS row_idx, doc_id AS a FROM k WHERE NOT bad AND NOT meta""")
+def jsonl_results_mode(spark, sf_dir):
+    good, _ = files.read_jsonl(spark, _lines(spark, sf_dir), "results")
+    return good.select("row_idx", F.try_variant_get("v", "$.a", "bigint").alias("a"))
+
+
+@query(LINES_SQL + """SELECT concat('line ', min(line) + 1, ' is not a JSON object') AS message FROM k WHERE bad""")
+def jsonl_strict_error(spark, sf_dir):
+    try:
+        files.read_jsonl(spark, _lines(spark, sf_dir), "strict")
+    except ValueError as e:
+        return spark.range(1).select(F.lit(str(e)).alias("message"))
+    return spark.range(0).select(F.lit("").alias("message"))
+
+
+@query(LINES_SQL + """, g AS (SELECT * FROM k WHERE NOT bad), f AS (SELECT * FROM g ORDER BY line LIMIT 5), m AS (SELECT arg_min(meta, line) AS meta, count(*) AS n FROM g), w AS (SELECT line + 1 AS line FROM k WHERE bad)
+SELECT n AS n_rows, CASE WHEN meta THEN '__meta__' ELSE 'a|b' END AS first_columns, concat((SELECT CASE WHEN bool_or(meta) THEN '__meta__|' ELSE '' END FROM g), 'a|b') AS all_columns,
+  (SELECT string_agg(replace(value, ': ', ':'), '|' ORDER BY line) FROM (SELECT line, replace(value, ', "', ',"') AS value FROM f)) AS sample_rows, (SELECT count(*) FROM w) AS n_skipped,
+  (SELECT string_agg(CAST(line AS VARCHAR), '|' ORDER BY line) FROM (SELECT * FROM w ORDER BY line LIMIT 20)) AS skipped_lines FROM m""")
 def source_profile(spark, sf_dir):
-    return files.profile_rows(raw_rows(spark, sf_dir)).withColumns({c: F.array_join(c, ",") for c in ("first_columns", "all_columns")})
+    rows, bad = files.read_jsonl(spark, _lines(spark, sf_dir))
+    return files.profile_rows(rows, bad).withColumns({c: F.array_join(F.col(c).cast("array<string>"), "|") for c in ("first_columns", "all_columns", "sample_rows", "skipped_lines")})
+
+
+@query("""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, doc_id FROM documents""")
+def row_index(spark, sf_dir):
+    path = shared_path(spark, "ordered")
+    spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("value")).orderBy(F.col("value").cast("long")).write.text(path)
+    return files.numbered_lines(spark, path).select(F.col("line").alias("row_idx"), F.col("value").cast("long").alias("doc_id"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS k, concat('x "', p_name, '",', chr(10), p_size) AS name, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_size AS VARCHAR) END AS size FROM part WHERE p_partkey % 5 <> 0""")
+def csv_rows(spark, sf_dir):
+    blank = "IF(p_partkey % 5 = 0, NULL, {})"
+    path = shared_path(spark, "csv")
+    spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
+        blank.format("CAST(p_partkey AS STRING)") + " AS k", blank.format("concat('x \"', p_name, '\",\n', p_size)") + " AS name", "IF(p_partkey % 4 = 0 OR p_partkey % 5 = 0, NULL, CAST(p_size AS STRING)) AS size",
+    ).write.option("header", True).option("escape", '"').csv(path)
+    return files.read_csv_rows(spark, path)
+
+
+@query("""SELECT p_partkey // 200 AS g, row_number() OVER (PARTITION BY p_partkey // 200 ORDER BY p_partkey) - 1 AS row_idx, p_partkey AS k, p_name AS name FROM part""")
+def json_array_rows(spark, sf_dir):
+    path = shared_path(spark, "arrays")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.expr("p_partkey div 200")).alias("g"), F.struct(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.expr("p_partkey div 200").alias("g")).alias("o"))
+    arrays = rows.groupBy("g").agg(F.to_json(F.array_sort(F.collect_list("o"))).alias("value"))  # 200 rows a file
+    arrays.write.partitionBy("g").text(path)
+    v = files.read_json_array(spark, f"{path}/g=*/*.txt")
+    return v.select(F.variant_get("v", "$.g", "bigint").alias("g"), "row_idx", F.variant_get("v", "$.k", "bigint").alias("k"), F.variant_get("v", "$.name", "string").alias("name"))
+
+
+def _written_results(spark, sf_dir):
+    """A folder of result files, one folder a version, each with a header line; some lines are broken."""
+    path = shared_path(spark, "eval")
+    r = results(spark, sf_dir).select("version", "doc_id", "example_id", "model", "output", "error", "retries", "cost").where("doc_id % 29 <> 0")
+    for v in range(1, 7):
+        files.write_results(r.where(F.col("version") == f"v{v}").drop("version", "doc_id"), f"{path}/v{v}", {"prompt_version": f"v{v}", "backend": "echo", "data_source": "documents"})
+    spark.range(1, 7).select(F.concat(F.lit("v"), "id").alias("version"), F.lit('{"example_id": "broken').alias("value")).write.mode("append").partitionBy("version").text(f"{path}/broken")
+    return path
+
+
+@query(BASE_SQL + "SELECT version, id AS example_id, pred, CASE WHEN err THEN 'timeout' END AS error, spent / 1e6 AS cost FROM res WHERE doc_id % 29 <> 0")
+def results_round_trip(spark, sf_dir):
+    return files.read_results(spark, f"{_written_results(spark, sf_dir)}/v*/*.txt").select("version", "example_id", F.col("output.route").alias("pred"), "error", "cost")
+
+
+@query("SELECT concat('v', v) AS version, concat('v', v) AS prompt_version, 'echo' AS backend, 'documents' AS data_source FROM generate_series(1, 6) AS t(v)")
+def results_fingerprints(spark, sf_dir):
+    return files.read_fingerprints(spark, f"{_written_results(spark, sf_dir)}/v*/*.txt")
+
+
+def _written_reports(spark, sf_dir):
+    """One report file a version of each run of candidates; runs 3 and 4 have none that count."""
+    path = shared_path(spark, "reports")
+    c = candidates(spark, sf_dir).where("quality % 4 = 0")
+    metrics = F.when(F.col("run_id") == 4, F.create_map().cast("map<string, bigint>")).otherwise(F.create_map(F.lit("quality"), "quality", F.lit("cost"), "cost"))
+    c.select("version", F.to_json(F.struct(metrics.alias("metrics"), F.struct(F.when(F.col("run_id") == 3, 0).otherwise(5).alias("succeeded")).alias("summary"))).alias("value")).repartition(8, "version").write.partitionBy("version").text(path)
+    return path
+
+
+@query(BASE_SQL + "SELECT version, unnest(['quality', 'cost']) AS key, CAST(unnest([q, c]) AS DOUBLE) AS value FROM cand WHERE q % 4 = 0 AND run_id NOT IN (3, 4)")
+def reports_long(spark, sf_dir):
+    rows = files.read_reports_long(spark, f"{_written_reports(spark, sf_dir)}/version=*/*.txt")
+    return rows.withColumn("version", F.regexp_replace("version", "^version=", ""))
+
+
+@query(BASE_SQL + """, r AS (SELECT version, unnest(['quality', 'cost']) AS key, CAST(unnest([q, c]) AS DOUBLE) AS value FROM cand WHERE q % 4 = 0 AND run_id NOT IN (3, 4))
+SELECT round, cand.version, key, value FROM cand LEFT JOIN r USING (version) WHERE q % 8 = 0""")
+def reports_by_round(spark, sf_dir):
+    rows = files.read_reports_long(spark, f"{_written_reports(spark, sf_dir)}/version=*/*.txt").withColumn("version", F.regexp_replace("version", "^version=", ""))
+    rounds = candidates(spark, sf_dir).where("quality % 8 = 0").groupBy("run_id", "round").agg(F.collect_list("version").alias("candidates_evaluated"))
+    return files.reports_by_round(rows, rounds)
+
+
+@query("""SELECT concat('d', n_nationkey) AS version, CASE WHEN n_nationkey % 2 = 0 THEN concat('md ', n_name) ELSE concat('txt ', n_name) END AS text FROM nation""")
+def prompt_corpus(spark, sf_dir):
+    """Prompt versions are few: a file each for the nations, some with two extensions."""
+    path = shared_path(spark, "prompts")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").collect()  # 25 rows
+    for r in nations:
+        for e in ["txt", "md"] if r.n_nationkey % 2 == 0 else ["txt"]:
+            out = hadoop.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/d{r.n_nationkey}.{e}"))
+            out.write(bytearray(f"{e} {r.n_name}".encode()))
+            out.close()
+    return files.prompt_corpus(spark, path).select("version", "text")
+
+
+@query(BASE_SQL + "SELECT doc_id AS row_idx, id FROM ex WHERE doc_id % 19 = 0")
+def route_guard(spark, sf_dir):
+    ex = examples(spark, sf_dir).select(F.col("doc_id").alias("row_idx"), "id", F.expr("CASE doc_id % 19 WHEN 0 THEN 'nowhere' ELSE route END").alias("route"), "routes")
+    return p.route_not_in_routes(ex).select("row_idx", "id")
+
+
+@query(BASE_SQL + "SELECT concat(count(*), ' rows have a route that isn''t among their routes, such as ', (SELECT string_agg(id, ', ' ORDER BY doc_id) FROM (SELECT id, doc_id FROM ex WHERE doc_id % 19 = 0 ORDER BY doc_id LIMIT 3))) AS message FROM ex WHERE doc_id % 19 = 0")
+def route_guard_error(spark, sf_dir):
+    ex = examples(spark, sf_dir).select(F.col("doc_id").alias("row_idx"), "id", F.expr("CASE doc_id % 19 WHEN 0 THEN 'nowhere' ELSE route END").alias("route"), "routes")
+    try:
+        p.assert_route_in_routes(ex)
+    except ValueError as e:
+        return spark.range(1).select(F.lit(str(e)).alias("message"))
+    return spark.range(0).select(F.lit("").alias("message"))
 
 
-@query("""SELECT p_partkey AS row_idx, concat('row-', p_partkey) AS id, p_name AS input, 'a' AS route, p_partkey % 7 / 4 AS cost_a, CAST(p_size AS DOUBLE) AS quality_a, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 0.5 END AS cost_b FROM part""")
+@query("""SELECT p_partkey AS row_idx, concat('row-', p_partkey) AS id, p_name AS input, 'a' AS route, p_partkey % 7 / 4 AS cost_a, CAST(p_size AS DOUBLE) AS quality_a, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(0.5 AS DOUBLE) END AS cost_b FROM part""")
 def mapped_examples(spark, sf_dir):
     flat = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS row_idx", "try_parse_json(to_json(struct(p_name AS q, 'a' AS best, cast(p_partkey % 7 / 4 AS string) AS a_cost, cast(p_size AS string) AS a_quality, IF(p_partkey % 5 = 0, '1e5', '0.5') AS b_cost))) AS v")
     m = p.apply_mapping(flat, {"q": "input", "best": "expected.route", "a_cost": "expected.routes.a.cost", "a_quality": "expected.routes.a.quality_score", "b_cost": "expected.routes.b.cost"})
@@ -132,7 +293,8 @@ def query_eval_misroutes(spark, sf_dir):
 
 
 @query(r"""WITH b AS (SELECT sha256(concat(id, chr(9), input, chr(9), route)) AS h FROM (""" + BASE_SQL + r"""SELECT id, coalesce(input, '') AS input, route FROM ex)),
-g AS (SELECT substr(h, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM b GROUP BY 1) SELECT substr(sha256(string_agg(h, '' ORDER BY h)), 1, 16) AS fingerprint FROM g""")
+g AS (SELECT substr(h, 1, 6) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM b GROUP BY 1), k AS (SELECT substr(b, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY b, h)) AS h FROM g GROUP BY 1)
+SELECT substr(sha256(string_agg(h, '' ORDER BY b, h)), 1, 16) AS fingerprint FROM k""")
 def fingerprint(spark, sf_dir):
     return d.dataset_fingerprint(examples(spark, sf_dir))
 
@@ -169,9 +331,18 @@ def holdout_filtered(spark, sf_dir):
     return d.filter_holdout(ex.where("doc_id % 5 = 0"), shown)
 
 
-@query(BASE_SQL + "SELECT id FROM ex WHERE NOT EXISTS (SELECT 1 FROM res WHERE res.id = ex.id AND v = 2 AND NOT err AND res.doc_id % 3 = 0)")
+@query(BASE_SQL + """, d AS (SELECT v, id FROM res WHERE NOT err AND doc_id % 29 <> 0 AND v IN (2, 3))
+SELECT concat('v', x.v) AS version, ex.id FROM ex, (VALUES (2), (3)) AS x(v) WHERE x.v = 3 OR NOT EXISTS (SELECT 1 FROM d WHERE d.v = x.v AND d.id = ex.id)""")
 def remaining_examples(spark, sf_dir):
-    return d.remaining_examples(examples(spark, sf_dir).select("id"), results(spark, sf_dir).where("version = 'v2' AND doc_id % 3 = 0"), True)
+    """Version 2 goes on with its earlier run, version 3 was run with another backend and starts over."""
+    path = _written_results(spark, sf_dir)
+    earlier, heads = files.read_results(spark, f"{path}/v*/*.txt"), files.read_fingerprints(spark, f"{path}/v*/*.txt")
+    ex, out = examples(spark, sf_dir).select("id"), None
+    for v, backend in (("v2", "echo"), ("v3", "other")):
+        current = spark.createDataFrame([(v, backend, "documents")], "prompt_version string, backend string, data_source string")
+        left = d.remaining_examples(ex, earlier.where(F.col("version") == v), heads.where(F.col("version") == v), current).select(F.lit(v).alias("version"), "id")
+        out = left if out is None else out.unionByName(left)
+    return out
 
 
 @query(BASE_SQL + "SELECT id AS example_id, CASE WHEN doc_id % 2 = 0 THEN 'v2' ELSE 'v1' END AS source, coalesce(pred, '') AS pred FROM res WHERE v = CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END")
@@ -181,7 +352,7 @@ def latest_results(spark, sf_dir):
     return d.latest_results(earlier.drop("doc_id"), later.drop("doc_id"), ("example_id",))
 
 
-_MERGE = "CASE WHEN pk % 5 = 0 THEN 'elite' WHEN pk % 3 = 0 THEN 'archive' WHEN pk % 2 = 0 THEN 'pending' ELSE 'reports' END"
+_MERGE = "CASE WHEN pk % 5 = 0 THEN 'elite' WHEN pk % 3 = 0 AND pk % 7 <> 0 THEN 'archive' WHEN pk % 2 = 0 THEN 'pending' ELSE 'reports' END"
 
 
 @query(BASE_SQL + f""", m AS (SELECT *, CAST(substr(version, 2) AS BIGINT) AS pk FROM cand)
@@ -189,7 +360,7 @@ SELECT run_id, version, CASE WHEN {_MERGE} = 'reports' THEN NULL ELSE concat('p'
 def merged_candidates(spark, sf_dir):
     c = candidates(spark, sf_dir).withColumn("pk", F.substring("version", 2, 20).cast("long")).withColumn("parent_version", F.concat(F.lit("p"), F.col("pk") - 10))
     part = lambda i, test, parent=True: c.where(test).withColumn("quality", F.col("quality") + i).withColumn("parent_version", F.col("parent_version") if parent else F.lit(None).cast("string"))
-    return d.merge_candidates([("elite", part(0, "pk % 5 = 0")), ("archive", part(1, "pk % 3 = 0")), ("pending", part(2, "pk % 2 = 0")), ("reports", part(3, "true", False))])
+    return d.merge_candidates([("elite", part(0, "pk % 5 = 0")), ("archive", part(1, "pk % 3 = 0").withColumn("eval_status", F.expr("CASE WHEN pk % 7 = 0 THEN 'failed' WHEN pk % 7 = 1 THEN 'complete' WHEN pk % 7 = 2 THEN 'scored' END"))), ("pending", part(2, "pk % 2 = 0")), ("reports", part(3, "true", False))])
 
 
 @query(BASE_SQL + """SELECT run_id, version FROM cand WHERE round <= 6""")

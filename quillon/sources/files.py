@@ -10,7 +10,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from quillon.functions.json_paths import field_paths
 
 RESULT = (
     "example_id STRING, model STRING, output STRUCT<route: STRING>, error STRING, latency_ms DOUBLE, retries INT, token_usage STRUCT<input_tokens: BIGINT, cached_tokens: BIGINT,"
@@ -19,13 +20,31 @@ RESULT = (
 
 
 def with_row_index(df: DataFrame, name: str = "row_idx") -> DataFrame:
-    """df plus its rows' places from 0, in the order of partitions: a count a partition, then offsets; no shuffle.
+    """df plus its rows' places from 0, in the order of partitions: a count a partition, then offsets; no rows move.
+
+    df is read twice and has to come in the same partitions both times, as files, stored tables and repartitions by a
+    fixed number do. For files, numbered_lines gives places in the order of paths.
+    """
+    placed = df.withColumn("_place", F.monotonically_increasing_id())
+    part = F.shiftright("_place", 33)  # how Spark makes these numbers: the partition, then the place in it
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    below = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    bases = counts.select("_part", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_base"))
+    joined = placed.withColumn("_part", part).join(F.broadcast(bases), "_part")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_base") + F.col("_place").bitwiseAND((1 << 33) - 1)).alias(name))
+
 
-    For several files the order is by path first: read and sort by (_metadata.file_path, ...) before where it matters.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, line (from 0): the lines of text files, by path, then place in the file.
+
+    A block of a file is read by one task, so a line's place is its place in the block after the lines of all blocks
+    before; a row a block is counted.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    rows = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(rows, schema)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    blocks = lines.groupBy("_f", "_b").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    below = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    bases = blocks.select("_f", "_b", (F.coalesce(F.sum("_n").over(below), F.lit(0)) - F.col("_first")).alias("_base"))
+    return lines.join(F.broadcast(bases), ["_f", "_b"]).select("value", (F.col("_m") + F.col("_base")).alias("line"))
 
 
 def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -46,7 +65,7 @@ def read_jsonl(spark: SparkSession, path: str, mode: str = "permissive") -> tupl
     mode "strict" raises at the first bad line, naming its number; "permissive" gives the numbers of bad lines;
     "results" also leaves out rows with a __meta__ key. Lines that JSON proper doesn't allow are bad.
     """
-    lines = with_row_index(spark.read.text(path), "line").where("trim(value) <> ''").withColumn("v", F.try_parse_json("value"))
+    lines = numbered_lines(spark, path).where("trim(value) <> ''").withColumn("v", F.try_parse_json("value"))
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT<"), F.lit(False))
     bad = lines.where(~is_object).select((F.col("line") + 1).alias("line"))
     if mode == "strict":
@@ -76,26 +95,24 @@ def source_reader(path: str) -> str:
     return {"csv": "csv", "json": "json"}.get(kind[1:], "jsonl")
 
 
-def nested_paths(rows: DataFrame, v: str = "v", depth: int = 4) -> DataFrame:
-    """path: the distinct dot paths of nested objects, the ones on the way included, over the whole table.
+def nested_paths(rows: DataFrame, v: str = "v") -> DataFrame:
+    """path: the distinct dot paths of nested objects at any depth, the ones on the way included, over the whole table.
 
-    Read off each row's schema by taking keys level by level, `depth` levels deep.
+    They are read off each row's schema in one pass.
     """
-    level = rows.select(F.col(v).alias("v"), F.lit("").alias("at"))
-    found = None
-    for _ in range(depth):
-        keys = level.where(F.schema_of_variant("v").startswith("OBJECT<")).select("at", F.explode(F.variant_get("v", "$", "map<string, variant>")).alias("key", "v"))
-        level = keys.select("v", F.when(F.col("at") == "", F.col("key")).otherwise(F.concat("at", F.lit("."), "key")).alias("at"))
-        paths = level.select(F.col("at").alias("path"))
-        found = paths if found is None else found.union(paths)
-    return found.distinct()
-
-
-def profile_rows(rows: DataFrame, v: str = "v") -> DataFrame:
-    """One row: n_rows, first_columns (keys of the first row), all_columns (keys of any row)."""
+    return rows.select(F.explode(field_paths(F.col(v), arrays=False)).alias("path")).distinct()
+
+
+def profile_rows(rows: DataFrame, bad: DataFrame | None = None, v: str = "v", samples: int = 5) -> DataFrame:
+    """One row: n_rows, first_columns (keys of the first row), all_columns (keys of any row), sample_rows (the first ones as JSON), n_skipped and skipped_lines (the first twenty of `bad`, which has line)."""
     keys = F.array_sort(F.map_keys(F.variant_get(v, "$", "map<string, variant>")))
-    return rows.agg(F.count("*").alias("n_rows"), F.min_by(keys, "row_idx").alias("first_columns"), F.array_sort(F.collect_set(F.array_join(keys, ","))).alias("_k")).select(
-        "n_rows", "first_columns", F.array_sort(F.array_distinct(F.flatten(F.transform("_k", lambda k: F.split(k, ","))))).alias("all_columns"))
+    sums = rows.agg(F.count("*").alias("n_rows"), F.min_by(keys, "row_idx").alias("first_columns"), F.collect_set(keys).alias("_k"))
+    head = rows.orderBy("row_idx").limit(samples).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", F.to_json(v).alias("j")))), lambda x: x["j"]).alias("sample_rows"))
+    out = sums.select("n_rows", "first_columns", F.array_sort(F.array_distinct(F.flatten("_k"))).alias("all_columns")).join(F.broadcast(head))  # one row
+    if bad is None:
+        return out.withColumn("n_skipped", F.lit(0).cast("long")).withColumn("skipped_lines", F.array().cast("array<bigint>"))
+    first = bad.orderBy("line").limit(20).agg(F.array_sort(F.collect_list("line")).alias("skipped_lines"))
+    return out.join(F.broadcast(bad.agg(F.count("*").alias("n_skipped")))).join(F.broadcast(first))  # one row each
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
@@ -111,10 +128,35 @@ def read_reports_long(spark: SparkSession, path: str) -> DataFrame:
     return text.where("r.summary.succeeded > 0 AND size(r.metrics) > 0").select("version", F.explode("r.metrics").alias("key", "value"))
 
 
+def reports_by_round(reports: DataFrame, rounds: DataFrame) -> DataFrame:
+    """round, version, key, value: long reports by the rounds whose candidates_evaluated (an array) name the version; null keys where there is no report."""
+    named = rounds.select("round", F.explode("candidates_evaluated").alias("version"))
+    return named.join(reports, "version", "left").select("round", "version", "key", "value")
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+#: What tells one evaluation run from another.
+FINGERPRINT = ("prompt_version", "backend", "data_source")
+
+
+def write_results(df: DataFrame, path: str, fingerprint: dict[str, str] | None = None) -> None:
+    """Results as JSON lines, with a header line of the run's fingerprint if one is given."""
+    lines = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    if fingerprint is not None:
+        head = df.sparkSession.range(1).select(F.to_json(F.struct(F.lit("run_fingerprint").alias("__meta__"), *[F.lit(fingerprint[k]).alias(k) for k in FINGERPRINT])).alias("value"))
+        lines = head.unionByName(lines)
+    lines.write.mode("overwrite").text(path)
+
+
+def read_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """version, prompt_version, backend, data_source from the header lines of results, version from the folder above the file."""
+    text = spark.read.text(path).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("version"))
+    return text.select("version", F.from_json("value", RESULT).alias("r")).where("r.__meta__ IS NOT NULL").select("version", *[f"r.{k}" for k in FINGERPRINT])
+
+
 def prompt_corpus(spark: SparkSession, path: str, extensions: tuple[str, ...] = (".md", ".txt", ".yaml")) -> DataFrame:
     """version, text, modified, is_latest: of several files of one version the first extension wins."""
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)

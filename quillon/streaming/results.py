@@ -20,11 +20,17 @@ def confusion_stream(results: DataFrame, examples: DataFrame, keys: tuple[str, .
     return joined.groupBy(*keys, F.col("route").alias("true_route"), F.coalesce("output.route", F.lit(NO_OUTPUT)).alias("pred_route")).agg(F.count("*").alias("n"))
 
 
-def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """All that is there now, then the state as a table."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """All that is there now, then the complete state, which each batch writes under path (one folder a batch) from the executors."""
+
+    def on_batch(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{epoch}")
+
+    q = stream.writeStream.outputMode("complete").foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if q.lastProgress is None:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/{q.lastProgress['batchId']}")
 
 
 def front_stream(candidates: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("run_id",)):
