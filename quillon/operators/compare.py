@@ -42,6 +42,24 @@ def candidate_deltas(metrics: DataFrame, parents: DataFrame, keys: tuple[str, ..
     return own.join(theirs, [*keys, "parent", "key"]).select(*keys, "version", "parent", "key", (F.col("value") - F.col("_p")).alias("delta"))
 
 
+def candidate_comparisons(metrics: DataFrame, parents: DataFrame, keys: tuple[str, ...] = ("run_id",), primary: str = "accuracy", cost: str = "cost_change_with_overhead") -> DataFrame:
+    """keys, version, parent, quality_delta, cost_delta, recall_deltas: one row a version of parents that has metrics.
+
+    A delta is null where either side lacks the metric or there is no parent with metrics; recall_deltas maps the
+    routes that both sides have to the difference of recalls.
+    """
+    chosen = metrics.where((F.col("key") == primary) | (F.col("key") == cost) | F.col("key").startswith("recall/"))
+    sides = metrics.select(*keys, "version").distinct().join(parents.select(*keys, "version", F.col("parent_version").alias("parent")), [*keys, "version"])
+    own = chosen.join(sides, [*keys, "version"]).select(*keys, "version", "parent", "key", "value")
+    theirs = chosen.select(*keys, F.col("version").alias("parent"), "key", F.col("value").alias("_p"))
+    deltas = own.join(theirs, [*keys, "parent", "key"]).select(*keys, "version", "key", (F.col("value") - F.col("_p")).alias("d"))
+    of = lambda k: F.max(F.when(F.col("key") == k, F.col("d")))
+    recall = F.collect_list(F.when(F.col("key").startswith("recall/") & F.col("d").isNotNull(), F.struct(F.substring("key", len("recall/") + 1, 1 << 20).alias("route"), "d")))
+    sums = deltas.groupBy(*keys, "version").agg(of(primary).alias("quality_delta"), of(cost).alias("cost_delta"), F.map_from_entries(F.array_sort(recall)).alias("recall_deltas"))
+    none = F.create_map().cast("map<string, double>")
+    return sides.join(sums, [*keys, "version"], "left").select(*keys, "version", "parent", "quality_delta", "cost_delta", F.coalesce("recall_deltas", none).alias("recall_deltas"))
+
+
 def filter_metric_deltas(deltas: DataFrame, targets: tuple[str, ...] = (), least: float = 0.01) -> DataFrame:
     """Without confusion cells; the primary metrics, the target metrics and what changed by more than `least`."""
     return deltas.where(~F.col("key").startswith("confusion/") & (F.col("key").isin(*PRIMARY, *targets) | (F.abs("delta") > least)))
@@ -78,11 +96,39 @@ def _against(metrics: DataFrame, targets: DataFrame, keys: tuple[str, ...]) -> D
     return groups.join(metrics.select(*keys, F.col("key").alias("metric"), "value"), [*keys, "metric"], "left")
 
 
-def target_progress(metrics: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ("run_id", "version")) -> DataFrame:
-    """keys, metric, value, met, ratio: |value / threshold|, at least 1 where met; null at threshold 0 or without a value."""
-    met = F.coalesce(holds(F.col("operator"), F.col("value"), F.col("threshold")), F.lit(False))
-    ratio = F.when(F.col("value").isNull() | (F.col("threshold") == 0), F.lit(None)).otherwise(F.abs(F.col("value") / F.col("threshold")))
-    return _against(metrics, targets, keys).select(*keys, "metric", "value", met.alias("met"), F.when(met & ratio.isNotNull(), F.greatest(ratio, F.lit(1.0))).otherwise(ratio).alias("ratio"))
+#: The oracle's metric beside a target's.
+ORACLE_METRICS = {"cost_change": "oracle_cost_change", "cost_change_with_overhead": "oracle_cost_change", "quality_change": "oracle_quality_change"}
+
+
+def target_progress(metrics: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ("run_id", "version"), oracle: DataFrame | None = None, full_oracle: DataFrame | None = None) -> DataFrame:
+    """keys, metric, value, met, ratio (|value / threshold|, at least 1 where met), ceiling, full_ceiling, capture_ratio, translated and above_oracle.
+
+    ceiling is the oracle's metric beside the target's, from `oracle` (key, value: one for all groups) or else from the
+    group's own metrics. A target is above the oracle if it is stricter than the ceiling. With full_oracle (key, value
+    over the whole dataset) and a figure there that isn't 0, capture_ratio is the threshold over it, translated the
+    ceiling times that, above_oracle goes by |capture_ratio| > 1, and met and ratio by the translated threshold. The
+    ratio is null at a threshold of 0 or without a value.
+    """
+    beside = F.create_map(*[F.lit(x) for pair in ORACLE_METRICS.items() for x in pair])
+    rows = _against(metrics, targets, keys).withColumn("_o", F.element_at(beside, F.col("metric")))
+    if oracle is None:
+        rows = rows.join(metrics.select(*keys, F.col("key").alias("_o"), F.col("value").alias("ceiling")), [*keys, "_o"], "left")
+    else:
+        rows = rows.join(F.broadcast(oracle.where(F.col("key").isin(*ORACLE_METRICS.values())).select(F.col("key").alias("_o"), F.col("value").alias("ceiling"))), "_o", "left")  # two rows
+    if full_oracle is None:
+        rows = rows.withColumn("full_ceiling", F.lit(None).cast("double"))
+    else:
+        rows = rows.join(F.broadcast(full_oracle.where(F.col("key").isin(*ORACLE_METRICS.values())).select(F.col("key").alias("_o"), F.col("value").alias("full_ceiling"))), "_o", "left")  # two rows
+    t, v, op, ceiling = F.col("threshold"), F.col("value"), F.col("operator"), F.col("ceiling")
+    capture = F.when(F.col("full_ceiling") != 0, t / F.col("full_ceiling"))
+    rows = rows.withColumn("capture_ratio", capture).withColumn("translated", F.when(ceiling != 0, F.col("capture_ratio") * ceiling))
+    stricter = F.when(ceiling.isNull() | (t == 0), F.lit(False)).when(op.isin("<=", "<"), t < ceiling).when(op.isin(">=", ">"), t > ceiling).otherwise(F.lit(False))
+    goal = F.coalesce("translated", "threshold")
+    met = F.coalesce(holds(op, v, goal), F.lit(False))
+    ratio = F.when(goal != 0, F.abs(v / goal))
+    at_least = F.when(met, F.greatest(ratio, F.when(ratio.isNotNull(), F.lit(1.0)))).otherwise(ratio)
+    above = F.when(F.col("capture_ratio").isNotNull(), F.abs("capture_ratio") > 1).otherwise(stricter)
+    return rows.select(*keys, "metric", "value", met.alias("met"), at_least.alias("ratio"), "ceiling", "full_ceiling", "capture_ratio", "translated", above.alias("above_oracle"))
 
 
 def targets_met(metrics: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ("run_id", "version")) -> DataFrame:
@@ -124,17 +170,49 @@ def reshape_route_metrics(metrics: DataFrame, keys: tuple[str, ...] = ("run_id",
     return rows.groupBy(*keys, "route").pivot("_m", list(names)).agg(F.max("value"))
 
 
+def per_class_performance(metrics: DataFrame, keys: tuple[str, ...] = ("run_id", "version")) -> DataFrame:
+    """keys, route, recall, precision, f1, support of every route that has one of the three; macro figures are left out.
+
+    The support is the metric support/<route>, else the sum of the route's row of the confusion matrix, else null.
+    """
+    routes = reshape_route_metrics(metrics.where(~F.col("key").endswith("/macro")), keys)
+    parts = F.split("key", "/", 3)
+    given = metrics.where(F.col("key").startswith("support/")).select(*keys, F.split("key", "/", 2)[1].alias("route"), F.col("value").alias("_given"))
+    summed = metrics.where(F.col("key").startswith("confusion/")).groupBy(*keys, parts[1].alias("route")).agg(F.sum("value").alias("_summed"))
+    j = routes.join(given, [*keys, "route"], "left").join(summed, [*keys, "route"], "left")
+    return j.select(*keys, "route", "recall", "precision", "f1", F.coalesce("_given", "_summed").cast("long").alias("support"))
+
+
 def batch_outcomes(variants: DataFrame, candidates: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
     """keys, version, quality, delta (to the parent), is_new_best: variants with what became of them, null if never scored.
 
-    A variant is a new best if no candidate of an earlier round has as high a quality.
+    A variant is a new best if no candidate of an earlier round has as high a quality. Where candidates have
+    eval_status, only a "scored" one has a delta, and eval_status ("scored", "failed" or null) comes with the rest.
     """
-    c = candidates.select(*keys, "version", "round", "quality")
+    status = "eval_status" in candidates.columns
+    c = candidates.select(*keys, "version", "round", "quality", *["eval_status"] * status)
     best = Window.partitionBy(*keys).orderBy("round").rangeBetween(Window.unboundedPreceding, -1)
     scored = c.withColumn("_best", F.max("quality").over(best))
     parent = c.select(*keys, F.col("version").alias("parent_version"), F.col("quality").alias("_pq"))
     j = variants.join(scored, [*keys, "version"], "left").join(parent, [*keys, "parent_version"], "left")
-    return j.select(*keys, "version", "quality", (F.col("quality") - F.col("_pq")).alias("delta"), F.when(F.col("quality").isNotNull(), F.col("_best").isNull() | (F.col("quality") > F.col("_best"))).alias("is_new_best"))
+    counts = F.coalesce(F.col("eval_status") == "scored", F.lit(False)) if status else F.lit(True)
+    return j.select(
+        *keys, "version", "quality", F.when(counts, F.col("quality") - F.col("_pq")).alias("delta"), F.when(F.col("quality").isNotNull(), F.col("_best").isNull() | (F.col("quality") > F.col("_best"))).alias("is_new_best"),
+        *[F.when(F.col("eval_status").isin("scored", "failed"), F.col("eval_status")).alias("eval_status")] * status)
+
+
+def batch_metric_deltas(variants: DataFrame, candidates: DataFrame, metrics: DataFrame, targets: tuple[str, ...] = (), keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """keys, version, against ("parent", "secondary"), key, delta: a scored variant's metrics less those of each of its parents, as filter_metric_deltas leaves them.
+
+    variants has version, parent_version and secondary_parent_version, candidates version and eval_status.
+    """
+    scored = variants.join(candidates.where("eval_status = 'scored'").select(*keys, "version").distinct(), [*keys, "version"], "left_semi")
+    sides = scored.select(*keys, "version", F.inline(F.array(
+        F.struct(F.lit("parent").alias("against"), F.col("parent_version").alias("parent")), F.struct(F.lit("secondary").alias("against"), F.col("secondary_parent_version").alias("parent"))))).where("parent IS NOT NULL")
+    own = metrics.join(sides, [*keys, "version"])
+    theirs = metrics.select(*keys, F.col("version").alias("parent"), "key", F.col("value").alias("_p"))
+    deltas = own.join(theirs, [*keys, "parent", "key"]).select(*keys, "version", "against", "key", (F.col("value") - F.col("_p")).alias("delta"))
+    return filter_metric_deltas(deltas, targets)
 
 
 def evaluated_versions(reports: DataFrame, front: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
@@ -144,7 +222,11 @@ def evaluated_versions(reports: DataFrame, front: DataFrame, keys: tuple[str, ..
     return j.select(*keys, "version", F.coalesce("_q", F.lit(0)).alias("quality"), F.coalesce("_c", F.lit(0)).alias("cost"), F.col("_q").isNotNull().alias("on_front"))
 
 
-def score_report(metrics: DataFrame, results: DataFrame, previous: DataFrame | None = None, keys: tuple[str, ...] = ("run_id", "version")) -> dict[str, DataFrame]:
-    """The parts of a report: metrics, failed results, and the differences from an earlier report's metrics."""
+def score_report(metrics: DataFrame, summary: DataFrame, results: DataFrame, previous: tuple[DataFrame, DataFrame] | None = None, keys: tuple[str, ...] = ("run_id", "version")) -> dict[str, DataFrame]:
+    """The parts of a report: metrics, summary, failed results, and the differences from an earlier report (its metrics and summary)."""
     failed = results.where("error IS NOT NULL").select(*keys, "example_id", "error", "retries")
-    return {"metrics": metrics, "errors": failed} | ({} if previous is None else {"diff": metric_diffs(previous, metrics, keys)})
+    parts = {"metrics": metrics, "summary": summary, "errors": failed}
+    if previous is not None:
+        fields = tuple(f for f in ("total_cost", "duration_seconds") if f in summary.columns)
+        parts |= {"metric_diffs": metric_diffs(previous[0], metrics, keys), "overhead_diff": overhead_diff(previous[1], summary, keys, fields)}
+    return parts

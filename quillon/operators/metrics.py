@@ -130,6 +130,12 @@ def error_analysis(results: DataFrame, examples: DataFrame, keys: tuple[str, ...
     return joined.groupBy(*keys, F.coalesce("_route", F.lit("unknown")).alias("expected"), predicted.alias("predicted")).agg(F.count("*").alias("n"))
 
 
+def error_totals(results: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, total, errors, error_rate (to four places) of all results."""
+    out = results.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+    return out.withColumn("error_rate", F.round(F.col("errors") / F.col("total"), 4))
+
+
 def baseline_strategies(examples: DataFrame, results: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """keys, strategy, route, cost, quality: always the cheapest route, always the most capable one, and the predictions.
 

@@ -89,22 +89,33 @@ def score_trajectory(scores: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFra
 
 
 def diminishing_returns(trajectory: DataFrame, keys: tuple[str, ...] = KEYS, last: int = 7) -> DataFrame:
-    """keys, n_points, trend, spread, threshold, stagnating, over the last points of a trajectory.
+    """keys, n_points, trend, spread, threshold, stagnating, over the last points of a trajectory, and scores, the last eight.
 
     trend and spread are the mean and population deviation of the steps (spread 0 below two steps); the threshold is a
     hundredth of the best score, 0.005 at least.
     """
     w = Window.partitionBy(*keys)
-    rows = trajectory.withColumn("_r", F.row_number().over(w.orderBy(F.desc("round")))).withColumn("_best", F.max("score").over(w)).where(F.col("_r") <= last)
-    rows = rows.withColumn("_d", F.col("score") - F.lag("score").over(w.orderBy("round")))
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n_points"), F.avg("_d").alias("trend"), F.when(F.count("_d") < 2, F.lit(0.0)).otherwise(F.stddev_pop("_d")).alias("spread"), F.greatest(F.lit(0.005), F.max("_best") * 0.01).alias("threshold"))
+    ranked = trajectory.withColumn("_r", F.row_number().over(w.orderBy(F.desc("round")))).withColumn("_best", F.max("score").over(w)).where(F.col("_r") <= max(last, 8))
+    rows = ranked.withColumn("_d", F.when(F.col("_r") < last, F.col("score") - F.lag("score").over(w.orderBy("round"))))
+    scores = F.transform(F.array_sort(F.collect_list(F.when(F.col("_r") <= 8, F.struct("round", "score")))), lambda x: x["score"])
+    out = rows.groupBy(*keys).agg(
+        F.count_if(F.col("_r") <= last).alias("n_points"), F.avg("_d").alias("trend"), F.when(F.count("_d") < 2, F.lit(0.0)).otherwise(F.stddev_pop("_d")).alias("spread"),
+        F.greatest(F.lit(0.005), F.max("_best") * 0.01).alias("threshold"), scores.alias("scores"))
     return out.withColumn("stagnating", (F.col("n_points") >= 2) & (F.col("trend") < F.col("threshold")))
 
 
+def active_attempts(attempts: DataFrame, cells: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The attempts at cells that are still there."""
+    return attempts.join(cells.select(*keys, "cell").distinct(), [*keys, "cell"], "left_semi")
+
+
 def attempt_decay(cells: DataFrame, attempts: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """cells (keys, cell, impact) plus attempts, failures since the last improvement, last_round, best_outcome and effective impact, halved by each failure."""
+    """cells (keys, cell, impact) plus attempts, failures since the last improvement, last_round, best_outcome and effective impact, halved by each failure.
+
+    Only the attempts at these cells count.
+    """
     group = Window.partitionBy(*keys, "cell")
-    rows = attempts.withColumn("_won", F.max(F.when(F.col("outcome") == "improved", F.col("seq"))).over(group))
+    rows = active_attempts(attempts, cells, keys).withColumn("_won", F.max(F.when(F.col("outcome") == "improved", F.col("seq"))).over(group))
     order = F.when(F.col("outcome") == "improved", 0).when(F.col("outcome") == "no_effect", 1).otherwise(2)
     failed = (F.col("outcome") != "improved") & (F.col("_won").isNull() | (F.col("seq") > F.col("_won")))
     sums = rows.groupBy(*keys, "cell").agg(F.count("*").alias("attempts"), F.count_if(failed).alias("failures"), F.max("round").alias("last_round"), F.min_by("outcome", order).alias("best_outcome"))
@@ -117,14 +128,36 @@ def outcome_of(delta, least: float = 0.005):
 
 
 def cell_outcomes(cells: DataFrame, least: float = 0.005) -> DataFrame:
-    """cells plus outcome: by the cost delta (a fall is good) where cost weighs more than quality, else by the quality delta; no deltas, no effect."""
-    by_cost = F.abs("cost_impact") > F.abs("quality_impact")
-    delta = F.when(by_cost, -F.col("cost_delta")).otherwise(F.col("quality_delta"))
-    return cells.withColumn("outcome", F.when(F.col("cost_delta").isNull() | F.col("quality_delta").isNull(), "no_effect").otherwise(outcome_of(delta, least)))
+    """cells plus outcome: by the cost delta (a fall is good) where there is one and cost weighs more than quality, else by the quality delta; without it, no effect."""
+    by_cost = F.coalesce(F.col("cost_delta").isNotNull() & (F.abs("cost_impact") > F.abs("quality_impact")), F.lit(False))
+    return cells.withColumn("outcome", F.when(by_cost, outcome_of(-F.col("cost_delta"), least)).otherwise(outcome_of(F.col("quality_delta"), least)))
+
+
+def append_attempts(attempts: DataFrame, outcomes: DataFrame, round_: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The history of attempts (keys, cell, seq, round, outcome) with a round's outcomes (keys, cell, variant, outcome) after it.
+
+    Places go on from the last of the cell, in the order of variants.
+    """
+    last = attempts.groupBy(*keys, "cell").agg(F.max("seq").alias("_last"))
+    place = F.row_number().over(Window.partitionBy(*keys, "cell").orderBy("variant"))
+    new = outcomes.where("cell IS NOT NULL").join(last, [*keys, "cell"], "left").select(*keys, "cell", (F.coalesce("_last", F.lit(0)) + place).cast("long").alias("seq"), F.lit(round_).alias("round"), "outcome")
+    return attempts.select(*keys, "cell", F.col("seq").cast("long"), F.col("round").cast("int"), "outcome").unionByName(new)
 
 
 def directive_outcomes(variants: DataFrame, keys: tuple[str, ...] = KEYS, last: int = 15) -> DataFrame:
-    """keys, directive, attempted, improved, regressed, no_effect, last_round: the latest directives of each group."""
+    """keys, version, directive, was_attempted, outcome: one row a variant and directive, the last of each group by round, version and place.
+
+    variants has round, version, directive_ids, eval_status and delta. A variant that is scored was attempted; the
+    outcome goes by the sign of its delta, and no delta is no effect.
+    """
+    outcome = F.when(F.col("delta") > 0, "improved").when(F.col("delta") < 0, "regressed").otherwise("no_effect")
+    rows = variants.select(*keys, "round", "version", F.posexplode("directive_ids").alias("_at", "directive"), F.coalesce(F.col("eval_status") == "scored", F.lit(False)).alias("was_attempted"), outcome.alias("outcome"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("round"), F.desc("version"), F.desc("_at")))
+    return rows.withColumn("_r", rank).where(F.col("_r") <= last).select(*keys, "version", "directive", "was_attempted", "outcome")
+
+
+def directive_counts(variants: DataFrame, keys: tuple[str, ...] = KEYS, last: int = 15) -> DataFrame:
+    """keys, directive, attempted, improved, regressed, no_effect, last_round: sums over variants, for the latest directives of each group."""
     rows = variants.select(*keys, "round", F.explode("directive_ids").alias("directive"), "delta")
     sums = rows.groupBy(*keys, "directive").agg(
         F.count("delta").alias("attempted"), F.count_if(F.col("delta") > 0).alias("improved"), F.count_if(F.col("delta") < 0).alias("regressed"), F.count_if(F.col("delta") == 0).alias("no_effect"), F.max("round").alias("last_round"))
@@ -132,6 +165,17 @@ def directive_outcomes(variants: DataFrame, keys: tuple[str, ...] = KEYS, last:
     return sums.withColumn("_r", rank).where(F.col("_r") <= last).drop("_r")
 
 
+def regressions(trends: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The routes of recall_trend that regressed, plus place: those with the least support first."""
+    return trends.where("regressed").withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("support", "route")))
+
+
+def best_candidate(deltas: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, version, quality_delta: the version whose quality rose most against its parent, the first by name among equals."""
+    best = F.min_by(F.struct("version", "quality_delta"), F.struct(-F.col("quality_delta"), F.col("version"))).alias("b")
+    return deltas.where("quality_delta IS NOT NULL").groupBy(*keys).agg(best).select(*keys, "b.*")
+
+
 def round_progress(rounds: DataFrame, keys: tuple[str, ...] = KEYS, budget: int = 60, limit: int = 5, max_rounds: int = 50) -> DataFrame:
     """rounds plus hypervolume_change, total_evaluated, total_cost, budget_used and stop_reason."""
     w = Window.partitionBy(*keys).orderBy("round")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators import compare as c
 from quillon.operators import metrics as m
 from quillon.plans.fixtures import BASE_SQL, examples, results
 
@@ -61,10 +62,36 @@ def macro_f1(spark, sf_dir):
     return m.macro_f1(per_class, V).withColumn("macro_f1", F.round("macro_f1", 9))
 
 
-@query(PRF_SQL + "SELECT version, support, class AS route, precision, recall, f1 FROM prf WHERE support > 0")
+def route_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """version, key, value: precision/, recall/ and f1/ of every class, f1/macro and the confusion cells."""
+    cells = m.confusion_cells(pairs(spark, sf_dir), V)
+    per_class = m.precision_recall_f1(cells, V)
+    each = per_class.select("version", F.inline(F.array(*[F.struct(F.concat(F.lit(f"{n}/"), "class").alias("key"), F.col(n).alias("value")) for n in ("precision", "recall", "f1")])))
+    macro = m.macro_f1(per_class, V).select("version", F.lit("f1/macro").alias("key"), F.col("macro_f1").alias("value"))
+    confusion = m.confusion_dense(cells, V).select("version", F.concat_ws("/", F.lit("confusion"), "true_route", "pred_route").alias("key"), F.col("n").cast("double").alias("value"))
+    return each.unionByName(macro).unionByName(confusion)
+
+
+@query(PRF_SQL + "SELECT version, support, class AS route, precision, recall, f1 FROM prf")
 def per_class_performance(spark, sf_dir):
-    per_class = m.precision_recall_f1(m.confusion_cells(pairs(spark, sf_dir), V), V)
-    return per_class.where("support > 0").withColumnRenamed("class", "route")
+    return c.per_class_performance(route_metrics(spark, sf_dir), V)
+
+
+@query(PRF_SQL + "SELECT version, class AS route, precision, recall, f1 FROM prf UNION ALL SELECT version, 'macro', NULL, NULL, round(avg(f1), 9) FROM prf GROUP BY version")
+def reshaped_route_metrics(spark, sf_dir):
+    out = c.reshape_route_metrics(route_metrics(spark, sf_dir), V)
+    return out.withColumn("f1", F.when(F.col("route") == "macro", F.round("f1", 9)).otherwise(F.col("f1")))
+
+
+@query(PRF_SQL + "SELECT version, unnest([concat('precision/', class), concat('recall/', class), concat('f1/', class)]) AS key, unnest([precision, recall, f1]) AS value FROM prf UNION ALL SELECT version, 'f1/macro', round(avg(f1), 9) FROM prf GROUP BY version")
+def stripped_metrics(spark, sf_dir):
+    out = c.strip_confusion(route_metrics(spark, sf_dir))
+    return out.withColumn("value", F.when(F.col("key") == "f1/macro", F.round("value", 9)).otherwise(F.col("value")))
+
+
+@query(BASE_SQL + "SELECT version, count(*) AS total, count(*) FILTER (err) AS errors, round(count(*) FILTER (err) / count(*), 4) AS error_rate FROM res GROUP BY version")
+def error_totals(spark, sf_dir):
+    return m.error_totals(results(spark, sf_dir), V)
 
 
 @query(BASE_SQL + """SELECT version, arg_min(route, (-sq / n, route)) AS baseline FROM (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillon.operators import compare as c
 from quillon.operators import metrics as m
 from quillon.operators import review as r
+from quillon.operators.pareto import absolute_marks as marks_of
 from quillon.operators.pareto import candidate_points as points_of
 from quillon.operators.pareto import pareto_front
 from quillon.plans.fixtures import BASE_SQL, candidates, examples, results
@@ -35,8 +36,8 @@ def _metrics(spark, sf_dir):
 
 
 _CQ = [x for x in "baseline_cost baseline_quality predicted_cost predicted_quality oracle_cost oracle_quality routing_overhead cost_change cost_change_with_overhead quality_change oracle_cost_change oracle_quality_change oracle_quality_captured".split()]
-LONG_SQL = CQ_SQL + PRF_SQL[len(BASE_SQL) :] + """, lm AS (SELECT version, 'accuracy' AS key, count(*) FILTER (pred = route) / count(*) AS value FROM pairs GROUP BY version
-  UNION ALL SELECT version, concat('recall/', class), recall FROM prf UNION ALL """ + " UNION ALL ".join(f"SELECT version, '{k}', {k} FROM cq" for k in _CQ) + ")\n"
+LONG_SQL = CQ_SQL + PRF_SQL[len(BASE_SQL) :] + """, lm AS MATERIALIZED (SELECT version, CAST(substr(version, 2) AS INT) AS v, 'accuracy' AS key, count(*) FILTER (pred = route) / count(*) AS value FROM pairs GROUP BY version
+  UNION ALL SELECT version, CAST(substr(version, 2) AS INT), concat('recall/', class), recall FROM prf UNION ALL """ + " UNION ALL ".join(f"SELECT version, CAST(substr(version, 2) AS INT), '{k}', {k} FROM cq" for k in _CQ) + ")\n"
 
 
 @query(LONG_SQL + """, a AS (SELECT * FROM lm WHERE version = 'v1' AND key <> 'accuracy'), b2 AS (SELECT * FROM lm WHERE version = 'v2' AND key <> 'recall/')
@@ -60,13 +61,52 @@ def score_report_errors(spark, sf_dir):
     return results(spark, sf_dir).where("error IS NOT NULL").select("version", "example_id", "error", "retries")
 
 
-@query(LONG_SQL + "SELECT a.version, p.version AS parent, a.key, a.value - p.value AS delta FROM lm a JOIN lm p ON a.key = p.key AND CAST(substr(a.version, 2) AS INT) = CAST(substr(p.version, 2) AS INT) + 1")
+@query(LONG_SQL + """, sm AS MATERIALIZED (SELECT version, v, CAST(sum(spent) AS BIGINT) / 1e6 AS total_cost FROM res GROUP BY ALL)
+SELECT version, 'metrics' AS part, key, CAST(NULL AS DOUBLE) AS old, value AS new FROM lm UNION ALL SELECT version, 'summary', 'total_cost', NULL, total_cost FROM sm UNION ALL SELECT version, 'errors', id, NULL, 3 FROM res WHERE err
+UNION ALL SELECT coalesce(n.version, concat('v', o.v + 1)), 'metric_diffs', coalesce(n.key, o.key), o.value, n.value FROM lm n FULL JOIN lm o ON o.key = n.key AND n.v = o.v + 1 WHERE n.value IS DISTINCT FROM o.value
+UNION ALL SELECT n.version, 'overhead_diff', 'total_cost', o.total_cost, n.total_cost FROM sm n JOIN sm o ON n.v = o.v + 1 WHERE n.total_cost <> o.total_cost""")
+def score_report(spark, sf_dir):
+    both, summary = _metrics(spark, sf_dir), m.run_summary(results(spark, sf_dir), V)
+    later = lambda df: df.withColumn("version", F.concat(F.lit("v"), F.substring("version", 2, 9).cast("int") + 1))
+    parts = c.score_report(both, summary, results(spark, sf_dir), (later(both), later(summary)), V)
+    none = F.lit(None).cast("double")
+    row = lambda part, key, old, new: parts[part].select("version", F.lit(part).alias("part"), key.alias("key"), old.cast("double").alias("old"), new.cast("double").alias("new"))
+    rows = row("metrics", F.col("key"), none, F.col("value")).unionByName(row("summary", F.lit("total_cost"), none, F.col("total_cost"))).unionByName(row("errors", F.col("example_id"), none, F.col("retries")))
+    return rows.unionByName(row("metric_diffs", F.col("key"), F.col("old"), F.col("new"))).unionByName(row("overhead_diff", F.lit("total_cost"), F.col("old_total_cost"), F.col("new_total_cost")))
+
+
+@query(LONG_SQL + "SELECT v, key, value, lag(value) OVER (PARTITION BY key ORDER BY v) AS previous FROM lm")
+def metrics_with_previous(spark, sf_dir):
+    rows = _metrics(spark, sf_dir).select(F.substring("version", 2, 9).cast("int").alias("v"), "key", "value")
+    return c.with_previous(rows, (), "v")
+
+
+@query(LONG_SQL + """, vs AS (SELECT DISTINCT version, v FROM lm), j AS (SELECT s.version, CASE WHEN s.v % 3 = 1 THEN NULL WHEN s.v % 3 = 2 THEN 'v9' ELSE concat('v', s.v - 1) END AS parent FROM vs s),
+d AS (SELECT j.version, a.key, a.value - p.value AS d FROM j JOIN lm a ON a.version = j.version JOIN lm p ON p.version = j.parent AND p.key = a.key)
+SELECT version, parent, (SELECT d FROM d WHERE d.version = j.version AND key = 'accuracy') AS quality_delta, (SELECT d FROM d WHERE d.version = j.version AND key = 'cost_change_with_overhead') AS cost_delta,
+  (SELECT count(*) FROM d WHERE d.version = j.version AND starts_with(key, 'recall/')) AS n_recalls, (SELECT d FROM d WHERE d.version = j.version AND key = 'recall/complex') AS recall_complex FROM j""")
+def candidate_comparisons(spark, sf_dir):
+    parents = spark.range(1, 9).selectExpr("concat('v', id) AS version", "CASE WHEN id % 3 = 1 THEN NULL WHEN id % 3 = 2 THEN 'v9' ELSE concat('v', id - 1) END AS parent_version")
+    out = c.candidate_comparisons(_metrics(spark, sf_dir), parents, ())
+    return out.select("version", "parent", "quality_delta", "cost_delta", F.size("recall_deltas").cast("long").alias("n_recalls"), F.try_element_at("recall_deltas", F.lit("complex")).alias("recall_complex"))
+
+
+@query(LONG_SQL + """, j AS (SELECT DISTINCT a.version, a.v, t.against, concat('v', a.v - t.k) AS parent FROM lm a, (VALUES ('parent', 1), ('secondary', 2)) AS t(against, k) WHERE a.v NOT IN (1, 4) AND NOT (t.k = 2 AND a.v % 2 = 0)),
+d AS (SELECT j.version, against, a.key, a.value - p.value AS delta FROM j JOIN lm a ON a.version = j.version JOIN lm p ON p.version = j.parent AND p.key = a.key)
+SELECT * FROM d WHERE key IN ('accuracy', 'cost_change', 'cost_change_with_overhead', 'oracle_quality_captured', 'oracle_quality_change', 'quality_change', 'baseline_cost') OR abs(delta) > 0.01""")
+def batch_metric_deltas(spark, sf_dir):
+    variants = spark.range(2, 9).selectExpr("concat('v', id) AS version", "concat('v', id - 1) AS parent_version", "IF(id % 2 = 0, NULL, concat('v', id - 2)) AS secondary_parent_version")
+    cands = spark.range(1, 7).selectExpr("concat('v', id) AS version", "IF(id = 4, 'failed', 'scored') AS eval_status")
+    return c.batch_metric_deltas(variants, cands, _metrics(spark, sf_dir), ("baseline_cost",), ())
+
+
+@query(LONG_SQL + "SELECT a.version, p.version AS parent, a.key, a.value - p.value AS delta FROM lm a JOIN lm p ON a.key = p.key AND a.v = p.v + 1")
 def candidate_deltas(spark, sf_dir):
     parents = spark.range(2, 7).selectExpr("concat('v', id) AS version", "concat('v', id - 1) AS parent_version")
     return c.candidate_deltas(_metrics(spark, sf_dir), parents, ())
 
 
-@query(LONG_SQL + """, d AS (SELECT a.version, a.key, a.value - p.value AS delta FROM lm a JOIN lm p ON a.key = p.key AND CAST(substr(a.version, 2) AS INT) = CAST(substr(p.version, 2) AS INT) + 1)
+@query(LONG_SQL + """, d AS (SELECT a.version, a.key, a.value - p.value AS delta FROM lm a JOIN lm p ON a.key = p.key AND a.v = p.v + 1)
 SELECT * FROM d WHERE key IN ('accuracy', 'cost_change', 'cost_change_with_overhead', 'oracle_quality_captured', 'oracle_quality_change', 'quality_change') OR abs(delta) > 0.01""")
 def filtered_deltas(spark, sf_dir):
     return c.filter_metric_deltas(candidate_deltas(spark, sf_dir)).drop("parent")
@@ -86,22 +126,38 @@ def quality_score_of(spark, sf_dir):
     return c.quality_score_of(_metrics(spark, sf_dir), None, V)
 
 
+_TARGETS = [("accuracy", ">=", 0.8), ("cost_change", "<=", 0.0), ("recall/simple", ">", 0.75), ("nothing", ">=", 2.0), ("baseline_cost", ">=", 0.0), ("cost_change_with_overhead", "<=", -0.3), ("quality_change", ">=", -0.01)]
+
+
 def _targets(spark):
-    return spark.createDataFrame([("accuracy", ">=", 0.8), ("cost_change", "<=", 0.0), ("recall/simple", ">", 0.75), ("nothing", ">=", 2.0), ("baseline_cost", ">=", 0.0)], "metric string, operator string, threshold double")
+    return spark.createDataFrame(_TARGETS, "metric string, operator string, threshold double")
 
 
-TARGET_SQL = LONG_SQL + """, tg AS (SELECT * FROM (VALUES ('accuracy', '>=', 0.8::DOUBLE), ('cost_change', '<=', 0.0::DOUBLE), ('recall/simple', '>', 0.75::DOUBLE), ('nothing', '>=', 2.0::DOUBLE), ('baseline_cost', '>=', 0.0::DOUBLE)) AS t(metric, operator, threshold)),
+TARGET_SQL = LONG_SQL + """, tg AS (SELECT * FROM (VALUES """ + ", ".join(f"('{m}', '{o}', {t}::DOUBLE)" for m, o, t in _TARGETS) + """) AS t(metric, operator, threshold)),
 tj AS (SELECT g.version, tg.*, lm.value FROM (SELECT DISTINCT version FROM lm) g CROSS JOIN tg LEFT JOIN lm ON lm.version = g.version AND lm.key = tg.metric),
 tm AS (SELECT *, coalesce(CASE operator WHEN '>=' THEN value >= threshold WHEN '<=' THEN value <= threshold ELSE value > threshold END, false) AS met, CASE WHEN value IS NULL OR threshold = 0 THEN NULL ELSE abs(value / threshold) END AS x FROM tj),
-tp AS (SELECT version, metric, operator, threshold, value, met, CASE WHEN met AND x IS NOT NULL THEN greatest(x, 1.0) ELSE x END AS ratio FROM tm)
+tp AS (SELECT version, metric, operator, threshold, value, met, CASE WHEN met AND x IS NOT NULL THEN greatest(x, 1.0) ELSE x END AS ratio FROM tm),
+ok AS (SELECT *, CASE metric WHEN 'cost_change' THEN 'oracle_cost_change' WHEN 'cost_change_with_overhead' THEN 'oracle_cost_change' WHEN 'quality_change' THEN 'oracle_quality_change' END AS okey FROM tp)
 """
 
 
-@query(TARGET_SQL + "SELECT version, metric, value, met, ratio FROM tp")
+@query(TARGET_SQL + """SELECT ok.version, metric, ok.value, met, ratio, o.value AS ceiling, CAST(NULL AS DOUBLE) AS full_ceiling, CAST(NULL AS DOUBLE) AS capture_ratio, CAST(NULL AS DOUBLE) AS translated,
+  CASE WHEN o.value IS NULL OR threshold = 0 THEN false WHEN operator = '<=' THEN threshold < o.value ELSE threshold > o.value END AS above_oracle FROM ok LEFT JOIN lm o ON o.version = ok.version AND o.key = okey""")
 def target_progress(spark, sf_dir):
     return c.target_progress(_metrics(spark, sf_dir), _targets(spark), V)
 
 
+@query(TARGET_SQL + """, x AS (SELECT ok.*, o.value AS ceiling, f.value AS full_ceiling, threshold / f.value AS capture_ratio, threshold / f.value * o.value AS translated
+  FROM ok LEFT JOIN lm o ON o.version = 'v2' AND o.key = okey LEFT JOIN lm f ON f.version = 'v6' AND f.key = okey),
+y AS (SELECT *, coalesce(translated, threshold) AS goal FROM x),
+z AS (SELECT *, coalesce(CASE operator WHEN '>=' THEN value >= goal WHEN '<=' THEN value <= goal ELSE value > goal END, false) AS now_met FROM y)
+SELECT version, metric, value, now_met AS met, CASE WHEN goal = 0 THEN NULL WHEN now_met THEN greatest(abs(value / goal), 1.0) ELSE abs(value / goal) END AS ratio, ceiling, full_ceiling, capture_ratio, translated,
+  coalesce(abs(capture_ratio) > 1, false) AS above_oracle FROM z""")
+def target_progress_translated(spark, sf_dir):
+    both = _metrics(spark, sf_dir)
+    return c.target_progress(both, _targets(spark), V, both.where("version = 'v2'"), both.where("version = 'v6'"))
+
+
 @query(TARGET_SQL + """, q AS (SELECT *, CASE WHEN value IS NULL THEN NULL ELSE coalesce(least(ratio, 1.0), CASE WHEN met THEN 1.0 ELSE 0.0 END) END AS p FROM tp)
 SELECT version, count(*) FILTER (met) AS n_met, round(coalesce(sum(p), 0.0), 9) AS progress, coalesce(min(p), 0.0) AS least, bool_and(met) AS all_met FROM q GROUP BY version""")
 def targets_met(spark, sf_dir):
@@ -179,10 +235,11 @@ def score_trajectory(spark, sf_dir):
 @query(SCORE_SQL + """, t AS (SELECT run_id, round, max(score) AS score FROM sc WHERE score IS NOT NULL GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY round DESC) AS k, max(score) OVER (PARTITION BY run_id) AS best FROM t),
 d AS (SELECT *, score - lag(score) OVER (PARTITION BY run_id ORDER BY round) AS d FROM k WHERE k <= 7)
 SELECT run_id, count(*) AS n_points, round(avg(d), 9) AS trend, round(CASE WHEN count(d) < 2 THEN 0.0 ELSE stddev_pop(d) END, 6) AS spread, greatest(0.005::DOUBLE, max(best) * 0.01::DOUBLE) AS threshold,
-  count(*) >= 2 AND avg(d) < greatest(0.005::DOUBLE, max(best) * 0.01::DOUBLE) AS stagnating FROM d GROUP BY run_id""")
+  count(*) >= 2 AND avg(d) < greatest(0.005::DOUBLE, max(best) * 0.01::DOUBLE) AS stagnating,
+  (SELECT string_agg(CAST(score AS VARCHAR), ',' ORDER BY round) FROM k WHERE k.run_id = d.run_id AND k.k <= 8) AS scores FROM d GROUP BY run_id""")
 def diminishing_returns(spark, sf_dir):
     out = r.diminishing_returns(r.score_trajectory(_scores(spark, sf_dir)))
-    return out.withColumn("trend", F.round("trend", 9)).withColumn("spread", F.round("spread", 6))
+    return out.withColumn("trend", F.round("trend", 9)).withColumn("spread", F.round("spread", 6)).withColumn("scores", F.array_join(F.col("scores").cast("array<string>"), ","))
 
 
 ATTEMPT_SQL = """WITH a AS (SELECT o_custkey % 10 AS run_id, concat('c', o_custkey % 97) AS cell, o_orderkey AS seq, o_orderkey % 9 AS round, CASE o_orderkey % 7 WHEN 0 THEN 'improved' WHEN 1 THEN 'no_effect' ELSE 'regressed' END AS outcome FROM orders),
@@ -200,33 +257,64 @@ def attempt_decay(spark, sf_dir):
     return r.attempt_decay(cells, attempts)
 
 
-@query("""WITH c AS (SELECT c_custkey AS cell, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE (c_custkey * 31) % 21 - 10 END AS cost_delta, (c_custkey * 17) % 21 - 10 AS quality_delta, c_custkey % 13 AS cost_impact, c_custkey % 7 AS quality_impact FROM customer)
-SELECT cell, CASE WHEN cost_delta IS NULL THEN 'no_effect' WHEN abs(cost_impact) > abs(quality_impact) THEN CASE WHEN -cost_delta > 5 THEN 'improved' WHEN -cost_delta < -5 THEN 'regressed' ELSE 'no_effect' END
+@query("""WITH c AS (SELECT c_custkey AS cell, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE (c_custkey * 31) % 21 - 10 END AS cost_delta, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE (c_custkey * 17) % 21 - 10 END AS quality_delta, c_custkey % 13 AS cost_impact, c_custkey % 7 AS quality_impact FROM customer)
+SELECT cell, CASE WHEN cost_delta IS NOT NULL AND abs(cost_impact) > abs(quality_impact) THEN CASE WHEN -cost_delta > 5 THEN 'improved' WHEN -cost_delta < -5 THEN 'regressed' ELSE 'no_effect' END
   WHEN quality_delta > 5 THEN 'improved' WHEN quality_delta < -5 THEN 'regressed' ELSE 'no_effect' END AS outcome FROM c""")
 def cell_outcome(spark, sf_dir):
-    cells = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS cell", "CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE (c_custkey * 31) % 21 - 10 END AS cost_delta", "(c_custkey * 17) % 21 - 10 AS quality_delta", "c_custkey % 13 AS cost_impact", "c_custkey % 7 AS quality_impact")
+    cells = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS cell", "CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE (c_custkey * 31) % 21 - 10 END AS cost_delta", "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE (c_custkey * 17) % 21 - 10 END AS quality_delta", "c_custkey % 13 AS cost_impact", "c_custkey % 7 AS quality_impact")
     return r.cell_outcomes(cells, 5).select("cell", "outcome")
 
 
 VARIANT_SQL = "WITH vr AS (SELECT o_custkey % 10 AS run_id, o_orderkey % 9 AS round, o_custkey % 50 AS d1, 50 + o_custkey % 30 AS d2, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 7 - 3 END AS delta FROM orders), x AS (SELECT run_id, round, d1 AS directive, delta FROM vr UNION ALL SELECT run_id, round, d2, delta FROM vr)\n"
 
 
+def _variants(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+        "o_custkey % 10 AS run_id", "o_orderkey AS version", "o_orderkey % 9 AS round", "array(o_custkey % 50, 50 + o_custkey % 30) AS directive_ids", "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 7 - 3 END AS delta",
+        "CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN 'failed' ELSE 'scored' END AS eval_status")
+
+
 @query(VARIANT_SQL + """, s AS (SELECT run_id, directive, count(delta) AS attempted, count(*) FILTER (delta > 0) AS improved, count(*) FILTER (delta < 0) AS regressed, count(*) FILTER (delta = 0) AS no_effect, max(round) AS last_round FROM x GROUP BY ALL)
 SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY last_round DESC, directive) AS k FROM s) WHERE k <= 15""")
+def directive_counts(spark, sf_dir):
+    return r.directive_counts(_variants(spark, sf_dir))
+
+
+@query("""WITH o AS (SELECT DISTINCT o_custkey, o_orderkey FROM orders), x AS (SELECT o_custkey % 10 AS run_id, o_orderkey % 9 AS round, o_orderkey AS version, unnest([0, 1]) AS place, unnest([o_custkey % 50, 50 + o_custkey % 30]) AS directive,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 7 - 3 END AS delta, o_orderkey % 4 AS s FROM o),
+k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY round DESC, version DESC, place DESC) AS k FROM x)
+SELECT run_id, version, directive, s NOT IN (0, 1) AS was_attempted, CASE WHEN delta > 0 THEN 'improved' WHEN delta < 0 THEN 'regressed' ELSE 'no_effect' END AS outcome FROM k WHERE k <= 15""")
 def directive_outcomes(spark, sf_dir):
-    variants = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey % 10 AS run_id", "o_orderkey % 9 AS round", "array(o_custkey % 50, 50 + o_custkey % 30) AS directive_ids", "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 7 - 3 END AS delta")
-    return r.directive_outcomes(variants)
+    return r.directive_outcomes(_variants(spark, sf_dir).distinct())
 
 
-@query(BASE_SQL + """, b AS (SELECT a.run_id, a.version, a.q AS quality, a.q - p.q AS delta, NOT EXISTS (SELECT 1 FROM cand e WHERE e.run_id = a.run_id AND e.round < a.round AND e.q >= a.q) AS is_new_best, a.version AS k
-  FROM cand a LEFT JOIN cand p ON p.run_id = a.run_id AND p.version = concat('p', CAST(substr(a.version, 2) AS BIGINT) - 10))
-SELECT run_id, version, quality, CAST(delta AS DOUBLE) AS delta, is_new_best FROM b""")
+@query(ATTEMPT_SQL + """, n AS (SELECT c_custkey % 10 AS run_id, concat('c', c_custkey % 211) AS cell, c_custkey AS variant, CASE c_custkey % 3 WHEN 0 THEN 'improved' ELSE 'no_effect' END AS outcome FROM customer WHERE c_custkey % 6 <> 1),
+l AS (SELECT run_id, cell, max(seq) AS last FROM a GROUP BY ALL)
+SELECT run_id, cell, seq, CAST(round AS INT) AS round, outcome FROM a UNION ALL SELECT n.run_id, n.cell, coalesce(last, 0) + row_number() OVER (PARTITION BY n.run_id, n.cell ORDER BY variant), 10, outcome FROM n LEFT JOIN l USING (run_id, cell)""")
+def appended_attempts(spark, sf_dir):
+    attempts = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey % 10 AS run_id", "concat('c', o_custkey % 97) AS cell", "o_orderkey AS seq", "o_orderkey % 9 AS round", "CASE o_orderkey % 7 WHEN 0 THEN 'improved' WHEN 1 THEN 'no_effect' ELSE 'regressed' END AS outcome")
+    new = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey % 10 AS run_id", "IF(c_custkey % 6 = 1, NULL, concat('c', c_custkey % 211)) AS cell", "c_custkey AS variant", "CASE c_custkey % 3 WHEN 0 THEN 'improved' ELSE 'no_effect' END AS outcome")
+    return r.append_attempts(attempts, new, 10)
+
+
+@query(BASE_SQL + """, cs AS (SELECT *, CASE WHEN c % 7 = 0 THEN 'failed' WHEN c % 7 = 1 THEN 'running' ELSE 'scored' END AS st FROM cand),
+b AS (SELECT a.run_id, a.version, a.q AS quality, CASE WHEN a.st = 'scored' THEN a.q - p.q END AS delta, NOT EXISTS (SELECT 1 FROM cand e WHERE e.run_id = a.run_id AND e.round < a.round AND e.q >= a.q) AS is_new_best, CASE WHEN a.st <> 'running' THEN a.st END AS eval_status
+  FROM cs a LEFT JOIN cand p ON p.run_id = a.run_id AND p.version = concat('p', CAST(substr(a.version, 2) AS BIGINT) - 10))
+SELECT run_id, version, quality, CAST(delta AS DOUBLE) AS delta, is_new_best, eval_status FROM b""")
 def batch_outcomes(spark, sf_dir):
-    cand = candidates(spark, sf_dir)
+    cand = candidates(spark, sf_dir).selectExpr("*", "CASE WHEN cost % 7 = 0 THEN 'failed' WHEN cost % 7 = 1 THEN 'running' ELSE 'scored' END AS eval_status")
     variants = cand.selectExpr("run_id", "version", "concat('p', CAST(substr(version, 2) AS BIGINT) - 10) AS parent_version")
     return c.batch_outcomes(variants, cand).withColumn("delta", F.col("delta").cast("double"))
 
 
+@query(BASE_SQL + """, d AS (SELECT a.run_id, a.version, a.q - p.q AS quality_delta FROM cand a JOIN cand p ON p.run_id = a.run_id AND p.version = concat('p', CAST(substr(a.version, 2) AS BIGINT) - 10))
+SELECT run_id, arg_min(version, (-quality_delta, version)) AS version, max(quality_delta) AS quality_delta FROM d GROUP BY run_id""")
+def best_candidate(spark, sf_dir):
+    cand = candidates(spark, sf_dir)
+    variants = cand.selectExpr("run_id", "version", "concat('p', CAST(substr(version, 2) AS BIGINT) - 10) AS parent_version")
+    return r.best_candidate(c.batch_outcomes(variants, cand).withColumnRenamed("delta", "quality_delta"))
+
+
 @query(BASE_SQL + "SELECT route, count(*) FILTER (doc_id % 5 = 0) AS dev, count(*) FILTER (doc_id % 5 <> 0) AS holdout, count(*) AS total FROM ex GROUP BY ROLLUP (route)")
 def dataset_overview(spark, sf_dir):
     return r.dataset_overview(examples(spark, sf_dir).withColumn("split", F.when(F.col("doc_id") % 5 == 0, "dev").otherwise("holdout")))
@@ -255,6 +343,15 @@ def regression_or_high_support(spark, sf_dir):
     return r.regression_or_high_support(r.recall_trend(rows)).select("run_id", "route", "support", "regressed")
 
 
+@query(SCORE_SQL + """, b AS (SELECT run_id, round, route, max(score) AS recall, arg_max(support, (score, support)) AS support FROM sc WHERE score IS NOT NULL GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY run_id, route ORDER BY round DESC) AS k FROM b),
+t AS (SELECT run_id, route, max(support) FILTER (k = 1) AS support, max(recall) FILTER (k = 1) < coalesce(max(recall) FILTER (k = 2), max(recall) FILTER (k = 1)) AS regressed FROM k GROUP BY ALL)
+SELECT run_id, route, support, row_number() OVER (PARTITION BY run_id ORDER BY support, route) AS place FROM t WHERE regressed""")
+def regressions(spark, sf_dir):
+    rows = _scores(spark, sf_dir).where("score IS NOT NULL").withColumnRenamed("score", "recall")
+    return r.regressions(r.recall_trend(rows)).select("run_id", "route", "support", F.col("place").cast("long").alias("place"))
+
+
 @query(TARGET_SQL + """, q AS (SELECT *, CASE WHEN value IS NULL THEN NULL ELSE coalesce(least(ratio, 1.0), CASE WHEN met THEN 1.0 ELSE 0.0 END) END AS p FROM tp),
 ts AS (SELECT version, count(*) FILTER (met) AS n_met, sum(p) AS progress, min(p) AS least FROM q GROUP BY version)
 SELECT arg_min(version, (-n_met, -round(progress, 9), -least, version)) AS best FROM ts""")
@@ -270,6 +367,13 @@ def evaluated_versions(spark, sf_dir):
     return c.evaluated_versions(points.where("round % 2 = 0"), pareto_front(points))
 
 
+@query(CQ_SQL + """, mk AS (SELECT arg_min(baseline_quality, version) AS bq, arg_min(baseline_cost, version) AS bc, arg_min(oracle_quality_change, version) AS oq, arg_min(oracle_cost_change, version) AS oc FROM cq)
+SELECT 'target' AS mark, 0.8::DOUBLE AS quality_delta, 0.0::DOUBLE AS cost_delta, round(bq * 1.8::DOUBLE, 6) AS quality_abs, round(bc, 6) AS cost_abs FROM mk
+UNION ALL SELECT 'oracle', round(oq, 6), round(oc, 6), round(bq * (1 + oq), 6), round(bc * (1 + oc), 6) FROM mk""")
+def absolute_marks(spark, sf_dir):
+    return marks_of(m.cost_quality_change(pairs(spark, sf_dir), V), _targets(spark), ())
+
+
 @query(CQ_SQL + "SELECT version, round(quality_change, 4) AS quality_delta, round(cost_change_with_overhead, 4) AS cost_delta, round(predicted_quality, 4) AS quality_abs, round(predicted_cost + routing_overhead, 4) AS cost_abs FROM cq")
 def candidate_points(spark, sf_dir):
     wide = m.cost_quality_change(pairs(spark, sf_dir), V)

@@ -98,16 +98,118 @@ def test_crowding_and_knee(spark):
 
 def test_elite_set_starts_cold(spark):
     new = points(spark, [("a", 5, 5), ("b", 4, 6), ("z", 0, 0)])
-    assert {r.version for r in pareto.elite_set(new.limit(0), new).collect()} == {"a", "b"}
-    assert {r.version for r in pareto.elite_set(points(spark, [("o", 3, 3)]), new).collect()} == {"a", "o"}
+    assert {r.version for r in pareto.elite_set(new.limit(0), new, cold_start=True).collect()} == {"a", "b"}
+    assert {(r.version, r.is_new) for r in pareto.elite_set(points(spark, [("o", 3, 3), ("p", 0, 0)]), new).collect()} == {("a", True), ("o", False), ("p", False)}
+    assert {(r.version, r.quality, r.is_new) for r in pareto.elite_set(points(spark, [("a", 9, 1)]), new).collect()} == {("a", 5.0, False)}
 
 
-def test_rounds_stagnate_and_converge(spark):
-    rows = [("r", r, f"v{r}", q, 5.0) for r, q in enumerate([5.0, 6.0, 1.0, 1.0, 1.0], 1)]
-    df = spark.createDataFrame(rows, "run_id string, round int, version string, quality double, cost double")
-    out = pareto.advance_rounds(df, budget=4, limit=2, target_quality=6.0).orderBy("round").collect()
-    assert [r.stagnation for r in out] == [0, 0, 1, 2] and out[-1].converged and out[-1].backtracked and [r.elite_size for r in out] == [1, 1, 1, 1]
-    assert [r.epsilon for r in out] == [0.001, 0.0005, 0.0005, 0.0005]
+# Plain folds of lists, apart from the library's own helpers
+
+
+def slow_distances(front):
+    total = {x[0]: 0.0 for x in front}
+    for axis in (1, 2):
+        order = sorted(front, key=lambda x: (x[axis], x[0]))
+        span = order[-1][axis] - order[0][axis]
+        for i, (v, *_) in enumerate(order):
+            if i in (0, len(order) - 1):
+                total[v] = math.inf
+            elif span:
+                total[v] += (order[i + 1][axis] - order[i - 1][axis]) / span
+    return total
+
+
+def slow_prune(front, size):
+    front = list(front)
+    while len(front) > size:
+        safe = {min(front, key=lambda x: (-x[1], x[0]))[0], min(front, key=lambda x: (x[2], x[0]))[0]}
+        d = slow_distances(front)
+        rest = [x for x in front if x[0] not in safe]
+        if not rest:
+            break
+        gone = min(rest, key=lambda x: (d[x[0]], x[0]))
+        front.remove(gone)
+    return front
+
+
+def slow_front(rows):
+    return [x for x in rows if not any((y[1] >= x[1] and y[2] <= x[2]) and (y[1] > x[1] or y[2] < x[2]) for y in rows)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pruning_matches_lists(spark, seed):
+    rng = random.Random(seed)
+    rows = [(f"v{i:02}", rng.randint(0, 40), rng.randint(0, 40)) for i in range(60)]
+    front = slow_front(rows)
+    for size in (1, 3, 5):
+        got = {r.version for r in pareto.prune_to_size(pareto.pareto_front(points(spark, rows)), size).collect()}
+        assert got == {x[0] for x in slow_prune(front, size)}
+
+
+def slow_rounds(rounds, epsilon, limit, max_rounds, budget, size):
+    """rounds: lists of (version, quality, cost, meets, scored)."""
+    elite, volume, stagnation, halved, evaluated, out = {}, 0.0, 0, False, 0, []
+    for step, rows in enumerate(rounds, 1):
+        evaluated += len(rows)
+        scored, before = [r for r in rows if r[4]], volume
+        if not scored:
+            stagnation += 1
+        else:
+            ever = list(elite.values()) + scored
+            low, dear = min(r[1] for r in ever), max(r[2] for r in ever)
+            reference = (low * 0.9 if low > 0 else -0.1, dear * 1.1 if dear > 0 else 0.1)
+            elite = {**elite, **{r[0]: r for r in scored if r[1] or r[2]}}
+            if step > 1:
+                elite = {r[0]: r for r in slow_prune(slow_front(list(elite.values())), size)}
+            volume, q0 = 0.0, reference[0]
+            for _, q, c, *_ in sorted(elite.values(), key=lambda r: (r[1], -r[2])):
+                volume += (q - q0) * (reference[1] - c) if q > q0 and reference[1] > c else 0.0
+                q0 = q
+            if step > 1:
+                stagnation = 0 if ((volume - before) / before if before > 0 else volume) > epsilon else stagnation + 1
+            if not halved and any(r[3] for r in elite.values()):
+                epsilon, stagnation, halved = max(epsilon / 2, 0.0005), 0, True
+        q = [r[1] for r in elite.values()]
+        done = (evaluated >= budget and stagnation >= limit) or step >= max_rounds
+        out.append((len(elite), round(volume, 6), stagnation, epsilon, evaluated, max(q) - min(q) if len(q) > 1 else 0.0, sum(r[2] for r in scored), stagnation >= 2, done, round(max(0.0, volume - before), 6)))
+        if done:
+            break
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rounds_match_lists(spark, seed):
+    rng = random.Random(seed)
+    rounds = []
+    for step in range(9):
+        rows = [(f"v{step}-{i}", float(rng.randint(0, 12 + step)), float(rng.randint(0, 15)), rng.random() < 0.05, rng.random() < 0.8) for i in range(rng.randint(1, 8))]
+        rounds.append([(*r[:4], False) for r in rows] if step == 4 else rows)
+    data = [("r", step + 1, *row[:4], "complete" if row[4] else "failed") for step, rows in enumerate(rounds) for row in rows]
+    df = spark.createDataFrame(data, "run_id string, round int, version string, quality double, cost double, meets boolean, eval_status string").repartition(3)
+    got = pareto.advance_rounds(df, met="meets", budget=20, limit=2, max_rounds=8, size=3).orderBy("round").collect()
+    want = slow_rounds(rounds, 0.001, 2, 8, 20, 3)
+    assert [(r.elite_size, round(r.hypervolume, 6), r.stagnation, r.epsilon, r.evaluated, r.spread, r.routing_cost, r.backtracked, r.converged, round(r.improvement, 6)) for r in got] == want
+
+
+def test_rounds_by_hand(spark):
+    df = spark.createDataFrame([("r", 1, "a", 0.95, 0.05), ("r", 1, "b", 0.9, 0.06), ("r", 2, "c", 0.96, 0.04), ("r", 3, "d", 0.1, 0.9)], "run_id string, round int, version string, quality double, cost double")
+    out = pareto.advance_rounds(df, budget=4, limit=1).orderBy("round").collect()
+    assert [(r.elite_size, r.new_entries, r.stagnation, r.converged, r.reason) for r in out] == [(2, 2, 0, False, None), (1, 1, 0, False, None), (1, 0, 0, False, None)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_misses_match_pairs(spark, seed):
+    rng = random.Random(seed)
+    rows = [(f"v{i:02}", rng.randint(0, 12), rng.randint(0, 12)) for i in range(50)]
+    front = slow_front(rows)
+    want = {}
+    for v, q, c in rows:
+        over = [(a - q + c - b, n, a - q, c - b) for n, a, b in front if a >= q and b <= c and (a > q or b < c)]
+        if over:
+            want[v] = min(over)[1:]
+    df = points(spark, rows)
+    got = {r.version: (r.dominated_by, r.quality_gap, r.cost_gap) for r in pareto.near_misses(df, pareto.pareto_front(df), chunk=7).collect()}
+    assert got == want
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -249,8 +351,8 @@ def test_row_index_follows_order(spark):
 
 
 def test_bootstrap_weights_and_intervals(spark):
-    h = np.random.default_rng(0).integers(-(2**62), 2**62, 4000)
-    w = bootstrap.weights(h, np.arange(50), 3)
+    h = np.random.default_rng(0).integers(0, 2**32, 4000)
+    w = bootstrap.weights(h, np.arange(50), 3).astype(float)
     assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05
     p = pairs_of(spark, ["mid"] * 60 + ["gpt"] * 40, ["mid"] * 50 + ["gpt"] * 50)
     out = {r.key: r for r in bootstrap.bootstrap_ci(p, 300, 1).collect()}
