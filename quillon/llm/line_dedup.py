@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import discard, small_batches, stored
+from quillon.llm.shared import discard, small_batches, stored, tidied
 
 THRESHOLD = 0.8
 #: Entries of the table of word counts (a word is counted at its hash).
@@ -91,6 +91,7 @@ def count_ranks(counts: np.ndarray) -> np.ndarray:
 _PASS = "kind byte, a long, b long, k1 long, k2 long"
 
 
+@tidied
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 0: line b of document a and the 128-bit hash of its set. Kind 1: entry a of the count table has b."""
     counts = np.zeros(COUNT_TABLE, np.int64)
@@ -109,6 +110,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _POSTING = "word long, k1 long, doc_id long, line long, n int, pos int, picture long, picture2 long"
 
 
+@tidied
 def _postings(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
     """The prefix of every set, where a task first meets it and again at each earlier place, so that its first is among them."""
     seen: dict[int, int] = {}
@@ -155,6 +157,7 @@ def _passes(a: dict, b: dict, threshold: float) -> tuple[np.ndarray, np.ndarray]
 _TOGETHER = 200_000
 
 
+@tidied
 def _candidates(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Posting lists, sorted by word and place, to (doc_id, line) with an earlier (x_doc, x_line), or null for "more"."""
     held, size = [], 0

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import small_batches, stored
+from quillon.llm.shared import small_batches, stored, tidied
 from quillon.llm.tokens import encoder
 
 #: Slices of a length's pieces that are ranked by separate tasks.
@@ -88,6 +88,7 @@ def plan_packing(lengths: dict[int, int], capacity: int) -> list[tuple[list[int]
     return plan
 
 
+@tidied
 def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, capacity: int, special_as_text: bool = False) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     for batch in small_batches(batches, limit=4 << 20):

@@ -22,10 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import discard, shuffles_freed, small_batches, stored
+from quillon.llm.shared import discard, shuffles_freed, small_batches, stored, tidied
 
-#: Bound on the word types that have entries of their own: none.
-VOCABULARY = None
 #: Least number of shards, and the trusted words of a fold for each of them.
 SHARDS, SHARD_WORDS = 16, 4_000_000
 #: Words of documents whose questions to one shard meet in one place.
@@ -33,12 +31,8 @@ SLICE_WORDS = 8_000_000
 #: Parts of each fold's documents that are scored one after another, so that only one part's questions take up disk.
 PARTS = 2
 #: Words that a task holds before it deals out their counts or questions.
-HELD_WORDS = 1_500_000
+HELD_WORDS = 500_000
 QUANTILE = 0.99
-#: The model needs so many words of other trusted text before it may reject anything.
-LEAST_WORDS = 1_000
-# Word ids: 0 is the unknown class, 1 the mark at a text's start and end, 2 and up are words.
-UNKNOWN, EDGE, FIRST_WORD = 0, 1, 2
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 #: Largest number of trusted ids that is broadcast (8 bytes each); more are joined.
@@ -69,24 +63,6 @@ def _among(batches: Iterator[pa.RecordBatch], ids) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(known[at] == own)) if len(known) else batch.slice(0, 0)
 
 
-class Numberer:
-    """Texts to arrays of word ids, an edge before and after each: with Lower and Shard the model in one place."""
-
-    def __init__(self, vocabulary: list[str]):
-        self.ids = {w: k + FIRST_WORD for k, w in enumerate(vocabulary)}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = words_of(text)
-        out = np.ones(len(words) + 2, np.int64)
-        get = self.ids.get
-        out[1:-1] = np.fromiter((get(w, UNKNOWN) for w in words), np.int64, len(words))
-        return out
-
-
-def bigrams(ids: np.ndarray, size: int) -> np.ndarray:
-    return ids[:-1] * size + ids[1:]
-
-
 def discounts(n: np.ndarray) -> np.ndarray:
     """D1, D2 and D3+ of modified Kneser-Ney from the numbers of bigrams that occur one to four times."""
     n1, n2, n3, n4 = (max(float(x), 1.0) for x in n)
@@ -94,46 +70,6 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.05, [0.95, 1.95, 2.95])
 
 
-class Lower:
-    """The unigram level of one fold: continuation probabilities, interpolated with the even distribution."""
-
-    def __init__(self, follow: np.ndarray, ones_to_four: np.ndarray, unseen_types: int):
-        self.d = discounts(ones_to_four)
-        total = max(float(follow.sum()), 1.0)
-        d = discounts(np.array([(follow == i).sum() for i in range(1, 5)]))
-        cut = np.select([follow == 1, follow == 2, follow > 2], d, 0.0)
-        spare = cut.sum() / total if follow.sum() else 1.0
-        types = len(follow) + unseen_types
-        self.p = np.maximum(follow - cut, 0) / total + spare / types
-        self.p[UNKNOWN] = max(self.p[UNKNOWN] + spare * unseen_types / types, 1e-12)
-        self.each_unseen = -np.log(max(unseen_types, 1))
-
-
-class Shard:
-    """Interpolated probabilities of the bigrams whose contexts fall into one shard."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray, lower: Lower):
-        self.keys, self.lower, size = keys, lower, len(lower.p)
-        context = keys // size
-        total = np.bincount(context, n, size)
-        cut = np.select([n == 1, n == 2, n > 2], lower.d, 0.0)
-        spare = np.bincount(context, cut, size)
-        self.weight = np.where(total > 0, spare / np.maximum(total, 1), 1.0)
-        self.rest = np.maximum(n - cut, 0) / np.maximum(total[context], 1)
-
-    def log_p(self, asked: np.ndarray) -> np.ndarray:
-        size = len(self.lower.p)
-        word = asked % size
-        p = self.weight[asked // size] * self.lower.p[word]
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
-            p += np.where(self.keys[at] == asked, self.rest[at], 0)
-        return np.log(p) + np.where(word == UNKNOWN, self.lower.each_unseen, 0.0)
-
-
-# Known words and bigrams by hash
-
-
 #: Stands for a text's start and end; no word has a space.
 EDGE_HASH = np.int64(xxhash.xxh3_64_intdigest(b" ") >> 1)
 
@@ -193,6 +129,7 @@ def _joined(table: pa.Table, column: str, decode) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
+@tidied
 def _types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the word types of some texts, with their counts by fold."""
     held: tuple[list, list] = ([], [])
@@ -241,6 +178,7 @@ def _counted(keys: np.ndarray, c: np.ndarray, w: np.ndarray, n: np.ndarray, shar
             yield _row(["shard", "c", "w", "n"], s, _steps(c[order]), _small(w[order]), _small(n[order]))
 
 
+@tidied
 def _bigram_counts(batches: Iterator[pa.RecordBatch], fold: int, shards: int) -> Iterator[pa.RecordBatch]:
     """Training counts of one task, combined before they are dealt out."""
     for _, rows in _texts(batches, fold):
@@ -368,6 +306,7 @@ def _table(counted: pa.Table, typed: pa.Table, levels: Levels) -> pa.Table:
 _ASK = "shard long, slice long, ids binary, keys binary, docs binary, n binary"
 
 
+@tidied
 def _asked(batches: Iterator[pa.RecordBatch], fold: int, part: int, shards: int, slices: int) -> Iterator[pa.RecordBatch]:
     """The words and bigrams of many documents at a time, packed by the shard that answers them."""
     for ids, rows in _texts(batches, fold, part):
@@ -429,18 +368,18 @@ def _by_fold(rows: DataFrame, chosen: DataFrame, types: DataFrame, fold: int, n_
     return reduce(DataFrame.union, parts)
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, trusted_col: str = "doc_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, perplexity: one row an id of docs (NO_ID stands for null); rows of one id are scored together.
 
     trusted has one id a row (nulls and repeats are ignored). An empty or null text is scored on its edges alone. The
-    perplexity is null where the other fold's trusted text has fewer than LEAST_WORDS words.
+    perplexity is null where the other fold has no trusted word at all.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = stored(trusted.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "lm-trusted")
+    known = stored(trusted.select(F.col(trusted_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "lm-trusted")
     if known.count() <= BROADCAST_IDS:  # the texts stay where they are
-        ids = spark.sparkContext.broadcast(np.sort(known.toArrow()["doc_id"].to_numpy()))
-        chosen = rows.mapInArrow(partial(_among, ids=ids), rows.schema)
+        sorted_ids = spark.sparkContext.broadcast(np.sort(known.toArrow()["doc_id"].to_numpy()))
+        chosen = rows.mapInArrow(partial(_among, ids=sorted_ids), rows.schema)
     else:
         chosen = rows.join(known, "doc_id", "left_semi").select("doc_id", "text")
     types = chosen.mapInArrow(_types, "h long, n0 long, n1 long").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -448,15 +387,17 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
         types = stored(types, "lm-words")
     total = types.agg(F.count("*").alias("types"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
     words = [total["n0"] or 0, total["n1"] or 0]
-    if min(words) < LEAST_WORDS:
-        return rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id")).distinct().withColumn("perplexity", F.lit(None).cast("double"))
+    ids = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id")).distinct().withColumn("perplexity", F.lit(None).cast("double"))
+    if max(words) == 0:
+        return ids
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(SHARDS, -(-max(words) // SHARD_WORDS))
     slices = max(1, -(-size // (6 * SLICE_WORDS * shards * 2 * PARTS)))
     with shuffles_freed(spark):
-        first, second = [_by_fold(rows, chosen, types, fold, total["types"], shards, slices) for fold in (0, 1)]
+        parts = [_by_fold(rows, chosen, types, fold, total["types"], shards, slices) for fold in (0, 1) if words[fold]]
     discard(types)
-    return first.union(second)
+    found = reduce(DataFrame.union, parts)
+    return found if len(parts) == 2 else found.union(ids.join(found.select("id"), "id", "left_anti"))
 
 
 def language_thresholds(scored: DataFrame, quantile: float) -> DataFrame:
@@ -471,21 +412,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """docs plus perplexity, threshold and kept (columns of those names are replaced).
 
     Documents whose id has a label of quality 1 (in every label of it) are trusted. A language (null is one) takes its
-    threshold from its trusted documents; one without any takes the largest of the others. Without enough trusted text
-    for both folds nothing is judged: perplexity and threshold are null, and all is kept. A document without words is
+    threshold from its trusted documents; one without any takes the largest of the others. Where the other fold has no
+    trusted word a document can't be judged: its perplexity is null and it is kept. A document without words is
     kept or rejected like any other. Rows of one id are scored together. Empty tables give an empty result.
     """
-    bare = docs.drop("perplexity", "threshold", "kept")
-    trusted = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias(id_col)).agg(F.min(quality_col).alias("q"), F.max(F.col(quality_col).isNull()).alias("unknown")).where("q = 1 AND NOT unknown").select(id_col)
-    scores = stored(perplexities(docs, trusted, id_col, text_col), "lm-scores").withColumnRenamed("id", "_id")
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    lang = F.col(lang_col).cast("string")
-    good = docs.select(key.alias("_id"), lang.alias("_lang")).join(trusted.select(F.col(id_col).alias("_id")), "_id", "left_semi").distinct().join(scores, "_id")
+    made = ("perplexity", "threshold", "kept")
+    bare = docs.drop(*made)
+    trusted = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(quality_col).alias("q"), F.max(F.col(quality_col).isNull()).alias("unknown")).where("q = 1 AND NOT unknown").select("id")
+    scores = stored(perplexities(docs, trusted, "id", id_col, text_col), "lm-scores")
+    key, lang = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.col(lang_col).cast("string")
+    good = docs.select(key.alias("id"), lang.alias("_lang")).join(trusted, "id", "left_semi").distinct().join(scores, "id")
     limits = stored(language_thresholds(good, quantile), "lm-thresholds")
-    most = limits.agg(F.max("threshold").alias("_most"))
-    out = (
-        bare.withColumn("_key", key).withColumn("_l", lang).join(scores, F.col("_key") == F.col("_id"), "left")
-        .join(limits, F.col("_l").eqNullSafe(F.col("_lang")), "left").crossJoin(most)
-        .withColumn("_t", F.coalesce("threshold", "_most"))
-    )
-    return out.select(*[bare[c] for c in bare.columns], "perplexity", F.col("_t").alias("threshold"), F.coalesce(F.col("perplexity") <= F.col("_t"), F.lit(True)).alias("kept"))
+    most = limits.agg(F.max("threshold").alias("most"))
+    # the row travels as one struct, so no column of it can clash with the names used here
+    out = bare.select(F.struct(*[F.col(f"`{c}`") for c in bare.columns]).alias("row"), key.alias("id"), lang.alias("lang"))
+    out = out.join(scores, "id", "left").join(limits, out["lang"].eqNullSafe(limits["_lang"]), "left").join(F.broadcast(most))  # a row a language, and one row
+    limit = F.coalesce("threshold", "most")
+    return out.select("row.*", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(True)).alias("kept"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import discard, small_batches, smallest_reachable, stored
+from quillon.llm.shared import discard, small_batches, smallest_reachable, stored, tidied
 
 #: Fixed value: generator polynomial of the binary Golay code.
 GOLAY_POLYNOMIAL = 0b110001110101
@@ -77,6 +77,7 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
 
+@tidied
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
         prints = np.array([fingerprint(t or "", shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)

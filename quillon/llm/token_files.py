@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import hashed_sample, small_batches, stored
+from quillon.llm.shared import hashed_sample, small_batches, stored, tidied
 from quillon.llm.tokens import encoder
 
 #: Documents, chosen by the hash of their ids, whose id arrays train the dictionary: a fixed bound.
@@ -47,6 +47,7 @@ def _codec(content: bytes) -> dict:
     return {"dict_data": zstandard.ZstdCompressionDict(content)} if content else {}
 
 
+@tidied
 def _frames(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, width: int, content: bytes, special_as_text: bool) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=LEVEL, write_dict_id=True, **_codec(content)).compress
     for batch in small_batches(batches, limit=4 << 20):

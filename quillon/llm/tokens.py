@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces remembered by one Python worker (about 25 MB). Beyond that, pieces are encoded again where they come up.
-REMEMBERED = 500_000
+#: Pieces remembered by one Python worker (about 15 MB). Beyond that, pieces are encoded again where they come up.
+REMEMBERED = 300_000
 _LETTER = "[A-Za-zªµºÀ-ÖØ-öø-ÿ]"
 #: A letter that lowering leaves one letter, and a full stop or comma after it, which always begins a new piece.
 _STOPPED = f"{_LETTER}[.,]$"
@@ -43,7 +43,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.splitter = Tokenizer.from_file(path)
+        self.splitter = Tokenizer.from_file(path) if special_as_text else self.tokenizer
         self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.cut = cut
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)

@@ -2,10 +2,12 @@
 
 import html
 import json
+import math
 import random
 import re
 import tempfile
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -417,40 +419,68 @@ def test_exact_edges(spark):
 # Quality
 
 
-def test_bigram_probabilities_sum_to_one():
-    rng = np.random.default_rng(1)
-    size = 12
-    keys, n = np.unique(quality.bigrams(rng.integers(0, size, 400), size), return_counts=True)
-    follow = np.bincount(keys % size, minlength=size)
-    lower = quality.Lower(follow, np.array([(n == i).sum() for i in range(1, 5)]), 7)
-    shard = quality.Shard(keys, n, lower)
-    p = np.exp(shard.log_p(np.arange(size * size))).reshape(size, size)
-    p[:, quality.UNKNOWN] *= 7  # the class stands for seven types
-    assert p.sum(1) == pytest.approx(np.ones(size))
+class PlainKneserNey:
+    """Interpolated modified Kneser-Ney bigrams with dictionaries, written from the formulas."""
+
+    def __init__(self, texts, types):
+        self.n, self.context = Counter(), Counter()
+        for t in texts:
+            words = [" ", *t.split(), " "]
+            for pair in zip(words, words[1:]):
+                self.n[pair] += 1
+                self.context[pair[0]] += 1
+        self.follow = Counter(w for _, w in self.n)
+        self.d, self.lower_d = self.discounts(self.n.values()), self.discounts(self.follow.values())
+        self.spare = Counter()
+        for (c, _), n in self.n.items():
+            self.spare[c] += self.d[min(n, 3)]
+        self.types = types
+        left = sum(self.lower_d[min(f, 3)] for f in self.follow.values())
+        self.even = left / len(self.n) / (len(types) + 3)  # the types, the edge, and two shares for all other words
+
+    @staticmethod
+    def discounts(values):
+        n = [max(sum(v == i for v in values), 1) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1])
+        raw = [i + 1 - (i + 2) * y * n[i + 1] / n[i] for i in range(3)]
+        return {0: 0.0, **{i + 1: min(max(x, 0.05), i + 0.95) for i, x in enumerate(raw)}}
+
+    def p(self, word, context):
+        if word == " " or word in self.types:
+            f = self.follow[word]
+            lower = max(f - self.lower_d[min(f, 3)], 0) / len(self.n) + self.even
+        else:
+            lower = 2 * self.even
+        total, n = self.context[context], self.n[context, word]
+        if not total:
+            return lower
+        return max(n - self.d[min(n, 3)], 0) / total + self.spare[context] / total * lower
+
+    def perplexity(self, text):
+        words = [" ", *text.split(), " "]
+        logs = [math.log(self.p(w, c)) for c, w in zip(words, words[1:])]
+        return math.exp(-sum(logs) / len(logs))
+
+
+def test_plain_model_sums_to_one():
+    rng = random.Random(1)
+    texts = [" ".join(rng.choices("abcdefgh", weights=range(1, 9), k=30)) for _ in range(9)]
+    model = PlainKneserNey(texts, set("abcdefghxyz"))
+    for c in "ah q":
+        assert sum(model.p(w, c) for w in [*model.types, " ", "other"]) == pytest.approx(1)
+
+
+def plain_perplexities(texts, trusted):
+    types = {w for i in trusted & set(texts) for w in texts[i].split()}
+    models = [PlainKneserNey([texts[i] for i in trusted & set(texts) if quality.fold_of(i) == fold], types) for fold in (0, 1)]
+    return {i: models[1 - quality.fold_of(i)].perplexity(t) for i, t in texts.items()}
 
 
 def test_quality_perplexity_matches_plain_python(spark, documents):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     got = {r.doc_id: r for r in quality.quality_scores(documents, labels).collect()}
-    data = {d: t for d, t in rows(documents.select("doc_id", "text"))}
-    trusted = {r.doc_id for r in labels.where("quality = 1").collect()}
-    words = {}
-    types = [set(), set()]
-    for d in trusted & set(data):
-        for w in quality.words_of(data[d]):
-            words[w] = words.get(w, 0) + 1
-            types[quality.fold_of(d)].add(w)
-    vocabulary_ = [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0].encode()))[: quality.VOCABULARY]]
-    number, size = quality.Numberer(vocabulary_), len(vocabulary_) + quality.FIRST_WORD
-    shards = []
-    for fold in (0, 1):
-        train = [quality.bigrams(number(data[d]), size) for d in trusted & set(data) if quality.fold_of(d) == fold]
-        keys, n = np.unique(np.concatenate(train), return_counts=True)
-        lower = quality.Lower(np.bincount(keys % size, minlength=size), np.array([(n == i).sum() for i in range(1, 5)]), 1 + len(types[fold] - set(vocabulary_)))
-        shards.append(quality.Shard(keys, n, lower))
-    for d, t in data.items():
-        logs = shards[1 - quality.fold_of(d)].log_p(quality.bigrams(number(t), size))
-        assert got[d].perplexity == pytest.approx(np.exp(-logs.mean()))
+    want = plain_perplexities(dict(rows(documents.select("doc_id", "text"))), {r.doc_id for r in labels.where("quality = 1").collect()})
+    assert {i: r.perplexity for i, r in got.items()} == pytest.approx(want)
     truth = {r.doc_id: r.quality for r in labels.collect()}
     kept = [np.mean([got[d].kept for d in truth if d in got and truth[d] == q]) for q in (0, 1)]
     assert kept[1] > 0.97 and kept[0] < 0.5
@@ -460,12 +490,16 @@ def test_quality_edges(spark):
     docs = spark.createDataFrame([(None, None, None, 1.0), (1, "", "en", 2.0), (1, "a b", "en", 2.0)], "doc_id long, text string, lang string, threshold double")
     labels = spark.createDataFrame([(1, 1), (1, None), (None, 1)], "doc_id long, quality int")
     out = quality.quality_scores(docs, labels).collect()
-    assert len(out) == 3 and all(r.kept and r.perplexity is None and r.threshold is None for r in out)
+    own = quality.fold_of(1)
+    assert len(out) == 3 and all(r.kept for r in out)  # one label says that document 1 isn't known to be good
+    good = quality.quality_scores(docs, labels.where("quality = 1")).collect()
+    assert len(good) == 3 and all(r.kept and (r.perplexity is None) == (quality.fold_of(r.doc_id) == own) for r in good)
+    clash = docs.selectExpr("*", "1 AS id", "2 AS _id", "3 AS _lang", "4 AS most", "5 AS row", "6 AS lang2", "7 AS _key", "8 AS `a.b`")
+    assert {(r.id, r._id, r._lang, r.most, r.row, r._key, r["a.b"]) for r in quality.quality_scores(clash, labels.where("quality = 1")).collect()} == {(1, 2, 3, 4, 5, 7, 8)}
     assert quality.quality_scores(docs.limit(0), labels.limit(0)).count() == 0
 
 
 def test_every_trusted_type_has_its_own_counts(spark):
-    assert quality.VOCABULARY is None
     rng = random.Random(8)
     frequent, rare = [f"w{i}" for i in range(30)], iter(range(10**9))
     texts = {}
@@ -476,15 +510,8 @@ def test_every_trusted_type_has_its_own_counts(spark):
     docs = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string").repartition(3)
     labels = spark.createDataFrame([(i, 1) for i in texts], "doc_id long, quality int")
     got = {r.doc_id: r.perplexity for r in quality.quality_scores(docs, labels).collect()}
-    vocabulary_ = sorted({w for t in texts.values() for w in t.split()})
-    assert len(vocabulary_) > 50_000
-    number, size = quality.Numberer(vocabulary_), len(vocabulary_) + quality.FIRST_WORD
-    for fold in (0, 1):
-        keys, n = np.unique(np.concatenate([quality.bigrams(number(t), size) for i, t in texts.items() if quality.fold_of(i) == fold]), return_counts=True)
-        shard = quality.Shard(keys, n, quality.Lower(np.bincount(keys % size, minlength=size), np.array([(n == i).sum() for i in range(1, 5)]), 1))
-        for i, t in texts.items():
-            if quality.fold_of(i) != fold:
-                assert got[i] == pytest.approx(np.exp(-shard.log_p(quality.bigrams(number(t), size)).mean()))
+    assert len({w for t in texts.values() for w in t.split()}) > 50_000
+    assert got == pytest.approx(plain_perplexities(texts, set(texts)))
 
 
 def test_quality_is_the_same_at_any_sharding(spark, documents, monkeypatch):
