@@ -6,6 +6,7 @@ import math
 import random
 import re
 import tempfile
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -64,6 +65,51 @@ def test_main_text_without_article_marks():
     assert main_text.main_text("<p>" * 20_000 + "deep") == "deep"
 
 
+ARTICLE = ["A title of the page"] + [f"Paragraph {i} says something of its own, and goes on long enough to be seen as text by a reader. " * 2 for i in range(4)] + ["The end."]
+CHROME = '<div class="menu"><ul><li><a href=a>Home</a><li><a>News</a><li><a>More</a></ul></div>', '<div class="site-footer">Copyright and so on, with a long line of legal text that nobody reads and nobody wants to see.</div>'
+
+
+def article_in(before, after):
+    blocks = f"<h1>{ARTICLE[0]}</h1>" + "".join(f"<p>{x}</p>" for x in ARTICLE[1:])
+    return f"<html><body>{CHROME[0]}{before}{blocks}{after}{CHROME[1]}</body></html>"
+
+
+WHOLE = "\n\n".join(x.strip() for x in ARTICLE)
+
+
+@pytest.mark.parametrize("name", ["post", "social-science", "search-engine-guide", "related-work", "alert-study", "comments-on-law", "share-market", "hidden-history", "notice-board-story", "has-sidebar", "banner"])
+def test_a_name_never_removes_the_article(name):
+    assert main_text.main_text(article_in(f'<div class="{name}">', "</div>")) == WHOLE
+    assert main_text.main_text(article_in(f'<main><section id="{name}">', "</section></main>")) == WHOLE
+
+
+def test_main_text_of_other_layouts():
+    form = article_in("<form action=x><div>", "</div><input><label>Search</label></form>")
+    assert main_text.main_text(form) == WHOLE
+    half = ARTICLE[:3], ARTICLE[3:]
+    split = f"<body>{CHROME[0]}" + "".join(f"<div class=part><p>{'</p><p>'.join(x)}</p></div>" for x in half) + CHROME[1]
+    assert main_text.main_text(split) == WHOLE
+    outside = f"<body>{CHROME[0]}<h1>{ARTICLE[0]}</h1><div class=content>{''.join(f'<p>{x}</p>' for x in ARTICLE[1:])}</div>{CHROME[1]}"
+    assert main_text.main_text(outside) == WHOLE
+    for name in ("comments", "comment-list", "sidebar", "site-footer", "cookie-notice", "newsletter", "ad", "related-posts", "share-buttons", "socialLinks", "search-form", "login-box"):
+        extra = f'<div class="{name}"><p>' + "Words that aren't of the article, though there are many of them here. " * 4 + "</p></div>"
+        assert main_text.main_text(article_in("<article>", "</article>" + extra)) == WHOLE, name
+        assert main_text.main_text(article_in("<div class=text>", "</div>" + extra)) == WHOLE, name
+        assert main_text.main_text(article_in("<article>", extra + "</article>")) == WHOLE, name
+    links = "<ul><li><a href=1>A first source with a long name</a></li><li><a href=2>A second one</a></li><li><a href=3>And a third</a></li></ul>"
+    assert main_text.main_text(article_in("<article>", links + "</article>")) == WHOLE + "\n\nA first source with a long name\n\nA second one\n\nAnd a third"
+    assert main_text.main_text(CHROME[0] + CHROME[1]) == ""
+
+
+def test_main_text_of_deep_and_broken_pages_is_quick():
+    began = time.process_time()
+    deep = main_text.main_text("<div>some words " * 20_000)
+    assert deep.startswith("some words") and deep.count("some words") == 20_000
+    for piece in ("<a ", "<p it's>x", "<p a='x>", '<a b="', "<b></p><p>", "</i>", "<!-", "<ul><li><b>"):
+        main_text.main_text("<div>" * 2_000 + piece * 20_000)
+    assert time.process_time() - began < 8
+
+
 def test_main_text_edges(spark):
     df = spark.createDataFrame([(1, None, "old"), (1, None, "old"), (2, "<p>Hi there</p>", None)], "page_id long, html string, text string")
     assert sorted(r.text for r in main_text.extract_main_text(df).collect()) == ["", "", "Hi there"]
