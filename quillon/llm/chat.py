@@ -15,6 +15,9 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.json_paths import field_paths
+from quillon.llm.shared import numbered
+
 #: Control strings of the template, and the escapes that stand for them inside texts. The backslash comes first.
 TURN_START, ROLE_END, TURN_END = "### ", ": ", "</turn>"
 ESCAPES = (("\\", "\\b"), (TURN_START, "\\s"), (TURN_END, "\\e"))
@@ -53,30 +56,6 @@ MAPPINGS = (
 )
 
 
-def field_paths(json: Column) -> Column:
-    """The sorted distinct paths of the nested fields of a JSON document; [] stands for any element of an array.
-
-    They are read off the document's schema: every name is put after the names of the objects around it.
-    """
-    schema = F.schema_of_variant(F.try_parse_json(json))
-    marks = F.regexp_extract_all(schema, F.lit("OBJECT<|ARRAY<|>|[^<>:, ]+: "), F.lit(0))
-    start = F.struct(F.lit("").alias("at"), F.array().cast("array<string>").alias("open"), F.array().cast("array<string>").alias("paths"))
-
-    def step(acc: Column, mark: Column) -> Column:
-        field = F.regexp_replace(mark, "^`|`?: $", "")
-        opened = F.struct(acc["at"].alias("at"), F.concat(acc["open"], F.array(acc["at"])).alias("open"), acc["paths"].alias("paths"))
-        element = F.concat(acc["at"], F.lit("[]"))
-        array = F.struct(element.alias("at"), F.concat(acc["open"], F.array(element)).alias("open"), F.concat(acc["paths"], F.array(element)).alias("paths"))
-        left = F.slice(acc["open"], 1, F.size(acc["open"]) - 1)
-        closed = F.struct(F.coalesce(F.try_element_at(left, F.lit(-1)), F.lit("")).alias("at"), left.alias("open"), acc["paths"].alias("paths"))
-        holder = F.coalesce(F.try_element_at(acc["open"], F.lit(-1)), F.lit(""))
-        full = F.when(holder == "", field).otherwise(F.concat(holder, F.lit("."), field))
-        named = F.struct(full.alias("at"), acc["open"].alias("open"), F.concat(acc["paths"], F.array(full)).alias("paths"))
-        return F.when(mark == "OBJECT<", opened).when(mark == "ARRAY<", array).when(mark == ">", closed).otherwise(named)
-
-    return F.array_sort(F.array_distinct(F.aggregate(marks, start, step, lambda acc: acc["paths"])))
-
-
 def fingerprint_of(paths: Column) -> Column:
     return F.sha2(F.array_join(paths, "\n"), 256)
 
@@ -91,7 +70,7 @@ def canonical_turns(df: DataFrame, json_col: str, mappings: tuple[Mapping, ...]
     A document that is null, not JSON or of an unknown layout has a null layout and null turns. A null element of a
     message array is left out; a null role is "user", a null text is empty. The mappings are constants, so no join is needed.
     """
-    marked = df.withColumn("fingerprint", fingerprint_of(field_paths(F.col(json_col))))
+    marked = df.withColumn("fingerprint", fingerprint_of(field_paths(F.try_parse_json(F.col(json_col)), quoted=True)))
     doc = F.try_parse_json(F.col(json_col))
     layout = turns = None
     for m in mappings:
@@ -133,9 +112,10 @@ def formatted(df: DataFrame, turns_col: str = "turns", trained_role: str = "assi
     A span covers the escaped text of one turn of trained_role, without its marks. Null turns give null results, no
     turns an empty string.
     """
+    bare, (turns_col,), columns = numbered(df.drop("formatted", "loss_spans"), turns_col)
     parts = F.transform(turns_col, lambda t: F.struct(
         F.concat(F.lit(TURN_START), escaped(t["role"], ROLE_ESCAPES), F.lit(ROLE_END)).alias("head"), escaped(t["text"]).alias("body"), (t["role"] == trained_role).alias("trained")))
-    written = df.withColumn("_parts", parts).withColumn("formatted", F.array_join(F.transform("_parts", lambda p: F.concat(p["head"], p["body"], F.lit(TURN_END + "\n"))), ""))
+    written = bare.withColumn("_parts", parts).withColumn("formatted", F.array_join(F.transform("_parts", lambda p: F.concat(p["head"], p["body"], F.lit(TURN_END + "\n"))), ""))
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,length:long>>").alias("spans"))
     tail = len(TURN_END) + 1
 
@@ -144,7 +124,7 @@ def formatted(df: DataFrame, turns_col: str = "turns", trained_role: str = "assi
         span = F.array(F.struct((acc["at"] + head).cast("long").alias("start"), body.cast("long").alias("length")))
         return F.struct((acc["at"] + head + body + tail).cast("long").alias("at"), F.when(p["trained"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return written.withColumn("loss_spans", F.aggregate("_parts", begin, step, lambda acc: acc["spans"])).drop("_parts")
+    return written.select(*columns, "formatted", F.aggregate("_parts", begin, step, lambda acc: acc["spans"]).alias("loss_spans"))
 
 
 def parsed_turns(text: Column) -> Column:
@@ -167,14 +147,16 @@ def loss_text(text: Column, spans: Column) -> Column:
 
 
 def conversations_as_json(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """id, json: rows by turn gathered into the messages layout; order by turn, then role, text. A null text is empty.
+    """id, json: rows by turn gathered into the messages layout; order by turn, then role, text. A null text is empty, a null role "user".
+
+    Rows with a null id are one conversation, with a null id.
 
     One conversation is one unit of output, so its turns meet in one row.
     """
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("user")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
-    gathered = rows.groupBy(F.col(id_col)).agg(F.array_sort(F.collect_list(turn)).alias("_t"))
-    messages = F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return gathered.select(id_col, F.to_json(F.struct(messages.alias("messages"))).alias("json"))
+    gathered = rows.groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    messages = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    return gathered.select(F.col("id").alias(id_col), F.to_json(F.struct(messages.alias("messages"))).alias("json"))
 
 
 def format_chat(df: DataFrame, json_col: str = "json", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.shared import hashed_sample, smallest_reachable, stored
+from quillon.llm.shared import hashed_sample, numbered, smallest_reachable, stored
 
 #: Rows that train the codebooks and measure the recall: a fixed bound; every row is indexed.
 SAMPLE_ROWS = 8_000
@@ -183,10 +183,10 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     marks the row that bears it (a row with a null id stays). Rows repeated with one id are rows of their own for
     n_links. An empty table gives an empty result.
     """
-    bare = vectors.drop("n_links", "component_id", "kept")
+    bare, (id_col, vector_col), columns = numbered(vectors.drop("n_links", "component_id", "kept"), id_col, vector_col)
     v = F.col(vector_col)
     sound = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0) & F.col(id_col).isNotNull()
-    rows = vectors.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.alias("embedding"))
+    rows = bare.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.alias("embedding"))
     reps = stored(rows.groupBy("embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vector-reps")
     sizes = {r["d"]: r["n"] for r in reps.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()}
     found = vectors.sparkSession.createDataFrame([], "rep long, n long, other long")
@@ -202,6 +202,6 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     joined = bare.join(known, (v == F.col("_v")) & F.coalesce(sound, F.lit(False)), "left")
     component = F.coalesce("_c", F.col(id_col).cast("long"))
     return joined.select(
-        *[bare[c] for c in bare.columns], F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        *columns, F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
         F.coalesce(component == F.col(id_col), F.lit(True)).alias("kept"),
     )

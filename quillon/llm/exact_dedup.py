@@ -4,7 +4,7 @@ Rows are dealt out by the length and a content hash of their normalised bytes. E
 strings into a compressed radix trie whose terminal nodes hold the owner (the row that stays) and the group's size,
 so two texts are equal only if all their bytes are. A first trie runs before the shuffle and merges the copies inside
 a task, so a text that a third of all rows carry crosses the network once a task. A trie beyond its memory budget
-spills its largest subtree to the task's own scratch folder and works through it later.
+spills its largest subtree to the scratch folders that Spark gives its workers and works through it later.
 """
 
 from __future__ import annotations
@@ -14,18 +14,21 @@ import os
 import pickle
 import tempfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import ASCII_SPACE, small_batches
+from quillon.llm.shared import ASCII_SPACE, numbered, small_batches, stored, tidied
 
 SPACE_BYTES = ASCII_SPACE.encode()
 #: Bytes of strings that one task's trie holds before it spills.
 RESIDENT_BYTES = 96 << 20
 _NODE_BYTES = 400
+#: A text that more than this share of all rows has is joined by broadcast: there can't be more than 10,000 of these.
+HOT_SHARE = 10_000
 
 
 class Node:
@@ -137,6 +140,13 @@ class PatriciaTrie:
                     return
 
 
+def scratch() -> str | None:
+    """One of the folders that Spark gives its workers for what they spill; a task's files there are its own and go with it."""
+    folders = [f for f in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(f)]
+    return folders[os.getpid() % len(folders)] if folders else None
+
+
+@tidied
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Before the shuffle: one row a distinct text of the task."""
     trie = PatriciaTrie(RESIDENT_BYTES // 2)
@@ -164,18 +174,16 @@ def _rows(trie: PatriciaTrie) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
+@tidied
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """After the shuffle: the owner of every text that more than one row has."""
-    with tempfile.TemporaryDirectory() as folder:
+    with tempfile.TemporaryDirectory(dir=scratch()) as folder:
         trie = PatriciaTrie(RESIDENT_BYTES, folder)
         for batch in batches:
             for key, n_chars, doc_id, copies in zip(*(batch.column(k).to_pylist() for k in ("content", "n_chars", "doc_id", "copies"))):
                 trie.add(key, (-n_chars, doc_id is None, doc_id or 0, copies, hashlib.sha256(key).hexdigest()))
-        rows = []
-        for _, (_, null, doc_id, copies, digest) in trie.items():
-            if copies > 1:
-                rows.append((digest, None if null else doc_id, copies))
-        if rows:
+        found = ((digest, None if null else doc_id, copies) for _, (_, null, doc_id, copies, digest) in trie.items() if copies > 1)
+        while rows := list(islice(found, 10_000)):
             a, b, c = zip(*rows)
             yield pa.record_batch([pa.array(a), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["text_sha256", "keep_id", "group_size"])
 
@@ -197,13 +205,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gives an empty result.
     """
     made = ["keep_id", "group_size", "kept", "text_sha256"]
-    bare = f"regexp_replace(coalesce(`{text_col}`, ''), '[\\\\x20\\\\x09-\\\\x0D]+', '')"
-    members = docs.drop(*made).withColumn("text_sha256", F.sha2(F.expr(bare), 256))
-    owners = exact_owners(docs, id_col, text_col).withColumnsRenamed({"keep_id": "_keep", "group_size": "_size"})
-    joined = members.join(owners, "text_sha256", "left")
-    keep = F.when(F.col("_size").isNull(), F.col(id_col)).otherwise(F.col("_keep"))
-    return joined.select(
-        *[members[c] for c in members.columns if c != "text_sha256"],
-        keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
-        keep.eqNullSafe(F.col(id_col)).alias("kept"), F.col("text_sha256"),
-    )
+    bare, (key, text), columns = numbered(docs.drop(*made), id_col, text_col)
+    digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+", ""), 256)
+    owners = stored(exact_owners(bare, key, text), "exact-owners")
+    least = bare.count() // HOT_SHARE
+    hot, cold = owners.where(F.col("group_size") > least), owners.where(F.col("group_size") <= least)
+    members = bare.withColumn("text_sha256", digest).join(F.broadcast(hot), "text_sha256", "left")
+    # rows that have their owner by now are dealt out evenly and meet nothing
+    meets = F.when(F.col("group_size").isNull(), F.col("text_sha256")).otherwise(F.concat(F.lit("-"), F.xxhash64(key).cast("string")))
+    joined = members.withColumn("meets", meets).join(cold.toDF("meets", "cold_id", "cold_size"), "meets", "left")
+    size = F.coalesce("group_size", "cold_size", F.lit(1)).cast("long")
+    keep = F.when(F.col("group_size").isNotNull(), F.col("keep_id")).when(F.col("cold_size").isNotNull(), F.col("cold_id")).otherwise(F.col(key).cast("long"))
+    return joined.select(*columns, keep.alias("keep_id"), size.alias("group_size"), keep.eqNullSafe(F.col(key)).alias("kept"), "text_sha256")

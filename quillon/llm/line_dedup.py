@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import discard, small_batches, stored, tidied
+from quillon.llm.shared import discard, numbered, small_batches, stored, tidied
 
 THRESHOLD = 0.8
 #: Entries of the table of word counts (a word is counted at its hash).
@@ -367,8 +367,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     numbers: a line goes from all of them if it goes from one, and a second copy of the same row loses nothing of its
     own. An empty table gives an empty result.
     """
-    bare = docs.drop("n_lines", "n_removed")
-    gone = removed_lines(docs, id_col, text_col, threshold)
+    bare, (id_col, text_col), _ = numbered(docs.drop("n_lines", "n_removed"), id_col, text_col)
+    gone = removed_lines(bare, id_col, text_col, threshold)
     split = F.split(F.col(text_col), "\n")
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).cast("long")
     key = F.col(id_col).cast("long")
@@ -384,10 +384,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             low, high = np.searchsorted(doc, own, "left"), np.searchsorted(doc, own, "right")
             return pd.Series([line[a:b] if a < b and ok else None for a, b, ok in zip(low, high, ids.notna())])
 
-        joined = bare.withColumn("_gone", gone_from(key))
+        joined = bare.withColumn("gone", gone_from(key))
     else:
-        lists = gone.groupBy("doc_id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc_id", "_id")
-        joined = bare.join(lists, key == F.col("_id"), "left").drop("_id")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_gone"), i.cast("long"))), "\n")
-    others = [F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in bare.columns]
-    return joined.select(*others, n_lines.alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"))
+        lists = gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+        joined = bare.join(lists, key == F.col("doc_id"), "left")
+    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("gone"), i.cast("long"))), "\n")
+    others = [F.when(F.col("gone").isNull(), F.col(n)).otherwise(kept).alias(c) if n == text_col else F.col(n).alias(c) for n, c in zip(bare.columns, docs.drop("n_lines", "n_removed").columns)]
+    return joined.select(*others, n_lines.alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))

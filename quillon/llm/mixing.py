@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import WORD
+from quillon.llm.shared import WORD, numbered
 
 #: Documents of a source are ordered by bucket, then id: the running word count is kept in two levels.
 BUCKETS = 1024
@@ -151,15 +151,16 @@ def mix_sources(docs: DataFrame, text_col: str = "text", source_col: str = "sour
     the same mix at any partitioning. An empty table gives an empty result.
     """
     made = ["size", "source_size", "target", "taken"]
-    bare = docs.drop(*made)
-    documents, pieces, _ = mix_plan(bare, text_col, source_col, id_col, **options)
+    bare, own, columns = numbered(docs.drop(*made), text_col, source_col, id_col)
+    documents, pieces, _ = mix_plan(bare, *own, **options)
     out = taken_words(documents, pieces)
-    return out.select(*[F.col(f"`{c}`") for c in bare.columns], *[F.col(f"_{c}").alias(c) for c in made])
+    return out.select(*columns, *[F.col(f"_{c}").alias(c) for c in made])
 
 
-def shard_counts(docs: DataFrame, **options) -> DataFrame:
+def shard_counts(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
     """shard, source, slots: how many blocks each output shard draws from each source."""
-    return mix_plan(docs, **options)[2].groupBy("shard", "source").agg(F.count("*").alias("slots"))
+    bare, own, _ = numbered(docs, text_col, source_col, id_col)
+    return mix_plan(bare, *own, **options)[2].groupBy("shard", "source").agg(F.count("*").alias("slots"))
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
@@ -168,13 +169,14 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "
     A document taken whole keeps its text as it is; of one cut by a block's end or the target, the words taken are
     kept with the white space after each. A round that takes nothing gives no row.
     """
-    documents, pieces, _ = mix_plan(docs, text_col, source_col, id_col, **options)
+    bare, (text, source, key), columns = numbered(docs, text_col, source_col, id_col)
+    documents, pieces, _ = mix_plan(bare, text, source, key, **options)
     parts = pieces.groupBy("_source", "_bucket", "_row", "round").agg(
         F.array_sort(F.collect_list(F.struct("_from", "_to"))).alias("_parts"), F.sum(F.col("_to") - F.col("_from")).alias("_n")
     )
     parts = parts.select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), F.col("_row").alias("_r"), "round", "_parts", "_n")
     on = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")) & (F.col("_row") == F.col("_r"))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(f"{WORD}[\\x20\\x09-\\x0D]*"), F.lit(0))
+    words = F.regexp_extract_all(F.col(text), F.lit(f"{WORD}[\\x20\\x09-\\x0D]*"), F.lit(0))
     some = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(F.col("_words"), (p["_from"] + 1).cast("int"), (p["_to"] - p["_from"]).cast("int")))), "")
     taken = documents.join(parts, on).withColumn("_words", F.when(F.col("_n") < F.col("_size"), words))
-    return taken.withColumn(text_col, F.when(F.col("_n") == F.col("_size"), F.col(text_col)).otherwise(some)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return taken.withColumn(text, F.when(F.col("_n") == F.col("_size"), F.col(text)).otherwise(some)).select(*columns)

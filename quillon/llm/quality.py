@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import discard, shuffles_freed, small_batches, stored, tidied
+from quillon.llm.shared import discard, numbered, shuffles_freed, small_batches, stored, tidied
 
 #: Least number of shards, and the trusted words of a fold for each of them.
 SHARDS, SHARD_WORDS = 16, 4_000_000
@@ -416,16 +416,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     trusted word a document can't be judged: its perplexity is null and it is kept. A document without words is
     kept or rejected like any other. Rows of one id are scored together. Empty tables give an empty result.
     """
-    made = ("perplexity", "threshold", "kept")
-    bare = docs.drop(*made)
-    trusted = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(quality_col).alias("q"), F.max(F.col(quality_col).isNull()).alias("unknown")).where("q = 1 AND NOT unknown").select("id")
-    scores = stored(perplexities(docs, trusted, "id", id_col, text_col), "lm-scores")
+    made, label_col = ("perplexity", "threshold", "kept"), id_col
+    bare, (id_col, text_col, lang_col), columns = numbered(docs.drop(*made), id_col, text_col, lang_col)
+    labelled, (label_id, quality_col), _ = numbered(labels, label_col, quality_col)
+    trusted = labelled.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).cast("long").alias("id")).agg(F.min(quality_col).alias("q"), F.max(F.col(quality_col).isNull()).alias("unknown")).where("q = 1 AND NOT unknown").select("id")
+    scores = stored(perplexities(bare, trusted, "id", id_col, text_col), "lm-scores")
     key, lang = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.col(lang_col).cast("string")
-    good = docs.select(key.alias("id"), lang.alias("_lang")).join(trusted, "id", "left_semi").distinct().join(scores, "id")
+    good = bare.select(key.alias("id"), lang.alias("_lang")).join(trusted, "id", "left_semi").distinct().join(scores, "id")
     limits = stored(language_thresholds(good, quantile), "lm-thresholds")
     most = limits.agg(F.max("threshold").alias("most"))
-    # the row travels as one struct, so no column of it can clash with the names used here
-    out = bare.select(F.struct(*[F.col(f"`{c}`") for c in bare.columns]).alias("row"), key.alias("id"), lang.alias("lang"))
+    out = bare.withColumn("id", key).withColumn("lang", lang)
     out = out.join(scores, "id", "left").join(limits, out["lang"].eqNullSafe(limits["_lang"]), "left").join(F.broadcast(most))  # a row a language, and one row
     limit = F.coalesce("threshold", "most")
-    return out.select("row.*", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(True)).alias("kept"))
+    return out.select(*columns, "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(True)).alias("kept"))

@@ -13,7 +13,7 @@ from quillon.llm.embedding_dedup import embedding_dedup
 from quillon.llm.exact_dedup import exact_dedup
 from quillon.llm.line_dedup import line_dedup
 from quillon.llm.main_text import extract_main_text
-from quillon.llm.mixing import mix_sources
+from quillon.llm.mixing import mix_sources, shard_counts
 from quillon.llm.packing import pack_documents
 from quillon.llm.quality import quality_scores
 from quillon.llm.shared import shared_dir
@@ -49,6 +49,27 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two turns of every conversation, written in one of eight layouts (two of them unknown), and what the formatter makes of them."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    first = rows.where("turn < 2").groupBy("conv_id").agg(*[F.max(F.when(F.col("turn") == i, F.coalesce("text", F.lit("")))).alias(c) for i, c in enumerate("ab")]).na.fill("")
+    as_json = lambda **names: F.to_json(F.struct(*[F.col(c).alias(n.replace("_", " ").strip()) for n, c in names.items()]))
+    pair = lambda role, text, a, b: F.array(*[F.struct(F.lit(r).alias(role), F.col(c).alias(text)) for r, c in ((a, "a"), (b, "b"))])
+    layouts = [
+        F.to_json(F.struct(pair("role", "content", "user", "assistant").alias("messages"))), F.to_json(F.struct(pair("from", "value", "human", "gpt").alias("conversations"))), as_json(instruction="a", output="b"),
+        as_json(prompt="a", response="b"), as_json(prompt="a", completion="b"), as_json(question="a", answer="b"), as_json(x_prompt="a", y_response="b"), F.to_json(F.struct(pair("role", "content", "user", "assistant").alias("x messages"))),
+    ]
+    json = F.element_at(F.array(*layouts), F.pmod(F.col("conv_id"), F.lit(len(layouts))).cast("int") + 1)
+    out = format_chat(first.select("conv_id", json.alias("json")))
+    return out.select("conv_id", "layout", F.sha2("formatted", 256).alias("formatted_sha256"), F.try_element_at("loss_spans", F.lit(1))["length"].alias("loss_length"))
+
+
+def mix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, shards, slots: over how many output shards a source's blocks are spread, and how many there are."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return shard_counts(docs).groupBy("source").agg(F.count("*").alias("shards"), F.sum("slots").alias("slots"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
@@ -101,6 +122,13 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+CHAT_LAYOUTS_SQL = r"""
+WITH f AS (SELECT conv_id, coalesce(max(coalesce(text, '')) FILTER (turn = 0), '') AS a, coalesce(max(coalesce(text, '')) FILTER (turn = 1), '') AS b FROM conversations WHERE turn < 2 GROUP BY conv_id),
+e AS (SELECT conv_id, replace(replace(replace(a, '\', '\b'), '### ', '\s'), '</turn>', '\e') AS a, replace(replace(replace(b, '\', '\b'), '### ', '\s'), '</turn>', '\e') AS b FROM f)
+SELECT conv_id, (['messages', 'conversations', 'instruction', 'prompt', 'completion', 'question', NULL, NULL])[conv_id % 8 + 1] AS layout,
+  CASE WHEN conv_id % 8 < 6 THEN sha256('### user: ' || a || '</turn>' || chr(10) || '### assistant: ' || b || '</turn>' || chr(10)) END AS formatted_sha256, CASE WHEN conv_id % 8 < 6 THEN length(b) END AS loss_length FROM e
+"""
+
 OP6_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(generate_series(1, len(parts))) AS i, unnest(parts) AS line FROM (
@@ -140,8 +168,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_packing": op2_packing,
     "op3_chat": op3_chat,
+    "chat_layouts": chat_layouts,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
+    "mix_shards": mix_shards,
     "op6_line_dedup": op6_line_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_exact_dedup": op8_exact_dedup,
@@ -151,6 +181,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat": OP3_SQL,
+    "chat_layouts": CHAT_LAYOUTS_SQL,
     "op6_line_dedup": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
 }

@@ -13,7 +13,7 @@ from functools import wraps
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters that count as white space between words: space, tab, line feed, vertical tab, form feed, return.
@@ -69,6 +69,17 @@ def tidied(work):
     return run
 
 
+def numbered(docs: DataFrame, *named: str) -> tuple[DataFrame, list[str], list[Column]]:
+    """(docs with its columns named "column 0" and so on, the new names of the columns named, the columns under their old names).
+
+    An operator that works on it can use any names of its own.
+    """
+    names = [f"column {i}" for i in range(len(docs.columns))]
+    lower = [c.lower() for c in docs.columns]
+    own = [names[docs.columns.index(c) if c in docs.columns else lower.index(c.lower())] for c in named]
+    return docs.toDF(*names), own, [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
+
+
 def hashed_sample(rows: DataFrame, key: list[str], size: int, total: int) -> DataFrame:
     """Distinct rows by the hash of their key, about 1.3 times `size` of them (all of a small table): column h is the hash.
 

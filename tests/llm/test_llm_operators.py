@@ -235,6 +235,12 @@ def test_chat_layouts_and_round_trip(spark):
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_layouts_by_whole_names(spark):
+    odd = ['{"x prompt": "a", "y response": "b"}', '{"a:prompt": "q", "response": "b"}', '{"x messages": [{"role": "user", "content": "c"}]}', '{"messages[].role": 1, "messages": [], "messages[]": 1, "messages[].content": 2}', '{"a.prompt": "q", "response": "b"}']
+    df = spark.createDataFrame([(i, j) for i, j in enumerate(odd)], "id int, json string")
+    assert {r.layout for r in chat.format_chat(df).collect()} == {None}
+
+
 def test_control_strings_come_back(spark):
     parts = ["\\", "### ", "</turn>", "\\s", "\\e", "\\b", "\n", "#", "<", "user: ", "é", ""]
     rng = random.Random(1)
@@ -439,6 +445,33 @@ def test_multi_sequence_visits_nearest_cells():
     assert np.allclose(got, np.sort(d.reshape(50, -1), 1)[:, :9])
 
 
+# Names of other columns
+
+CLASHING = "id _id _size _s _v _n _c _l _r _b _t _gone gone _parts _keep _source _key meets row lang2 cold_id shard embedding2 key fp doc line words keep_id n text2 rep node component column".split()
+
+
+def with_clashes(df):
+    return df.select("*", *[F.lit(7).alias(c) for c in [*CLASHING, "a.b", "column 0", "column 1"] if c not in df.columns])
+
+
+@pytest.mark.parametrize(("operator", "schema", "data"), [
+    (mixing.mix_sources, "doc_id long, text string, source string", [(1, "a b", "s"), (2, None, None)]),
+    (mixing.mixed_documents, "doc_id long, text string, source string", [(1, "a b", "s"), (2, "c", None)]),
+    (line_dedup.line_dedup, "doc_id long, text string", [(1, "a b"), (2, "a b")]),
+    (embedding_dedup.embedding_dedup, "vec_id long, embedding array<double>", [(1, [1.0, 0.0]), (2, [2.0, 0.0])]),
+    (exact_dedup.exact_dedup, "doc_id long, text string", [(1, "a"), (2, "a "), (3, "b")]),
+    (chat.format_chat, "doc_id long, json string", [(1, '{"prompt": "a", "response": "b"}'), (2, None)]),
+    (main_text.extract_main_text, "page_id long, html string", [(1, "<p>x</p>")]),
+])
+def test_other_columns_come_along(spark, operator, schema, data):
+    df = spark.createDataFrame(data, schema)
+    plain, more = operator(df), operator(with_clashes(df))
+    added = [c for c in with_clashes(df).columns if c not in df.columns and c not in plain.columns]
+    got = more.collect()
+    assert got and all(r[c] == 7 for r in got for c in added)
+    assert sorted(map(repr, more.select(*[f"`{c}`" for c in plain.columns]).collect())) == sorted(map(repr, plain.collect()))
+
+
 # Exact copies
 
 
@@ -455,6 +488,18 @@ def test_trie_with_and_without_spill(budget):
     assert len(got) == len(want) and dict(got) == want
 
 
+def test_hot_and_cold_copies(spark, monkeypatch):
+    data = [(i, "hot" if i % 2 else f"t{i % 30}") for i in range(200)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = sorted(map(tuple, exact_dedup.exact_dedup(df).select("doc_id", "keep_id", "group_size", "kept").collect()))
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 10)
+    assert sorted(map(tuple, exact_dedup.exact_dedup(df).select("doc_id", "keep_id", "group_size", "kept").collect())) == want
+    first = {}
+    for i, t in data:
+        first.setdefault(t, i)
+    assert want == sorted((i, first[t], sum(u == t for _, u in data), first[t] == i) for i, t in data)
+
+
 def test_exact_edges(spark):
     df = spark.createDataFrame([(3, "a b", 1), (2, "ab ", 1), (9, "a  b", 1), (None, None, 1), (7, " \n", 1), (7, " \n", 1)], "doc_id long, text string, kept int")
     out = sorted((r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df).collect())
