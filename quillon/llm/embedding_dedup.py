@@ -2,7 +2,8 @@
 
 Unit vectors are cut into two halves with a codebook each; the pairs of centroids form a grid of cells, and every row is
 indexed in one cell. A query visits cells in the order of the multi-sequence algorithm (the sum of its halves'
-distances to the centroids), as many as a held-out measurement against brute force needs for the target recall.
+distances to the centroids), as many as the target recall needs: queries with ids divisible by 20 are held against all
+rows by brute force, block by block, and the place of every link's cell in the order is counted, however deep it is.
 Candidates are verified by cosine in double precision.
 
 Equal vectors fold into one representative first. Cells are dealt out in blocks of bounded size, so a crowded cell is
@@ -22,8 +23,12 @@ from pyspark.sql import types as T
 
 from quillon.llm.shared import hashed_sample, numbered, smallest_reachable, stored
 
-#: Rows that train the codebooks and measure the recall: a fixed bound; every row is indexed.
+#: Rows that train the codebooks: a fixed bound; every row is indexed.
 SAMPLE_ROWS = 8_000
+#: Rows with ids divisible by 20, chosen by hash, that are held against all rows to measure the recall: a fixed bound.
+QUERY_ROWS = 2_000
+#: With fewer links than this among the queries, neighbours made at the threshold itself are measured too.
+FEW_LINKS = 200
 #: Rows of a cell on average, which sets the number of centroids, and its bounds.
 CELL_ROWS, FEWEST, MOST = 500, 4, 512
 #: Rows of a block: members and queries of a cell meet block by block.
@@ -83,25 +88,60 @@ class MultiIndex:
         return np.take_along_axis(ia * len(self.second) + ib, order, 1)
 
 
-def fit_index(sample: np.ndarray, centroids: int, threshold: float = THRESHOLD, target: float = TARGET_RECALL, seed: int = 11) -> MultiIndex:
-    """Codebooks from one half of a sample of unit vectors; the visits from brute-force links of the whole sample.
+    def depth(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For each row of x how many cells are nearer to it than the own cell of the row of y."""
+        (xa, xb), (ya, yb) = halves(x), halves(y)
+        da, db = distances(xa, self.first), distances(xb, self.second)
+        row = np.arange(len(x))
+        reach = da[row, distances(ya, self.first).argmin(1)] + db[row, distances(yb, self.second).argmin(1)]
+        db = np.sort(db, 1)
+        return np.array([np.searchsorted(b, r * (1 - 1e-12) - a, "left").sum() for a, b, r in zip(da, db, reach)], np.int64)
 
-    A link counts as found if either end visits the cell of the other.
-    """
-    a, b = halves(sample[::2])
-    index = MultiIndex(train_codebook(a, centroids, seed), train_codebook(b, centroids, seed + 1), 1)
-    most = min(64, len(index.first) * len(index.second))
-    seen = index.sequence(sample, most)
-    own = seen[:, 0]
-    depths = []
-    for at in range(0, len(sample), 1_000):
-        i, j = np.nonzero(sample[at : at + 1_000] @ sample.T >= threshold)
-        i, j = (i + at)[i + at < j], j[i + at < j]
-        hits = (seen[i] == own[j][:, None]) | (seen[j] == own[i][:, None])
-        depths.append(np.where(hits.any(1), hits.argmax(1), most))
-    depths = np.concatenate(depths) if depths else np.zeros(0)
-    index.visits = int(min(most, np.quantile(depths, target, method="higher") + 2)) if len(depths) else min(most, 8)
-    return index
+    def link_depths(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """A link is found if either end visits the cell of the other."""
+        return np.minimum(self.depth(x, y), self.depth(y, x)) if len(x) else np.zeros(0, np.int64)
+
+
+def fit_codebooks(sample: np.ndarray, centroids: int, seed: int = 11) -> MultiIndex:
+    a, b = halves(sample)
+    return MultiIndex(train_codebook(a, centroids, seed), train_codebook(b, centroids, seed + 1), 1)
+
+
+def neighbours_at(x: np.ndarray, threshold: float, seed: int = 5) -> np.ndarray:
+    """For each unit vector one whose cosine with it is the threshold, in a direction drawn at random."""
+    noise = np.random.default_rng(seed).normal(size=x.shape)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    length = np.sqrt((noise * noise).sum(1, keepdims=True))
+    return threshold * x + np.sqrt(1 - threshold**2) * noise / np.where(length > 0, length, 1)
+
+
+def _measured(batches: Iterator[pa.RecordBatch], index: MultiIndex, ids: np.ndarray, queries: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """depth, n: how many links of the queries with these rows lie how deep."""
+    for batch in batches:
+        own, x = batch.column("rep").to_numpy(), unit(_matrix(batch.column("embedding"))) if batch.num_rows else np.zeros((0, queries.shape[1]))
+        for at in range(0, len(x), BLOCK_ROWS):
+            part = x[at : at + BLOCK_ROWS]
+            i, j = np.nonzero(part @ queries.T >= threshold)
+            other = own[at : at + BLOCK_ROWS][i] != ids[j]
+            depth, n = np.unique(index.link_depths(queries[j[other]], part[i[other]]), return_counts=True)
+            yield pa.record_batch([pa.array(depth, pa.int64()), pa.array(n, pa.int64())], ["depth", "n"])
+
+
+def measured_visits(reps: DataFrame, index: MultiIndex, rows: int, threshold: float, target: float) -> int:
+    """The number of cells to visit so that the target share of the queries' links is found."""
+    chosen = hashed_sample(reps.where("rep % 20 = 0").select("rep", "embedding"), ["rep"], QUERY_ROWS, rows // 20).toArrow().sort_by("h").slice(0, QUERY_ROWS)
+    if not len(chosen):
+        return len(index.first) * len(index.second)
+    queries = unit(_matrix(chosen["embedding"]))
+    work = partial(_measured, index=index, ids=chosen["rep"].to_numpy(), queries=queries, threshold=threshold)
+    found = reps.select("rep", "embedding").mapInArrow(work, "depth long, n long").groupBy("depth").agg(F.sum("n").alias("n")).toArrow()  # a row a depth, of which there are no more than cells
+    depth, n = found["depth"].to_numpy(), found["n"].to_numpy()
+    if n.sum() < FEW_LINKS:
+        made = index.link_depths(queries, unit(neighbours_at(queries, threshold)))
+        depth, n = np.concatenate([depth, made]), np.concatenate([n, np.ones(len(made), np.int64)])
+    order = np.argsort(depth)
+    at = np.searchsorted(np.cumsum(n[order]), target * n.sum())
+    return int(min(depth[order][min(at, len(depth) - 1)] + 2, len(index.first) * len(index.second)))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -157,7 +197,8 @@ def _linked(reps: DataFrame, rows: int, threshold: float, target: float) -> Data
     """rep, n, other over representatives of one dimension; n adds up to the copies of a vector's neighbours."""
     sample = hashed_sample(reps.select("rep", "embedding"), ["rep"], SAMPLE_ROWS, rows).toArrow()
     x = unit(_matrix(sample.sort_by("h").slice(0, SAMPLE_ROWS)["embedding"]))
-    index = fit_index(x, int(np.clip(np.ceil(np.sqrt(rows / CELL_ROWS)), FEWEST, MOST)), threshold, target)
+    index = fit_codebooks(x, int(np.clip(np.ceil(np.sqrt(rows / CELL_ROWS)), FEWEST, MOST)))
+    index.visits = measured_visits(reps, index, rows, threshold, target)
     with_cells = T.StructType([*reps.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
     placed = stored(reps.mapInArrow(partial(_visiting, index=index), with_cells), "vector-cells")
     asks = placed.withColumn("cell", F.explode("cells"))

@@ -435,6 +435,33 @@ def test_embeddings_recall_and_edges(spark):
     assert embedding_dedup.embedding_dedup(v.limit(0)).count() == 0
 
 
+def test_recall_holds_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SAMPLE_ROWS", 300)
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 20)
+    rng = np.random.default_rng(9)
+    far = rng.normal(size=(2000, 24))
+    x = np.concatenate([far, far[:700] + rng.normal(scale=0.25, size=(700, 24)), np.repeat(far[5:6], 300, 0) + rng.normal(scale=0.1, size=(300, 24))])
+    order = rng.permutation(len(x))
+    x = x[order]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    for queries in (2_000, 20):  # with few queries there is next to no link among them
+        monkeypatch.setattr(embedding_dedup, "QUERY_ROWS", queries)
+        got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_dedup(df).collect()}
+        got = np.array([got[i] for i in range(len(x))])
+        assert (got <= near.sum(1)).all() and got.sum() >= 0.97 * near.sum() > 1_000
+
+
+def test_depths_are_places_in_the_sequence():
+    rng = np.random.default_rng(2)
+    index = embedding_dedup.MultiIndex(rng.normal(size=(6, 3)), rng.normal(size=(7, 3)), 1)
+    x, y = rng.normal(size=(40, 6)), rng.normal(size=(40, 6))
+    own = index.sequence(y, 1)[:, 0]
+    assert index.depth(x, y).tolist() == (index.sequence(x, 42) == own[:, None]).argmax(1).tolist()
+
+
 def test_multi_sequence_visits_nearest_cells():
     rng = np.random.default_rng(0)
     index = embedding_dedup.MultiIndex(rng.normal(size=(7, 4)), rng.normal(size=(5, 4)), 9)
