@@ -7,8 +7,10 @@ n - ceil(t n) + 1; postings of these prefixes meet by word and pass filters on l
 picture of the set (one bit a word, by parity: sets differ in at least as many words as pictures in bits). What is
 left is verified on the words themselves, and every line that an earlier line matches goes.
 
-A posting list of up to LIST_ROWS lines puts out all its candidates. In a longer one each line puts out a few and says
-that there are more; lines that those don't settle are looked up again with every candidate.
+Tasks pack postings by bucket, and the number of buckets comes from the counted postings, so a bucket holds a bounded
+number. The list of a frequent word is dealt out in blocks, of which every two meet in a bucket of their own. A list of
+up to LIST_ROWS lines puts out all its candidates. In a longer one each line puts out a few and says that there are
+more; such lists come along, and lines that those few don't settle are looked up in them with every candidate.
 """
 
 from __future__ import annotations
@@ -19,11 +21,12 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import discard, numbered, small_batches, stored, tidied
+from quillon.llm.shared import discard, numbered, shuffles_freed, small_batches, stored, tidied
 
 THRESHOLD = 0.8
 #: Entries of the table of word counts (a word is counted at its hash).
@@ -31,6 +34,8 @@ COUNT_TABLE = 1 << 17
 LIST_ROWS = 64
 #: Candidates that a line puts out from a longer list.
 FEW = 4
+#: Postings of a bucket, postings that a task packs at a time, and lines of a block of a frequent word's list.
+BUCKET_ROWS, PACKED_ROWS, BLOCK_ROWS = 250_000, 400_000, 8_192
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -50,22 +55,28 @@ class Lines:
     one line would have to share all these bits to be taken for one.
     """
 
-    def __init__(self, ids: list, texts: list[str], ranks: np.ndarray | None = None):
-        doc, line, size, words = [], [], [], []
-        for i, text in zip(ids, texts):
-            for k, row in enumerate((text or "").encode().lower().split(b"\n")):
-                w = row.split()
-                if w:
-                    doc.append(i)
-                    line.append(k)
-                    size.append(len(w))
-                    words += w
+    def __init__(self, ids: pa.Array, texts: pa.Array, ranks: np.ndarray | None = None):
+        rows = pc.split_pattern(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), "\n")
+        ends = rows.offsets.to_numpy()
+        split = pc.ascii_split_whitespace(rows.values)
+        coded = split.values.dictionary_encode()
+        words, code = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        owner = np.repeat(np.arange(len(size), dtype=np.uint64), size)
+        lines = len(rows.values)
+        of_line = np.repeat(np.arange(lines), np.diff(split.offsets.to_numpy()))
+        if b"" in words:  # at the ends of a line
+            some = code != words.index(b"")
+            code, of_line = code[some], of_line[some]
+        filled = np.bincount(of_line, minlength=lines) > 0
+        self.doc = np.repeat(ids.to_numpy(zero_copy_only=False), np.diff(ends))[filled]
+        self.line = (np.arange(lines) - np.repeat(ends[:-1], np.diff(ends)))[filled].astype(np.int64)
         name = h >> np.uint64(64 - _HASH_BITS)
+        entry = (name & np.uint64(COUNT_TABLE - 1)).astype(np.int64)
+        self.counts = np.bincount(entry, np.bincount(code, minlength=len(words)), COUNT_TABLE).astype(np.int64)
         if ranks is not None:
-            name |= ranks[h & np.uint64(COUNT_TABLE - 1)].astype(np.uint64) << np.uint64(_HASH_BITS)
-        if len(size) < 1 << (64 - _NAME_BITS):
+            name |= ranks[entry].astype(np.uint64) << np.uint64(_HASH_BITS)
+        owner, name = (np.cumsum(filled) - 1)[of_line].astype(np.uint64), name[code]
+        if len(self.doc) < 1 << (64 - _NAME_BITS):
             both = np.sort((owner << np.uint64(_NAME_BITS)) | name)  # one sort of numbers
             owner, name = (both >> np.uint64(_NAME_BITS)).astype(np.int64), both & np.uint64((1 << _NAME_BITS) - 1)
         else:
@@ -74,12 +85,11 @@ class Lines:
         fresh = np.ones(len(name), bool)
         fresh[1:] = (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])
         self.words, self.owner = name[fresh], owner[fresh]
-        self.doc, self.line = doc, np.array(line, np.int64)
-        self.n = np.bincount(self.owner, minlength=len(doc)).astype(np.int64)
+        self.n = np.bincount(self.owner, minlength=len(self.doc)).astype(np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.n)[:-1]]).astype(np.int64)
-        self.entries = h & np.uint64(COUNT_TABLE - 1)
-        if len(doc):
-            self.k1 = np.add.reduceat(_mixed(self.words, 1), self.start).view(np.int64)
+        if len(self.doc):
+            bare = self.words & np.uint64((1 << _HASH_BITS) - 1)  # the same with and without ranks
+            self.k1, self.k2 = (np.add.reduceat(_mixed(bare, salt), self.start).view(np.int64) for salt in (1, 2))
 
 
 def count_ranks(counts: np.ndarray) -> np.ndarray:
@@ -88,60 +98,102 @@ def count_ranks(counts: np.ndarray) -> np.ndarray:
     return np.clip(2 * np.log2(seen / seen.min()), 0, (1 << _RANK_BITS) - 1).astype(np.uint8)
 
 
+def prefix_lengths(n: np.ndarray, threshold: float) -> np.ndarray:
+    """Words of a set that go into lists: none if it is so small that only an equal set can match it."""
+    least = np.ceil(threshold / (1 - threshold) - 1e-9) if threshold < 1 else np.inf
+    return np.where(n >= least, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 0)
+
+
 _PASS = "kind byte, a long, b long, k1 long, k2 long"
 
 
 @tidied
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: line b of document a and the 128-bit hash of its set. Kind 1: entry a of the count table has b."""
-    counts = np.zeros(COUNT_TABLE, np.int64)
-    names = ["kind", "a", "b", "k1", "k2"]
+def _scan(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Kind 0: line b of document a and the 128-bit hash of its set. Kind 1: entry a of the count table has b. Kind 2: b postings."""
+    counts, postings = np.zeros(COUNT_TABLE, np.int64), 0
+
+    def rows(kind: int, a: np.ndarray, b: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.full(len(a), kind, np.int8)), *[pa.array(x, pa.int64()) for x in (a, b, k1, k2)]], ["kind", "a", "b", "k1", "k2"])
+
     for batch in small_batches(batches, limit=1 << 20):
-        x = Lines(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        x = Lines(batch.column(0), batch.column(1))
         if len(x.doc):
-            counts += np.bincount(x.entries.astype(np.int64), minlength=COUNT_TABLE)
-            x.k2 = np.add.reduceat(_mixed(x.words, 2), x.start).view(np.int64)
-            yield pa.record_batch([pa.array(np.zeros(len(x.doc), np.int8)), pa.array(x.doc, pa.int64()), pa.array(x.line), pa.array(x.k1), pa.array(x.k2)], names)
+            counts += x.counts
+            postings += int(prefix_lengths(x.n, threshold).sum())
+            yield rows(0, x.doc, x.line, x.k1, x.k2)
     at = np.nonzero(counts)[0]
     zero = np.zeros(len(at), np.int64)
-    yield pa.record_batch([pa.array(np.ones(len(at), np.int8)), pa.array(at), pa.array(counts[at]), pa.array(zero), pa.array(zero)], names)
+    yield rows(1, at, counts[at], zero, zero)
+    yield rows(2, zero[:0], zero[:0], zero[:0], zero[:0]) if not postings else rows(2, *(np.array([v]) for v in (0, postings, 0, 0)))
 
 
-_POSTING = "word long, k1 long, doc_id long, line long, n int, pos int, picture long, picture2 long"
+#: A posting. list is the word, or the word and a pair of blocks; block is -1 where all of a list meets.
+_POSTING = np.dtype([("list", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("doc", "<i8"), ("line", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("block", "<i4"), ("p0", "<u8"), ("p1", "<u8")])
 
 
 @tidied
-def _postings(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
-    """The prefix of every set, where a task first meets it and again at each earlier place, so that its first is among them."""
-    seen: dict[int, int] = {}
+def _postings(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, blocks: np.ndarray, buckets: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """bucket, packed: the prefix of every set, where a task first meets it and again at each earlier place, so that its first is among them."""
+    seen: dict[tuple[int, int], tuple[int, int]] = {}
+    held: list[np.ndarray] = []
+
+    def packed() -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(held)
+        held.clear()
+        bucket = (_mixed(rows["list"], 7) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order]
+        cut = np.nonzero(np.diff(bucket, prepend=-1))[0]
+        parts = [rows[i:j].tobytes() for i, j in zip(cut, [*cut[1:], len(rows)])]
+        yield pa.record_batch([pa.array(bucket[cut]), pa.array(parts, pa.binary())], ["bucket", "packed"])
+
     for batch in small_batches(batches, limit=1 << 20):
-        x = Lines(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ranks)
+        x = Lines(batch.column(0), batch.column(1), ranks)
         if not len(x.doc):
             continue
-        new = np.zeros(len(x.doc), bool)
-        for at, (k, doc, line) in enumerate(zip(x.k1.tolist(), x.doc, x.line.tolist())):
-            place = (doc << 32) | line
-            if k not in seen or place < seen[k]:
-                seen[k] = place
-                new[at] = True
-        if len(seen) > 1_000_000:
+        prefix = prefix_lengths(x.n, threshold)
+        for at, (key, place) in enumerate(zip(zip(x.k1.tolist(), x.k2.tolist()), zip(x.doc.tolist(), x.line.tolist()))):
+            if prefix[at] and (key not in seen or place < seen[key]):
+                seen[key] = place
+            else:
+                prefix[at] = 0
+        if len(seen) > 500_000:
             seen.clear()
-        prefix = x.n - np.ceil(threshold * x.n - 1e-9).astype(np.int64) + 1
         pos = np.arange(len(x.words)) - x.start[x.owner]
-        take = (pos < prefix[x.owner]) & new[x.owner] & (x.n[x.owner] > 3)  # shorter sets match only equal ones
-        word = x.words.view(np.int64)
+        take = np.nonzero(pos < prefix[x.owner])[0]
         place = _mixed(x.words, 3) >> np.uint64(57)
         bit = np.uint64(1) << (place & np.uint64(63))
-        pictures = [np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == half, bit, np.uint64(0)), x.start).view(np.int64) for half in (0, 1)]
         own = x.owner[take]
-        yield pa.record_batch(
-            [pa.array(word[take]), pa.array(x.k1[own]), pa.array(x.doc, pa.int64()).take(pa.array(own)), pa.array(x.line[own]),
-             pa.array(x.n[own].astype(np.int32)), pa.array(pos[take].astype(np.int32)), *[pa.array(x[own]) for x in pictures]],
-            ["word", "k1", "doc_id", "line", "n", "pos", "picture", "picture2"],
-        )
-
-
-def _passes(a: dict, b: dict, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.zeros(len(take), _POSTING)
+        rows["list"], rows["pos"], rows["block"] = x.words[take], pos[take], -1
+        for name, values in (("k1", x.k1), ("k2", x.k2), ("doc", x.doc), ("line", x.line), ("n", x.n)):
+            rows[name] = values[own]
+        for half in (0, 1):
+            rows[f"p{half}"] = np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == half, bit, np.uint64(0)), x.start)[own]
+        held.append(_in_blocks(rows, blocks[(rows["list"] & np.uint64(COUNT_TABLE - 1)).astype(np.int64)]))
+        if sum(map(len, held)) > PACKED_ROWS:
+            yield from packed()
+    if held:
+        yield from packed()
+
+
+def _in_blocks(rows: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """The postings of lists of several blocks once for every pair of blocks that theirs is in."""
+    several = blocks > 1
+    if not several.any():
+        return rows
+    own, n = rows[several], blocks[several]
+    copy = np.repeat(np.arange(len(own)), n)
+    other = np.arange(len(copy)) - np.repeat(np.cumsum(n) - n, n)
+    out = own[copy]
+    block = (_mixed(out["k1"].view(np.uint64), 9) % n[copy].astype(np.uint64)).astype(np.int64)
+    pair = np.minimum(block, other) * n[copy] + np.maximum(block, other)
+    out["list"] = _mixed(out["list"] ^ _mixed(pair.astype(np.uint64), 11), 13)
+    out["block"] = np.where(block == other, -1, block)
+    return np.concatenate([rows[~several], out])
+
+
+def _passes(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Words that differ at least, and whether pairs of postings pass the filters on length, position and picture.
 
     No filter drops a pair that is similar enough.
@@ -149,69 +201,72 @@ def _passes(a: dict, b: dict, threshold: float) -> tuple[np.ndarray, np.ndarray]
     n, m = a["n"].astype(np.int64), b["n"].astype(np.int64)
     need = np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
     reach = 1 + np.minimum(n - a["pos"] - 1, m - b["pos"] - 1)
-    apart = sum(np.bitwise_count((a[c] ^ b[c]).view(np.uint64)).astype(np.int64) for c in ("picture", "picture2"))
+    apart = (np.bitwise_count(a["p0"] ^ b["p0"]) + np.bitwise_count(a["p1"] ^ b["p1"])).astype(np.int64)
     return apart, (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (reach >= need) & (n + m - apart >= 2 * need)
 
 
-#: Postings looked at together.
-_TOGETHER = 200_000
-
-
-@tidied
-def _candidates(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Posting lists, sorted by word and place, to (doc_id, line) with an earlier (x_doc, x_line), or null for "more"."""
-    held, size = [], 0
-    for batch in batches:
-        held.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names})
-        size += batch.num_rows
-        if size >= _TOGETHER:
-            now = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
-            cut = int(np.searchsorted(now["word"], now["word"][-1]))
-            yield from _from_lists({c: v[:cut] for c, v in now.items()}, threshold)
-            held = [{c: v[cut:] for c, v in now.items()}]
-            size = len(held[0]["word"])
-    if held:
-        yield from _from_lists({c: np.concatenate([h[c] for h in held]) for c in held[0]}, threshold)
-
-
-def _from_lists(p: dict[str, np.ndarray], threshold: float) -> Iterator[pa.RecordBatch]:
-    if len(p["word"]) < 2:
-        return
-    order = np.lexsort((p["k1"], p["word"]))  # stable: of one set that several tasks bring, the earliest place is first
-    first = np.ones(len(order), bool)
-    first[1:] = (p["k1"][order][1:] != p["k1"][order][:-1]) | (p["word"][order][1:] != p["word"][order][:-1])
-    keep = np.sort(order[first])
-    p = {c: v[keep] for c, v in p.items()}
-    word, n = p["word"], len(keep)
-    begin = np.concatenate([[0], np.nonzero(word[1:] != word[:-1])[0] + 1])
-    length = np.diff(np.concatenate([begin, [n]]))
-    long_list = np.repeat(length > LIST_ROWS, length)
-    given, more, found = np.zeros(n, np.int64), np.zeros(n, bool), []
-    alive = np.arange(n)
-    for lag in range(1, int(length.max())):
-        alive = alive[alive + lag < n]
-        alive = alive[word[alive] == word[alive + lag]]
-        # a line that has put out its few stops at the first candidate beyond them
-        pairs = alive[~more[alive + lag]]
-        y = pairs + lag
-        fields = ("n", "pos", "picture", "picture2")
-        apart, good = _passes({c: p[c][pairs] for c in fields}, {c: p[c][y] for c in fields}, threshold)
-        pairs, y, apart = pairs[good], y[good], apart[good]
-        stop = long_list[y] & (given[y] >= FEW)
-        more[y[stop]] = True
-        pairs, y, apart = pairs[~stop], y[~stop], apart[~stop]
-        given[y] += 1
-        found.append((y, pairs, apart))
-    if found:
-        y, x, apart = (np.concatenate(side) for side in zip(*found))
-        yield pa.record_batch([pa.array(p["doc_id"][y]), pa.array(p["line"][y]), pa.array(p["doc_id"][x]), pa.array(p["line"][x]), pa.array(apart.astype(np.int32))], _PAIR)
-    y = np.nonzero(more)[0]
-    none = pa.nulls(len(y), pa.int64())
-    yield pa.record_batch([pa.array(p["doc_id"][y]), pa.array(p["line"][y]), none, none, pa.nulls(len(y), pa.int32())], _PAIR)
-
-
-_PAIR = ["doc_id", "line", "x_doc", "x_line", "apart"]
-_PAIR_SCHEMA = "doc_id long, line long, x_doc long, x_line long, apart int"
+_FOUND = "kind byte, doc_id long, line long, x_doc long, x_line long, apart int, list long, n int, pos int, block int, p0 long, p1 long"
+
+
+def _candidates(table: pa.Table, threshold: float) -> pa.Table:
+    """The lists of one bucket. Kind 0: a line with an earlier one that may match it. Kind 1: a line with more of these. Kind 2: a posting of a list that has such a line."""
+    p = np.concatenate([np.frombuffer(x, _POSTING) for x in table["packed"].to_pylist()])
+    order = np.lexsort((p["line"], p["doc"], p["k2"], p["k1"], p["list"]))
+    p = p[order]
+    first = np.ones(len(p), bool)
+    first[1:] = (p["list"][1:] != p["list"][:-1]) | (p["k1"][1:] != p["k1"][:-1]) | (p["k2"][1:] != p["k2"][:-1])
+    p = p[first]  # of one set that several tasks bring, the earliest place
+    p = p[np.lexsort((p["line"], p["doc"], p["n"], p["list"]))]
+    begin = np.nonzero(np.concatenate([[True], p["list"][1:] != p["list"][:-1]]))[0]
+    length = np.diff(begin, append=len(p))
+    more = np.zeros(len(p), bool)
+    short = np.repeat(length <= LIST_ROWS, length)
+    found = [_pairs(p, np.nonzero(short)[0], more, None, threshold)]
+    for b, n in zip(begin[length > LIST_ROWS], length[length > LIST_ROWS]):
+        found.append(_pairs(p, np.arange(b, b + n), more, FEW, threshold))
+    y, x, apart = (np.concatenate(side) for side in zip(*found))
+    open_lists = np.isin(np.repeat(np.arange(len(begin)), length), np.unique(np.repeat(np.arange(len(begin)), length)[more]))
+    kept = [np.zeros(len(y), np.int8), np.ones(int(more.sum()), np.int8), np.full(int(open_lists.sum()), 2, np.int8)]
+    line = np.concatenate([y, np.nonzero(more)[0], np.nonzero(open_lists)[0]])
+    pad = len(line) - len(y)
+    own = p[line]
+    columns = [
+        np.concatenate(kept), own["doc"], own["line"], np.concatenate([p["doc"][x], np.zeros(pad, np.int64)]), np.concatenate([p["line"][x], np.zeros(pad, np.int64)]), np.concatenate([apart, np.zeros(pad, np.int64)]).astype(np.int32),
+        own["list"].astype(np.uint64).view(np.int64), own["n"], own["pos"], own["block"], own["p0"].astype(np.uint64).view(np.int64), own["p1"].astype(np.uint64).view(np.int64),
+    ]
+    return pa.table([pa.array(np.ascontiguousarray(c)) for c in columns], [f.split(" ")[0] for f in _FOUND.split(", ")])
+
+
+def _pairs(p: np.ndarray, rows: np.ndarray, more: np.ndarray, few: int | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(later line, earlier line, words apart) of the pairs in one list each that pass; a line with `few` says that it has more.
+
+    The lines of a list are in order of size, so those too large for a line come after all that aren't.
+    """
+    given = np.zeros(len(p), np.int64) if few else None
+    found: list[tuple] = [(np.zeros(0, np.int64),) * 3]
+    alive, lag, q = np.arange(len(rows)), 0, p[rows]
+    earlier = np.lexsort((q["line"], q["doc"]))
+    place = np.empty(len(q), np.int64)
+    place[earlier] = np.arange(len(q))
+    while len(alive):
+        lag += 1
+        alive = alive[alive + lag < len(q)]
+        alive = alive[(q["list"][alive] == q["list"][alive + lag]) & (q["n"][alive] >= threshold * q["n"][alive + lag] - 1e-9)]
+        i, j = alive, alive + lag
+        y, x = np.where(place[i] > place[j], i, j), np.where(place[i] > place[j], j, i)
+        asks = (q["block"][i] != q["block"][j]) | (q["block"][i] < 0)
+        if few:
+            asks &= ~more[rows[y]]
+        y, x = y[asks], x[asks]
+        apart, good = _passes(q[y], q[x], threshold)
+        y, x, apart = y[good], x[good], apart[good]
+        if few:
+            full = given[y] >= few
+            more[rows[y[full]]] = True
+            y, x, apart = y[~full], x[~full], apart[~full]
+            np.add.at(given, y, 1)
+        found.append((rows[y], rows[x], apart))
+    return tuple(np.concatenate(side) for side in zip(*found))
 
 
 #: Largest number of lines whose places are broadcast (8 or 16 bytes each); more are joined.
@@ -300,63 +355,50 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Earlier is by id (null first), then line. A line without words neither goes nor matches.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    scan = stored(rows.mapInArrow(_scan, _PASS), "line-scan")
-    lines = scan.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("line"), "k1", "k2")
-    owners = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = lines.join(owners, ["k1", "k2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line"))).select("doc_id", "line")
-    table = scan.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).toArrow()  # at most COUNT_TABLE rows
-    counts = np.zeros(COUNT_TABLE, np.int64)
-    counts[table["a"].to_numpy()] = table["b"].to_numpy()
-    ranks = count_ranks(counts)
-    found = _near_pairs(rows, ranks, threshold)
-    pairs = stored(found, "line-pairs")
-    settled = _similar(pairs.where("x_doc IS NOT NULL"), rows, threshold)
-    out = again.union(settled)
-    rest = stored(pairs.where("x_doc IS NULL").select("doc_id", "line").distinct().join(settled, ["doc_id", "line"], "left_anti"), "line-rest")
-    discard(pairs)
-    if not rest.isEmpty():
-        out = out.union(_searched_again(rest, rows, ranks, threshold))
-    done = stored(out.distinct(), "lines-gone")
-    for table in (scan, settled, rest):  # the result stands by itself
+    with shuffles_freed(spark):
+        scan = stored(rows.mapInArrow(partial(_scan, threshold=threshold), _PASS), "line-scan")
+        lines = scan.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("line"), "k1", "k2")
+        owners = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        again = lines.join(owners, ["k1", "k2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line"))).select("doc_id", "line")
+        table = scan.where("kind > 0").groupBy("kind", "a").agg(F.sum("b").alias("b")).toArrow()  # COUNT_TABLE rows and one at most
+        kind, a, b = (table[c].to_numpy() for c in ("kind", "a", "b"))
+        counts = np.zeros(COUNT_TABLE, np.int64)
+        counts[a[kind == 1]] = b[kind == 1]
+        buckets = max(1, -(-int(b[kind == 2].sum()) // BUCKET_ROWS))
+        work = partial(_postings, ranks=count_ranks(counts), blocks=np.maximum(1, -(-counts // BLOCK_ROWS)), buckets=buckets, threshold=threshold)
+        packed = rows.mapInArrow(work, "bucket long, packed binary")
+        found = stored(packed.groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold), _FOUND), "line-pairs")
+        settled = _similar(found.where("kind = 0"), rows, threshold)
+        out = again.union(settled)
+        rest = stored(found.where("kind = 1").select("doc_id", "line").distinct().join(settled, ["doc_id", "line"], "left_anti"), "line-rest")
+        if not rest.isEmpty():
+            out = out.union(_searched_again(rest, found.where("kind = 2"), rows, threshold))
+        done = stored(out.distinct(), "lines-gone")
+    for table in (scan, found, settled, rest):  # the result stands by itself
         discard(table)
     return done
 
 
-def _near_pairs(rows: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
-    postings = rows.mapInArrow(partial(_postings, ranks=ranks, threshold=threshold), _POSTING)
-    dealt = postings.repartition("word").sortWithinPartitions("word", "doc_id", "line")
-    return dealt.mapInArrow(partial(_candidates, threshold=threshold), _PAIR_SCHEMA)
-
-
-def _searched_again(rest: DataFrame, rows: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
-    """Lines that long lists left open, against every posting of the words of their prefixes."""
-    wanted = rest.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
-    own = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_only_lines, "doc_id long, text string")
-    probes = own.mapInArrow(partial(_postings, ranks=ranks, threshold=threshold), _POSTING)
-    every = rows.mapInArrow(partial(_postings, ranks=ranks, threshold=threshold), _POSTING)
-    p = probes.select("word", *[F.col(c).alias(f"y_{c}") for c in ("k1", "doc_id", "line", "n", "pos", "picture", "picture2")])
+def _searched_again(rest: DataFrame, lists: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """Lines that long lists left open, against every posting of these lists."""
+    fields = ("doc_id", "line", "n", "pos", "block", "p0", "p1")
+    every = lists.select("list", *fields)
+    p = every.join(rest, ["doc_id", "line"], "left_semi").select("list", *[F.col(c).alias(f"y_{c}") for c in fields])
     need = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("y_n")) - 1e-9)
     earlier = (F.col("doc_id") < F.col("y_doc_id")) | ((F.col("doc_id") == F.col("y_doc_id")) & (F.col("line") < F.col("y_line")))
     met = (
-        every.join(p, "word").where(earlier & (F.col("k1") != F.col("y_k1")))
+        every.join(p, "list").where(earlier & ((F.col("block") != F.col("y_block")) | (F.col("block") < 0)))
         .where(F.least("n", "y_n") >= threshold * F.greatest("n", "y_n") - 1e-9)
-        .where(1 + F.least(F.col("n") - F.col("pos"), F.col("y_n") - F.col("y_pos")) - 1 >= need)
-        .withColumn("apart", F.bit_count(F.col("picture").bitwiseXOR(F.col("y_picture"))) + F.bit_count(F.col("picture2").bitwiseXOR(F.col("y_picture2"))))
+        .where(F.least(F.col("n") - F.col("pos"), F.col("y_n") - F.col("y_pos")) >= need)
+        .withColumn("apart", F.bit_count(F.col("p0").bitwiseXOR(F.col("y_p0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("y_p1"))))
         .where(F.col("n") + F.col("y_n") - F.col("apart") >= 2 * need)
     )
-    pairs = stored(met.select(F.col("y_doc_id").alias("doc_id"), F.col("y_line").alias("line"), F.col("doc_id").alias("x_doc"), F.col("line").alias("x_line"), "apart"), "line-pairs")
-    return _similar(pairs, rows, threshold)
-
-
-def _only_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text with all lines but the wanted ones emptied, so that line numbers stay."""
-    for batch in batches:
-        texts = []
-        for text, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            wanted = set(wanted)
-            texts.append("\n".join(x if k in wanted else "" for k, x in enumerate((text or "").split("\n"))))
-        yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+    pairs = stored(met.select(F.col("y_doc_id").alias("doc_id"), F.col("y_line").alias("line"), F.col("doc_id").alias("x_doc"), F.col("line").alias("x_line"), "apart").distinct(), "line-again")
+    out = _similar(pairs, rows, threshold)
+    discard(pairs)
+    return out
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -74,7 +74,7 @@ class PieceEncoder:
         for encode, chosen in ((self._merged, plain), (self._joined, ~plain)):
             at = np.nonzero(chosen)[0]
             for k in range(0, len(at), 20_000):
-                n, found = encode(pieces.take(pa.array(at[k : k + 20_000])).to_pylist())
+                n, found = encode(pieces.take(pa.array(at[k : k + 20_000])).to_numpy(zero_copy_only=False).tolist())
                 lengths.append(n)
                 ids.append(found)
             places.append(at)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tokenizers import Tokenizer
 
-from quillon.llm import chat, embedding_dedup, exact_dedup, line_dedup, main_text, mixing, packing, quality, queries, simhash, token_files, tokens
+from quillon.llm import chat, embedding_dedup, exact_dedup, line_dedup, main_text, mixing, near_copies, packing, quality, queries, simhash, token_files, tokens
 from quillon.llm.shared import small_batches
 from quillon.llm.tokens import vocabulary
 
@@ -313,6 +313,54 @@ def test_simhash_edges(spark):
     assert simhash.simhash_components(df.limit(0)).count() == 0
 
 
+# Near copies
+
+
+def shingle_sets(texts):
+    out = []
+    for t in texts:
+        w = (t or "").lower().split()
+        out.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return out
+
+
+def near_family(seed, n, families):
+    rng = random.Random(seed)
+    vocabulary_, texts = [f"w{i}" for i in range(3_000)], []
+    for _ in range(families):
+        base = rng.choices(vocabulary_, k=rng.randint(30, 220))
+        for _ in range(n):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(words) // 45))):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary_)
+            texts.append(" ".join(words))
+    return texts + [None, "", "one", "one", "Two words", "two  words"]
+
+
+@pytest.mark.parametrize(("limits", "n", "families"), [({}, 6, 60), ({"LIST_ROWS": 4, "FEW": 1, "BLOCK_ROWS": 50, "SAMPLE_ROWS": 100, "CROWDED": 3, "BUCKET_ROWS": 3_000}, 90, 4)])
+def test_near_copies_match_brute_force(spark, monkeypatch, limits, n, families):
+    for name, value in limits.items():
+        monkeypatch.setattr(near_copies, name, value)
+    texts = near_family(n, n, families)
+    order = list(range(len(texts)))
+    random.Random(1).shuffle(order)
+    got = dict(rows(near_copies.near_copy_groups(spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string").repartition(4))))
+    sets = shingle_sets(texts)
+    links = [(i, j) for i, j in combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    found = sum(got[i] == got[j] for i, j in links)
+    want = components(len(texts), links)
+    assert found >= 0.97 * len(links) and len(links) > 300
+    assert all(want[i] == want[got[i]] for i in got) and len(got) == len(texts)  # no group reaches beyond a true one
+    if limits:
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_near_copies_edges(spark):
+    df = spark.createDataFrame([(None, "a b"), (3, None), (2, "  "), (9, "x y"), (9, "p q"), (4, "P  q"), (7, "x y")], "doc_id long, text string")
+    assert sorted(rows(near_copies.near_copy_groups(df))) == [(2, 2), (3, 2), (4, 4), (7, 4), (9, 4), (9, 4)]
+    assert near_copies.near_copy_groups(df.limit(0)).count() == 0
+
+
 # Mixing
 
 
@@ -380,14 +428,27 @@ def line_oracle(data, t=0.8):
     return gone
 
 
-def test_lines_match_brute_force_in_crowded_lists(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "LIST_ROWS", 3)
-    monkeypatch.setattr(line_dedup, "FEW", 1)
+@pytest.mark.parametrize(("threshold", "block"), [(0.8, 8_192), (0.8, 40), (0.6, 60), (0.95, 8_192)])
+def test_lines_match_brute_force_in_crowded_lists(spark, monkeypatch, threshold, block):
+    for name, value in (("LIST_ROWS", 3), ("FEW", 1), ("BLOCK_ROWS", block), ("BUCKET_ROWS", 500), ("PACKED_ROWS", 100)):
+        monkeypatch.setattr(line_dedup, name, value)
     rng = random.Random(2)
     words = [f"w{i}" for i in range(14)]
     data = [(i, "\n".join(" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(rng.randint(0, 4)))) for i in range(120)]
     df = spark.createDataFrame(data, "doc_id long, text string")
-    assert set(rows(line_dedup.removed_lines(df.repartition(5)))) == line_oracle(data)
+    assert set(rows(line_dedup.removed_lines(df.repartition(5), threshold=threshold))) == line_oracle(data, threshold)
+    if block < 100:  # places too many to be broadcast are joined
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 3)
+        assert set(rows(line_dedup.removed_lines(df.repartition(5), threshold=threshold))) == line_oracle(data, threshold)
+        kept = {r.doc_id: r.text for r in line_dedup.line_dedup(df, threshold=threshold).collect()}
+        gone = line_oracle(data, threshold)
+        assert kept == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in data}
+
+
+def test_small_sets_by_threshold(spark):
+    data = [(1, "a b c"), (2, "a b"), (3, "p q r s"), (4, "p q r"), (5, "x"), (6, "x y")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert set(rows(line_dedup.removed_lines(df, threshold=0.6))) == {(2, 0), (4, 0)} == line_oracle(data, 0.6)
 
 
 def test_lines_in_rows_out_of_order(spark):
