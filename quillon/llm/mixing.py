@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from quillon.llm.shared import WORD, numbered
 
-#: Documents of a source are ordered by bucket, then id: the running word count is kept in two levels.
-BUCKETS = 1024
+#: Documents of a source are ordered by bucket, then id: the running word count is kept in two levels. Least number of
+#: buckets, and the rows for each of them.
+BUCKETS, BUCKET_ROWS = 1024, 100_000
 ROUNDS = 12
 
 
@@ -65,8 +66,9 @@ def mix_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source"
     the source before it). pieces: _source, _bucket, _row, round, _from, _to: the words of a document, counted from its
     first, that one slot delivers. slots: shard, slot, source, round, index, block_from and words.
     """
+    buckets = max(BUCKETS, -(-docs.count() // BUCKET_ROWS))
     rows = docs.withColumn("_size", F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long")).withColumn(
-        "_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(BUCKETS)).cast("int")
+        "_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(buckets)).cast("int")
     ).withColumn("_source", F.col(source_col))
     # only (source, bucket) totals are shared between tasks
     totals = rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_words"))

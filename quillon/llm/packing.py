@@ -2,7 +2,7 @@
 
 Tasks encode the texts and cut them into pieces; only the pieces' lengths are counted, so the packing is decided on at
 most `capacity` counts, whatever the size of the input. Lengths go from long to short. The gap a length leaves is looked
-up among the single lengths, then the sums of two, then the sums of three; a combination that fills it exactly is
+up in an index of the sums of one, of two and of three lengths; a combination that fills it exactly is
 consumed as many times as its counts allow. What no combination fills is packed best fit, longest first. Every step
 uses up a length, so the plan has a few rows a length at most and is broadcast. Pieces get their place by their rank
 among the pieces of their length; ranks are counted in two levels, so no length is sorted in one task.
@@ -23,34 +23,64 @@ from pyspark.sql import functions as F
 from quillon.llm.shared import small_batches, stored, tidied
 from quillon.llm.tokens import encoder
 
-#: Slices of a length's pieces that are ranked by separate tasks.
-SLICES = 256
-
-
-def _fill(counts: np.ndarray, gap: int) -> list[int] | None:
-    """One, two or three available lengths that sum to the gap; the largest first."""
-    if gap and counts[gap]:
-        return [gap]
-    pair = _pair(counts, gap)
-    if pair:
-        return pair
-    for a in np.nonzero(counts[1:gap])[0][::-1] + 1:
-        counts[a] -= 1
-        pair = _pair(counts, gap - a) if 2 * a >= gap - a or a * 3 >= gap else None
-        counts[a] += 1
-        if pair:
-            return [int(a), *pair]
-    return None
-
-
-def _pair(counts: np.ndarray, total: int) -> list[int] | None:
-    """Two available lengths with this sum: the index of pair sums is the overlap of the counts with their mirror."""
-    if total < 2:
+#: Pieces of one length that one task ranks.
+SLICE_ROWS = 100_000
+
+
+class SumIndex:
+    """Sums of one, two and three available lengths, by sum.
+
+    Pairs are indexed once: for each sum the larger parts, from long to short. Counts only fall, so what has run out is
+    passed over for good. A triple is a length and a pair with the rest of the sum.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        self.counts, capacity = counts, len(counts) - 1
+        lengths = np.nonzero(counts)[0].astype(np.int32)
+        n = np.searchsorted(lengths, np.minimum(lengths, capacity - lengths), "right")  # how many lengths fit beside one as the smaller part
+        larger = np.repeat(lengths, n)
+        sums = larger + lengths[np.arange(len(larger)) - np.repeat(np.cumsum(n) - n, n)]
+        order = np.lexsort((-larger, sums))
+        self.larger, ends = larger[order], np.searchsorted(sums[order], np.arange(capacity + 2)).tolist()
+        self.at, self.end = ends[:-1], ends[1:]
+        self.held: set[int] = set()  # lengths counted as gone for a moment only
+
+    def single(self, total: int) -> list[int] | None:
+        return [total] if self.counts[total] > 0 else None
+
+    def pair(self, total: int) -> list[int] | None:
+        for at in range(self.at[total], self.end[total]):
+            a = int(self.larger[at])
+            b = total - a
+            if self.counts[a] > 0 and self.counts[b] > (a == b):
+                return [a, b]
+            if at == self.at[total] and not self.held & {a, b}:
+                self.at[total] += 1
         return None
-    low = np.arange(1, total // 2 + 1)
-    both = (counts[low] > 0) & (counts[total - low] > (low == total - low))
-    found = np.argmax(both)
-    return [int(total - low[found]), int(low[found])] if both[found] else None
+
+    def triple(self, total: int) -> list[int] | None:
+        for a in np.nonzero(self.counts[1:total])[0][::-1] + 1:
+            if 3 * a < total:
+                return None  # the largest of three is a third at least
+            rest = self.without(int(a), self.pair, total - int(a))
+            if rest:
+                return [int(a), *rest]
+        return None
+
+    def without(self, length: int, find, total: int) -> list[int] | None:
+        """What find gives for a sum while one piece of a length is in use."""
+        new = length not in self.held
+        self.counts[length] -= 1
+        self.held.add(length)
+        found = find(total)
+        self.counts[length] += 1
+        if new:
+            self.held.discard(length)
+        return found
+
+    def fill(self, gap: int) -> list[int] | None:
+        """Lengths that fill the gap exactly; the fewest, and of these the largest first."""
+        return self.single(gap) or self.pair(gap) or self.triple(gap)
 
 
 def plan_packing(lengths: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -66,11 +96,10 @@ def plan_packing(lengths: dict[int, int], capacity: int) -> list[tuple[list[int]
             counts[x] -= times
         plan.append((pattern, times))
 
+    index = SumIndex(counts)
     for length in range(capacity, 0, -1):
         while counts[length]:
-            counts[length] -= 1
-            rest = _fill(counts, capacity - length) if length < capacity else []
-            counts[length] += 1
+            rest = index.without(length, index.fill, capacity - length) if length < capacity else []
             if rest is None:
                 break
             use([length, *rest])
@@ -123,9 +152,11 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     cut = rows.mapInArrow(partial(_pieces, vocabulary=vocabulary, end_id=end_id, capacity=capacity, special_as_text=special_as_text), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    cut = stored(cut.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SLICES)).cast("int")), "pieces")
+    cut = stored(cut, "pieces")
+    lengths = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    slices = -(-max(lengths.values(), default=1) // SLICE_ROWS)
+    cut = cut.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(slices)).cast("int"))
     totals = stored(cut.groupBy("length", "slice").agg(F.count("*").alias("n")), "piece-counts")
-    lengths = {r["length"]: r["n"] for r in totals.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     keys, first, offsets, used, sequence = [], [], [], Counter(), 0
     for pattern, times in plan_packing(lengths, capacity):
         place = 0

@@ -181,6 +181,24 @@ def test_plan_uses_every_piece_and_finds_exact_fills(seed):
     assert sum(t for _, t in packing.plan_packing({70: 1, 10: 3}, 100)) == 1
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_index_finds_a_sum_if_there_is_one(seed):
+    rng = np.random.default_rng(seed)
+    counts = np.zeros(61, np.int64)
+    np.add.at(counts, rng.integers(1, 60, 14), 1)
+    index = packing.SumIndex(counts)
+    for _ in range(25):
+        available = [x for x in range(61) for _ in range(counts[x])]
+        for gap in range(1, 61):
+            some = next((k for k in (1, 2, 3) if any(sum(c) == gap for c in combinations(available, k))), None)
+            found = index.fill(gap)
+            assert (len(found) if found else None) == some
+            assert found is None or sum(found) == gap and not Counter(found) - Counter(available)
+        if not available:
+            break
+        counts[rng.choice(available)] -= 1
+
+
 def test_texts_come_in_small_batches():
     batch = pa.record_batch([pa.array([1, 2, 3, 4]), pa.array(["a" * 10, None, "b" * 3, "c" * 30])], ["doc_id", "text"])
     assert [b.num_rows for b in small_batches([batch, batch.slice(0, 0)], limit=14)] == [3, 1]
