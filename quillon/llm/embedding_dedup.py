@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.shared import hashed_sample, numbered, smallest_reachable, stored
+from quillon.llm.shared import hashed_sample, hot_and_cold, numbered, smallest_reachable, stored
 
 #: Rows that train the codebooks: a fixed bound; every row is indexed.
 SAMPLE_ROWS = 8_000
@@ -236,11 +236,14 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = stored(found, "vector-links")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     components = smallest_reachable(found.where("rep != other"), "rep", "other")
-    known = (
+    known = stored(
         reps.join(counts, "rep", "left").join(components, F.col("rep") == F.col("node"), "left")
-        .select(F.col("embedding").alias("_v"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("_n"), F.coalesce("component", "rep").alias("_c"))
+        .select(F.col("embedding").alias("_v"), "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("_n"), F.coalesce("component", "rep").alias("_c")),
+        "vector-known",
     )
-    joined = bare.join(known, (v == F.col("_v")) & F.coalesce(sound, F.lit(False)), "left")
+    hot, cold = hot_and_cold(known, "copies", bare.count())
+    same = (v == F.col("_v")) & F.coalesce(sound, F.lit(False))
+    joined = bare.join(hot, same).unionByName(bare.join(F.broadcast(hot.select("_v")), same, "left_anti").join(cold, same, "left"))
     component = F.coalesce("_c", F.col(id_col).cast("long"))
     return joined.select(
         *columns, F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),

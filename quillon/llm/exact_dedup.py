@@ -21,14 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import ASCII_SPACE, numbered, small_batches, stored, tidied
+from quillon.llm.shared import ASCII_SPACE, hot_and_cold, numbered, small_batches, stored, tidied
 
 SPACE_BYTES = ASCII_SPACE.encode()
 #: Bytes of strings that one task's trie holds before it spills.
 RESIDENT_BYTES = 96 << 20
 _NODE_BYTES = 400
-#: A text that more than this share of all rows has is joined by broadcast: there can't be more than 10,000 of these.
-HOT_SHARE = 10_000
 
 
 class Node:
@@ -208,9 +206,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     bare, (key, text), columns = numbered(docs.drop(*made), id_col, text_col)
     digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+", ""), 256)
     owners = stored(exact_owners(bare, key, text), "exact-owners")
-    least = bare.count() // HOT_SHARE
-    hot, cold = owners.where(F.col("group_size") > least), owners.where(F.col("group_size") <= least)
-    members = bare.withColumn("text_sha256", digest).join(F.broadcast(hot), "text_sha256", "left")
+    hot, cold = hot_and_cold(owners, "group_size", bare.count())
+    members = bare.withColumn("text_sha256", digest).join(hot, "text_sha256", "left")
     # rows that have their owner by now are dealt out evenly and meet nothing
     meets = F.when(F.col("group_size").isNull(), F.col("text_sha256")).otherwise(F.concat(F.lit("-"), F.xxhash64(key).cast("string")))
     joined = members.withColumn("meets", meets).join(cold.toDF("meets", "cold_id", "cold_size"), "meets", "left")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import discard, numbered, shuffles_freed, small_batches, stored, tidied
+from quillon.llm.shared import discard, fresh, hot_and_cold, numbered, shuffles_freed, small_batches, stored, tidied
 
 THRESHOLD = 0.8
 #: Entries of the table of word counts (a word is counted at its hash).
@@ -56,7 +56,7 @@ class Lines:
     """
 
     def __init__(self, ids: pa.Array, texts: pa.Array, ranks: np.ndarray | None = None):
-        rows = pc.split_pattern(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), "\n")
+        rows = pc.split_pattern(pc.ascii_lower(fresh(texts)), "\n")
         ends = rows.offsets.to_numpy()
         split = pc.ascii_split_whitespace(rows.values)
         coded = split.values.dictionary_encode()
@@ -82,9 +82,9 @@ class Lines:
         else:
             order = np.lexsort((name, owner))
             owner, name = owner[order].astype(np.int64), name[order]
-        fresh = np.ones(len(name), bool)
-        fresh[1:] = (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])
-        self.words, self.owner = name[fresh], owner[fresh]
+        novel = np.ones(len(name), bool)
+        novel[1:] = (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])
+        self.words, self.owner = name[novel], owner[novel]
         self.n = np.bincount(self.owner, minlength=len(self.doc)).astype(np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.n)[:-1]]).astype(np.int64)
         if len(self.doc):
@@ -360,8 +360,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with shuffles_freed(spark):
         scan = stored(rows.mapInArrow(partial(_scan, threshold=threshold), _PASS), "line-scan")
         lines = scan.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("line"), "k1", "k2")
-        owners = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        again = lines.join(owners, ["k1", "k2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line"))).select("doc_id", "line")
+        owners = stored(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-owners")
+        hot, cold = hot_and_cold(owners, "n", lines.count())
+        both = ["k1", "k2"]
+        met = lines.join(hot, both).unionByName(lines.join(F.broadcast(hot.select(*both)), both, "left_anti").join(cold, both))
+        again = met.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line"))).select("doc_id", "line")
         table = scan.where("kind > 0").groupBy("kind", "a").agg(F.sum("b").alias("b")).toArrow()  # COUNT_TABLE rows and one at most
         kind, a, b = (table[c].to_numpy() for c in ("kind", "a", "b"))
         counts = np.zeros(COUNT_TABLE, np.int64)
@@ -376,7 +379,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if not rest.isEmpty():
             out = out.union(_searched_again(rest, found.where("kind = 2"), rows, threshold))
         done = stored(out.distinct(), "lines-gone")
-    for table in (scan, found, settled, rest):  # the result stands by itself
+    for table in (scan, owners, found, settled, rest):  # the result stands by itself
         discard(table)
     return done
 

@@ -55,6 +55,11 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int
             at += n
 
 
+def fresh(column: pa.Array) -> pa.Array:
+    """A text column as large strings in buffers of its own: Arrow's ascii_lower is wrong on a slice that a cast went over."""
+    return pa.concat_arrays([pa.array([], pa.large_string()), pc.fill_null(column.cast(pa.large_string()), "")])
+
+
 def tidied(work):
     """A function of batches that, at the end of a task, gives memory it no longer uses back to the machine: workers stay for later stages."""
 
@@ -80,6 +85,16 @@ def numbered(docs: DataFrame, *named: str) -> tuple[DataFrame, list[str], list[C
     return docs.toDF(*names), own, [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
 
 
+#: A group with more than this share of all rows is joined by broadcast: there can't be more than 10,000 of these.
+HOT_SHARE = 10_000
+
+
+def hot_and_cold(groups: DataFrame, size: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(groups so large that one task of a join would get far more rows than others, marked for broadcast; all others)."""
+    least = rows // HOT_SHARE
+    return F.broadcast(groups.where(F.col(size) > least)), groups.where(F.col(size) <= least)
+
+
 def hashed_sample(rows: DataFrame, key: list[str], size: int, total: int) -> DataFrame:
     """Distinct rows by the hash of their key, about 1.3 times `size` of them (all of a small table): column h is the hash.
 

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quillon.llm.shared import fresh
+
 #: Pieces remembered by one Python worker (about 15 MB). Beyond that, pieces are encoded again where they come up.
 REMEMBERED = 300_000
 _LETTER = "[A-Za-zªµºÀ-ÖØ-öø-ÿ]"
@@ -133,7 +135,7 @@ class PieceEncoder:
 
     def arrays(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text (null: none), as little-endian unsigned 32-bit integers."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = fresh(texts)
         out: list = [None] * len(texts)
         sure = self._cut_surely(texts)
         rows = np.nonzero(~sure)[0]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tokenizers import Tokenizer
 
-from quillon.llm import chat, embedding_dedup, exact_dedup, line_dedup, main_text, mixing, near_copies, packing, quality, queries, simhash, token_files, tokens
+from quillon.llm import chat, embedding_dedup, exact_dedup, line_dedup, main_text, mixing, near_copies, packing, quality, queries, shared, simhash, token_files, tokens
 from quillon.llm.shared import small_batches
 from quillon.llm.tokens import vocabulary
 
@@ -138,6 +138,7 @@ def test_pieces_encode_like_whole_texts(name, cut, special_as_text, monkeypatch)
     monkeypatch.setattr(tokens, "REMEMBERED", 50)
     for at in (0, 500, 500):
         assert [x.tolist() for x in e.arrays(pa.array(texts[at:]))] == want[at:]
+        assert [x.tolist() for x in e.arrays(pa.array(texts).slice(at, 300))] == want[at : at + 300]
     assert e.arrays(pa.array([None, ""], pa.string()))[0].tolist() == [] and e.arrays(pa.array([], pa.string())) == []
 
 
@@ -446,6 +447,16 @@ def line_oracle(data, t=0.8):
     return gone
 
 
+def test_hot_lines_and_vectors(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"the same line\nline {i % 9} {i}") for i in range(60)], "doc_id long, text string")
+    vectors = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [float(i % 5), 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    results = []
+    for share in (10_000, 3):
+        monkeypatch.setattr(shared, "HOT_SHARE", share)
+        results.append((set(rows(line_dedup.removed_lines(df))), sorted(rows(embedding_dedup.embedding_dedup(vectors).select("vec_id", "n_links", "component_id")))))
+    assert results[0] == results[1] and {(i, 0) for i in range(1, 60)} <= results[0][0]
+
+
 @pytest.mark.parametrize(("threshold", "block"), [(0.8, 8_192), (0.8, 40), (0.6, 60), (0.95, 8_192)])
 def test_lines_match_brute_force_in_crowded_lists(spark, monkeypatch, threshold, block):
     for name, value in (("LIST_ROWS", 3), ("FEW", 1), ("BLOCK_ROWS", block), ("BUCKET_ROWS", 500), ("PACKED_ROWS", 100)):
@@ -463,6 +474,15 @@ def test_lines_match_brute_force_in_crowded_lists(spark, monkeypatch, threshold,
         assert kept == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in data}
 
 
+def test_lines_of_slices(documents):
+    batch = pa.RecordBatch.from_pandas(documents.select("doc_id", "text").toPandas(), preserve_index=False)
+    for part in small_batches([batch], limit=20_000):
+        x = line_dedup.Lines(part.column(0), part.column(1))
+        lines = [(i, k, row.split()) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for k, row in enumerate((t or "").encode().lower().split(b"\n"))]
+        assert list(zip(x.doc.tolist(), x.line.tolist())) == [(i, k) for i, k, w in lines if w]
+        assert x.n.tolist() == [len(set(w)) for _, _, w in lines if w] and x.counts.sum() == sum(len(w) for *_, w in lines)
+
+
 def test_small_sets_by_threshold(spark):
     data = [(1, "a b c"), (2, "a b"), (3, "p q r s"), (4, "p q r"), (5, "x"), (6, "x y")]
     df = spark.createDataFrame(data, "doc_id long, text string")
@@ -598,7 +618,7 @@ def test_hot_and_cold_copies(spark, monkeypatch):
     data = [(i, "hot" if i % 2 else f"t{i % 30}") for i in range(200)]
     df = spark.createDataFrame(data, "doc_id long, text string")
     want = sorted(map(tuple, exact_dedup.exact_dedup(df).select("doc_id", "keep_id", "group_size", "kept").collect()))
-    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 10)
+    monkeypatch.setattr(shared, "HOT_SHARE", 10)
     assert sorted(map(tuple, exact_dedup.exact_dedup(df).select("doc_id", "keep_id", "group_size", "kept").collect())) == want
     first = {}
     for i, t in data:
