@@ -292,6 +292,24 @@ def query_eval_misroutes(spark, sf_dir):
     return p.query_eval_results(results(spark, sf_dir), examples(spark, sf_dir), misroutes_only=True)
 
 
+EVAL_SQL = BASE_SQL + "SELECT version, id AS example_id, route, pred, CASE pred WHEN 'simple' THEN qs WHEN 'moderate' THEN qm WHEN 'complex' THEN qc END / 1e3 AS pred_quality FROM pairs WHERE pred IS NOT NULL AND "
+
+
+@query(EVAL_SQL + "route = 'simple' AND pred = 'moderate' ORDER BY version, id LIMIT 20")
+def query_eval_pair(spark, sf_dir):
+    return p.query_eval_results(results(spark, sf_dir), examples(spark, sf_dir), pair=("simple", "moderate"), misroutes_only=True, limit=20)
+
+
+@query(EVAL_SQL + "id IN ('d3', 'd5', 'd8') ORDER BY version, id LIMIT 50")
+def query_eval_ids(spark, sf_dir):
+    return p.query_eval_results(results(spark, sf_dir), examples(spark, sf_dir), ids=["d3", "d5", "d8"], pair=("simple", "moderate"))
+
+
+@query(BASE_SQL + "SELECT id, route FROM ex WHERE id IN ('d2', 'd7', 'd11') ORDER BY doc_id LIMIT 2")
+def query_examples_ids(spark, sf_dir):
+    return p.query_examples(examples(spark, sf_dir).withColumn("row_idx", F.col("doc_id")), ids=["d2", "d7", "d11"], route="none", limit=2).select("id", "route")
+
+
 @query(r"""WITH b AS (SELECT sha256(concat(id, chr(9), input, chr(9), route)) AS h FROM (""" + BASE_SQL + r"""SELECT id, coalesce(input, '') AS input, route FROM ex)),
 g AS (SELECT substr(h, 1, 6) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM b GROUP BY 1), k AS (SELECT substr(b, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY b, h)) AS h FROM g GROUP BY 1)
 SELECT substr(sha256(string_agg(h, '' ORDER BY b, h)), 1, 16) AS fingerprint FROM k""")

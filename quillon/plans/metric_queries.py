@@ -130,6 +130,17 @@ def run_summary(spark, sf_dir):
     return m.run_summary(results(spark, sf_dir), V)
 
 
+@query(BASE_SQL + """SELECT version, count(*) AS total, CAST(min(doc_id * 7 % 1000) AS BIGINT) AS first_second, CAST(max(doc_id * 7 % 1000 + doc_id % 13) AS BIGINT) AS last_second,
+  CAST(max(doc_id * 7 % 1000 + doc_id % 13) - min(doc_id * 7 % 1000) AS DOUBLE) AS duration_seconds FROM res GROUP BY version""")
+def run_times(spark, sf_dir):
+    at = lambda x: F.timestamp_seconds(F.lit(1_700_000_000) + x)
+    start = F.col("doc_id") * 7 % 1000
+    timed = results(spark, sf_dir).withColumn("started_at", at(start)).withColumn("finished_at", at(start + F.col("doc_id") % 13))
+    out = m.run_summary(timed, V)
+    seconds = lambda c: F.unix_seconds(c) - 1_700_000_000
+    return out.select("version", "total", seconds("start_time").alias("first_second"), seconds("end_time").alias("last_second"), "duration_seconds")
+
+
 @query(BASE_SQL + """SELECT version, CASE WHEN doc_id % 41 = 0 THEN 'unknown' ELSE route END AS expected,
   CASE WHEN err THEN '(error)' WHEN pred IS NULL THEN '(no output)' ELSE pred END AS predicted, count(*) AS n FROM res GROUP BY ALL""")
 def error_analysis(spark, sf_dir):
