@@ -34,8 +34,10 @@ COUNT_TABLE = 1 << 17
 LIST_ROWS = 64
 #: Candidates that a line puts out from a longer list.
 FEW = 4
-#: Postings of a bucket, postings that a task packs at a time, and lines of a block of a frequent word's list.
-BUCKET_ROWS, PACKED_ROWS, BLOCK_ROWS = 250_000, 400_000, 8_192
+#: Postings of a bucket, postings that a task packs at a time, and lines of a block of a long list.
+BUCKET_ROWS, PACKED_ROWS, BLOCK_ROWS = 250_000, 400_000, 16_384
+#: Documents, chosen by hash, in which long lists are looked for, and how often a word has to come up there.
+SAMPLE_DOCUMENTS, CROWDED = 10_000, 20
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -132,7 +134,7 @@ _POSTING = np.dtype([("list", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("doc", "<i8
 
 
 @tidied
-def _postings(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, blocks: np.ndarray, buckets: int, threshold: float) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, crowded: np.ndarray, blocks: np.ndarray, buckets: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """bucket, packed: the prefix of every set, where a task first meets it and again at each earlier place, so that its first is among them."""
     seen: dict[tuple[int, int], tuple[int, int]] = {}
     held: list[np.ndarray] = []
@@ -170,13 +172,40 @@ def _postings(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, blocks: np.n
             rows[name] = values[own]
         for half in (0, 1):
             rows[f"p{half}"] = np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == half, bit, np.uint64(0)), x.start)[own]
-        held.append(_in_blocks(rows, blocks[(rows["list"] & np.uint64(COUNT_TABLE - 1)).astype(np.int64)]))
+        if len(crowded):
+            at = np.minimum(np.searchsorted(crowded, rows["list"]), len(crowded) - 1)
+            rows = _in_blocks(rows, np.where(crowded[at] == rows["list"], blocks[at], 1))
+        held.append(rows)
         if sum(map(len, held)) > PACKED_ROWS:
             yield from packed()
     if held:
         yield from packed()
 
 
+def _words_in_lists(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """word, n: the words of the prefixes of a sample's sets, each set of a batch once."""
+    for batch in small_batches(batches, limit=1 << 20):
+        x = Lines(batch.column(0), batch.column(1), ranks)
+        if len(x.doc):
+            once = np.zeros(len(x.doc), bool)
+            once[np.unique(x.k1, return_index=True)[1]] = True
+            pos = np.arange(len(x.words)) - x.start[x.owner]
+            word, n = np.unique(x.words[(pos < prefix_lengths(x.n, threshold)[x.owner]) & once[x.owner]].view(np.int64), return_counts=True)
+            yield pa.record_batch([pa.array(word), pa.array(n, pa.int64())], ["word", "n"])
+
+
+def _crowded(rows: DataFrame, ranks: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Words that a sample of documents shows to have long lists, in order, and into how many blocks each is dealt. It decides on the dealing only."""
+    total = rows.count()
+    share = min(1.0, SAMPLE_DOCUMENTS / max(total, 1))
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    counts = sample.mapInArrow(partial(_words_in_lists, ranks=ranks, threshold=threshold), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = counts.where((F.col("n") >= CROWDED) & (F.col("n") > BLOCK_ROWS * share)).toArrow()  # of all the sample's postings a twentieth at most
+    words, estimate = found["word"].to_numpy().view(np.uint64), found["n"].to_numpy() / share
+    order = np.argsort(words)
+    return words[order], np.ceil(estimate[order] / BLOCK_ROWS).astype(np.int64)
+
+
 def _in_blocks(rows: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     """The postings of lists of several blocks once for every pair of blocks that theirs is in."""
     several = blocks > 1
@@ -221,9 +250,7 @@ def _candidates(table: pa.Table, threshold: float) -> pa.Table:
     length = np.diff(begin, append=len(p))
     more = np.zeros(len(p), bool)
     short = np.repeat(length <= LIST_ROWS, length)
-    found = [_pairs(p, np.nonzero(short)[0], more, None, threshold)]
-    for b, n in zip(begin[length > LIST_ROWS], length[length > LIST_ROWS]):
-        found.append(_pairs(p, np.arange(b, b + n), more, FEW, threshold))
+    found = [_pairs(p, np.nonzero(short)[0], more, None, threshold), _pairs(p, np.nonzero(~short)[0], more, FEW, threshold)]
     y, x, apart = (np.concatenate(side) for side in zip(*found))
     open_lists = np.isin(np.repeat(np.arange(len(begin)), length), np.unique(np.repeat(np.arange(len(begin)), length)[more]))
     kept = [np.zeros(len(y), np.int8), np.ones(int(more.sum()), np.int8), np.full(int(open_lists.sum()), 2, np.int8)]
@@ -370,7 +397,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         counts = np.zeros(COUNT_TABLE, np.int64)
         counts[a[kind == 1]] = b[kind == 1]
         buckets = max(1, -(-int(b[kind == 2].sum()) // BUCKET_ROWS))
-        work = partial(_postings, ranks=count_ranks(counts), blocks=np.maximum(1, -(-counts // BLOCK_ROWS)), buckets=buckets, threshold=threshold)
+        ranks = count_ranks(counts)
+        crowded, blocks = _crowded(rows, ranks, threshold)
+        work = partial(_postings, ranks=ranks, crowded=crowded, blocks=blocks, buckets=buckets, threshold=threshold)
         packed = rows.mapInArrow(work, "bucket long, packed binary")
         found = stored(packed.groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold), _FOUND), "line-pairs")
         settled = _similar(found.where("kind = 0"), rows, threshold)

@@ -459,7 +459,7 @@ def test_hot_lines_and_vectors(spark, monkeypatch):
 
 @pytest.mark.parametrize(("threshold", "block"), [(0.8, 8_192), (0.8, 40), (0.6, 60), (0.95, 8_192)])
 def test_lines_match_brute_force_in_crowded_lists(spark, monkeypatch, threshold, block):
-    for name, value in (("LIST_ROWS", 3), ("FEW", 1), ("BLOCK_ROWS", block), ("BUCKET_ROWS", 500), ("PACKED_ROWS", 100)):
+    for name, value in (("LIST_ROWS", 3), ("FEW", 1), ("BLOCK_ROWS", block), ("BUCKET_ROWS", 500), ("PACKED_ROWS", 100), ("CROWDED", 2)):
         monkeypatch.setattr(line_dedup, name, value)
     rng = random.Random(2)
     words = [f"w{i}" for i in range(14)]
