@@ -117,7 +117,7 @@ def _scan(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
     def rows(kind: int, a: np.ndarray, b: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch([pa.array(np.full(len(a), kind, np.int8)), *[pa.array(x, pa.int64()) for x in (a, b, k1, k2)]], ["kind", "a", "b", "k1", "k2"])
 
-    for batch in small_batches(batches, limit=1 << 20):
+    for batch in small_batches(batches, limit=4 << 20):
         x = Lines(batch.column(0), batch.column(1))
         if len(x.doc):
             counts += x.counts
@@ -149,7 +149,7 @@ def _postings(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, crowded: np.
         parts = [rows[i:j].tobytes() for i, j in zip(cut, [*cut[1:], len(rows)])]
         yield pa.record_batch([pa.array(bucket[cut]), pa.array(parts, pa.binary())], ["bucket", "packed"])
 
-    for batch in small_batches(batches, limit=1 << 20):
+    for batch in small_batches(batches, limit=4 << 20):
         x = Lines(batch.column(0), batch.column(1), ranks)
         if not len(x.doc):
             continue
@@ -184,7 +184,7 @@ def _postings(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, crowded: np.
 
 def _words_in_lists(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
     """word, n: the words of the prefixes of a sample's sets, each set of a batch once."""
-    for batch in small_batches(batches, limit=1 << 20):
+    for batch in small_batches(batches, limit=4 << 20):
         x = Lines(batch.column(0), batch.column(1), ranks)
         if len(x.doc):
             once = np.zeros(len(x.doc), bool)
@@ -240,17 +240,22 @@ _FOUND = "kind byte, doc_id long, line long, x_doc long, x_line long, apart int,
 def _candidates(table: pa.Table, threshold: float) -> pa.Table:
     """The lists of one bucket. Kind 0: a line with an earlier one that may match it. Kind 1: a line with more of these. Kind 2: a posting of a list that has such a line."""
     p = np.concatenate([np.frombuffer(x, _POSTING) for x in table["packed"].to_pylist()])
-    order = np.lexsort((p["line"], p["doc"], p["k2"], p["k1"], p["list"]))
-    p = p[order]
-    first = np.ones(len(p), bool)
-    first[1:] = (p["list"][1:] != p["list"][:-1]) | (p["k1"][1:] != p["k1"][:-1]) | (p["k2"][1:] != p["k2"][:-1])
-    p = p[first]  # of one set that several tasks bring, the earliest place
-    p = p[np.lexsort((p["line"], p["doc"], p["n"], p["list"]))]
+    place = np.empty(len(p), np.int64)  # the order of lines
+    place[np.lexsort((np.ascontiguousarray(p["line"]), np.ascontiguousarray(p["doc"])))] = np.arange(len(p))
+    sets = _mixed(p["k1"].view(np.uint64), 15) ^ np.ascontiguousarray(p["k2"]).view(np.uint64)
+    order = np.lexsort((place, sets, np.ascontiguousarray(p["list"])))
+    p, place, sets = p[order], place[order], sets[order]
+    new_list = np.concatenate([[True], p["list"][1:] != p["list"][:-1]])
+    first = new_list | np.concatenate([[True], (p["k1"][1:] != p["k1"][:-1]) | (p["k2"][1:] != p["k2"][:-1])])
+    number = np.cumsum(new_list)[first]
+    p, place = p[first], place[first]  # of one set that several tasks bring, the earliest place
+    order = np.argsort((number << 32) | p["n"], kind="stable")
+    p, place = p[order], place[order]
     begin = np.nonzero(np.concatenate([[True], p["list"][1:] != p["list"][:-1]]))[0]
     length = np.diff(begin, append=len(p))
     more = np.zeros(len(p), bool)
     short = np.repeat(length <= LIST_ROWS, length)
-    found = [_pairs(p, np.nonzero(short)[0], more, None, threshold), _pairs(p, np.nonzero(~short)[0], more, FEW, threshold)]
+    found = [_pairs(p, place, np.nonzero(short)[0], more, None, threshold), _pairs(p, place, np.nonzero(~short)[0], more, FEW, threshold)]
     y, x, apart = (np.concatenate(side) for side in zip(*found))
     open_lists = np.isin(np.repeat(np.arange(len(begin)), length), np.unique(np.repeat(np.arange(len(begin)), length)[more]))
     kept = [np.zeros(len(y), np.int8), np.ones(int(more.sum()), np.int8), np.full(int(open_lists.sum()), 2, np.int8)]
@@ -264,21 +269,19 @@ def _candidates(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table([pa.array(np.ascontiguousarray(c)) for c in columns], [f.split(" ")[0] for f in _FOUND.split(", ")])
 
 
-def _pairs(p: np.ndarray, rows: np.ndarray, more: np.ndarray, few: int | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(p: np.ndarray, place: np.ndarray, rows: np.ndarray, more: np.ndarray, few: int | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(later line, earlier line, words apart) of the pairs in one list each that pass; a line with `few` says that it has more.
 
     The lines of a list are in order of size, so those too large for a line come after all that aren't.
     """
     given = np.zeros(len(p), np.int64) if few else None
     found: list[tuple] = [(np.zeros(0, np.int64),) * 3]
-    alive, lag, q = np.arange(len(rows)), 0, p[rows]
-    earlier = np.lexsort((q["line"], q["doc"]))
-    place = np.empty(len(q), np.int64)
-    place[earlier] = np.arange(len(q))
+    alive, lag, q, place = np.arange(len(rows)), 0, p[rows], place[rows]
+    lists, sizes = np.ascontiguousarray(q["list"]), np.ascontiguousarray(q["n"])
     while len(alive):
         lag += 1
         alive = alive[alive + lag < len(q)]
-        alive = alive[(q["list"][alive] == q["list"][alive + lag]) & (q["n"][alive] >= threshold * q["n"][alive + lag] - 1e-9)]
+        alive = alive[(lists[alive] == lists[alive + lag]) & (sizes[alive] >= threshold * sizes[alive + lag] - 1e-9)]
         i, j = alive, alive + lag
         y, x = np.where(place[i] > place[j], i, j), np.where(place[i] > place[j], j, i)
         asks = (q["block"][i] != q["block"][j]) | (q["block"][i] < 0)
