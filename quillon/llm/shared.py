@@ -64,8 +64,8 @@ def tidied(work):
     """A function of batches that, at the end of a task, gives memory it no longer uses back to the machine: workers stay for later stages."""
 
     @wraps(work)
-    def run(batches: Iterator[pa.RecordBatch], **options) -> Iterator[pa.RecordBatch]:
-        yield from work(batches, **options)
+    def run(batches: Iterator[pa.RecordBatch], *values, **options) -> Iterator[pa.RecordBatch]:
+        yield from work(batches, *values, **options)
         gc.collect()
         pa.default_memory_pool().release_unused()
         with suppress(OSError, AttributeError):
