@@ -20,6 +20,7 @@ from quillon.llm.shared import shared_dir
 from quillon.llm.simhash import simhash_components
 from quillon.llm.token_files import read_token_files, write_token_files
 from quillon.llm.tokens import vocabulary
+from quillon.llm.url_filter import judge_urls
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +109,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, labels).select("doc_id", "lang", "perplexity", "threshold", "kept")
 
 
+#: The rules that op13_url_filter judges by: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return judge_urls(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
 OP3_SQL = r"""
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
@@ -164,6 +174,15 @@ g AS (SELECT doc_id, sha256(bare) AS text_sha256,
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+OP13_SQL = r"""
+WITH r(rh, rp, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS given, rest FROM a),
+p AS (SELECT row_number() OVER () AS i, page_id, translate(given, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(given) + 1), '^[^?#]*') AS path FROM b),
+f AS (SELECT i, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY i)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN f USING (i)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_packing": op2_packing,
@@ -177,6 +196,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_files": op9_token_files,
     "op10_quality": op10_quality,
+    "op13_url_filter": op13_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -184,4 +204,5 @@ ORACLE_SQL: dict[str, str] = {
     "chat_layouts": CHAT_LAYOUTS_SQL,
     "op6_line_dedup": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op13_url_filter": OP13_SQL,
 }
