@@ -18,6 +18,7 @@ from quillon.llm.packing import pack_documents
 from quillon.llm.quality import quality_scores
 from quillon.llm.shared import shared_dir
 from quillon.llm.simhash import simhash_components
+from quillon.llm.spelling import spelling_groups
 from quillon.llm.token_files import read_token_files, write_token_files
 from quillon.llm.tokens import vocabulary
 from quillon.llm.url_filter import judge_urls
@@ -109,6 +110,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, labels).select("doc_id", "lang", "perplexity", "threshold", "kept")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 #: The rules that op13_url_filter judges by: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -196,6 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_files": op9_token_files,
     "op10_quality": op10_quality,
+    "op11_spelling": op11_spelling,
     "op13_url_filter": op13_url_filter,
 }
 

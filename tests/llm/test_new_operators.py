@@ -1,9 +1,13 @@
 """Url verdicts, spelling groups and whitening against plain Python."""
 
 import random
+import re
+import zlib
+from collections import Counter, defaultdict
 
+from conftest import DATA
 
-from quillon.llm import url_filter
+from quillon.llm import spelling, url_filter
 
 # Url filter
 
@@ -58,3 +62,102 @@ def test_url_verdicts_of_many_rules(spark):
         host, path = u[7:].split("/", 1)
         fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
         assert got[i] == (max(fits)[2:] if fits else (None, "allow"))
+
+
+# Spelling
+
+
+def counted(docs):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    n = Counter()
+    for i, text in docs:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            w = run.translate(low)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            n[w[: h % len(w)] + w[h % len(w) + 1 :] if h % 97 == 0 else w] += 1
+    return {w: k for w, k in n.items() if len(w) >= 5 and k >= 3}
+
+
+def grouped(n):
+    holes = defaultdict(set)  # words by what is left where one code point is deleted or replaced
+    for w in n:
+        holes[w].add(w)
+        for i in range(len(w)):
+            holes[w[:i] + "*" + w[i + 1 :]].add(w)
+            holes[w[:i] + w[i + 1 :]].add(w)
+    near = defaultdict(set)
+    for key, ws in holes.items():
+        for a in ws:
+            near[a] |= {b for b in ws if b != a and ("*" in key or key in (a, b))}
+    form = {}
+    for w, k in n.items():
+        best = min(near[w], key=lambda b: (-n[b], b), default=None)
+        form[w] = best if best is not None and n[best] >= 2 * k else None
+    out = set()
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.add((w, form[w], root, n[w], len(near[w]), form[w] and n[form[w]]))
+    return out
+
+
+ORDER = ["word", "form", "root", "n", "n_near", "form_n"]
+
+
+def spelled(docs):
+    out = spelling.spelling_groups(docs)
+    assert out.columns[:6] == ORDER
+    got = [tuple(r) for r in out.select(*ORDER).collect()]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+def test_spelling_groups_of_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    want = grouped(counted([tuple(r) for r in docs.collect()]))
+    assert spelled(docs) == want and len({w[1] for w in want}) > 100
+
+
+ODD = [
+    (None, "Straße straße STRASSE straÿe ÀÉÿ×÷Àb Ünïcode ünïcode x\u0100yzzy caf\u00e9s cafés"), (1, None), (2, ""), (2, " \n"), (3, "\U0001F600abcdeé" * 40), (3, "abcdeé" * 40), (4, "aaaab aaaaab aaaab aaaaab aaaab aaaaab aaaaaab " * 5),
+    (5, "z" * 2_000 + " " + "z" * 1_999 + " " + "z" * 1_999), (6, ("z" * 2_000 + " ") * 3), (7, ("z" * 1_999 + " ") * 3), (8, "Ab" * 60 + " "), (9, ("ab" * 60 + " ") * 2), (-10, "\u00c3\u0083 éééééé éééééé éééééé ééééé ééééé ééééé\u0301"),
+]
+
+
+def test_spelling_of_odd_texts(spark):
+    data = ODD + [(100 + i, f"{w} {w}s {w[:-1]}x {w[1:]}") for i in range(40) for w in ("colour", "flavour", "naïveté")] * 2
+    docs = spark.createDataFrame([(*r, 1, "n") for r in data], "doc_id long, text string, word int, n string")
+    assert spelled(docs) == grouped(counted(data))
+    assert spelled(docs.limit(0)) == spelled(docs.where("text IS NULL")) == set()
+
+
+def test_spelling_of_a_crowded_half(spark, monkeypatch):
+    """One beginning has most words, in many blocks, some of them empty."""
+    chosen = random.Random(3)
+    words = {"prefix" + "".join(chosen.choice("abc") for _ in range(chosen.choice((4, 5, 6)))) for _ in range(500)} | {"".join(chosen.choice("abc") for _ in range(5)) + "suffix" for _ in range(150)}
+    data = [(i, w, chosen.randrange(1, 40)) for i, w in enumerate(sorted(words))]
+    frame = spark.createDataFrame([(w, n) for _, w, n in data], "word string, n long")
+    want = {(w, k) for w, _, _, _, k, _ in grouped({w: n for _, w, n in data}) if k}
+    for block, chunk in ((1_024, 16_384), (7, 50), (300, 64)):
+        monkeypatch.setattr(spelling, "BLOCK_WORDS", block)
+        monkeypatch.setattr(spelling, "CHUNK_WORDS", chunk)
+        assert {(r.word, r.n_near) for r in spelling.near_words(frame).collect()} == want
+
+
+def test_checksums_are_continued():
+    ids = ["7", "-12", "", "123456789"]
+    texts = [" ".join("abc" * k for k in range(1, 40)), "é" * 60 + " é" * 3, "x", "a\u00d7b " * 200]
+    import pyarrow as pa
+
+    words, counts = spelling.count_words(ids, pa.array(texts))
+    got = Counter()
+    for w, n in zip(words.to_pylist(), counts.tolist()):
+        got[w] += n
+    want = Counter()
+    for i, t in zip(ids, texts):
+        for w in re.findall("[a-z\u00C0-\u00FF]+", t):
+            h = zlib.crc32(f"{i}:{w}".encode())
+            w = w[: h % len(w)] + w[h % len(w) + 1 :] if h % 97 == 0 else w
+            want[w] += len(w) >= 5
+    assert got == +want
