@@ -22,6 +22,7 @@ from quillon.llm.spelling import spelling_groups
 from quillon.llm.token_files import read_token_files, write_token_files
 from quillon.llm.tokens import vocabulary
 from quillon.llm.url_filter import judge_urls
+from quillon.llm.whitening import whiten
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +115,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 #: The rules that op13_url_filter judges by: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -202,6 +207,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_quality": op10_quality,
     "op11_spelling": op11_spelling,
+    "op12_whitening": op12_whitening,
     "op13_url_filter": op13_url_filter,
 }
 

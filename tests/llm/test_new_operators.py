@@ -1,13 +1,16 @@
 """Url verdicts, spelling groups and whitening against plain Python."""
 
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
 from conftest import DATA
 
-from quillon.llm import spelling, url_filter
+from quillon.llm import spelling, url_filter, whitening
 
 # Url filter
 
@@ -161,3 +164,89 @@ def test_checksums_are_continued():
             w = w[: h % len(w)] + w[h % len(w) + 1 :] if h % 97 == 0 else w
             want[w] += len(w) >= 5
     assert got == +want
+
+
+# Whitening
+
+
+def plain_whitening(data):
+    """(rows kept, n, deviations, whitened, explained) by the textbook in double precision."""
+    sound = [(i, v) for i, v in data if v is not None and len(v) and all(c is not None and math.isfinite(c) for c in v)]
+    x = [tuple(math.floor(256 * c) for c in v) for _, v in sound]
+    fit = sorted(set(x))
+    n, sums = len(fit), [sum(c) for c in zip(*fit)]
+    centred = np.array(fit, float) - np.array([s / n for s in sums])
+    v = centred.T @ centred / n
+    e, u = np.linalg.eigh(v)
+    e, u = e[::-1], u[:, ::-1]
+    keep = [k for k in range(min(4, len(e))) if e[k] > 1e-9 * e[0]]
+    w = (np.array(x, float) - np.array([s / n for s in sums])) @ u[:, keep] / np.sqrt(e[keep])
+    return sound, n, [sum((n * a - s) ** 2 for a, s in zip(r, sums)) for r in x], w, (e / np.trace(v))[keep]
+
+
+def check_whitening(df, data):
+    sound, n, deviations, want, explained = plain_whitening(data)
+    rows = df.collect()
+    assert df.columns[:7] == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    assert len(rows) == len(sound) * len(explained) and len({r.identity_error for r in rows}) == 1 and rows[0].identity_error < 1e-9
+    assert {r.n for r in rows} == {n}
+    order = lambda i: (i is None, i or 0)
+    assert sorted(((r.vec_id, r.deviation) for r in rows if r.component == 1), key=lambda r: (*order(r[0]), r[1])) == sorted(((i, d) for (i, _), d in zip(sound, deviations)), key=lambda r: (*order(r[0]), r[1]))
+    for k, share in enumerate(explained):
+        got = sorted((*order(r.vec_id), r.whitened) for r in rows if r.component == k + 1)
+        assert all(abs(r.explained / share - 1) < 1e-9 for r in rows if r.component == k + 1)
+        fits = [np.allclose(sorted(g[2] for g in got), sorted(s * want[:, k]), atol=1e-6) for s in (1, -1)]
+        assert any(fits), k
+
+
+def test_whitening_of_embeddings(spark):
+    vectors = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding")
+    check_whitening(whitening.whiten(vectors), [tuple(r) for r in vectors.collect()])
+
+
+def test_whitening_of_odd_vectors(spark):
+    chosen = random.Random(1)
+    data = [(i % 30 if i % 7 else None, [chosen.gauss(0, s) for s in (3, 1, 0.5, 0.2, 0.01)]) for i in range(80)] * 2
+    data += [(200, None), (201, []), (202, [1.0, None, 0.0, 0.0, 0.0]), (203, [math.nan] * 5), (204, [math.inf, 0.0, 0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame([(*r, 1) for r in data + [(205, [1.0, 2.0])]], "vec_id long, embedding array<double>, n int")
+    check_whitening(whitening.whiten(frame), data)
+    for none in (frame.limit(0), frame.where("vec_id = 205"), frame.where("vec_id >= 200 AND vec_id < 205")):
+        assert whitening.whiten(none).collect() == []
+
+
+def test_whitening_with_equal_and_missing_eigenvalues(spark):
+    """Four corners of a square and their centre: two equal eigenvalues, one zero; far numbers don't round."""
+    square = [(i, [a, b, 0.5]) for i, (a, b) in enumerate([(1.0, 0.0), (0.0, 1.0), (-1.0, 0.0), (0.0, -1.0), (0.0, 0.0)])]
+    rows = whitening.whiten(spark.createDataFrame(square, "vec_id long, embedding array<double>")).collect()
+    assert {r.component for r in rows} == {1, 2} and all(abs(r.explained - 0.5) < 1e-15 and r.identity_error < 1e-12 for r in rows)
+    far = [(i, [1e25 * (i % 3), 1e14 + i, 1e300 * (-1) ** i]) for i in range(6)]
+    rows = whitening.whiten(spark.createDataFrame(far, "vec_id long, embedding array<double>")).collect()
+    assert {r.component for r in rows} == {1, 2, 3} and rows[0].identity_error < 1e-4 and all(r.deviation is None for r in rows)
+
+
+@pytest.mark.parametrize("kind", ["random", "diagonal", "zero columns", "rank one"])
+def test_characteristic_polynomial(spark, kind):
+    chosen = random.Random(kind)
+    d = 7
+    base = [[chosen.randrange(-50, 50) for _ in range(d)] for _ in range(d)]
+    if kind == "diagonal":
+        m = [[3 * (i == j) * (1 + i // 2) for j in range(d)] for i in range(d)]
+    elif kind == "rank one":
+        m = [[base[0][i] * base[0][j] for j in range(d)] for i in range(d)]
+    else:
+        m = [[sum(base[k][i] * base[k][j] for k in range(d)) for j in range(d)] for i in range(d)]
+        if kind == "zero columns":
+            m = [[0 if 2 in (i, j) or 0 in (i, j) else v for j, v in enumerate(row)] for i, row in enumerate(m)]
+    # traces of powers, by Newton's identities
+    power, traces = [[int(i == j) for j in range(d)] for i in range(d)], []
+    for _ in range(d):
+        power = [[sum(a * b for a, b in zip(row, col)) for col in zip(*m)] for row in power]
+        traces.append(sum(power[i][i] for i in range(d)))
+    e = [1]
+    for k in range(1, d + 1):
+        e.append(sum((-1) ** (i - 1) * e[k - i] * traces[i - 1] for i in range(1, k + 1)) // k)
+    want = [(-1) ** (d - k) * e[d - k] for k in range(d + 1)]
+    assert whitening.characteristic_polynomial(spark, m) == want
+    roots, shift = whitening.largest_roots(want, d)
+    known = [v for v in sorted(np.linalg.eigvalsh(np.array(m, float)), reverse=True) if v > 1e-6]
+    assert np.allclose([r / 2**shift for r in roots], known, rtol=1e-6)
