@@ -4,7 +4,8 @@ Markup is stripped to lines, one a block of text. Link text weighs nothing, and
 role only hints at boilerplate weigh less. The weights are summed over sliding windows of lines; where the sum surges a
 stretch of text begins, where it dives the stretch ends, and the text between is kept. The container of the heaviest
 stretch only adds to that: a short last paragraph in it belongs to the article, and a light block far from it doesn't.
-Elements that are boilerplate by their tag or by their whole name leave gaps, unless they carry the page's text.
+Elements that are boilerplate by their tag leave gaps, and so do those that are by their whole name, unless they carry
+the page: layouts call the wrapper of an article "content-sidebar-wrap" or "comment-content".
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ HINTED = 0.25
 ALONE = 3 * SURGE
 
 # Element names of HTML by their role here.
-RAW = "script|style|noscript|template|svg|iframe|textarea|select|math|object|title"
+RAW = "script|style|noscript|template|svg|iframe|textarea|select|annotation|annotation-xml|object|title"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
@@ -60,8 +61,10 @@ _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>"'=]|=\s*(?:"[^"]*"|'[^']*')?|["'])*+)>|<[!?/][^>]*>""", re.S | re.I
 )
 
-#: What an element is: text, text of less weight, boilerplate unless it carries the page, boilerplate.
-TEXT, HINT, MAYBE, GONE = range(4)
+#: A word that names readers' remarks: an article in such an element is a remark, unless it has the page's heading.
+_REMARKS = re.compile(r"comment|repl(?:y|ies)|respond|disqus", re.I)
+#: What an element is: text, text of less weight, boilerplate unless it carries the page (a place, or a name for boilerplate), boilerplate.
+TEXT, HINT, MAYBE, NAMED, REMARKS, GONE = range(6)
 
 
 @dataclass
@@ -71,17 +74,21 @@ class Line:
     container: int
     heading: bool
     menu_item: bool
-    outer: int
-    inner: int
+    mark: int  # the innermost element around it that may be boilerplate
+    in_article: bool = False
+    in_main: bool = False
+    title: bool = False
 
 
 @dataclass
 class Page:
-    """lines; an empty line stands in each gap. Containers by number: kinds, and parents with smaller numbers."""
+    """lines; an empty line stands in each gap. Containers and marks by number: kinds, and parents with smaller numbers. Mark 0 is the page."""
 
     lines: list[Line] = field(default_factory=list)
     kinds: list[str] = field(default_factory=lambda: [""])
     parents: list[int] = field(default_factory=lambda: [0])
+    marks: list[int] = field(default_factory=lambda: [TEXT])
+    above: list[int] = field(default_factory=lambda: [0])
 
 
 def name_kind(names: str) -> int:
@@ -100,7 +107,7 @@ def name_kind(names: str) -> int:
         maybe = [x for x in parts if _IS_MAYBE.match(x)]
         if gone or maybe:
             whole = gone == [joined] or all(x in gone or x in maybe or x in _BESIDE or x.isdigit() for x in parts)
-            kind = max(kind, (GONE if gone else MAYBE) if whole else HINT)
+            kind = max(kind, ((REMARKS if _REMARKS.search(joined) else NAMED) if gone else MAYBE) if whole else HINT)
     return kind
 
 
@@ -130,8 +137,8 @@ def page_lines(source: str) -> Page:
     opened: Counter[str] = Counter()
     text: list[str] = []
     linked = 0
-    marked: list[int] = []  # open elements that are MAYBE, by a number of their own
-    state = {"gone": 0, "hints": 0, "marks": 0}
+    marked: list[int] = [0]  # open elements that may be boilerplate
+    state = {"gone": 0, "hints": 0}
 
     def flush() -> None:
         nonlocal linked
@@ -141,7 +148,8 @@ def page_lines(source: str) -> Page:
             tag, container, *_ = stack[-1] if stack else ("", 0)
             block = stack[stack[-1][3]][0] if stack and stack[-1][3] >= 0 else ""
             item = weight * 10 < len(joined) and opened["li"] > 0
-            page.lines.append(Line(joined, weight * (HINTED if state["hints"] else 1), container, block in HEADINGS, item, marked[0] if marked else 0, marked[1] if len(marked) > 1 else 0))
+            weight *= HINTED if state["hints"] else 1
+            page.lines.append(Line(joined, weight, container, block in HEADINGS, item, marked[-1], opened["article"] + opened["main"] > 0, opened["main"] > 0, block == "h1"))
         text.clear()
         linked = 0
 
@@ -150,12 +158,12 @@ def page_lines(source: str) -> Page:
             tag, _, kind, *_ = stack.pop()
             opened[tag] -= 1
             state["hints"] -= kind == HINT
-            if kind == MAYBE:
+            if MAYBE <= kind < GONE:
                 marked.pop()
             if kind == GONE:
                 state["gone"] -= 1
             if kind >= MAYBE and not state["gone"]:
-                page.lines.append(Line("", 0, 0, False, False, marked[0] if marked else 0, 0))
+                page.lines.append(Line("", 0, 0, False, False, marked[-1]))
 
     def take(piece: str) -> None:
         nonlocal linked
@@ -204,25 +212,56 @@ def page_lines(source: str) -> Page:
         opened[tag] += 1
         state["hints"] += kind == HINT
         state["gone"] += kind == GONE
-        if kind == MAYBE:
-            state["marks"] += 1
-            marked.append(state["marks"])
+        if MAYBE <= kind < GONE:
+            page.marks.append(kind)
+            page.above.append(marked[-1])
+            marked.append(len(page.marks) - 1)
     take(source[at:])
     flush()
     return page
 
 
 def kept_lines(page: Page) -> list[Line]:
-    """Lines outside elements that may be boilerplate. Such an element stays if more text is in it than outside of all, as in a page wrapped whole in a form."""
-    outside = sum(x.weight for x in page.lines if not x.outer)
-    own: Counter[int] = Counter()
+    """Lines outside elements that may be boilerplate, and in those that carry the page.
+
+    What has a name for boilerplate carries the page if an article is in it and none outside, if the page's heading and
+    most of the text are in it, or if it has a long text and hardly any is outside. Of elements that are only places for boilerplate,
+    one stays if more text is in it than outside of all, as in a page wrapped whole in a form.
+    """
+    size = len(page.marks)
+    own = [0.0] * size
+    article, titles, main = [0.0] * size, [0] * size, [0.0] * size
     for x in page.lines:
-        if x.outer and not x.inner:
-            own[x.outer] += x.weight
-    best = max(own, key=own.get, default=0)
+        own[x.mark] += x.weight
+        article[x.mark] += x.weight * x.in_article
+        main[x.mark] += x.weight * x.in_main
+        titles[x.mark] += x.title
+    total, articles, mains, headings = own[:], article[:], main[:], titles[:]
+    for k in range(size - 1, 0, -1):  # marks around have smaller numbers
+        for sums in (total, articles, mains, headings):
+            sums[page.above[k]] += sums[k]
+    stays = [True] + [False] * (size - 1)
+    around, around_article, around_titles = own[:], article[:], titles[:]  # in the mark and in those around it, where they stay
+    for k in range(1, size):
+        up = page.above[k]
+        around[k] += around[up]
+        around_article[k] += around_article[up]
+        around_titles[k] += around_titles[up]
+        if not stays[up] or page.marks[k] < NAMED:
+            continue
+        outside = around[up]
+        holds = mains[k] if page.marks[k] == REMARKS and not headings[k] else articles[k]
+        titled = headings[k] and not around_titles[up] and total[k] > outside
+        stays[k] = total[k] > 0 and ((holds > 0 and not around_article[up]) or titled)
+    outside = sum(w for w, s in zip(own, stays) if s)
+    heavy = max((k for k in range(1, size) if page.marks[k] >= NAMED and stays[page.above[k]] and not stays[k]), key=total.__getitem__, default=0)
+    if heavy and total[heavy] > max(2 * ALONE, 10 * outside):  # nearly the whole page
+        stays[heavy] = True
+        outside += own[heavy]
+    best = max((k for k in range(1, size) if page.marks[k] == MAYBE and stays[page.above[k]]), key=own.__getitem__, default=0)
     if best and own[best] > max(outside, SURGE):
-        return [x for x in page.lines if (not x.outer and x.weight) or (x.outer == best and not x.inner) or not x.text]
-    return [x for x in page.lines if not x.outer]
+        return [x for x in page.lines if stays[x.mark] and (x.weight or not x.text) or x.mark == best]
+    return [x for x in page.lines if stays[x.mark]]
 
 
 def stretches(weights: list[float]) -> list[tuple[int, int]]:

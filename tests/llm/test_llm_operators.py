@@ -83,6 +83,32 @@ def test_a_name_never_removes_the_article(name):
     assert main_text.main_text(article_in(f'<main><section id="{name}">', "</section></main>")) == WHOLE
 
 
+#: Names of boilerplate that layouts also give to what is around the article.
+WRAPPERS = (
+    "content-sidebar-wrap right-sidebar left-sidebar sidebar-right page-sidebar login-content signup-page cookie-content newsletter menu-page post-comments comment-content copyright disclaimer reply ad"
+    " sidebar sponsored-content nav-wrapper footer-content comments respond"
+).split()
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_a_name_of_boilerplate_around_the_article_keeps_it(name):
+    extra = f'<div class="{name}"><p>' + "Words that aren't of the article, though there are many of them here. " * 40 + "</p></div>"
+    remark = '<div class="comments"><article><p>' + "A reader says this and that. " * 20 + "</p></article></div>"
+    for before, after in (("<main><article>", "</article></main>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<section>", "</section>"), ('<div class="right-sidebar"><main>', "</main></div>")):
+        whole = f'<div class="{name}">{before}', f"{after}</div>"
+        assert main_text.main_text(article_in(*whole)) == WHOLE
+        assert main_text.main_text(article_in(whole[0], after + "<aside>Side</aside></div>")) == WHOLE
+        assert main_text.main_text(article_in(f'<div id="{name}">' + before, after + remark + "</div>")) == WHOLE
+        if "<main>" in before or "<article>" in before:
+            assert main_text.main_text(article_in(whole[0] + extra, extra + whole[1] + extra)) == WHOLE, "beside and inside"
+            assert main_text.main_text(article_in(before, after + extra)) == WHOLE
+
+
+def test_formulas_of_an_article_stay():
+    page = article_in("<article>", "<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='tex'>x=2</annotation></math> holds.</p></article>")
+    assert main_text.main_text(page) == WHOLE + "\n\nSo x=2 holds."
+
+
 def test_main_text_of_other_layouts():
     form = article_in("<form action=x><div>", "</div><input><label>Search</label></form>")
     assert main_text.main_text(form) == WHOLE
