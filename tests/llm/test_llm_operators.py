@@ -587,7 +587,39 @@ def test_depths_are_places_in_the_sequence():
     assert index.depth(x, y).tolist() == (index.sequence(x, 42) == own[:, None]).argmax(1).tolist()
 
 
-def test_multi_sequence_visits_nearest_cells():
+def test_smaller_sums():
+    rng = np.random.default_rng(4)
+    a, b, least = rng.integers(0, 9, size=(30, 7)).astype(float), np.sort(rng.integers(0, 9, size=(30, 5)), 1).astype(float), rng.integers(0, 18, size=30).astype(float)
+    assert embedding_dedup.smaller_sums(a, b, least).tolist() == [int((x[:, None] + y[None] < r).sum()) for x, y, r in zip(a, b, least)]
+
+
+def test_a_dense_group_is_measured_in_bounded_time(spark):
+    rng = np.random.default_rng(6)
+    near = rng.normal(size=(1, 32)) + rng.normal(scale=0.05, size=(20_000, 32))
+    index = embedding_dedup.fit_codebooks(embedding_dedup.unit(near[:2_000]), 7)
+    batch = pa.record_batch([pa.array(np.arange(4_096)), pa.array(near[:4_096].tolist())], ["rep", "embedding"])
+    began = time.process_time()
+    out = list(embedding_dedup._measured(iter([batch]), index, np.arange(0, 20_000, 20), embedding_dedup.unit(near[::20]), 0.95))
+    assert abs(sum(sum(b.column("n").to_pylist()) for b in out) - (4_096 * 1_000 - 205)) < 1
+    assert time.process_time() - began < 20
+    table = pa.table({"rep": np.arange(2_048), "copies": np.ones(2_048, np.int64), "embedding": near[:2_048].tolist(), "cells": [[0, 1]] * 2_048})
+    linked = embedding_dedup._in_block(table, table, 0.95)
+    assert set(linked["n"].to_pylist()) == {2_047} and set(linked["other"].to_pylist()) == {0}
+
+
+def test_odd_ids_visit_as_few_cells_as_others(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3_000, 24))
+    x[1_500:] = x[:1_500] + rng.normal(scale=0.15, size=(1_500, 24))
+    index = embedding_dedup.fit_codebooks(embedding_dedup.unit(x), 4)
+    visits = [
+        embedding_dedup.measured_visits(spark.createDataFrame([(f(i), v.tolist()) for i, v in enumerate(x)], "rep long, embedding array<double>"), index, len(x), 0.95, 0.995)
+        for f in (lambda i: i, lambda i: 2 * i + 1)
+    ]
+    assert abs(visits[0] - visits[1]) <= 2 and max(visits) < 16
+
+
+def test_multi_sequence_visits_nearest_cells(monkeypatch):
     rng = np.random.default_rng(0)
     index = embedding_dedup.MultiIndex(rng.normal(size=(7, 4)), rng.normal(size=(5, 4)), 9)
     x = rng.normal(size=(50, 8))
@@ -595,6 +627,16 @@ def test_multi_sequence_visits_nearest_cells():
     d = embedding_dedup.distances(a, index.first)[:, :, None] + embedding_dedup.distances(b, index.second)[:, None, :]
     got = np.take_along_axis(d.reshape(50, -1), index.sequence(x, 9), 1)
     assert np.allclose(got, np.sort(d.reshape(50, -1), 1)[:, :9])
+    monkeypatch.setattr(embedding_dedup, "SEQUENCE_CELLS", 40)
+    assert np.array_equal(index.sequence(x, 9), np.concatenate([index.sequence(v[None], 9) for v in x]))
+
+
+def test_lines_of_far_ids_and_of_none(spark):
+    """Whole numbers beyond 2**53 beside a null id."""
+    far = 2**53
+    df = spark.createDataFrame([(far + 1, "a b c d e\nx y"), (far + 3, "a b c d e\nz"), (None, "a b c d e"), (far + 2, "x y")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.line_dedup(df).collect()}
+    assert got == {far + 1: (0, "a b c d e\nx y"), far + 3: (1, "z"), None: (0, "a b c d e"), far + 2: (1, "")}
 
 
 # Names of other columns
