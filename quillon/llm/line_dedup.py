@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -36,8 +35,10 @@ LIST_ROWS = 64
 FEW = 4
 #: Postings of a bucket, postings that a task packs at a time, and lines of a block of a long list.
 BUCKET_ROWS, PACKED_ROWS, BLOCK_ROWS = 250_000, 400_000, 16_384
-#: Documents, chosen by hash, in which long lists are looked for, and how often a word has to come up there.
+#: Long lists are looked for in a share of the documents chosen by hash, so large that a list of a block's length comes up CROWDED times there (of few documents, in as many as SAMPLE_DOCUMENTS).
 SAMPLE_DOCUMENTS, CROWDED = 10_000, 20
+#: Lists that are dealt out in blocks at most (32 MB of names and counts): blocks grow with the postings, if need be.
+MOST_CROWDED = 2_000_000
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -194,16 +195,16 @@ def _words_in_lists(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, thresh
             yield pa.record_batch([pa.array(word), pa.array(n, pa.int64())], ["word", "n"])
 
 
-def _crowded(rows: DataFrame, ranks: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Words that a sample of documents shows to have long lists, in order, and into how many blocks each is dealt. It decides on the dealing only."""
-    total = rows.count()
-    share = min(1.0, SAMPLE_DOCUMENTS / max(total, 1))
+def _crowded(rows: DataFrame, ranks: np.ndarray, threshold: float, postings: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words that a share of the documents shows to have lists longer than a block, in order, and into how many blocks each is dealt. It decides on the dealing only."""
+    block = max(BLOCK_ROWS, postings // MOST_CROWDED)
+    share = min(1.0, max(SAMPLE_DOCUMENTS / max(rows.count(), 1), CROWDED / block))
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     counts = sample.mapInArrow(partial(_words_in_lists, ranks=ranks, threshold=threshold), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = counts.where((F.col("n") >= CROWDED) & (F.col("n") > BLOCK_ROWS * share)).toArrow()  # of all the sample's postings a twentieth at most
+    found = counts.where(F.col("n") >= F.greatest(F.lit(CROWDED), F.ceil(F.lit(block * share)))).toArrow()  # MOST_CROWDED rows or about that
     words, estimate = found["word"].to_numpy().view(np.uint64), found["n"].to_numpy() / share
     order = np.argsort(words)
-    return words[order], np.ceil(estimate[order] / BLOCK_ROWS).astype(np.int64)
+    return words[order], np.ceil(estimate[order] / block).astype(np.int64)
 
 
 def _in_blocks(rows: np.ndarray, blocks: np.ndarray) -> np.ndarray:
@@ -401,7 +402,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         counts[a[kind == 1]] = b[kind == 1]
         buckets = max(1, -(-int(b[kind == 2].sum()) // BUCKET_ROWS))
         ranks = count_ranks(counts)
-        crowded, blocks = _crowded(rows, ranks, threshold)
+        crowded, blocks = _crowded(rows, ranks, threshold, int(b[kind == 2].sum()))
         work = partial(_postings, ranks=ranks, crowded=crowded, blocks=blocks, buckets=buckets, threshold=threshold)
         packed = rows.mapInArrow(work, "bucket long, packed binary")
         found = stored(packed.groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold), _FOUND), "line-pairs")
@@ -454,12 +455,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         order = np.lexsort((t["line"].to_numpy(), t["doc_id"].to_numpy()))
         known = docs.sparkSession.sparkContext.broadcast((t["doc_id"].to_numpy()[order], t["line"].to_numpy()[order]))
 
-        @F.pandas_udf("array<long>")
-        def gone_from(ids: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<long>")
+        def gone_from(ids: pa.Array) -> pa.Array:
             doc, line = known.value
-            own = ids.fillna(-1).astype("int64").to_numpy()
+            own, has = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), pc.is_valid(ids).to_numpy(zero_copy_only=False)
             low, high = np.searchsorted(doc, own, "left"), np.searchsorted(doc, own, "right")
-            return pd.Series([line[a:b] if a < b and ok else None for a, b, ok in zip(low, high, ids.notna())])
+            return pa.array([line[a:b] if a < b and ok else None for a, b, ok in zip(low, high, has)], pa.list_(pa.int64()))
 
         joined = bare.withColumn("gone", gone_from(key))
     else:

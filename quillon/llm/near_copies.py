@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import discard, hashed_sample, shuffles_freed, small_batches, smallest_reachable, stored, tidied
+from quillon.llm.shared import discard, shuffles_freed, small_batches, smallest_reachable, stored, tidied
 from quillon.llm.simhash import golay_keys
 
 SIMILARITY = 0.8
@@ -37,6 +37,8 @@ LIST_ROWS, FEW = 64, 4
 BUCKET_ROWS, PACKED_ROWS, BLOCK_ROWS = 400_000, 400_000, 8_192
 #: Nodes, chosen by hash, in which crowded keys are looked for, and how often a key has to come up there.
 SAMPLE_ROWS, CROWDED = 20_000, 20
+#: Lists that are dealt out in blocks at most (32 MB of keys and counts): blocks grow with the entries, if need be.
+MOST_CROWDED = 2_000_000
 #: Most nodes in pairs whose shingles are sent for by a broadcast of ids.
 BROADCAST_IDS = 4_000_000
 
@@ -301,14 +303,24 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out
 
 
+def _keys_of(batches: Iterator[pa.RecordBatch], tables: Tables) -> Iterator[pa.RecordBatch]:
+    """key, n: the keys of a batch of fingerprints (f0, f1)."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, SAMPLE_ROWS):
+            f0, f1 = (batch.column(c).slice(k, SAMPLE_ROWS).to_numpy() for c in ("f0", "f1"))
+            key, n = np.unique(tables.keys(f0, f1)[0].view(np.int64), return_counts=True)
+            yield pa.record_batch([pa.array(key), pa.array(n, pa.int64())], ["key", "n"])
+
+
 def _crowded(nodes: DataFrame, n: int, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that a sample of nodes shows to have long lists, in order, and into how many blocks each is dealt."""
-    sample = hashed_sample(nodes.select("node", "f0", "f1"), ["node"], SAMPLE_ROWS, n).toArrow()
-    if n <= BLOCK_ROWS or not len(sample):
+    """Keys that a share of the nodes, counted in the tasks, shows to have lists longer than a block, in order, and into how many blocks each is dealt."""
+    if n <= BLOCK_ROWS:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, count = [], []
-    key, _ = tables.keys(sample["f0"].to_numpy(), sample["f1"].to_numpy())
-    keys, count = np.unique(key, return_counts=True)
-    estimate = count * (n / len(sample))
-    hot = (count >= CROWDED) & (estimate > BLOCK_ROWS)
-    return keys[hot], np.ceil(estimate[hot] / BLOCK_ROWS).astype(np.int64)
+    block = max(BLOCK_ROWS, 6 * tables.number * n // MOST_CROWDED)
+    share = min(1.0, max(SAMPLE_ROWS / n, CROWDED / block))
+    sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30))).select("f0", "f1")
+    counts = sample.mapInArrow(partial(_keys_of, tables=tables), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= F.greatest(F.lit(CROWDED), F.ceil(F.lit(block * share)))).toArrow()  # MOST_CROWDED rows or about that
+    keys = found["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.ceil(found["n"].to_numpy()[order] / share / block).astype(np.int64)
