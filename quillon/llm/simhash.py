@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import discard, small_batches, smallest_reachable, stored, tidied
+from quillon.llm.shared import discard, hot_and_cold, small_batches, smallest_reachable, stored, tidied
 
 #: Fixed value: generator polynomial of the binary Golay code.
 GOLAY_POLYNOMIAL = 0b110001110101
@@ -149,7 +149,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprint_links(distinct: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """a, b: links that connect just the fingerprints (column fp, distinct) which a chain of links connects."""
-    keys = distinct.select("fp").mapInArrow(_keyed, "key long, fp long")
+    keys = stored(distinct.select("fp").mapInArrow(_keyed, "key long, fp long"), "simhash-keys")
     hot = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_limit).select("key"), "simhash-hot")
     cold = keys.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key")
     found = cold.mapInArrow(partial(_verified, most=MAX_DISTANCE), "a long, b long")
@@ -157,7 +157,10 @@ def fingerprint_links(distinct: DataFrame, bucket_limit: int = BUCKET_LIMIT) ->
     around = crowded.mapInArrow(_neighbours, "near long, fp long")
     hubs = around.groupBy("near").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").select("near", "hub")
     linked = around.join(hubs, "near").where("fp != hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
-    return found.union(linked)
+    links = stored(found.union(linked), "simhash-links")
+    discard(keys)
+    discard(hot)
+    return links
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -171,10 +174,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = stored(rows.mapInArrow(partial(_fingerprints, shingle=shingle), "doc_id long, fp long"), "simhash-fp")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    grown = smallest_reachable(fingerprint_links(distinct), "a", "b")
-    named = distinct.join(grown, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-distinct")
+    links = fingerprint_links(distinct)
+    grown = smallest_reachable(links, "a", "b")
+    discard(links)
+    named = distinct.join(grown, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("root"))
     multi = named.where("root != fp").select("root").distinct()  # only these need another name than their own first
     least = named.join(multi, "root", "left_semi").groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root", "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = stored(named.join(least, "root", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id")), "simhash-named")
+    discard(distinct)
+    hot, cold = hot_and_cold(named, "n", prints.count())  # all texts without words, for one, share a fingerprint
+    known = prints.join(hot, "fp").unionByName(prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp"))
+    return known.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
