@@ -183,10 +183,11 @@ def per_class_performance(metrics: DataFrame, keys: tuple[str, ...] = ("run_id",
     return j.select(*keys, "route", "recall", "precision", "f1", F.coalesce("_given", "_summed").cast("long").alias("support"))
 
 
-def batch_outcomes(variants: DataFrame, candidates: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """keys, version, quality, delta (to the parent), is_new_best: variants with what became of them, null if never scored.
+def batch_outcomes(variants: DataFrame, candidates: DataFrame, keys: tuple[str, ...] = ("run_id",), best_ever: float | None = None) -> DataFrame:
+    """keys, version, quality, delta (to the parent), is_new_best: variants with what became of them; null and no new best if never scored.
 
-    A variant is a new best if no candidate of an earlier round has as high a quality. Where candidates have
+    A variant is a new best if no candidate of an earlier round has as high a quality, or, with best_ever, if its own is
+    higher than that. Where candidates have
     eval_status, only a "scored" one has a delta, and eval_status ("scored", "failed" or null) comes with the rest.
     """
     status = "eval_status" in candidates.columns
@@ -196,8 +197,9 @@ def batch_outcomes(variants: DataFrame, candidates: DataFrame, keys: tuple[str,
     parent = c.select(*keys, F.col("version").alias("parent_version"), F.col("quality").alias("_pq"))
     j = variants.join(scored, [*keys, "version"], "left").join(parent, [*keys, "parent_version"], "left")
     counts = F.coalesce(F.col("eval_status") == "scored", F.lit(False)) if status else F.lit(True)
+    above = F.col("quality") > F.lit(best_ever) if best_ever is not None else F.col("quality").isNotNull() & (F.col("_best").isNull() | (F.col("quality") > F.col("_best")))
     return j.select(
-        *keys, "version", "quality", F.when(counts, F.col("quality") - F.col("_pq")).alias("delta"), F.when(F.col("quality").isNotNull(), F.col("_best").isNull() | (F.col("quality") > F.col("_best"))).alias("is_new_best"),
+        *keys, "version", "quality", F.when(counts, F.col("quality") - F.col("_pq")).alias("delta"), F.coalesce(above, F.lit(False)).alias("is_new_best"),
         *[F.when(F.col("eval_status").isin("scored", "failed"), F.col("eval_status")).alias("eval_status")] * status)
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,38 +29,128 @@ def check_mapping(mapping: dict[str, str], columns: list[str]) -> list[str]:
     return [c for c in columns if c not in used]
 
 
-def apply_mapping(rows: DataFrame, mapping: dict[str, str], v: str = "v") -> DataFrame:
-    """row_idx, id, input, route, routes from raw rows: source path -> target path, compiled to one projection.
+_ENTRIES = "array<struct<keys: array<string>, value: variant>>"
+_OBJECT = "map<string, variant>"
+
+
+def _segments(path: str) -> tuple[str, ...]:
+    parts = tuple(path.split("."))
+    if "" in parts:
+        raise ValueError(f"an empty name in {path!r}")
+    return parts
+
+
+def _below(x: Column, names: tuple[str, ...], kind: str = "variant") -> Column:
+    """What stands under a path of names, null if there is nothing; a name with both kinds of quotes is looked up in its object."""
+    path = "$"
+    for i, name in enumerate(names):
+        if "'" in name and '"' in name:
+            held = F.try_element_at(F.try_variant_get(x, path, _OBJECT), F.lit(name))
+            return _below(held, names[i + 1 :], kind)
+        path += f"[\"{name}\"]" if "'" in name else f"['{name}']"
+    return F.try_variant_get(x, path, kind)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _numeric(value: Column) -> Column:
+    """A string that reads as a number as one, whole or with a point; anything else as it is."""
+
+    def read(x: Column) -> Column:
+        t = F.trim(F.try_variant_get(x, "$", "string"))
+        number = F.when(t.contains("."), t.try_cast("double").cast("variant")).when(t.rlike(r"^[+-]?\d+$"), t.try_cast("bigint").cast("variant"))
+        return F.when(F.schema_of_variant(x) == "STRING", F.coalesce(number, x)).otherwise(x)
+
+    return _once(value, read)
+
+
+def _found(v: Column, source: tuple[str, ...], number: bool) -> Column:
+    """The values under a source path, strings as numbers where asked, with the keys that its stars stand for, in the order of the keys."""
+    cuts = [i for i, part in enumerate(source) if part == "*"]
+    pieces = [source[a:b] for a, b in zip([0, *[c + 1 for c in cuts]], [*cuts, len(source)])]
+    none = F.array().cast(_ENTRIES)
+    found = F.array(F.struct(F.array().cast("array<string>").alias("keys"), _below(v, pieces[0]).alias("value")))
+    for names in pieces[1:]:
 
-    Targets are id, input, expected.route and expected.routes.<name>.cost or .quality_score; with * in a source path
-    every key stands for the same * in the target. Missing paths give nulls; rows without an id are row-<row_idx>.
+        def opened(e: Column) -> Column:
+            inner = F.map_entries(F.try_variant_get(e["value"], "$", _OBJECT))
+            return F.coalesce(F.transform(inner, lambda x: F.struct(F.array_append(e["keys"], x["key"]).alias("keys"), _below(x["value"], names).alias("value"))), none)
+
+        found = F.flatten(F.transform(found, opened))
+    known = F.filter(found, lambda e: e["value"].isNotNull())
+    if number:
+        known = F.transform(known, lambda e: F.struct(e["keys"].alias("keys"), _numeric(e["value"]).alias("value")))
+    return known if cuts else F.filter(known, lambda e: ~F.is_variant_null(e["value"]))  # a fixed path's null is as good as none
+
+
+def _built(parts: list[tuple[tuple[str, ...], Column, int]]) -> Column:
+    """The value under one node of the targets, null if nothing is there.
+
+    parts: what is left of each target, its values with their captured keys, and how many of these are used. A node that
+    any target passes by a star has a key for every captured one and every fixed name.
     """
-    get = lambda path, kind: F.try_variant_get(v, "$." + path, kind)
-    plain = {t: s for s, t in mapping.items() if not t.startswith("expected.routes.")}
-    fixed: dict[str, dict[str, Column]] = {}
-    stars: list[tuple[str, str, str]] = []
-    for source, target in mapping.items():
-        if target.startswith("expected.routes."):
-            _, _, name, field = target.split(".")
-            if name == "*":
-                above, below = source.split(".*")[0], source.split("*.")[1] if "*." in source else ""
-                stars.append((above, below, field))
-            else:
-                fixed.setdefault(name, {})[field] = coerce_numeric(get(source, "string"))
-    kinds = "struct<cost: double, quality_score: double>"
-    entry = lambda f: F.struct(f.get("cost", F.lit(None)).cast("double").alias("cost"), f.get("quality_score", F.lit(None)).cast("double").alias("quality_score"))
-    if stars:
-        above = stars[0][0]
-        objects = get(above, "map<string, variant>")
-        read = lambda x, field: next((coerce_numeric(F.try_variant_get(x, f"$.{b}" if b else "$", "string")) for _, b, f in stars if f == field), F.lit(None).cast("double"))
-        routes = F.transform_values(objects, lambda k, x: F.struct(read(x, "cost").alias("cost"), read(x, "quality_score").alias("quality_score")))
-    elif fixed:
-        routes = F.create_map(*[x for name, f in sorted(fixed.items()) for x in (F.lit(name), entry(f))])
+    ends, parts = [p for p in parts if not p[0]], [p for p in parts if p[0]]
+    if ends:
+        last = F.try_element_at(F.concat(*[found for _, found, *_ in ends]), F.lit(-1))["value"]
+        if not parts:
+            return last
+        some = reduce(or_, [F.size(found) > 0 for _, found, _ in parts])
+
+        def merged(x: Column) -> Column:
+            own = F.transform(F.map_entries(F.try_variant_get(x, "$", _OBJECT)), lambda e: F.struct(F.array(e["key"]).alias("keys"), e["value"].alias("value")))
+            return F.when(some, _built([(("*",), F.coalesce(own, F.array().cast(_ENTRIES)), 0), *parts])).otherwise(x)
+
+        return _once(last, merged)
+    if all(rest[0] != "*" for rest, *_ in parts):
+        names = dict.fromkeys(rest[0] for rest, *_ in parts)
+        below = [x for name in names for x in (F.lit(name), _built([(rest[1:], *more) for rest, *more in parts if rest[0] == name]))]
+        inner = F.create_map(*below)
     else:
-        routes = F.try_variant_get(v, "$." + plain["expected.routes"], f"map<string, {kinds}>")
-    text = lambda t: get(plain[t], "string") if t in plain else F.lit(None).cast("string")
-    row_id = F.coalesce(text("id"), F.concat(F.lit("row-"), "row_idx"))
-    return rows.select("row_idx", row_id.alias("id"), text("input").alias("input"), text("expected.route").alias("route"), routes.alias("routes"))
+        key = lambda rest, used: (lambda e: e["keys"][used]) if rest[0] == "*" else (lambda e: F.lit(rest[0]))
+        keys = F.array_distinct(F.concat(*[F.transform(found, key(rest, used)) for rest, found, used in parts]))
+
+        def at(k: Column) -> Column:
+            same = lambda name: lambda e: name(e) == k
+            held = F.struct(*[F.filter(found, same(key(rest, used))).alias(f"f{i}") for i, (rest, found, used) in enumerate(parts)])
+            return _once(held, lambda x: _built([(rest[1:], x[f"f{i}"], used + (rest[0] == "*")) for i, (rest, _, used) in enumerate(parts)]))
+
+        inner = F.map_from_arrays(keys, F.transform(keys, at))
+    some = F.map_filter(inner, lambda _, x: x.isNotNull())
+    return _once(some, lambda x: F.when(F.size(x) > 0, F.call_function("to_variant_object", x)))
+
+
+def mapped_documents(rows: DataFrame, mapping: dict[str, str], v: str = "v") -> DataFrame:
+    """row_idx, doc: the target document (a variant) of each raw row, by source path -> target path, compiled to one projection.
+
+    Paths are names with points between; a star stands for every key of an object. The stars of a target take the keys
+    of its source's stars in their order, and sources meet by these keys, so costs and scores may come from two objects;
+    fixed names stand beside starred ones. Later entries of the mapping go over earlier ones, and where a target has
+    fewer stars than its source the last key in order counts. Targets inside an object that is mapped whole go over its
+    own keys, and over a value that isn't an object. Missing paths, and nulls of paths without a star, leave nothing. Strings that read as numbers become numbers,
+    except in id and input. Rows without an id get row-<row_idx>.
+    """
+    pairs = [(_segments(s), _segments(t)) for s, t in mapping.items()]
+    for source, target in pairs:
+        if target.count("*") > source.count("*"):
+            raise ValueError(f"{'.'.join(target)} has more stars than {'.'.join(source)}")
+    found = rows.select("row_idx", *[_found(F.col(v), source, target[0] not in ("id", "input")).alias(f"found {i}") for i, (source, target) in enumerate(pairs)])
+    parts = [(target, F.col(f"found {i}"), 0) for i, (_, target) in enumerate(pairs)]
+    if not any(target[0] == "id" and len(target) > 1 for _, target in pairs):
+        named = F.struct(F.array().cast("array<string>").alias("keys"), F.concat(F.lit("row-"), "row_idx").cast("variant").alias("value"))
+        parts = [(("id",), F.array(named), 0), *parts]
+    return found.select("row_idx", _built(parts).alias("doc"))
+
+
+def apply_mapping(rows: DataFrame, mapping: dict[str, str], v: str = "v") -> DataFrame:
+    """row_idx, id, input, route, routes: the canonical fields of mapped_documents. A cost or score that isn't a number is null."""
+    docs = mapped_documents(rows, mapping, v)
+    read = lambda x, field: coerce_numeric(F.try_variant_get(x, f"$.{field}", "string")).alias(field)
+    routes = F.transform_values(F.try_variant_get("doc", "$.expected.routes", _OBJECT), lambda _, x: F.struct(read(x, "cost"), read(x, "quality_score")))
+    text = lambda path: F.try_variant_get("doc", path, "string")
+    return docs.select("row_idx", text("$.id").alias("id"), text("$.input").alias("input"), text("$.expected.route").alias("route"), routes.alias("routes"))
 
 
 def route_not_in_routes(examples: DataFrame) -> DataFrame:
@@ -88,8 +182,8 @@ def query_examples(examples: DataFrame, ids: list[str] | None = None, route: str
 
 
 def query_eval_results(results: DataFrame, examples: DataFrame, ids: list[str] | None = None, pair: tuple[str, str] | None = None, misroutes_only: bool = False, limit: int = 50) -> DataFrame:
-    """Results with output and their examples, filtered by ids, else a (true, predicted) pair, else wrong ones; with the quality of the route predicted."""
-    j = results.where("output IS NOT NULL").join(examples.select(F.col("id").alias("example_id"), "input", "route", "routes"), "example_id").withColumn("pred", F.col("output.route"))
+    """Results with output and their examples, filtered by ids, else a (true, predicted) pair, else wrong ones; with an excerpt of the input, what the call cost and the quality of the route predicted."""
+    j = results.where("output IS NOT NULL").join(examples.select(F.col("id").alias("example_id"), "input", "route", "routes").where("route IS NOT NULL"), "example_id").withColumn("pred", F.col("output.route"))
     if ids is not None:
         j = j.where(F.col("example_id").isin(ids))
     elif pair is not None:
@@ -97,4 +191,4 @@ def query_eval_results(results: DataFrame, examples: DataFrame, ids: list[str] |
     elif misroutes_only:
         j = j.where("pred <> route")
     quality = F.try_element_at("routes", F.col("pred"))["quality_score"]
-    return j.select("version", "example_id", "route", "pred", quality.alias("pred_quality")).orderBy("version", "example_id").limit(max(1, min(50, limit)))
+    return j.where("pred IS NOT NULL").select("version", "example_id", excerpt(F.coalesce("input", F.lit(""))).alias("input"), "route", "pred", "cost", quality.alias("pred_quality")).orderBy("version", "example_id").limit(max(1, min(50, limit)))

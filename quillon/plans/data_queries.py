@@ -81,7 +81,11 @@ def quality_gate(spark, sf_dir):
     return q.passes(_violations(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('extra', 'only in rows'), ('fast', 'only in names')) AS t(route, place)")
+_NAMES_SQL = """, n AS (SELECT unnest(CASE WHEN doc_id % 23 IN (8, 5, 6) THEN [] WHEN doc_id % 23 = 12 THEN ['simple', 'extra'] ELSE ['simple', 'complex'] END) AS r FROM documents)"""
+
+
+@query("WITH x AS (SELECT 1)" + _NAMES_SQL + """, g AS (SELECT unnest(['simple', 'complex', 'fast']) AS g)
+SELECT DISTINCT coalesce(r, g) AS route, CASE WHEN g IS NULL THEN 'only in rows' ELSE 'only in names' END AS place FROM n FULL JOIN g ON r = g WHERE r IS NULL OR g IS NULL""")
 def route_key_union(spark, sf_dir):
     return q.route_key_union(raw_rows(spark, sf_dir), ["simple", "complex", "fast"])
 
@@ -102,8 +106,9 @@ def query_length_stats(spark, sf_dir):
     return q.query_length_stats(examples(spark, sf_dir)).withColumns({c: F.col(c).cast("long") for c in ("shortest", "longest")}).withColumn("p95", F.round("p95", 6))
 
 
-@query("""SELECT unnest(['id', 'input', 'expected', 'expected.route', 'expected.routes', 'expected.routes.simple', 'expected.routes.complex', 'expected.routes.extra', 'expected.routes.simple.cost', 'expected.routes.complex.cost', 'expected.routes.extra.cost',
-  'expected.routes.simple.quality_score', 'expected.routes.complex.quality_score', 'expected.routes.extra.quality_score', 'expected.routes.simple.note', 'expected.routes.complex.note']) AS path""")
+@query("""WITH m AS (SELECT DISTINCT doc_id % 23 AS m FROM documents), e AS (SELECT m, unnest(CASE WHEN m IN (5, 8) THEN [] WHEN m = 12 THEN ['simple', 'extra'] ELSE ['simple', 'complex'] END) AS r FROM m)
+SELECT 'expected' AS path FROM m UNION SELECT 'id' FROM m WHERE m <> 1 UNION SELECT 'input' FROM m UNION SELECT 'expected.route' FROM m WHERE m NOT IN (5, 6) UNION SELECT 'expected.routes' FROM m WHERE m <> 5
+UNION SELECT concat('expected.routes.', r) FROM e UNION SELECT concat('expected.routes.', r, unnest(CASE WHEN m = 11 THEN ['.cost', '.quality_score', '.note'] ELSE ['.cost', '.quality_score'] END)) FROM e""")
 def nested_paths(spark, sf_dir):
     return files.nested_paths(raw_rows(spark, sf_dir))
 
@@ -270,6 +275,33 @@ def mapped_wildcards(spark, sf_dir):
     return m.select("row_idx", F.explode("routes").alias("route", "r")).select("row_idx", "route", "r.cost", "r.quality_score")
 
 
+@query("""WITH p AS (SELECT *, p_partkey AS row_idx FROM part), r AS (
+SELECT row_idx, 'm0' AS route, CAST(p_size AS DOUBLE) AS cost, CAST(p_size % 7 / 8 AS DOUBLE) AS quality_score FROM p UNION ALL
+SELECT row_idx, 'm1', CASE WHEN row_idx % 3 = 0 THEN NULL ELSE p_size / 4 END, 0.5 FROM p UNION ALL
+SELECT row_idx, 'only cost', 0.25, NULL FROM p WHERE row_idx % 3 = 0 UNION ALL
+SELECT row_idx, 'fixed', 7.5, CASE WHEN row_idx % 4 = 0 THEN 1.5 END FROM p)
+SELECT row_idx, concat('row-', row_idx) AS id, 'm0' AS best, route, cost, quality_score FROM r""")
+def mapped_two_objects(spark, sf_dir):
+    """Costs in one object, scores in another, with different keys, and one route by a path without a star; some costs are strings."""
+    raw = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS row_idx", """try_parse_json(concat('{"q": "x", "best": "m0", "costs": {"m0": "', p_size, '", ', IF(p_partkey % 3 = 0, '"only cost": "0.25"', concat('"m1": ', p_size / 4)),
+      '}, "scores": {"m0": ', p_size % 7 / 8, ', "m1": 0.5}, "price": "7.5"', IF(p_partkey % 4 = 0, ', "extra": {"fixed": 1.5}', ''), '}')) AS v""")
+    m = p.apply_mapping(raw, {"q": "input", "best": "expected.route", "costs.*": "expected.routes.*.cost", "scores.*": "expected.routes.*.quality_score", "price": "expected.routes.fixed.cost", "extra.*": "expected.routes.*.quality_score"})
+    return m.select("row_idx", "id", F.col("route").alias("best"), F.explode("routes").alias("route", "r")).select("row_idx", "id", "best", "route", "r.cost", "r.quality_score")
+
+
+@query("""SELECT l_orderkey * 8 + l_linenumber AS row_idx, concat('r', l_returnflag) AS a, concat('s', l_linestatus) AS b, concat('x.', l_returnflag) AS label, CAST(l_partkey AS BIGINT) AS n, CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey / 2 END AS more FROM lineitem""")
+def mapped_two_stars(spark, sf_dir):
+    """Two stars in one path, turned round in no target, joined with another source of two stars by both keys; strings that don't read as numbers stay."""
+    raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey * 8 + l_linenumber AS row_idx", """try_parse_json(concat('{"q": "7", "flags": {"r', l_returnflag, '": {"states": {"s', l_linestatus, '": {"part": "', l_partkey, '", "label": "x.', l_returnflag, '"}}}}, "others": {"r', l_returnflag,
+      '": {"s', l_linestatus, '": ', IF(l_suppkey % 3 = 0, concat('"', l_suppkey / 2, '"'), '[]'), '}}, "one": "a", "two": {"a": {"z": 1}}}')) AS v""")
+    docs = p.mapped_documents(raw, {"q": "input", "flags.*.states.*.part": "meta.by.*.*.n", "flags.*.states.*.label": "meta.by.*.*.label", "others.*.*": "meta.by.*.*.more", "one": "expected.route", "two": "expected.routes", "q ": "nowhere"})
+    by = F.explode(F.variant_get("doc", "$.meta.by", "map<string, variant>")).alias("a", "x")
+    flat = docs.where("variant_get(doc, '$.input', 'string') = '7' AND schema_of_variant(variant_get(doc, '$.input', 'variant')) = 'STRING'").select("row_idx", by)
+    flat = flat.select("row_idx", "a", F.explode(F.variant_get("x", "$", "map<string, variant>")).alias("b", "y"))
+    get = lambda name, kind: F.try_variant_get("y", f"$.{name}", kind).alias(name)
+    return flat.select("row_idx", "a", "b", get("label", "string"), get("n", "bigint"), get("more", "double"))
+
+
 @query("""WITH s AS (SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN concat(p_size, '.5') WHEN 2 THEN '1e5' WHEN 3 THEN 'many' ELSE concat(' -', p_size, ' ') END AS s FROM part)
 SELECT k, CASE k % 5 WHEN 0 THEN CAST(trim(s) AS DOUBLE) WHEN 1 THEN CAST(s AS DOUBLE) WHEN 4 THEN CAST(trim(s) AS DOUBLE) END AS x FROM s""")
 def coerced_numeric(spark, sf_dir):
@@ -287,12 +319,13 @@ def query_examples_page(spark, sf_dir):
     return p.query_examples(examples(spark, sf_dir).withColumn("row_idx", F.col("doc_id")), route="moderate", offset=15, limit=20).select("id", "route")
 
 
-@query(BASE_SQL + "SELECT version, id AS example_id, route, pred, CASE pred WHEN 'simple' THEN qs WHEN 'moderate' THEN qm WHEN 'complex' THEN qc END / 1e3 AS pred_quality FROM pairs WHERE pred <> route ORDER BY version, id LIMIT 50")
-def query_eval_misroutes(spark, sf_dir):
-    return p.query_eval_results(results(spark, sf_dir), examples(spark, sf_dir), misroutes_only=True)
+EVAL_SQL = BASE_SQL + r""", shown AS (SELECT *, trim(regexp_replace(coalesce(input, ''), '\s+', ' ', 'g')) AS f FROM pairs WHERE pred IS NOT NULL)
+SELECT version, id AS example_id, CASE WHEN length(f) > 300 THEN concat(substr(f, 1, 297), '...') ELSE f END AS input, route, pred, spent / 1e6 AS cost, CASE pred WHEN 'simple' THEN qs WHEN 'moderate' THEN qm WHEN 'complex' THEN qc END / 1e3 AS pred_quality FROM shown WHERE """
 
 
-EVAL_SQL = BASE_SQL + "SELECT version, id AS example_id, route, pred, CASE pred WHEN 'simple' THEN qs WHEN 'moderate' THEN qm WHEN 'complex' THEN qc END / 1e3 AS pred_quality FROM pairs WHERE pred IS NOT NULL AND "
+@query(EVAL_SQL + "pred <> route ORDER BY version, id LIMIT 50")
+def query_eval_misroutes(spark, sf_dir):
+    return p.query_eval_results(results(spark, sf_dir), examples(spark, sf_dir), misroutes_only=True)
 
 
 @query(EVAL_SQL + "route = 'simple' AND pred = 'moderate' ORDER BY version, id LIMIT 20")

@@ -91,8 +91,8 @@ def candidate_comparisons(spark, sf_dir):
     return out.select("version", "parent", "quality_delta", "cost_delta", F.size("recall_deltas").cast("long").alias("n_recalls"), F.try_element_at("recall_deltas", F.lit("complex")).alias("recall_complex"))
 
 
-@query(LONG_SQL + """, j AS (SELECT DISTINCT a.version, a.v, t.against, concat('v', a.v - t.k) AS parent FROM lm a, (VALUES ('parent', 1), ('secondary', 2)) AS t(against, k) WHERE a.v NOT IN (1, 4) AND NOT (t.k = 2 AND a.v % 2 = 0)),
-d AS (SELECT j.version, against, a.key, a.value - p.value AS delta FROM j JOIN lm a ON a.version = j.version JOIN lm p ON p.version = j.parent AND p.key = a.key)
+@query(LONG_SQL + """, bk AS (SELECT key, v, version, value, lag(value) OVER w AS one, lag(value, 2) OVER w AS two, row_number() OVER w AS k FROM lm WINDOW w AS (PARTITION BY key ORDER BY v)),
+d AS (SELECT version, 'parent' AS against, key, value - one AS delta FROM bk WHERE k > 1 AND v NOT IN (1, 4) UNION ALL SELECT version, 'secondary', key, value - two FROM bk WHERE k > 2 AND v NOT IN (1, 4) AND v % 2 = 1)
 SELECT * FROM d WHERE key IN ('accuracy', 'cost_change', 'cost_change_with_overhead', 'oracle_quality_captured', 'oracle_quality_change', 'quality_change', 'baseline_cost') OR abs(delta) > 0.01""")
 def batch_metric_deltas(spark, sf_dir):
     variants = spark.range(2, 9).selectExpr("concat('v', id) AS version", "concat('v', id - 1) AS parent_version", "IF(id % 2 = 0, NULL, concat('v', id - 2)) AS secondary_parent_version")
@@ -100,14 +100,14 @@ def batch_metric_deltas(spark, sf_dir):
     return c.batch_metric_deltas(variants, cands, _metrics(spark, sf_dir), ("baseline_cost",), ())
 
 
-@query(LONG_SQL + "SELECT a.version, p.version AS parent, a.key, a.value - p.value AS delta FROM lm a JOIN lm p ON a.key = p.key AND a.v = p.v + 1")
+@query(LONG_SQL + """SELECT version, concat('v', v - 1) AS parent, key, value - before AS delta FROM (SELECT *, lag(value) OVER w AS before, row_number() OVER w AS k FROM lm WINDOW w AS (PARTITION BY key ORDER BY v)) WHERE k > 1""")
 def candidate_deltas(spark, sf_dir):
     parents = spark.range(2, 7).selectExpr("concat('v', id) AS version", "concat('v', id - 1) AS parent_version")
     return c.candidate_deltas(_metrics(spark, sf_dir), parents, ())
 
 
-@query(LONG_SQL + """, d AS (SELECT a.version, a.key, a.value - p.value AS delta FROM lm a JOIN lm p ON a.key = p.key AND a.v = p.v + 1)
-SELECT * FROM d WHERE key IN ('accuracy', 'cost_change', 'cost_change_with_overhead', 'oracle_quality_captured', 'oracle_quality_change', 'quality_change') OR abs(delta) > 0.01""")
+@query(LONG_SQL + """, d AS (SELECT version, key, value - lag(value) OVER w AS delta, row_number() OVER w AS k FROM lm WINDOW w AS (PARTITION BY key ORDER BY v))
+SELECT version, key, delta FROM d WHERE k > 1 AND ( key IN ('accuracy', 'cost_change', 'cost_change_with_overhead', 'oracle_quality_captured', 'oracle_quality_change', 'quality_change') OR abs(delta) > 0.01)""")
 def filtered_deltas(spark, sf_dir):
     return c.filter_metric_deltas(candidate_deltas(spark, sf_dir)).drop("parent")
 
@@ -300,13 +300,22 @@ def appended_attempts(spark, sf_dir):
 @query(BASE_SQL + """, cs AS (SELECT *, CASE WHEN c % 7 = 0 THEN 'failed' WHEN c % 7 = 1 THEN 'running' ELSE 'scored' END AS st FROM cand),
 b AS (SELECT a.run_id, a.version, a.q AS quality, CASE WHEN a.st = 'scored' THEN a.q - p.q END AS delta, NOT EXISTS (SELECT 1 FROM cand e WHERE e.run_id = a.run_id AND e.round < a.round AND e.q >= a.q) AS is_new_best, CASE WHEN a.st <> 'running' THEN a.st END AS eval_status
   FROM cs a LEFT JOIN cand p ON p.run_id = a.run_id AND p.version = concat('p', CAST(substr(a.version, 2) AS BIGINT) - 10))
-SELECT run_id, version, quality, CAST(delta AS DOUBLE) AS delta, is_new_best, eval_status FROM b""")
+SELECT run_id, version, quality, CAST(delta AS DOUBLE) AS delta, is_new_best, eval_status FROM b UNION ALL SELECT DISTINCT run_id, concat('unscored ', run_id), NULL, NULL, false, NULL FROM cand""")
 def batch_outcomes(spark, sf_dir):
     cand = candidates(spark, sf_dir).selectExpr("*", "CASE WHEN cost % 7 = 0 THEN 'failed' WHEN cost % 7 = 1 THEN 'running' ELSE 'scored' END AS eval_status")
     variants = cand.selectExpr("run_id", "version", "concat('p', CAST(substr(version, 2) AS BIGINT) - 10) AS parent_version")
+    variants = variants.unionByName(cand.select("run_id", F.concat(F.lit("unscored "), "run_id").alias("version"), F.lit(None).cast("string").alias("parent_version")).distinct())
     return c.batch_outcomes(variants, cand).withColumn("delta", F.col("delta").cast("double"))
 
 
+@query(BASE_SQL + "SELECT run_id, version, q > 500 AS is_new_best FROM cand")
+def batch_outcomes_above(spark, sf_dir):
+    """Outcomes against a best quality that is known from before."""
+    cand = candidates(spark, sf_dir)
+    variants = cand.select("run_id", "version", F.lit(None).cast("string").alias("parent_version"))
+    return c.batch_outcomes(variants, cand, best_ever=500).select("run_id", "version", "is_new_best")
+
+
 @query(BASE_SQL + """, d AS (SELECT a.run_id, a.version, a.q - p.q AS quality_delta FROM cand a JOIN cand p ON p.run_id = a.run_id AND p.version = concat('p', CAST(substr(a.version, 2) AS BIGINT) - 10))
 SELECT run_id, arg_min(version, (-quality_delta, version)) AS version, max(quality_delta) AS quality_delta FROM d GROUP BY run_id""")
 def best_candidate(spark, sf_dir):

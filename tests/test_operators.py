@@ -1,13 +1,16 @@
 """Operators on small literal frames and against plain Python."""
 
+import copy
 import json
 import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quillon.operators import bootstrap, compare, identity, inference, mapping, metrics, pareto, quality_checks, review
+from quillon.operators import bootstrap, compare, identity, inference, metrics, pareto, quality_checks, review
+from quillon.operators import mapping as mapping_op
 from quillon.sources import files
 
 ROUTES = {"gpt": (0.03, 0.95), "mid": (0.01, 0.88), "small": (0.002, 0.72)}
@@ -337,12 +340,12 @@ def test_csv_json_results_and_reports(spark, tmp_path):
 
 
 def test_mapping_guards(spark):
-    assert mapping.check_mapping({"q": "input", "r": "expected.route", "x.*.c": "expected.routes.*.cost"}, ["q", "r", "x", "left"]) == ["left"]
+    assert mapping_op.check_mapping({"q": "input", "r": "expected.route", "x.*.c": "expected.routes.*.cost"}, ["q", "r", "x", "left"]) == ["left"]
     with pytest.raises(ValueError, match="expected.route"):
-        mapping.check_mapping({"q": "input"}, [])
+        mapping_op.check_mapping({"q": "input"}, [])
     ex = spark.createDataFrame([(0, "a", "s", {"t": (1.0, 1.0)})], "row_idx long, id string, route string, routes map<string, struct<cost: double, quality_score: double>>")
     with pytest.raises(ValueError, match="a"):
-        mapping.assert_route_in_routes(ex)
+        mapping_op.assert_route_in_routes(ex)
 
 
 def test_row_index_follows_order(spark):
@@ -386,3 +389,67 @@ def test_overlap_of_prompts(spark):
     assert review.example_overlap(ids).first().overlap == 0.5 and review.example_overlap(ids.where("version = 'v1'")).first().overlap == 1.0
 
 
+
+
+# Mapping
+
+
+def placed(source, path):
+    found = [((), source)]
+    for part in path.split("."):
+        found = [((*keys, k) if part == "*" else keys, x[k]) for keys, x in found if isinstance(x, dict) for k in ([part] if part in x else []) if part != "*"] + [((*keys, k), x[k]) for keys, x in found if part == "*" and isinstance(x, dict) for k in sorted(x)]
+    return found
+
+
+def mapped(source, mapping, i):
+    """The target document by plain dictionaries."""
+    out = {}
+    for s, t in mapping.items():
+        for keys, value in placed(source, s):
+            if value is None and "*" not in s:
+                continue
+            if isinstance(value, str) and t.split(".")[0] not in ("id", "input"):
+                try:
+                    value = float(value) if "." in value else int(value)
+                except ValueError:
+                    pass
+            keys, at = list(keys), out
+            parts = [keys.pop(0) if part == "*" else part for part in t.split(".")]
+            for part in parts[:-1]:
+                at[part] = at[part] if isinstance(at.get(part), dict) else {}
+                at = at[part]
+            at[parts[-1]] = value
+    out.setdefault("id", f"row-{i}")
+    return out
+
+
+MAPPINGS = [
+    {"q": "input", "costs.*": "expected.routes.*.cost", "scores.*": "expected.routes.*.quality_score", "best": "expected.route"},
+    {"q": "input", "best": "expected.route", "models.*.price": "expected.routes.*.cost", "one.price": "expected.routes.fixed.cost", "one.score": "expected.routes.a.quality_score"},
+    {"q": "input", "best": "expected.route", "deep.*.*.x": "expected.routes.*.*", "scores": "meta.scores", "name": "id"},
+    {"q": "input", "best": "expected.route", "deep.*.*.x": "expected.routes.*", "a b.c d": "meta.a b.c d.e", "it's": "meta.say \"it's\""},
+    {"q": "input", "best": "expected.route", "models": "expected.routes", "costs.a": "expected.routes.a.cost", "costs.b": "expected.routes.b.cost.deeper"},
+    {"q": "input", "best": "expected.route", "costs.*": "*.expected.routes", "models.*.price": "expected.*.routes"},
+]
+SOURCES = [
+    {"q": "1", "best": "a", "costs": {"a": "0.5", "b": 2}, "scores": {"a": 0.9, "c": None}, "models": {"a": {"price": 1, "note": "x"}, "b": {"price": " 7 "}}, "one": {"price": "1e5", "score": 3}, "deep": {"k": {"l": {"x": "4"}, "m": {"y": 1}}, "n": {"l": {"x": [1]}}}, "a b": {"c d": "2.5"}, "it's": True},
+    {"q": None, "best": 7, "costs": [], "models": {"a": 3, "b": {"price": None}}, "name": "12"}, {}, {"costs": {"a": {"b": "1"}}, "scores": {}, "deep": {"k": 1}, "one": {"score": "a.b"}},
+]
+
+
+@pytest.mark.parametrize("mapping", MAPPINGS)
+def test_mapped_documents_match_dictionaries(spark, mapping):
+    rows = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(SOURCES)], "row_idx long, j string").select("row_idx", F.parse_json("j").alias("v"))
+    source_copies = copy.deepcopy(SOURCES)
+    got = {r.row_idx: json.loads(r.doc) for r in mapping_op.mapped_documents(rows, mapping).select("row_idx", F.to_json("doc").alias("doc")).collect()}
+    for i, source in enumerate(source_copies):
+        assert got[i] == mapped(source, mapping, i), i
+
+
+def test_mapping_errors(spark):
+    rows = spark.createDataFrame([(0, "{}")], "row_idx long, j string").select("row_idx", F.parse_json("j").alias("v"))
+    with pytest.raises(ValueError, match="more stars"):
+        mapping_op.mapped_documents(rows, {"a.*": "b.*.*"})
+    with pytest.raises(ValueError, match="empty name"):
+        mapping_op.mapped_documents(rows, {"a..b": "b"})
+    assert mapping_op.apply_mapping(rows, {"a": "input", "b": "expected.route", "c": "expected.routes"}).collect() == [(0, "row-0", None, None, None)]
