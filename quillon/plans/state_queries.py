@@ -84,6 +84,22 @@ def echo_inference(spark, sf_dir):
     return m.confusion_cells(m.pair_results(scored, ex, V), V).drop("version")
 
 
+@query(BASE_SQL + "SELECT id AS example_id, CASE WHEN doc_id % 7 <> 0 THEN route END AS pred, CASE WHEN doc_id % 7 = 0 THEN 'KeyError: 7' END AS error, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 0 END AS retries, CASE WHEN doc_id % 7 <> 0 THEN length(route) END AS output_tokens FROM ex")
+def scored_examples(spark, sf_dir):
+    """A predictor that raises where a row of some ids is among its rows; the run is made in two goes of four batches."""
+
+    def predict(frame):
+        if (frame["input"] == "0").any():
+            raise KeyError(7)
+        return [{"route": r, "output_tokens": len(r)} for r in frame["route"]]
+
+    path, run = shared_path(spark, "scores"), {"prompt_version": "v1", "backend": "echo", "data_source": "documents"}
+    ex = examples(spark, sf_dir).select("doc_id", "id", (F.col("doc_id") % 7).cast("string").alias("input"), "route")
+    inference.score_into(ex.where("doc_id % 2 = 0"), predict, path, run, batches=4)
+    out = inference.score_into(ex, predict, path, run, batches=4)
+    return out.select("example_id", F.col("output.route").alias("pred"), "error", F.col("retries").cast("long").alias("retries"), F.col("token_usage.output_tokens").alias("output_tokens"))
+
+
 @query(BASE_SQL + "SELECT version, true_route, pred_route, n FROM cells")
 def stream_confusion(spark, sf_dir):
     at = shared_path(spark, "stream")

@@ -371,7 +371,53 @@ def test_inference_tries_again(spark):
         return [ValueError("no") if i == "e0" else {"route": None} if i == "e1" else {"route": "mid", "cost": 0.5} for i in frame["id"]]
 
     out = {r.example_id: r for r in inference.score_examples(ex, predict, attempts=2).collect()}
-    assert (out["e0"].error, out["e0"].retries, out["e0"].output) == ("no", 1, None) and out["e1"].error == "no route" and out["e2"].output.route == "mid"
+    assert (out["e0"].error, out["e0"].retries, out["e0"].output) == ("ValueError: no", 1, None) and out["e1"].error == "no route" and out["e2"].output.route == "mid"
+
+
+def test_calls_that_raise_leave_error_rows(spark, tmp_path):
+    ex = spark.createDataFrame([(f"e{i}", "x", "mid") for i in range(100)], "id string, input string, route string").coalesce(1)
+
+    def predict(frame):
+        with open(tmp_path / "calls", "a") as calls:
+            calls.write(f"{len(frame)}\n")
+        if set(frame["id"]) & {"e7", "e70"}:
+            raise TimeoutError("too slow")
+        return [{"route": "mid", "cost": 0.5, "input_tokens": 7, "output_tokens": 1}] * len(frame)
+
+    out = {r.example_id: r for r in inference.score_examples(ex, predict, attempts=2, model="m").collect()}
+    assert {k for k, r in out.items() if r.error} == {"e7", "e70"} and out["e7"].error == "TimeoutError: too slow" and out["e7"].retries == 1
+    good = out["e8"]
+    assert good.output.route == "mid" and good.retries == 0 and good.model == "m" and good.latency_ms >= 0 and (good.token_usage.input_tokens, good.token_usage.cached_tokens) == (7, None)
+    assert len((tmp_path / "calls").read_text().split()) < 40  # by halves, not row by row
+    short = {r.example_id: r.error for r in inference.score_examples(ex.limit(2), lambda frame: frame["route"].tolist()[:1], attempts=1).collect()}
+    assert set(short.values()) == {None}  # halves of one row have a result each
+
+
+def test_scoring_goes_on_after_a_stop(spark, tmp_path):
+    ex = spark.createDataFrame([(f"e{i}", "x", "mid") for i in range(60)], "id string, input string, route string")
+    path, run = f"file://{tmp_path}/scores", {"prompt_version": "v1", "backend": "b", "data_source": "d"}
+
+    def scorer(log, stop_at=None):
+        def predict(frame):
+            with open(tmp_path / log, "a") as seen:
+                seen.writelines(f"{i}\n" for i in frame["id"])
+            if stop_at in set(frame["id"]):
+                raise SystemExit("stopped")
+            return [ValueError("no") if i == "e3" else "mid" for i in frame["id"]]
+
+        return predict
+
+    with pytest.raises(Exception):  # noqa: B017 - the job ends with its worker
+        inference.score_into(ex, scorer("first", "e40"), path, run, batches=6, attempts=1)
+    before = {r.example_id for r in inference.scored_so_far(spark, path).collect()}
+    out = {r.example_id: r for r in inference.score_into(ex, scorer("second"), path, run, batches=6, attempts=1).collect()}
+    again = (tmp_path / "second").read_text().split()
+    assert sorted(again) == sorted({f"e{i}" for i in range(60)} - (before - {"e3"})) and len(before) < 60
+    assert len(out) == 60 and {k for k, r in out.items() if r.error} == {"e3"}
+    out = {r.example_id: r for r in inference.score_into(ex, inference.echo, path, run, batches=2).collect()}  # what failed is scored anew
+    assert len(out) == 60 and not any(r.error for r in out.values())
+    inference.score_into(ex, scorer("third"), path, run | {"backend": "c"}, batches=2, attempts=1)
+    assert len((tmp_path / "third").read_text().split()) == 60 and inference.scored_so_far(spark, path).count() == 60
 
 
 def test_targets_and_best_version(spark):
