@@ -6,6 +6,7 @@ Frames have the key columns, version, quality and cost. Ties go by version.
 from __future__ import annotations
 
 import bisect
+import heapq
 import math
 from collections.abc import Iterator
 from functools import partial
@@ -13,9 +14,12 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.sources.shared import kept
+
 KEYS = ("run_id",)
 
 
@@ -220,29 +224,78 @@ def absolute_marks(metrics: DataFrame, targets: DataFrame, keys: tuple[str, ...]
 # Folds whose state goes from step to step: one small group a run
 
 
-def _distances(front: pd.DataFrame) -> pd.Series:
-    if len(front) <= 2:
-        return pd.Series(math.inf, index=front.index)
-    total = pd.Series(0.0, index=front.index)
-    for axis in ("quality", "cost"):
-        order = front.sort_values([axis, "version"]).index
-        v = front.loc[order, axis].to_numpy(float)
-        span = v[-1] - v[0]
-        gaps = np.concatenate([[math.inf], (v[2:] - v[:-2]) / span if span else np.zeros(len(v) - 2), [math.inf]])
-        total.loc[order] += gaps
+def _distances(values: list[np.ndarray], orders: list[np.ndarray]) -> np.ndarray:
+    """Crowding distances, given the order of the points on each axis: ends are infinitely far."""
+    total = np.zeros(len(orders[0]))
+    for v, order in zip(values, orders):
+        at, span = v[order], v[order[-1]] - v[order[0]]
+        gaps = np.full(len(v), math.inf)
+        gaps[1:-1] = (at[2:] - at[:-2]) / span if span else 0.0
+        total[order] += gaps
     return total
 
 
 def _pruned(front: pd.DataFrame, size: int) -> pd.DataFrame:
-    front = front.copy()
+    """The front less its most crowded points, one after the other.
+
+    A point that goes is inside on both axes, so the spans stay and only its neighbours' distances change: the axes are
+    linked lists, and a heap has the distances, of which outdated ones are passed over. That is O(n log n).
+    """
+    n = len(front)
+    if n <= size:
+        return front
+    values = [front[axis].to_numpy(float) for axis in ("quality", "cost")]
+    version = pd.factorize(front["version"], sort=True)[0]
+    orders = [np.lexsort((version, v)) for v in values]
+    d = _distances(values, orders)
+    safe = {int(np.lexsort((version, -values[0]))[0]), int(orders[1][0])}
+    spans = [v[o[-1]] - v[o[0]] for v, o in zip(values, orders)]
+    links = []
+    for o in orders:
+        before, after = np.full(n, -1), np.full(n, -1)
+        before[o[1:]], after[o[:-1]] = o[:-1], o[1:]
+        links.append((before.tolist(), after.tolist()))
+    heap = [(d[i], version[i], i) for i in range(n) if i not in safe]
+    heapq.heapify(heap)
+    current, left = d.tolist(), np.ones(n, bool)
+    for _ in range(n - size):
+        while heap and (not left[heap[0][2]] or heap[0][0] != current[heap[0][2]]):
+            heapq.heappop(heap)
+        if not heap:
+            break
+        if heap[0][0] == math.inf:  # only ends of an axis are left: a handful, and spans change
+            return _pruned_ends(front[left], size)
+        gone = heapq.heappop(heap)[2]
+        left[gone] = False
+        touched = set()
+        for before, after in links:
+            a, b = before[gone], after[gone]
+            after[a], before[b] = b, a
+            touched |= {a, b}
+        for i in touched:
+            far = 0.0
+            for v, span, (before, after) in zip(values, spans, links):
+                inside = before[i] >= 0 and after[i] >= 0
+                far += ((v[after[i]] - v[before[i]]) / span if span else 0.0) if inside else math.inf
+            if far != current[i]:
+                current[i] = far
+                if i not in safe:
+                    heapq.heappush(heap, (far, version[i], i))
+    return front[left]
+
+
+def _pruned_ends(front: pd.DataFrame, size: int) -> pd.DataFrame:
+    """The same where no point is inside on both axes."""
     while len(front) > size:
-        best_q = front.sort_values(["quality", "version"], ascending=[False, True]).index[0]
-        best_c = front.sort_values(["cost", "version"]).index[0]
-        d = _distances(front).drop(labels=[best_q, best_c], errors="ignore")
-        if d.empty:
+        values = [front[axis].to_numpy(float) for axis in ("quality", "cost")]
+        version = pd.factorize(front["version"], sort=True)[0]
+        orders = [np.lexsort((version, v)) for v in values]
+        safe = {int(np.lexsort((version, -values[0]))[0]), int(orders[1][0])}
+        d = _distances(values, orders) if len(front) > 2 else np.full(len(front), math.inf)
+        rest = [i for i in range(len(front)) if i not in safe]
+        if not rest:
             break
-        worst = d.to_frame("d").assign(version=front.loc[d.index, "version"]).sort_values(["d", "version"]).index[0]
-        front = front.drop(index=worst)
+        front = front.drop(index=front.index[min(rest, key=lambda i: (d[i], version[i]))])
     return front
 
 
@@ -263,42 +316,64 @@ def prune_to_size(front: DataFrame, size: int, keys: tuple[str, ...] = KEYS) ->
     return front.groupBy(*keys).applyInPandas(lambda f: _pruned(f, size), front.schema)
 
 
+class Staircase:
+    """The points that no other one taken in dominates, by quality."""
+
+    def __init__(self):
+        self.qualities: list[float] = []
+        self.costs: list[float] = []
+
+    def takes(self, quality: float, cost: float) -> bool:
+        """Takes a point in, with what it dominates going, unless one is as good and as cheap."""
+        qs, cs = self.qualities, self.costs
+        at = bisect.bisect_left(qs, quality)
+        if at < len(qs) and cs[at] <= cost:
+            return False
+        if at < len(qs) and qs[at] == quality:
+            cs[at] = cost
+        else:
+            qs.insert(at, quality)
+            cs.insert(at, cost)
+        low = bisect.bisect_left(cs, cost, 0, at)
+        del qs[low:at], cs[low:at]
+        return True
+
+
 def incremental_front(points: DataFrame, keys: tuple[str, ...] = KEYS, order: str = "seq") -> DataFrame:
     """points plus accepted and on_front: inserted in order (then by version), a point is turned away if a member dominates or equals it, and evicts what it dominates.
 
-    A point is accepted if no earlier one is as good and as cheap, and stays if no later one evicts it. The points of
-    one step of the order form a block; what all earlier blocks can turn away is their front, so each block is held
-    against the front before it and then run through by itself with a sorted staircase.
+    A point is accepted if no earlier one is as good and as cheap, and stays if no later one evicts it. Spark cuts the
+    order into ranges, and each task runs through its range with a staircase of its own: what that turns away would be
+    turned away anyhow. Only the others, four columns of them, meet in the fold over a run's ranges.
     """
-    before = fronts_before(points, keys, order)
+    spark, names = points.sparkSession, points.columns
     kinds = ", ".join(f"`{n}` {t}" for n, t in points.dtypes)
-    names = [*points.columns, "accepted"]
-
-    def run(frame: pd.DataFrame, earlier: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("version")
-        stairs = sorted(zip(earlier["quality"], earlier["cost"]))
-        qs, cs = [x[0] for x in stairs], [x[1] for x in stairs]
-        accepted = np.zeros(len(frame), bool)
-        for i, (q, c) in enumerate(zip(frame["quality"].to_numpy(), frame["cost"].to_numpy())):
-            at = bisect.bisect_left(qs, q)
-            if at < len(qs) and cs[at] <= c:
-                continue
-            accepted[i] = True
-            if at < len(qs) and qs[at] == q:
-                cs[at] = c
-            else:
-                qs.insert(at, q)
-                cs.insert(at, c)
-            low = bisect.bisect_left(cs, c, 0, at)
-            del qs[low:at], cs[low:at]
-        return frame.assign(accepted=accepted)[names]
-
-    group = [*keys, order]
-    taken = points.groupBy(*group).cogroup(_renewed(before).groupBy(*group)).applyInPandas(run, f"{kinds}, accepted boolean")
+
+    def through(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, run, stairs, n = TaskContext.get().partitionId(), None, None, 0
+        for frame in frames:
+            taken = np.zeros(len(frame), bool)
+            runs = list(zip(*[frame[k] for k in keys])) if keys else [()] * len(frame)
+            for i, (own, q, c) in enumerate(zip(runs, frame["quality"], frame["cost"])):
+                if own != run:
+                    run, stairs = own, Staircase()
+                taken[i] = stairs.takes(q, c)
+            yield frame.assign(_block=block, _at=np.arange(n, n + len(frame)), _taken=taken)
+            n += len(frame)
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, stairs = frame.sort_values(["_block", "_at"]), Staircase()
+        taken = [stairs.takes(q, c) for q, c in zip(frame["quality"], frame["cost"])]
+        return frame.loc[taken, ["_block", "_at"]]
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = points.repartitionByRange(parts, *keys, order, "version").sortWithinPartitions(*keys, order, "version")
+    run = kept(ranged.mapInPandas(through, f"{kinds}, _block long, _at long, _taken boolean"), "front-ranges")
+    taken = run.where("_taken").select(*keys, "quality", "cost", "_block", "_at").groupBy(*keys).applyInPandas(fold, "_block long, _at long").withColumn("accepted", F.lit(True))
     last = pareto_front(points, keys).groupBy(*keys, "quality", "cost").agg(F.min(F.struct(order, "version")).alias("_first"))
-    j = taken.join(last, [*keys, "quality", "cost"], "left")
+    j = run.join(taken, ["_block", "_at"], "left").join(last, [*keys, "quality", "cost"], "left")
     on = F.coalesce((F.col(order) == F.col(f"_first.{order}")) & (F.col("version") == F.col("_first.version")), F.lit(False))
-    return j.select(*points.columns, "accepted", on.alias("on_front"))
+    return j.select(*names, F.coalesce("accepted", F.lit(False)).alias("accepted"), on.alias("on_front"))
 
 
 def fronts_before(points: DataFrame, keys: tuple[str, ...] = KEYS, order: str = "round") -> DataFrame:

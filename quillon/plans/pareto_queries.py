@@ -105,7 +105,17 @@ def front_improvement(spark, sf_dir):
     return p.front_improvement(points.where("round <= 4 AND run_id <> 3"), points.where("round > 4"))
 
 
-@query(None)
+#: A step takes the most crowded point of every front that is still too large (pr: run_id, version, q, c, step k); a run's last step is its result.
+_PRUNING = """
+  UNION ALL
+  SELECT run_id, version, q, c, k + 1 FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY safe, d, version) AS place FROM (
+    SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY q DESC, version) = 1 OR row_number() OVER (PARTITION BY run_id ORDER BY c, version) = 1 AS safe, count(*) OVER r AS n,
+      coalesce((lead(q) OVER wq - lag(q) OVER wq) / (max(q) OVER r - min(q) OVER r), 'inf'::DOUBLE) + coalesce((lead(c) OVER wc - lag(c) OVER wc) / (max(c) OVER r - min(c) OVER r), 'inf'::DOUBLE) AS d
+    FROM pr WINDOW r AS (PARTITION BY run_id), wq AS (PARTITION BY run_id ORDER BY q, version), wc AS (PARTITION BY run_id ORDER BY c, version)) WHERE n > {size}) WHERE place > 1), done AS (SELECT run_id, max(k) AS k FROM pr GROUP BY run_id)
+"""
+
+
+@query("WITH RECURSIVE" + FRONT_SQL.strip().removeprefix("WITH") + ", pr AS (SELECT run_id, version, q, c, 0 AS k FROM front" + _PRUNING.format(size=5) + "SELECT run_id, version, round, q AS quality, c AS cost FROM pr JOIN done USING (run_id, k) JOIN (SELECT version, round FROM cand) USING (version)")
 def pruned_front(spark, sf_dir):
     return p.prune_to_size(p.pareto_front(candidates(spark, sf_dir)), 5)
 
@@ -117,7 +127,18 @@ def incremental_front(spark, sf_dir):
     return p.incremental_front(candidates(spark, sf_dir).select("run_id", "version", "round", "quality", "cost"), order="round").select("run_id", "version", "accepted", "on_front")
 
 
-@query(None)
+@query(BASE_SQL + """, s AS (SELECT run_id, version, (CAST(substr(version, 2) AS BIGINT) * 7919) % 100003 AS seq, q, c FROM cand)
+SELECT run_id, version, NOT EXISTS (SELECT 1 FROM s b WHERE b.run_id = a.run_id AND b.seq < a.seq AND b.q >= a.q AND b.c <= a.c) AS accepted,
+  NOT EXISTS (SELECT 1 FROM s b WHERE b.run_id = a.run_id AND b.q >= a.q AND b.c <= a.c AND (b.q > a.q OR b.c < a.c OR b.seq < a.seq)) AS on_front FROM s a""")
+def incremental_front_by_one(spark, sf_dir):
+    """Single inserts: every point has a place of its own in the order."""
+    points = candidates(spark, sf_dir).selectExpr("run_id", "version", "(CAST(substr(version, 2) AS BIGINT) * 7919) % 100003 AS seq", "quality", "cost")
+    return p.incremental_front(points).select("run_id", "version", "accepted", "on_front")
+
+
+@query("WITH RECURSIVE" + BASE_SQL.strip().removeprefix("WITH") + """, e AS (SELECT run_id, version, q, c, round > 4 AS is_new FROM cand WHERE round > 4 OR run_id <> 3),
+f AS (SELECT * FROM e a WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.run_id = a.run_id AND b.q >= a.q AND b.c <= a.c AND (b.q > a.q OR b.c < a.c))), pr AS (SELECT run_id, version, q, c, 0 AS k FROM f"""
+    + _PRUNING.format(size=7) + "SELECT run_id, version, q AS quality, c AS cost, is_new FROM pr JOIN done USING (run_id, k) JOIN (SELECT version, is_new FROM e) USING (version)")
 def elite_set(spark, sf_dir):
     points = candidates(spark, sf_dir)
     return p.elite_set(points.where("round <= 4 AND run_id <> 3"), points.where("round > 4"))

@@ -4,6 +4,7 @@ import copy
 import json
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -149,6 +150,25 @@ def test_pruning_matches_lists(spark, seed):
         assert got == {x[0] for x in slow_prune(front, size)}
 
 
+def test_pruning_of_points_with_ties_and_of_others_than_fronts():
+    for seed in range(60):
+        rng = random.Random(seed)
+        rows = [(f"v{i:02}", rng.randint(0, 9), rng.randint(0, 9)) for i in range(rng.randint(1, 25))]
+        rows = slow_front(rows) if seed % 2 else rows
+        frame = pareto.pd.DataFrame(rows, columns=["version", "quality", "cost"])
+        for size in range(1, 8):
+            assert set(pareto._pruned(frame, size)["version"]) == {x[0] for x in slow_prune(rows, size)}, (seed, size)
+
+
+def test_pruning_a_large_front_is_quick():
+    n = 100_000
+    rng = np.random.default_rng(1)
+    frame = pareto.pd.DataFrame({"version": [f"v{i}" for i in range(n)], "quality": np.cumsum(rng.integers(1, 99, n)), "cost": np.cumsum(rng.integers(1, 99, n))})
+    began = time.process_time()
+    assert len(pareto._pruned(frame, 50)) == 50
+    assert time.process_time() - began < 20
+
+
 def slow_rounds(rounds, epsilon, limit, max_rounds, budget, size):
     """rounds: lists of (version, quality, cost, meets, scored)."""
     elite, volume, stagnation, halved, evaluated, out = {}, 0.0, 0, False, 0, []
@@ -228,6 +248,15 @@ def test_incremental_front(spark, seed):
     assert {r.version for r in out if r.accepted} == accepted and {r.version for r in out if r.on_front} == {m[2] for m in members}
 
 
+def test_incremental_front_of_a_line_stays_linear(spark):
+    """No point dominates another: 2,000 members, in two runs, in an order that has nothing to do with the axes."""
+    place = list(range(2_000))
+    random.Random(2).shuffle(place)
+    rows = [(f"r{i % 2}", k, f"v{i:04}", i, i) for i, k in enumerate(place)]
+    out = pareto.incremental_front(spark.createDataFrame(rows, "run_id string, seq int, version string, quality int, cost int")).collect()
+    assert len(out) == 2_000 and all(r.accepted and r.on_front for r in out)
+
+
 def test_journey_carries_forward(spark):
     df = spark.createDataFrame([("r", 2, "a", 5.0, 1.0), ("r", 3, "b", 4.0, 1.0), ("r", 4, "c", 5.0, 0.5)], "run_id string, round int, version string, quality double, cost double")
     rounds = spark.createDataFrame([("r", i) for i in range(1, 6)], "run_id string, round int")
