@@ -6,8 +6,11 @@ taken in whole millionths, so they don't depend on the order of rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -209,8 +212,6 @@ class MetricRegistry:
 
 def per_group_metric(pairs: DataFrame, function: Callable, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """A metric in Python: function gets the (true, pred, n) cells of a group as a pandas frame and returns a dict."""
-    import pandas as pd
-
     cells = confusion_cells(pairs, keys)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -220,3 +221,59 @@ def per_group_metric(pairs: DataFrame, function: Callable, keys: tuple[str, ...]
 
     kinds = ", ".join(f"`{k}` {dict(cells.dtypes)[k]}" for k in keys)
     return cells.groupBy(*keys).applyInPandas(run, f"{kinds}, key string, value double")
+
+
+class PairMetric:
+    """A user's metric over pairs, in parts that tasks work out and one shuffle brings together.
+
+    columns are the columns of pairs it needs, parameters are its attributes. start() gives an empty state, add(state,
+    frame) takes a pandas frame of pairs in, merge(a, b) joins two states, finish(state) gives a dict of figures. States
+    are pickled, so they should be small; merge must not mind the order.
+    """
+
+    columns: tuple[str, ...] = ("route", "pred")
+
+    def start(self):
+        raise NotImplementedError
+
+    def add(self, state, frame):
+        raise NotImplementedError
+
+    def merge(self, a, b):
+        raise NotImplementedError
+
+    def finish(self, state) -> dict[str, float]:
+        raise NotImplementedError
+
+
+#: States that a task holds at once; with more groups it puts out what it has.
+HELD_STATES = 10_000
+
+
+def pair_metric(pairs: DataFrame, metric: PairMetric, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, key, value: the figures of a PairMetric in each group."""
+    types = dict(pairs.dtypes)
+    kinds = "".join(f"`{k}` {types[k]}, " for k in keys)
+
+    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict = {}
+
+        def put() -> pd.DataFrame:
+            return pd.DataFrame([(*k, pickle.dumps(x)) for k, x in states.items()], columns=[*keys, "state"])
+
+        for frame in frames:
+            groups = frame.groupby(list(keys), sort=False, dropna=False) if keys else [((), frame)]
+            for key, part in groups:
+                states[key] = metric.add(states[key] if key in states else metric.start(), part)
+            if len(states) > HELD_STATES:
+                yield put()
+                states.clear()
+        yield put()
+
+    def merged(frame: pd.DataFrame) -> pd.DataFrame:
+        state = reduce(metric.merge, map(pickle.loads, frame["state"]))
+        head = [frame[k].iloc[0] for k in keys]
+        return pd.DataFrame([(*head, k, float(v)) for k, v in metric.finish(state).items()], columns=[*keys, "key", "value"])
+
+    held = pairs.select(*keys, *[c for c in metric.columns if c not in keys]).mapInPandas(parts, f"{kinds}state binary")
+    return held.groupBy(*keys).applyInPandas(merged, f"{kinds}key string, value double")

@@ -186,3 +186,34 @@ def custom_metric(spark, sf_dir):
     registry = m.MetricRegistry()
     registry.register("balanced", lambda p: m.per_group_metric(p, recalls, V))
     return registry.compute(pairs(spark, sf_dir), [("balanced", {})], V).withColumn("value", F.round("value", 9))
+
+
+class _Overpaid(m.PairMetric):
+    """By how many millionths the routes taken cost more than the true ones, and the share of pairs in which by more than `least`."""
+
+    columns = ("route", "pred", "routes")
+
+    def __init__(self, least: int):
+        self.least = least
+
+    def start(self):
+        return 0, 0, 0
+
+    def add(self, state, frame):
+        more = [round((dict(e)[p]["cost"] - dict(e)[r]["cost"]) * 1e6) if p in dict(e) else 0 for r, p, e in zip(frame["route"], frame["pred"], frame["routes"])]
+        return self.merge(state, (sum(max(0, x) for x in more), sum(x > self.least for x in more), len(more)))
+
+    def merge(self, a, b):
+        return tuple(x + y for x, y in zip(a, b))
+
+    def finish(self, state):
+        return {"overpaid": state[0], "share_overpaid": round(state[1] / state[2], 9)}
+
+
+@query(BASE_SQL + """, o AS (SELECT version, CASE pred WHEN 'simple' THEN cs WHEN 'moderate' THEN cm WHEN 'complex' THEN cc END - CASE route WHEN 'simple' THEN cs WHEN 'moderate' THEN cm ELSE cc END AS more FROM pairs)
+SELECT version, 'overpaid' AS key, CAST(sum(greatest(0, coalesce(more, 0))) AS DOUBLE) AS value FROM o GROUP BY version UNION ALL SELECT version, 'share_overpaid', round(count(*) FILTER (more > 4000) / count(*), 9) FROM o GROUP BY version""")
+def pair_metric(spark, sf_dir):
+    """A user's metric that needs the costs of every pair, with a parameter."""
+    registry = m.MetricRegistry()
+    registry.register("overpaid", lambda p, least: m.pair_metric(p, _Overpaid(least), V))
+    return registry.compute(pairs(spark, sf_dir), [("overpaid", {"least": 4000})], V)

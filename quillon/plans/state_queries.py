@@ -100,15 +100,32 @@ def scored_examples(spark, sf_dir):
     return out.select("example_id", F.col("output.route").alias("pred"), "error", F.col("retries").cast("long").alias("retries"), F.col("token_usage.output_tokens").alias("output_tokens"))
 
 
+def _streamed(spark, r, ex, files, compact):
+    """The cells after a stream of results that come in so many batches (column part) has gone through."""
+    at = shared_path(spark, "stream")
+    for k in range(files):  # a file a batch, in order
+        r.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{at}/in/part={k}")
+    schema = r.drop("part").schema
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{at}/in/part=*")
+    changes = stream.cell_changes(arriving, ex)
+    stream.start_cells(changes, f"{at}/cells", f"{at}/state", compact).awaitTermination()
+    return stream.read_cells(spark, f"{at}/cells", changes.schema)
+
+
 @query(BASE_SQL + "SELECT version, true_route, pred_route, n FROM cells")
 def stream_confusion(spark, sf_dir):
-    at = shared_path(spark, "stream")
-    r = results(spark, sf_dir).select("version", "example_id", "output", "error")
-    r.union(r.where("version = 'v1'")).write.parquet(f"{at}/in")  # some arrive twice
-    schema = r.schema
-    arriving = spark.readStream.schema(schema).parquet(f"{at}/in").withColumn("arrived", F.current_timestamp())
-    cells = stream.confusion_stream(arriving, examples(spark, sf_dir))
-    return stream.run_to_end(cells, f"{at}/cells", f"{at}/state")
+    r = results(spark, sf_dir).withColumns({"arrived": F.timestamp_seconds(F.col("doc_id") + 1_000_000), "part": (F.col("doc_id") % 3).cast("int")})
+    r = r.select("version", "example_id", "output", "error", "arrived", "part")
+    return _streamed(spark, r.union(r.where("version = 'v1'").withColumn("part", F.lit(2))), examples(spark, sf_dir), 3, 50)  # some arrive twice
+
+
+@query(BASE_SQL + """, c AS (SELECT 'all' AS version, doc_id, v, route AS true_route, coalesce(pred, '') AS pred_route, err FROM res WHERE v IN (1, 2, 4)),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN doc_id % 5 = 0 THEN -v ELSE v END DESC) AS k FROM c)
+SELECT version, true_route, pred_route, count(*) AS n FROM l WHERE k = 1 AND NOT err GROUP BY ALL""")
+def stream_corrections(spark, sf_dir):
+    """Three results an example, one a batch; each takes the place of the one before, but for every fifth, where later ones are older."""
+    r = results(spark, sf_dir).where("v IN (1, 2, 4)").withColumns({"version": F.lit("all"), "arrived": F.expr("timestamp_seconds(1000000 + IF(doc_id % 5 = 0, -v, v))"), "part": F.expr("CAST(v div 2 AS INT)")})
+    return _streamed(spark, r.select("version", "example_id", "output", "error", "arrived", "part"), examples(spark, sf_dir), 3, 2)
 
 
 @query(BASE_SQL + "SELECT run_id, version, round, q AS quality, c AS cost FROM cand a WHERE NOT EXISTS (SELECT 1 FROM cand b WHERE b.run_id = a.run_id AND b.q >= a.q AND b.c <= a.c AND (b.q > a.q OR b.c < a.c))")
@@ -117,7 +134,5 @@ def stream_front(spark, sf_dir):
     c = candidates(spark, sf_dir)
     c.repartition(3).write.parquet(f"{at}/in")
     arriving = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    q = stream.front_stream(arriving, f"{at}/front", f"{at}/state")
-    q.awaitTermination()
-    done = q.lastProgress["batchId"] + 1
-    return stream.latest_front(spark, f"{at}/front", done)
+    stream.front_stream(arriving, f"{at}/front", f"{at}/state", compact=2).awaitTermination()
+    return stream.latest_front(spark, f"{at}/front", c.schema)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillon.operators import bootstrap, compare, identity, inference, metrics, pareto, quality_checks, review
 from quillon.operators import mapping as mapping_op
 from quillon.sources import files
+from quillon.streaming import results as streams
 
 ROUTES = {"gpt": (0.03, 0.95), "mid": (0.01, 0.88), "small": (0.002, 0.72)}
 EXAMPLES = "id string, input string, route string, routes map<string, struct<cost: double, quality_score: double>>"
@@ -528,3 +529,77 @@ def test_mapping_errors(spark):
     with pytest.raises(ValueError, match="empty name"):
         mapping_op.mapped_documents(rows, {"a..b": "b"})
     assert mapping_op.apply_mapping(rows, {"a": "input", "b": "expected.route", "c": "expected.routes"}).collect() == [(0, "row-0", None, None, None)]
+
+
+# Streams
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    path, kind = f"file://{tmp_path}/cells", "version string, true_route string, pred_route string, n long"
+    sink = streams.cell_sink(path, compact=3)
+    read = lambda: sorted(tuple(r) for r in streams.read_cells(spark, path, spark.createDataFrame([], kind).schema).collect())
+    assert read() == []
+    total = {}
+    for epoch in range(8):
+        rows = [("v", "a", f"p{epoch % 2}", 1), ("v", "a", f"p{epoch % 3}", 1 if epoch < 6 else -1), ("v", "b", "b", 1), ("v", "b", "b", -1)]
+        for v, a, b, n in rows:
+            total[v, a, b] = total.get((v, a, b), 0) + n
+        for _ in range(1 + epoch % 2):
+            sink(spark.createDataFrame(rows, kind), epoch)
+        assert read() == sorted((*k, n) for k, n in total.items() if n)
+    assert len(list((tmp_path / "cells").glob("batch=*"))) < 8
+
+
+def test_fronts_of_touched_runs_only(spark, tmp_path):
+    path, kind = f"file://{tmp_path}/fronts", "run_id string, version string, quality int, cost int"
+    schema = spark.createDataFrame([], kind).schema
+    sink, rng, every = streams.front_sink(path, schema, compact=3), random.Random(3), []
+    for epoch in range(8):
+        runs = rng.sample(["r1", "r2", "r3", "r4"], 2)
+        rows = [(r, f"v{epoch}{i}", rng.randint(0, 9), rng.randint(0, 9)) for r in runs for i in range(3)]
+        every += rows
+        for _ in range(1 + epoch % 2):
+            sink(spark.createDataFrame(rows, kind), epoch)
+        want = {x for r in ("r1", "r2", "r3", "r4") for x in ((r, *y) for y in slow_front([y[1:] for y in every if y[0] == r]))}
+        assert {tuple(x) for x in streams.latest_front(spark, path, schema).collect()} == want
+        if epoch % 3 != 2:
+            assert {r.run_id for r in spark.read.parquet(f"{path}/fronts/batch={epoch}").collect()} == set(runs)
+    assert not (tmp_path / "fronts/fronts/batch=0").exists()
+
+
+# Metrics of a user's own
+
+
+def test_a_metric_over_pairs(spark):
+    class Regret(metrics.PairMetric):
+        """Mean of weight times the extra cost, less the quality lost, by pair; and how many pairs there are."""
+
+        columns = ("route", "pred", "routes")
+
+        def __init__(self, weight):
+            self.weight = weight
+
+        def start(self):
+            return [0, 0]
+
+        def add(self, state, frame):
+            for route, pred, routes in zip(frame["route"], frame["pred"], frame["routes"]):
+                known = dict(routes)
+                if pred in known and route in known:
+                    state[0] += round((self.weight * (known[pred]["cost"] - known[route]["cost"]) + known[route]["quality_score"] - known[pred]["quality_score"]) * 1e6)
+                state[1] += 1
+            return state
+
+        def merge(self, a, b):
+            return [a[0] + b[0], a[1] + b[1]]
+
+        def finish(self, state):
+            return {"regret": state[0] / 1e6 / state[1], "n": state[1]}
+
+    pairs = pairs_of(spark, ["mid", "small", "gpt"] * 40, ["gpt", "mid", None] * 40).repartition(7).unionByName(pairs_of(spark, ["mid"], ["small"], "v2"))
+    registry = metrics.MetricRegistry()
+    registry.register("regret", lambda p, weight: metrics.pair_metric(p, Regret(weight), ("version",)))
+    got = {(r.version, r.key): r.value for r in registry.compute(pairs, [("regret", {"weight": 2.0})], ("version",)).collect()}
+    one = 2 * 0.02 + 0.88 - 0.95 + 2 * 0.008 + 0.72 - 0.88
+    assert got == {("v1", "regret"): pytest.approx(one / 3), ("v1", "n"): 120, ("v2", "regret"): pytest.approx(-2 * 0.008 + 0.16), ("v2", "n"): 1}
+    assert metrics.pair_metric(pairs.limit(0), Regret(1.0), ("version",)).collect() == []
