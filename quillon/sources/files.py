@@ -6,12 +6,15 @@ the source, because "first" always means file order.
 
 from __future__ import annotations
 
+import csv
+import io
 import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.json_paths import field_paths
+from quillon.sources.blocks import read_records
 
 RESULT = (
     "example_id STRING, model STRING, output STRUCT<route: STRING>, error STRING, latency_ms DOUBLE, retries INT, token_usage STRUCT<input_tokens: BIGINT, cached_tokens: BIGINT,"
@@ -50,9 +53,21 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """Header row, all strings; rows that are blank throughout go, short rows end in nulls, cells beyond the header go.
 
-    An empty cell is null here.
+    An empty cell is null here. Cells in quotes may hold line feeds and doubled quotes, and a file is read in many tasks
+    all the same. Each file has a header, of which that of the first file by path gives the names: an empty name becomes
+    _c and its place, and of equal names the last column counts.
     """
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").option("inferSchema", False).csv(path)
+    records, ends = read_records(spark, path, "csv")
+    if not ends:
+        return spark.createDataFrame([], "_c0 string").limit(0)
+    first = records.where((F.col("f") == min(f for f, *_ in ends)) & (F.col("row_idx") == 0)).select("text").first()
+    names = [n or f"_c{i}" for i, n in enumerate(next(csv.reader(io.StringIO(first["text"].lstrip("\ufeff"), newline="")), []))] if first else []
+    if not names:
+        return spark.createDataFrame([], "_c0 string").limit(0)
+    cells = F.from_csv("text", ", ".join(f"c{i} string" for i in range(len(names))), {"escape": '"', "mode": "PERMISSIVE", "maxColumns": "100000"})
+    rows = records.where("row_idx > 0 AND trim(text) <> ''").select(cells.alias("r"))
+    last = {n: i for i, n in enumerate(names)}
+    rows = rows.select(*[F.col(f"r.c{i}").alias(n) for n, i in last.items()])
     some = F.lit(False)
     for c in rows.columns:
         some = some | (F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))) != "")
@@ -79,12 +94,19 @@ def read_jsonl(spark: SparkSession, path: str, mode: str = "permissive") -> tupl
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """row_idx, v: the objects of a top-level array. One file is one task: for large data use lines."""
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    bad = whole.where(~F.coalesce(F.schema_of_variant("v").startswith("ARRAY<"), F.lit(False)))
-    if not bad.isEmpty():
+    """row_idx, v: the elements of a top-level array, in many tasks whatever the file's length; of several files each has places of its own.
+
+    A file that isn't one array, or has an element that isn't JSON, is an error.
+    """
+    records, ends = read_records(spark, path, "json")
+    rows = records.select("row_idx", F.try_parse_json("text").alias("v"))
+    # pieces are cut at closing braces, and one is put behind the last as well: a whole array ends at a depth of -1
+    sound = all(not quoted and depth == -1 for _, quoted, depth in ends)
+    arrays = spark.read.option("lineSep", "}").text(path).where("_metadata.file_block_start = 0").select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("m"))
+    begins = arrays.groupBy("f").agg(F.min_by(F.ltrim("value"), "m").alias("v")).where("NOT startswith(regexp_replace(v, '^\\\\s+', ''), '[')")
+    if not sound or not begins.isEmpty() or not rows.where("v IS NULL").isEmpty():
         raise ValueError("the file is not a JSON array")
-    return whole.select(F.posexplode(F.variant_get("v", "$", "array<variant>")).alias("row_idx", "v")).select(F.col("row_idx").cast("long"), "v")
+    return rows
 
 
 def source_reader(path: str) -> str:

@@ -1,6 +1,7 @@
 """Operators on small literal frames and against plain Python."""
 
 import copy
+import csv
 import json
 import math
 import random
@@ -603,3 +604,54 @@ def test_a_metric_over_pairs(spark):
     one = 2 * 0.02 + 0.88 - 0.95 + 2 * 0.008 + 0.72 - 0.88
     assert got == {("v1", "regret"): pytest.approx(one / 3), ("v1", "n"): 120, ("v2", "regret"): pytest.approx(-2 * 0.008 + 0.16), ("v2", "n"): 1}
     assert metrics.pair_metric(pairs.limit(0), Regret(1.0), ("version",)).collect() == []
+
+
+# Records over line ends
+
+
+@pytest.fixture
+def small_blocks(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_csv_of_many_blocks(spark, small_blocks, tmp_path):
+    rng = random.Random(4)
+    cell = lambda: rng.choice(["", "plain", "a,b", 'say "so"', "two\nlines", "\n\n", "é" * rng.randint(0, 30), '"', "long\n" * rng.randint(0, 200), "x, \n\"y\""])
+    rows = [[cell() or "0", cell(), str(i)] for i in range(80)]
+    for ending in ("\n", "\r\n"):
+        path = tmp_path / f"{len(ending)}.csv"
+        with open(path, "w", newline="", encoding="utf-8") as out:
+            writer = csv.writer(out, lineterminator=ending)
+            writer.writerow(["k", "text", "n"])
+            for r in rows:
+                writer.writerow(r)
+                if rng.random() < 0.1:
+                    out.write(ending)
+            out.write("short" + ending + "a,b,c,beyond")
+        records, _ = files.read_records(spark, str(path), "csv")
+        assert path.stat().st_size > 5_000 and records.select("f").count() > 80
+        got = [tuple(r) for r in files.read_csv_rows(spark, str(path)).collect()]
+        assert sorted(got, key=repr) == sorted([tuple(c or None for c in r) for r in rows] + [("short", None, None), ("a", "b", "c")], key=repr)
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 4
+
+
+def test_json_array_of_many_blocks(spark, small_blocks, tmp_path):
+    rng = random.Random(5)
+    text = lambda: rng.choice(["", "a]b[", "{", "}", '"', '\\\\"}', "[1,2]", ",", "é}" * 40, "\n", "}" * 300])
+    rows = [{"i": i, text() or "k": [text(), {"deep": {"er": [i, None, text()]}}], "t": text()} for i in range(60)]
+    for k, indent in enumerate((None, 1)):
+        path = tmp_path / f"{k}.json"
+        path.write_text("  \n" * k + json.dumps(rows, indent=indent, ensure_ascii=k == 0) + "\n" * k, encoding="utf-8")
+        got = {r.row_idx: json.loads(r.j) for r in files.read_json_array(spark, str(path)).select("row_idx", F.to_json("v").alias("j")).collect()}
+        assert [got[i] for i in range(len(rows))] == rows
+    for k, (content, n) in enumerate({"[]": 0, " [ ] ": 0, '[{"a": 1}]': 1, "[1, [2], \"x\", null]": 4}.items()):
+        (tmp_path / f"few{k}.json").write_text(content)
+        assert files.read_json_array(spark, str(tmp_path / f"few{k}.json")).count() == n
+    for k, content in enumerate(('{"a": 1}', '[{"a": 1}', "[{a}]", '[{"a": 1}]]', '{"a": [1]}', '["]')):
+        (tmp_path / f"bad{k}.json").write_text(content)
+        with pytest.raises(ValueError, match="not a JSON array"):
+            files.read_json_array(spark, str(tmp_path / f"bad{k}.json"))
