@@ -232,3 +232,37 @@ def score_report(metrics: DataFrame, summary: DataFrame, results: DataFrame, pre
         fields = tuple(f for f in ("total_cost", "duration_seconds") if f in summary.columns)
         parts |= {"metric_diffs": metric_diffs(previous[0], metrics, keys), "overhead_diff": overhead_diff(previous[1], summary, keys, fields)}
     return parts
+
+
+#: Errors that stand inside a report's document; a version with more has them in lines of their own.
+ERRORS_INSIDE = 10_000
+
+
+def report_documents(parts: dict[str, DataFrame], keys: tuple[str, ...] = ("run_id", "version"), inside: int = ERRORS_INSIDE) -> tuple[DataFrame, DataFrame]:
+    """(keys, report: one nested report a group of score_report's summary; keys, example_id, error, retries: the errors of groups that have more than `inside`).
+
+    report has metrics (a map), summary, n_errors, errors (null if they are beside it) and diff (null without an earlier
+    report): metric_diffs and overhead_diff. Lists are in the order of keys and ids. Counts come first, so no group of
+    errors meets in one row unless it is known to be small.
+    """
+    on = list(keys)
+    rest = [c for c in parts["summary"].columns if c not in keys]
+    docs = parts["summary"].select(*keys, F.struct(*rest).alias("summary"))
+    metrics = parts["metrics"].groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("metrics"))  # as many as there are metrics
+    counts = parts["errors"].groupBy(*keys).agg(F.count("*").alias("n_errors"))
+    few = parts["errors"].join(counts.where(F.col("n_errors") <= inside), on, "left_semi")
+    errors = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("example_id", "error", "retries"))).alias("errors"))
+    docs = docs.join(metrics, on, "left").join(counts, on, "left").join(errors, on, "left")
+    none = F.array().cast(errors.schema["errors"].dataType)
+    errors_of = F.when(F.coalesce("n_errors", F.lit(0)) == 0, none).otherwise(F.col("errors"))
+    diff = F.lit(None).cast("string")
+    if "metric_diffs" in parts:
+        diffs = parts["metric_diffs"].groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("key", "old", "new", "change"))).alias("metric_diffs"))
+        overhead = parts["overhead_diff"]
+        over = overhead.select(*keys, F.struct(*[c for c in overhead.columns if c not in keys]).alias("overhead_diff"))
+        docs = docs.join(diffs, on, "left").join(over, on, "left")
+        diff = F.struct(F.coalesce("metric_diffs", F.array().cast(diffs.schema["metric_diffs"].dataType)).alias("metric_diffs"), F.col("overhead_diff"))
+    empty = F.create_map().cast("map<string, double>")
+    report = F.struct(F.coalesce("metrics", empty).alias("metrics"), F.col("summary"), F.coalesce("n_errors", F.lit(0)).alias("n_errors"), errors_of.alias("errors"), diff.alias("diff"))
+    many = parts["errors"].join(counts.where(F.col("n_errors") > inside), on, "left_semi")
+    return docs.select(*keys, report.alias("report")), many

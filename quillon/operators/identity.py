@@ -41,10 +41,11 @@ def stratified_split(examples: DataFrame, dev_ratio: float = 0.2, seed: str = ""
     own = Window.partitionBy("route", "_b").orderBy("_h", "id")
     c = counts.select(F.col("route").alias("_r"), F.col("_b").alias("_c"), "_base", "_hold")
     ranked = rows.join(c, F.col("route").eqNullSafe(F.col("_r")) & (F.col("_b") == F.col("_c"))).withColumn("_k", F.col("_base") + F.row_number().over(own))
-    ranked = ranked.join(F.broadcast(whole))  # one row
-    every = Window.partitionBy(F.when(F.col("_any") > 0, F.col("_h")).otherwise(F.lit(""))).orderBy("_h", "id")  # one group only where every route has one row
-    fallback = (F.col("_any") == 0) & (F.col("_all") > 1) & (F.row_number().over(every) <= wanted(F.col("_all")))
-    return ranked.withColumn("split", F.when((F.col("_k") <= F.col("_hold")) | fallback, "holdout").otherwise("dev")).select(*examples.columns, "split")
+    any_, all_ = whole.first()
+    held = F.col("_k") <= F.col("_hold")
+    if not any_ and (all_ or 0) > 1:  # every route has one row, or the ratio leaves none: a few rows, or a rank over all
+        held = F.row_number().over(Window.orderBy("_h", "id")) <= wanted(F.lit(all_))
+    return ranked.withColumn("split", F.when(held, "holdout").otherwise("dev")).select(*examples.columns, "split")
 
 
 def split_report(split: DataFrame) -> DataFrame:

@@ -208,41 +208,44 @@ def results_fingerprints(spark, sf_dir):
     return files.read_fingerprints(spark, f"{_written_results(spark, sf_dir)}/v*/*.txt")
 
 
+_REPORTS_SQL = BASE_SQL + """, r AS (SELECT round, concat('r', run_id, '-', round) AS version, run_id, unnest([concat(version, '/quality'), concat(version, '/cost')]) AS key, CAST(unnest([q, c]) AS DOUBLE) AS value FROM cand)
+"""
+
+
 def _written_reports(spark, sf_dir):
-    """One report file a version of each run of candidates; runs 3 and 4 have none that count."""
+    """One report file a run and round, with the figures of all its candidates; runs 3 and 4 have none that count."""
     path = shared_path(spark, "reports")
-    c = candidates(spark, sf_dir).where("quality % 4 = 0")
-    metrics = F.when(F.col("run_id") == 4, F.create_map().cast("map<string, bigint>")).otherwise(F.create_map(F.lit("quality"), "quality", F.lit("cost"), "cost"))
-    c.select("version", F.to_json(F.struct(metrics.alias("metrics"), F.struct(F.when(F.col("run_id") == 3, 0).otherwise(5).alias("succeeded")).alias("summary"))).alias("value")).repartition(8, "version").write.partitionBy("version").text(path)
+    c = candidates(spark, sf_dir).withColumns({"name": F.col("version"), "version": F.concat(F.lit("r"), "run_id", F.lit("-"), "round")})
+    figures = c.select("run_id", "version", F.inline(F.array(*[F.struct(F.concat("name", F.lit(f"/{k}")).alias("key"), F.col(k).alias("value")) for k in ("quality", "cost")])))
+    by_version = figures.groupBy("run_id", "version").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
+    metrics = F.when(F.col("run_id") == 4, F.create_map().cast("map<string, bigint>")).otherwise(F.col("m"))
+    by_version.select("version", F.to_json(F.struct(metrics.alias("metrics"), F.struct(F.when(F.col("run_id") == 3, 0).otherwise(5).alias("succeeded")).alias("summary"))).alias("value")).repartition(8, "version").write.partitionBy("version").text(path)
     return path
 
 
-@query(BASE_SQL + "SELECT version, unnest(['quality', 'cost']) AS key, CAST(unnest([q, c]) AS DOUBLE) AS value FROM cand WHERE q % 4 = 0 AND run_id NOT IN (3, 4)")
+@query(_REPORTS_SQL + "SELECT version, key, value FROM r WHERE run_id NOT IN (3, 4)")
 def reports_long(spark, sf_dir):
     rows = files.read_reports_long(spark, f"{_written_reports(spark, sf_dir)}/version=*/*.txt")
     return rows.withColumn("version", F.regexp_replace("version", "^version=", ""))
 
 
-@query(BASE_SQL + """, r AS (SELECT version, unnest(['quality', 'cost']) AS key, CAST(unnest([q, c]) AS DOUBLE) AS value FROM cand WHERE q % 4 = 0 AND run_id NOT IN (3, 4))
-SELECT round, cand.version, key, value FROM cand LEFT JOIN r USING (version) WHERE q % 8 = 0""")
+@query(_REPORTS_SQL + "SELECT DISTINCT round, version, CASE WHEN run_id NOT IN (3, 4) THEN key END AS key, CASE WHEN run_id NOT IN (3, 4) THEN value END AS value FROM r")
 def reports_by_round(spark, sf_dir):
     rows = files.read_reports_long(spark, f"{_written_reports(spark, sf_dir)}/version=*/*.txt").withColumn("version", F.regexp_replace("version", "^version=", ""))
-    rounds = candidates(spark, sf_dir).where("quality % 8 = 0").groupBy("run_id", "round").agg(F.collect_list("version").alias("candidates_evaluated"))
+    named = F.concat(F.lit("r"), "run_id", F.lit("-"), "round")
+    rounds = candidates(spark, sf_dir).groupBy("run_id", "round").agg(F.collect_set(named).alias("candidates_evaluated"))
     return files.reports_by_round(rows, rounds)
 
 
 @query("""SELECT concat('d', n_nationkey) AS version, CASE WHEN n_nationkey % 2 = 0 THEN concat('md ', n_name) ELSE concat('txt ', n_name) END AS text FROM nation""")
 def prompt_corpus(spark, sf_dir):
-    """Prompt versions are few: a file each for the nations, some with two extensions."""
+    """A file a nation, some with two extensions, each written by a task."""
     path = shared_path(spark, "prompts")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").collect()  # 25 rows
-    for r in nations:
-        for e in ["txt", "md"] if r.n_nationkey % 2 == 0 else ["txt"]:
-            out = hadoop.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/d{r.n_nationkey}.{e}"))
-            out.write(bytearray(f"{e} {r.n_name}".encode()))
-            out.close()
-    return files.prompt_corpus(spark, path).select("version", "text")
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    rows = nations.select(F.concat(F.lit("d"), "n_nationkey").alias("d"), F.explode(F.expr("IF(n_nationkey % 2 = 0, array('txt', 'md'), array('txt'))")).alias("e"), "n_name")
+    files_of = rows.select(F.concat("d", F.lit("."), "e").alias("file"), F.concat("e", F.lit(" "), "n_name").alias("value"))
+    files_of.repartition("file").write.partitionBy("file").option("lineSep", " ").text(path)
+    return files.prompt_corpus(spark, path).select("version", F.rtrim("text").alias("text"))
 
 
 @query(BASE_SQL + "SELECT doc_id AS row_idx, id FROM ex WHERE doc_id % 19 = 0")

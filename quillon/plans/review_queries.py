@@ -12,6 +12,8 @@ from quillon.operators.pareto import candidate_points as points_of
 from quillon.operators.pareto import pareto_front
 from quillon.plans.fixtures import BASE_SQL, candidates, examples, results
 from quillon.plans.metric_queries import CQ_SQL, PRF_SQL, V, pairs
+from quillon.sources import files
+from quillon.sources.shared import shared_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -75,6 +77,37 @@ def score_report(spark, sf_dir):
     return rows.unionByName(row("metric_diffs", F.col("key"), F.col("old"), F.col("new"))).unionByName(row("overhead_diff", F.lit("total_cost"), F.col("old_total_cost"), F.col("new_total_cost")))
 
 
+@query(LONG_SQL + """, sm AS MATERIALIZED (SELECT version, v, CAST(sum(spent) AS BIGINT) / 1e6 AS total_cost, count(*) FILTER (err) AS failed, count(*) AS total FROM res GROUP BY ALL)
+SELECT version, 'metrics' AS part, key, CAST(NULL AS DOUBLE) AS old, value AS new FROM lm WHERE v > 1 UNION ALL SELECT version, 'summary', unnest(['total', 'failed', 'total_cost']), NULL, unnest([total, failed, total_cost]) FROM sm WHERE v > 1
+UNION ALL SELECT version, CASE WHEN v = 2 THEN 'errors beside' ELSE 'errors inside' END, id, NULL, 3 FROM res WHERE err AND v > 1
+UNION ALL SELECT version, 'metric_diffs', key, old, value FROM (SELECT *, lag(value) OVER w AS old, row_number() OVER w AS k FROM lm WINDOW w AS (PARTITION BY key ORDER BY v)) WHERE k > 1 AND value IS DISTINCT FROM old
+UNION ALL SELECT n.version, 'overhead_diff', 'total_cost', o.total_cost, n.total_cost FROM sm n JOIN sm o ON n.v = o.v + 1 WHERE n.total_cost <> o.total_cost""")
+def report_round_trip(spark, sf_dir):
+    """Reports of versions two to six against the version before each, written as documents and read back; one version's errors lie beside its document."""
+    both, r = _metrics(spark, sf_dir), results(spark, sf_dir)
+    summary = m.run_summary(r, V)
+    later = lambda df: df.withColumn("version", F.concat(F.lit("v"), F.substring("version", 2, 9).cast("int") + 1)).where("version <> 'v7'")
+    first = lambda df: df.where("version <> 'v1'")
+    parts = c.score_report(first(both), first(summary), first(r), (later(both), later(summary)), V)
+    docs, beside = c.report_documents(parts, V, inside=0)
+    inside, _ = c.report_documents(parts, V)
+    path = shared_path(spark, "report")
+    files.write_reports(inside.where("version <> 'v2'").unionByName(docs.where("version = 'v2'")), beside.where("version = 'v2'"), path)
+    back = files.read_reports(spark, path)
+    none = F.lit(None).cast("double")
+    rows = back.select("version", F.lit("metrics").alias("part"), F.explode("metrics").alias("key", "new")).select("version", "part", "key", none.alias("old"), "new")
+    part = lambda name, entries: back.select("version", F.lit(name).alias("part"), F.inline(entries))
+    figure = lambda name, old, new: F.struct(F.lit(name).alias("key"), old.cast("double").alias("old"), new.cast("double").alias("new"))
+    rows = rows.unionByName(part("summary", F.array(*[figure(k, none, F.col(f"summary.{k}")) for k in ("total", "failed", "total_cost")])))
+    error = lambda e: F.struct(e["example_id"].alias("key"), none.alias("old"), e["retries"].cast("double").alias("new"))
+    rows = rows.unionByName(part("errors inside", F.transform("errors", error)))
+    lines = spark.read.schema("version string, example_id string, error string, retries int").json(f"{path}/errors")
+    rows = rows.unionByName(lines.select("version", F.lit("errors beside").alias("part"), F.col("example_id").alias("key"), none.alias("old"), F.col("retries").cast("double").alias("new")))
+    rows = rows.unionByName(part("metric_diffs", F.transform("diff.metric_diffs", lambda d: F.struct(d["key"].alias("key"), d["old"].alias("old"), d["new"].alias("new")))))
+    over = back.where("diff.overhead_diff.old_total_cost <> diff.overhead_diff.new_total_cost")
+    return rows.unionByName(over.select("version", F.lit("overhead_diff").alias("part"), F.lit("total_cost").alias("key"), F.col("diff.overhead_diff.old_total_cost").alias("old"), F.col("diff.overhead_diff.new_total_cost").alias("new")))
+
+
 @query(LONG_SQL + "SELECT v, key, value, lag(value) OVER (PARTITION BY key ORDER BY v) AS previous FROM lm")
 def metrics_with_previous(spark, sf_dir):
     rows = _metrics(spark, sf_dir).select(F.substring("version", 2, 9).cast("int").alias("v"), "key", "value")

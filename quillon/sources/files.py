@@ -150,6 +150,28 @@ def read_reports_long(spark: SparkSession, path: str) -> DataFrame:
     return text.where("r.summary.succeeded > 0 AND size(r.metrics) > 0").select("version", F.explode("r.metrics").alias("key", "value"))
 
 
+def write_reports(documents: DataFrame, errors: DataFrame, path: str) -> None:
+    """Report documents (version, report) as one JSON file a version, each written by an executor, under reports; errors (version and more) as JSON lines under errors."""
+    lines = documents.select("version", F.to_json("report", {"ignoreNullFields": "false"}).alias("value"))
+    lines.repartition("version").write.mode("overwrite").partitionBy("version").text(f"{path}/reports")
+    errors.write.mode("overwrite").partitionBy("version").json(f"{path}/errors")
+
+
+#: Fields of a report document; those of its summary may be fewer.
+REPORT = (
+    "metrics MAP<STRING, DOUBLE>, summary STRUCT<total: BIGINT, succeeded: BIGINT, failed: BIGINT, total_cost: DOUBLE, duration_seconds: DOUBLE>, n_errors BIGINT,"
+    " errors ARRAY<STRUCT<example_id: STRING, error: STRING, retries: INT>>,"
+    " diff STRUCT<metric_diffs: ARRAY<STRUCT<key: STRING, old: DOUBLE, new: DOUBLE, change: STRING>>, overhead_diff: STRUCT<old_total_cost: DOUBLE, old_duration_seconds: DOUBLE, new_total_cost: DOUBLE, new_duration_seconds: DOUBLE>>"
+)
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """version and the fields of REPORT: the documents that write_reports wrote, one row a version."""
+    text = spark.read.text(f"{path}/reports/version=*/*.txt", wholetext=True)
+    version = F.regexp_extract(F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)), "^version=(.*)$", 1)
+    return text.select(version.alias("version"), F.from_json("value", REPORT).alias("r")).select("version", "r.*")
+
+
 def reports_by_round(reports: DataFrame, rounds: DataFrame) -> DataFrame:
     """round, version, key, value: long reports by the rounds whose candidates_evaluated (an array) name the version; null keys where there is no report."""
     named = rounds.select("round", F.explode("candidates_evaluated").alias("version"))
@@ -180,8 +202,13 @@ def read_fingerprints(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prompt_corpus(spark: SparkSession, path: str, extensions: tuple[str, ...] = (".md", ".txt", ".yaml")) -> DataFrame:
-    """version, text, modified, is_latest: of several files of one version the first extension wins."""
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    """version, text, modified, is_latest: of several files of one version the first extension wins.
+
+    A version is a file's name less its extension; a folder file=NAME, as Spark writes it, stands for a file of that name.
+    """
+    where = F.col("_metadata.file_path")
+    written = F.regexp_extract(where, "/file=([^/]+)/[^/]+$", 1)
+    name = F.when(written != "", F.url_decode(written)).otherwise(F.element_at(F.split(where, "/"), -1))
     rows = spark.read.text(path, wholetext=True).select("value", name.alias("name"), F.col("_metadata.file_modification_time").alias("modified"))
     rank = F.array_position(F.array(*[F.lit(e) for e in extensions]), F.regexp_extract("name", r"(\.\w+)$", 1))
     rows = rows.withColumn("_e", rank).where("_e > 0").withColumn("version", F.regexp_replace("name", r"\.\w+$", ""))

@@ -18,7 +18,9 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 
 
 def kept(df: DataFrame, tag: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back, where several later steps read it."""
+    """df written once as Parquet in the shared folder and read back, where several later steps read it. The files go when the driver ends."""
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
