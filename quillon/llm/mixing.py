@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import WORD, numbered
+from quillon.llm.shared import WORD, numbered, stored
 
 #: Documents of a source are ordered by bucket, then id: the running word count is kept in two levels. Least number of
 #: buckets, and the rows for each of them.
@@ -59,19 +59,24 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     )
 
 
-def mix_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", block_words: int = 2048, seed: int = 7, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", block_words: int = 2048, seed: int = 7, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, with_text: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, pieces, slots).
 
+    Texts are read once to count their words; the sizes are kept in the shared folder, and all else is worked out from
+    them. Only with with_text are texts read again, to go into documents. A row a source meets in one task, so sources
+    may be domains (a million of them are some hundred megabytes), but not documents.
+
     documents: docs plus _size (words), _source_size, _target, _bucket, _row (place in the bucket) and _start (words of
     the source before it). pieces: _source, _bucket, _row, round, _from, _to: the words of a document, counted from its
     first, that one slot delivers. slots: shard, slot, source, round, index, block_from and words.
     """
     buckets = max(BUCKETS, -(-docs.count() // BUCKET_ROWS))
-    rows = docs.withColumn("_size", F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long")).withColumn(
-        "_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(buckets)).cast("int")
-    ).withColumn("_source", F.col(source_col))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    spread = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(seed), text)).otherwise(F.xxhash64(F.lit(seed), F.col(id_col)))  # rows without an id are no one bucket
+    given = docs.withColumn("_size", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("_bucket", F.pmod(spread, F.lit(buckets)).cast("int")).withColumn("_source", F.col(source_col))
+    rows = stored(given.drop(text_col), "mix-sizes")
     # only (source, bucket) totals are shared between tasks
-    totals = rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_words"))
+    totals = stored(rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_words")), "mix-totals")
     sizes = totals.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size"))
     plan = source_targets(sizes, weights, share, most)
     plan = (
@@ -84,15 +89,19 @@ def mix_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source"
     in_source = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_base", F.coalesce(F.sum("_words").over(in_source), F.lit(0)))
     in_bucket = Window.partitionBy("_source", "_bucket").orderBy(F.col(id_col), F.col("_size"))
-    placed = rows.withColumn("_row", F.row_number().over(in_bucket)).withColumn("_in", F.coalesce(F.sum("_size").over(in_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     small = plan.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     base = offsets.select(F.col("_source").alias("_s2"), F.col("_bucket").alias("_b2"), "_base")
-    documents = (
-        placed.join(base, F.col("_source").eqNullSafe(F.col("_s2")) & (F.col("_bucket") == F.col("_b2")))
-        .join(small, F.col("_source").eqNullSafe(F.col("_s")))
-        .withColumn("_start", F.col("_base") + F.col("_in"))
-        .drop("_s", "_s2", "_b2", "_in", "_base", "_words")
-    )
+
+    def laid_out(rows: DataFrame) -> DataFrame:
+        placed = rows.withColumn("_row", F.row_number().over(in_bucket)).withColumn("_in", F.coalesce(F.sum("_size").over(in_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        return (
+            placed.join(base, F.col("_source").eqNullSafe(F.col("_s2")) & (F.col("_bucket") == F.col("_b2")))
+            .join(small, F.col("_source").eqNullSafe(F.col("_s")))
+            .withColumn("_start", F.col("_base") + F.col("_in"))
+            .drop("_s", "_s2", "_b2", "_in", "_base", "_words")
+        )
+
+    documents = laid_out(rows)
     slots = _slots(plan, block_words, seed)
     last = F.col("_start") + F.col("_size") - 1
     cut = (
@@ -106,7 +115,7 @@ def mix_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source"
         cut.join(s, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_i")))
         .select("_source", "_bucket", "_row", "round", begin.alias("_from"), end.alias("_to")).where("_to > _from")
     )
-    return documents, pieces, slots
+    return laid_out(given) if with_text else documents, pieces, slots
 
 
 #: Slots that one row of the first expansion stands for.
@@ -144,25 +153,27 @@ def taken_words(documents: DataFrame, pieces: DataFrame) -> DataFrame:
     return documents.join(sums, on, "left").withColumn("_taken", F.coalesce("_n", F.lit(0)).cast("long")).drop("_s", "_b", "_r", "_n")
 
 
-def mix_sources(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
-    """One row per row of docs: its columns plus size, source_size, target and taken (columns of those names are replaced).
+def mix_sources(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", with_text: bool = True, **options) -> DataFrame:
+    """One row per row of docs: its columns (without with_text all but the text) plus size, source_size, target and taken (columns of those names are replaced).
 
     size counts the words of [^\\x20\\x09-\\x0D]+ (null or empty text: 0, which is never taken). A null source is a
     source of its own, the last. taken counts repeats and is at most 2 times size; the taken words of a source come to
-    its target, rounded. Null ids share a place in the order. Repeated rows are rows of their own. The same rows give
+    its target, rounded. Rows without an id are placed by their text. Repeated rows are rows of their own. The same rows give
     the same mix at any partitioning. An empty table gives an empty result.
     """
     made = ["size", "source_size", "target", "taken"]
     bare, own, columns = numbered(docs.drop(*made), text_col, source_col, id_col)
-    documents, pieces, _ = mix_plan(bare, *own, **options)
+    documents, pieces, _ = mix_plan(bare, *own, with_text=with_text, **options)
     out = taken_words(documents, pieces)
+    if not with_text:
+        columns = [c for c, n in zip(columns, bare.columns) if n != own[0]]
     return out.select(*columns, *[F.col(f"_{c}").alias(c) for c in made])
 
 
 def shard_counts(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
     """shard, source, slots: how many blocks each output shard draws from each source."""
     bare, own, _ = numbered(docs, text_col, source_col, id_col)
-    return mix_plan(bare, *own, **options)[2].groupBy("shard", "source").agg(F.count("*").alias("slots"))
+    return mix_plan(bare, *own, with_text=False, **options)[2].groupBy("shard", "source").agg(F.count("*").alias("slots"))
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:

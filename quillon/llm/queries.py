@@ -53,18 +53,18 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two turns of every conversation, written in one of eight layouts (two of them unknown), and what the formatter makes of them."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    first = rows.where("turn < 2").groupBy("conv_id").agg(*[F.max(F.when(F.col("turn") == i, F.coalesce("text", F.lit("")))).alias(c) for i, c in enumerate("ab")]).na.fill("")
+    """Every two turns of a conversation (pair), written in one of eight layouts (two of them unknown), and what the formatter makes of them."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.expr("turn div 2").alias("pair"), (F.col("turn") % 2).alias("side"), "text")
+    first = rows.groupBy("conv_id", "pair").agg(*[F.max(F.when(F.col("side") == i, F.coalesce("text", F.lit("")))).alias(c) for i, c in enumerate("ab")]).na.fill("")
     as_json = lambda **names: F.to_json(F.struct(*[F.col(c).alias(n.replace("_", " ").strip()) for n, c in names.items()]))
     pair = lambda role, text, a, b: F.array(*[F.struct(F.lit(r).alias(role), F.col(c).alias(text)) for r, c in ((a, "a"), (b, "b"))])
     layouts = [
         F.to_json(F.struct(pair("role", "content", "user", "assistant").alias("messages"))), F.to_json(F.struct(pair("from", "value", "human", "gpt").alias("conversations"))), as_json(instruction="a", output="b"),
         as_json(prompt="a", response="b"), as_json(prompt="a", completion="b"), as_json(question="a", answer="b"), as_json(x_prompt="a", y_response="b"), F.to_json(F.struct(pair("role", "content", "user", "assistant").alias("x messages"))),
     ]
-    json = F.element_at(F.array(*layouts), F.pmod(F.col("conv_id"), F.lit(len(layouts))).cast("int") + 1)
-    out = format_chat(first.select("conv_id", json.alias("json")))
-    return out.select("conv_id", "layout", F.sha2("formatted", 256).alias("formatted_sha256"), F.try_element_at("loss_spans", F.lit(1))["length"].alias("loss_length"))
+    json = F.element_at(F.array(*layouts), F.pmod(F.col("conv_id") + F.col("pair"), F.lit(len(layouts))).cast("int") + 1)
+    out = format_chat(first.select("conv_id", "pair", json.alias("json")))
+    return out.select("conv_id", "pair", "layout", F.sha2("formatted", 256).alias("formatted_sha256"), F.try_element_at("loss_spans", F.lit(1))["length"].alias("loss_length"))
 
 
 def mix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(docs, with_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,10 +143,10 @@ FROM e GROUP BY conv_id
 """
 
 CHAT_LAYOUTS_SQL = r"""
-WITH f AS (SELECT conv_id, coalesce(max(coalesce(text, '')) FILTER (turn = 0), '') AS a, coalesce(max(coalesce(text, '')) FILTER (turn = 1), '') AS b FROM conversations WHERE turn < 2 GROUP BY conv_id),
-e AS (SELECT conv_id, replace(replace(replace(a, '\', '\b'), '### ', '\s'), '</turn>', '\e') AS a, replace(replace(replace(b, '\', '\b'), '### ', '\s'), '</turn>', '\e') AS b FROM f)
-SELECT conv_id, (['messages', 'conversations', 'instruction', 'prompt', 'completion', 'question', NULL, NULL])[conv_id % 8 + 1] AS layout,
-  CASE WHEN conv_id % 8 < 6 THEN sha256('### user: ' || a || '</turn>' || chr(10) || '### assistant: ' || b || '</turn>' || chr(10)) END AS formatted_sha256, CASE WHEN conv_id % 8 < 6 THEN length(b) END AS loss_length FROM e
+WITH f AS (SELECT conv_id, turn // 2 AS pair, coalesce(max(coalesce(text, '')) FILTER (turn % 2 = 0), '') AS a, coalesce(max(coalesce(text, '')) FILTER (turn % 2 = 1), '') AS b FROM conversations GROUP BY ALL),
+e AS (SELECT conv_id, pair, replace(replace(replace(a, '\', '\b'), '### ', '\s'), '</turn>', '\e') AS a, replace(replace(replace(b, '\', '\b'), '### ', '\s'), '</turn>', '\e') AS b, (conv_id + pair) % 8 AS k FROM f)
+SELECT conv_id, pair, (['messages', 'conversations', 'instruction', 'prompt', 'completion', 'question', NULL, NULL])[k + 1] AS layout,
+  CASE WHEN k < 6 THEN sha256('### user: ' || a || '</turn>' || chr(10) || '### assistant: ' || b || '</turn>' || chr(10)) END AS formatted_sha256, CASE WHEN k < 6 THEN length(b) END AS loss_length FROM e
 """
 
 OP6_SQL = r"""

@@ -32,10 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: any executor can recompute from it."""
+    """df written once as Parquet in the shared folder and read back: any executor can recompute from it. The files go when the driver ends, if not before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_path = path
     return back
