@@ -33,6 +33,8 @@ class Mapping:
 
     turns lists (role, JSON path) of scalar fields in the order of turns; a path that is absent or null in an optional
     field gives no turn, a null required text an empty one. messages is (path of the array, role field, text field).
+    Roles stay as they are given, or, with renamed, take their canonical names. Optional fields that no turn names, such
+    as an id, change nothing.
     """
 
     name: str
@@ -40,6 +42,7 @@ class Mapping:
     optional: tuple[str, ...] = ()
     turns: tuple[tuple[str, str], ...] = ()
     messages: tuple[str, str, str] | None = None
+    renamed: bool = False
 
     def layouts(self) -> list[tuple[str, ...]]:
         """Every set of field paths that this mapping stands for."""
@@ -47,12 +50,12 @@ class Mapping:
 
 
 MAPPINGS = (
-    Mapping("messages", ("messages", "messages[]", "messages[].content", "messages[].role"), messages=("$.messages", "role", "content")),
-    Mapping("conversations", ("conversations", "conversations[]", "conversations[].from", "conversations[].value"), messages=("$.conversations", "from", "value")),
-    Mapping("instruction", ("instruction", "output"), ("input", "system"), turns=(("system", "$.system"), ("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
-    Mapping("prompt", ("prompt", "response"), ("system",), turns=(("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response"))),
-    Mapping("completion", ("completion", "prompt"), (), turns=(("user", "$.prompt"), ("assistant", "$.completion"))),
-    Mapping("question", ("answer", "question"), ("context",), turns=(("user", "$.context"), ("user", "$.question"), ("assistant", "$.answer"))),
+    Mapping("messages", ("messages", "messages[]", "messages[].content", "messages[].role"), ("id", "messages[].name"), messages=("$.messages", "role", "content")),
+    Mapping("conversations", ("conversations", "conversations[]", "conversations[].from", "conversations[].value"), ("id",), messages=("$.conversations", "from", "value"), renamed=True),
+    Mapping("instruction", ("instruction", "output"), ("id", "input", "system"), turns=(("system", "$.system"), ("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
+    Mapping("prompt", ("prompt", "response"), ("id", "system"), turns=(("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response"))),
+    Mapping("completion", ("completion", "prompt"), ("id",), turns=(("user", "$.prompt"), ("assistant", "$.completion"))),
+    Mapping("question", ("answer", "question"), ("context", "id"), turns=(("user", "$.context"), ("user", "$.question"), ("assistant", "$.answer"))),
 )
 
 
@@ -60,8 +63,9 @@ def fingerprint_of(paths: Column) -> Column:
     return F.sha2(F.array_join(paths, "\n"), 256)
 
 
-def _message(role: str, text: str):
-    return lambda v: F.struct(canonical_role(F.try_variant_get(v, f"$.{role}", "string")).alias("role"), F.coalesce(F.try_variant_get(v, f"$.{text}", "string"), F.lit("")).alias("text"))
+def _message(role: str, text: str, renamed: bool):
+    named = canonical_role if renamed else lambda r: F.coalesce(r, F.lit("user"))
+    return lambda v: F.struct(named(F.try_variant_get(v, f"$.{role}", "string")).alias("role"), F.coalesce(F.try_variant_get(v, f"$.{text}", "string"), F.lit("")).alias("text"))
 
 
 def canonical_turns(df: DataFrame, json_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
@@ -78,7 +82,7 @@ def canonical_turns(df: DataFrame, json_col: str, mappings: tuple[Mapping, ...]
         this = F.col("fingerprint").isin(prints)
         if m.messages:
             path, role, text = m.messages
-            found = F.transform(F.filter(F.try_variant_get(doc, path, "array<variant>"), lambda v: ~F.is_variant_null(v)), _message(role, text))
+            found = F.transform(F.filter(F.try_variant_get(doc, path, "array<variant>"), lambda v: ~F.is_variant_null(v)), _message(role, text, m.renamed))
         else:
             required = {f"$.{p}" for p in m.required}
             each = [F.struct(F.lit(r).alias("role"), (F.coalesce(F.try_variant_get(doc, p, "string"), F.lit("")) if p in required else F.try_variant_get(doc, p, "string")).alias("text")) for r, p in m.turns]
@@ -109,12 +113,12 @@ def unescaped(text: Column) -> Column:
 def formatted(df: DataFrame, turns_col: str = "turns", trained_role: str = "assistant") -> DataFrame:
     """df plus formatted (one string) and loss_spans: array<struct<start, length>> in code points of formatted.
 
-    A span covers the escaped text of one turn of trained_role, without its marks. Null turns give null results, no
+    A span covers the escaped text of one turn of trained_role, by whatever of its names, without its marks. Null turns give null results, no
     turns an empty string.
     """
     bare, (turns_col,), columns = numbered(df.drop("formatted", "loss_spans"), turns_col)
     parts = F.transform(turns_col, lambda t: F.struct(
-        F.concat(F.lit(TURN_START), escaped(t["role"], ROLE_ESCAPES), F.lit(ROLE_END)).alias("head"), escaped(t["text"]).alias("body"), (t["role"] == trained_role).alias("trained")))
+        F.concat(F.lit(TURN_START), escaped(t["role"], ROLE_ESCAPES), F.lit(ROLE_END)).alias("head"), escaped(t["text"]).alias("body"), (canonical_role(t["role"]) == trained_role).alias("trained")))
     written = bare.withColumn("_parts", parts).withColumn("formatted", F.array_join(F.transform("_parts", lambda p: F.concat(p["head"], p["body"], F.lit(TURN_END + "\n"))), ""))
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,length:long>>").alias("spans"))
     tail = len(TURN_END) + 1

@@ -639,6 +639,25 @@ def test_lines_of_far_ids_and_of_none(spark):
     assert got == {far + 1: (0, "a b c d e\nx y"), far + 3: (1, "z"), None: (0, "a b c d e"), far + 2: (1, "")}
 
 
+def test_roles_stay_as_given_and_other_fields_may_come(spark):
+    docs = [
+        (1, {"messages": [{"role": "human", "content": "a"}, {"role": "gpt", "content": "b c"}]}), (2, {"id": "x", "messages": [{"role": "user", "content": "a", "name": "me"}, {"role": "assistant", "content": "b"}]}),
+        (3, {"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}], "id": 7}), (4, {"prompt": "a", "response": "b", "id": 7}), (5, {"prompt": "a", "response": "b", "other": 7}),
+    ]
+    out = chat.format_chat(spark.createDataFrame([(i, json.dumps(d)) for i, d in docs], "doc_id long, json string"))
+    got = {r.doc_id: (r.roles, r.loss) for r in out.select("doc_id", F.transform(chat.parsed_turns(F.col("formatted")), lambda t: t["role"]).alias("roles"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    assert got == {1: (["human", "gpt"], "b c"), 2: (["user", "assistant"], "b"), 3: (["user", "assistant"], "b"), 4: (["user", "assistant"], "b"), 5: (None, None)}
+
+
+def test_very_long_texts_of_chats_and_copies(spark):
+    long = "word ### </turn>\\ " * 60_000
+    chats = chat.format_chat(chat.conversations_as_json(spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")))
+    r = chats.select(chat.parsed_turns(F.col("formatted")).alias("t"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [t.text for t in r.t] == [long, long] and r.loss == long
+    docs = spark.createDataFrame([(1, long), (2, long.replace(" ", "\n")), (3, long + "x")], "doc_id long, text string")
+    assert {x.doc_id: (x.keep_id, x.group_size) for x in exact_dedup.exact_dedup(docs).collect()} == {1: (1, 2), 2: (1, 2), 3: (3, 1)}
+
+
 # Names of other columns
 
 CLASHING = "id _id _size _s _v _n _c _l _r _b _t _gone gone _parts _keep _source _key meets row lang2 cold_id shard embedding2 key fp doc line words keep_id n text2 rep node component column".split()
