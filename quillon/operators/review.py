@@ -46,9 +46,11 @@ def persistence(pairs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     An example without a result in a version isn't wrong there; one without output is.
     """
     versions = pairs.select(*keys, "version").distinct().groupBy(*keys).agg(F.count("*").alias("_versions"))
-    wrong = pairs.where("pred IS NULL OR pred <> route").select(*keys, "id", "version").distinct().groupBy(*keys, "id").agg(F.count("*").alias("_wrong"))
-    always = wrong.join(versions, list(keys)).where("_wrong = _versions").select(*keys, "id", F.lit(1).alias("_p"))
-    cells = misroutes(pairs, keys).join(always, [*keys, "id"], "left").groupBy(*keys, "true_route", "pred_route").agg(F.count("*").alias("n"), F.count("_p").alias("persistent"))
+    wrong = pairs.where("pred IS NULL OR pred <> route")
+    cell = F.when(F.map_contains_key("routes", F.coalesce("pred", F.lit(""))) & F.col("pred").isNotNull(), F.struct(F.col("route").alias("true_route"), F.col("pred").alias("pred_route")))
+    each = wrong.groupBy(*keys, "id").agg(F.size(F.collect_set("version")).alias("_wrong"), F.collect_set(cell).alias("_cells"))  # sets of an example, of versions at most
+    marked = each.join(versions, list(keys)).select(*keys, F.inline("_cells"), (F.col("_wrong") == F.col("_versions")).alias("_p"))
+    cells = marked.groupBy(*keys, "true_route", "pred_route").agg(F.count("*").alias("n"), F.count_if("_p").alias("persistent"))
     rate = F.col("persistent") / F.col("n")
     return cells.select("*", (F.col("n") - F.col("persistent")).alias("volatile"), rate.alias("rate"), F.when(rate > 0.8, "structural").when(rate < 0.3, "prompt-sensitive").otherwise("mixed").alias("label"))
 
