@@ -35,6 +35,8 @@ LIST_ROWS = 64
 FEW = 4
 #: Postings of a bucket, postings that a task packs at a time, and lines of a block of a long list.
 BUCKET_ROWS, PACKED_ROWS, BLOCK_ROWS = 250_000, 400_000, 16_384
+#: Sets that a task remembers (about 350 bytes each), to put out the postings of a set once.
+SEEN_SETS = 100_000
 #: Long lists are looked for in a share of the documents chosen by hash, so large that a list of a block's length comes up CROWDED times there (of few documents, in as many as SAMPLE_DOCUMENTS).
 SAMPLE_DOCUMENTS, CROWDED = 10_000, 20
 #: Lists that are dealt out in blocks at most (32 MB of names and counts): blocks grow with the postings, if need be.
@@ -160,7 +162,7 @@ def _postings(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, crowded: np.
                 seen[key] = place
             else:
                 prefix[at] = 0
-        if len(seen) > 500_000:
+        if len(seen) > SEEN_SETS:
             seen.clear()
         pos = np.arange(len(x.words)) - x.start[x.owner]
         take = np.nonzero(pos < prefix[x.owner])[0]
@@ -223,18 +225,6 @@ def _in_blocks(rows: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     return np.concatenate([rows[~several], out])
 
 
-def _passes(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Words that differ at least, and whether pairs of postings pass the filters on length, position and picture.
-
-    No filter drops a pair that is similar enough.
-    """
-    n, m = a["n"].astype(np.int64), b["n"].astype(np.int64)
-    need = np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
-    reach = 1 + np.minimum(n - a["pos"] - 1, m - b["pos"] - 1)
-    apart = (np.bitwise_count(a["p0"] ^ b["p0"]) + np.bitwise_count(a["p1"] ^ b["p1"])).astype(np.int64)
-    return apart, (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (reach >= need) & (n + m - apart >= 2 * need)
-
-
 _FOUND = "kind byte, doc_id long, line long, x_doc long, x_line long, apart int, list long, n int, pos int, block int, p0 long, p1 long"
 
 
@@ -271,32 +261,58 @@ def _candidates(table: pa.Table, threshold: float) -> pa.Table:
 
 
 def _pairs(p: np.ndarray, place: np.ndarray, rows: np.ndarray, more: np.ndarray, few: int | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later line, earlier line, words apart) of the pairs in one list each that pass; a line with `few` says that it has more.
+    """(later line, earlier line, words apart) of the pairs in one list each that pass the filters on length, picture and position; a line with `few` says that it has more.
 
-    The lines of a list are in order of size, so those too large for a line come after all that aren't.
+    No filter drops a pair that is similar enough. The lines of a list are in order of size, so those too large for a
+    line come after all that aren't. When few lines of long lists are left to ask, each is held against its list at once.
     """
-    given = np.zeros(len(p), np.int64) if few else None
     found: list[tuple] = [(np.zeros(0, np.int64),) * 3]
-    alive, lag, q, place = np.arange(len(rows)), 0, p[rows], place[rows]
-    lists, sizes = np.ascontiguousarray(q["list"]), np.ascontiguousarray(q["n"])
+    if not len(rows):
+        return found[0]
+    place, given = place[rows], np.zeros(len(rows), np.int64)
+    lists, n, pos, block, p0, p1 = (p[c][rows] for c in ("list", "n", "pos", "block", "p0", "p1"))
+    n, rest = n.astype(np.int64), (n - pos).astype(np.int64)
+    key = np.cumsum(np.concatenate([[0], lists[1:] != lists[:-1]])) << 32
+    low, high = np.searchsorted(key | n, key | np.ceil(threshold * n - 1e-6).astype(np.int64)), np.searchsorted(key | n, key | np.floor((n + 1e-6) / threshold).astype(np.int64), "right")
+    reach = high - np.arange(len(n)) - 1
+
+    def passing(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs (y, x, apart) that pass, the later line first."""
+        both = n[i] + n[j]
+        need = np.ceil(threshold / (1 + threshold) * both - 1e-9).astype(np.int64)
+        apart = np.bitwise_count(p0[i] ^ p0[j]).astype(np.int64) + np.bitwise_count(p1[i] ^ p1[j])
+        good = np.nonzero(apart <= both - 2 * need)[0]
+        i, j, apart = i[good], j[good], apart[good]
+        good = (np.minimum(rest[i], rest[j]) >= need[good]) & ((block[i] != block[j]) | (block[i] < 0))
+        i, j, apart = i[good], j[good], apart[good]
+        later = place[i] > place[j]
+        return np.where(later, i, j), np.where(later, j, i), apart
+
+    alive, lag = np.arange(len(n)), 0
     while len(alive):
         lag += 1
-        alive = alive[alive + lag < len(q)]
-        alive = alive[(lists[alive] == lists[alive + lag]) & (sizes[alive] >= threshold * sizes[alive + lag] - 1e-9)]
-        i, j = alive, alive + lag
-        y, x = np.where(place[i] > place[j], i, j), np.where(place[i] > place[j], j, i)
-        asks = (q["block"][i] != q["block"][j]) | (q["block"][i] < 0)
-        if few:
-            asks &= ~more[rows[y]]
-        y, x = y[asks], x[asks]
-        apart, good = _passes(q[y], q[x], threshold)
-        y, x, apart = y[good], x[good], apart[good]
+        alive = alive[reach[alive] >= lag]
+        if few and lag % LIST_ROWS == 0:
+            left = np.nonzero(~more[rows] & (np.maximum(reach, np.arange(len(n)) - low) >= lag))[0]
+            if 2 * int((high - low)[left].sum()) < int((reach[alive] - lag + 1).sum()):
+                break
+        y, x, apart = passing(alive, alive + lag)
         if few:
+            asks = ~more[rows[y]]
+            y, x, apart = y[asks], x[asks], apart[asks]
             full = given[y] >= few
             more[rows[y[full]]] = True
             y, x, apart = y[~full], x[~full], apart[~full]
             np.add.at(given, y, 1)
         found.append((rows[y], rows[x], apart))
+    for own in left.tolist() if len(alive) else ():
+        x = np.arange(low[own], high[own])
+        x = x[(np.abs(x - own) >= lag) & (place[x] < place[own])]
+        _, x, apart = passing(np.full(len(x), own), x)
+        room = max(few - int(given[own]), 0)
+        more[rows[own]] = len(x) > room
+        x, apart = x[:room], apart[:room]
+        found.append((np.full(len(x), rows[own]), rows[x], apart))
     return tuple(np.concatenate(side) for side in zip(*found))
 
 

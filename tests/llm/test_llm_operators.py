@@ -500,6 +500,35 @@ def test_lines_match_brute_force_in_crowded_lists(spark, monkeypatch, threshold,
         assert kept == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in data}
 
 
+@pytest.mark.parametrize("few", [None, 4])
+def test_pairs_of_long_lists(few):
+    rng = np.random.default_rng(5)
+    sizes = [1, 3, 700, 40, 900]
+    p = np.zeros(sum(sizes), line_dedup._POSTING)
+    p["list"], p["n"] = np.repeat(np.arange(len(sizes)), sizes), rng.integers(8, 14, len(p))
+    p["pos"], p["block"] = rng.integers(0, 3, len(p)), np.where(p["list"] == 4, rng.integers(0, 2, len(p)), -1)
+    for half in ("p0", "p1"):
+        p[half] = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 5, (len(p), 2)).astype(np.uint64), axis=1)
+    p = p[np.lexsort((p["n"], p["list"]))]
+    place, more = rng.permutation(len(p)), np.zeros(len(p), bool)
+    y, x, apart = line_dedup._pairs(p, place, np.arange(len(p)), more, few, 0.8)
+    n, want = p["n"].astype(int), {}
+    for a in range(len(p)):
+        for b in np.nonzero((p["list"] == p["list"][a]) & (place < place[a]))[0]:
+            need = int(np.ceil(0.8 / 1.8 * (n[a] + n[b]) - 1e-9))
+            differ = int(p["p0"][a] ^ p["p0"][b]).bit_count() + int(p["p1"][a] ^ p["p1"][b]).bit_count()
+            if min(n[a], n[b]) >= 0.8 * max(n[a], n[b]) - 1e-9 and min(n[a] - p["pos"][a], n[b] - p["pos"][b]) >= need and n[a] + n[b] - differ >= 2 * need and (p["block"][a] != p["block"][b] or p["block"][a] < 0):
+                want.setdefault(a, {})[int(b)] = differ
+    got: dict = {}
+    for a, b, d in zip(y.tolist(), x.tolist(), apart.tolist()):
+        assert want[a][b] == d and b not in got.setdefault(a, set())
+        got[a].add(b)
+    for a in range(len(p)):
+        own = len(got.get(a, ()))
+        assert own == len(want.get(a, ())) if not more[a] else own < len(want[a]) and own >= few
+    assert sum(map(len, want.values())) > 1_000 and bool(few) == bool(more.any())
+
+
 def test_lines_of_slices(documents):
     batch = pa.RecordBatch.from_pandas(documents.select("doc_id", "text").toPandas(), preserve_index=False)
     for part in small_batches([batch], limit=20_000):
