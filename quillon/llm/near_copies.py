@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import discard, shuffles_freed, small_batches, smallest_reachable, stored, tidied
+from quillon.llm.shared import discard, hot_and_cold, shuffles_freed, small_batches, smallest_reachable, stored, tidied
 from quillon.llm.simhash import golay_keys
 
 SIMILARITY = 0.8
@@ -275,7 +275,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
     with shuffles_freed(spark):
         prints = stored(rows.mapInArrow(partial(_sketches, shingle=shingle), "doc_id long, s0 long, s1 long, f0 long, f1 long"), "near-prints")
-        nodes = stored(prints.groupBy("s0", "s1").agg(F.min("doc_id").alias("node"), F.first("f0").alias("f0"), F.first("f1").alias("f1")), "near-nodes")
+        nodes = stored(prints.groupBy("s0", "s1").agg(F.min("doc_id").alias("node"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.count("*").alias("copies")), "near-nodes")
         n = nodes.count()
         tables = Tables(n, similarity)
         crowded, blocks = _crowded(nodes, n, tables)
@@ -294,7 +294,9 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             links = links.union(_links(left, rows, shingle, similarity))
             groups = smallest_reachable(links, "a", "b")
         # equal sets share a node; an id that several nodes have links them
-        named = prints.join(nodes.select("s0", "s1", "node"), ["s0", "s1"]).select("doc_id", "node")
+        hot, cold = hot_and_cold(nodes.select("s0", "s1", "node", "copies"), "copies", prints.count())
+        both = ["s0", "s1"]
+        named = prints.join(hot, both).unionByName(prints.join(F.broadcast(hot.select(*both)), both, "left_anti").join(cold, both)).select("doc_id", "node")
         twice = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id")
         more = named.join(twice, "doc_id", "left_semi").distinct()
         if not more.isEmpty():
