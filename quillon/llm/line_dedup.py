@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import discard, fresh, hot_and_cold, numbered, shuffles_freed, small_batches, stored, tidied
+from quillon.llm.shared import discard, fresh, hot_and_cold, numbered, short_batches, shuffles_freed, small_batches, stored, tidied
 
 THRESHOLD = 0.8
 #: Entries of the table of word counts (a word is counted at its hash).
@@ -34,7 +34,7 @@ LIST_ROWS = 64
 #: Candidates that a line puts out from a longer list.
 FEW = 4
 #: Postings of a bucket, postings that a task packs at a time, and lines of a block of a long list.
-BUCKET_ROWS, PACKED_ROWS, BLOCK_ROWS = 250_000, 400_000, 16_384
+BUCKET_ROWS, PACKED_ROWS, BLOCK_ROWS = 150_000, 150_000, 16_384
 #: Sets that a task remembers (about 350 bytes each), to put out the postings of a set once.
 SEEN_SETS = 100_000
 #: Long lists are looked for in a share of the documents chosen by hash, so large that a list of a block's length comes up CROWDED times there (of few documents, in as many as SAMPLE_DOCUMENTS).
@@ -120,7 +120,7 @@ def _scan(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
     def rows(kind: int, a: np.ndarray, b: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch([pa.array(np.full(len(a), kind, np.int8)), *[pa.array(x, pa.int64()) for x in (a, b, k1, k2)]], ["kind", "a", "b", "k1", "k2"])
 
-    for batch in small_batches(batches, limit=4 << 20):
+    for batch in small_batches(batches, limit=1 << 20):
         x = Lines(batch.column(0), batch.column(1))
         if len(x.doc):
             counts += x.counts
@@ -152,7 +152,7 @@ def _postings(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, crowded: np.
         parts = [rows[i:j].tobytes() for i, j in zip(cut, [*cut[1:], len(rows)])]
         yield pa.record_batch([pa.array(bucket[cut]), pa.array(parts, pa.binary())], ["bucket", "packed"])
 
-    for batch in small_batches(batches, limit=4 << 20):
+    for batch in small_batches(batches, limit=1 << 20):
         x = Lines(batch.column(0), batch.column(1), ranks)
         if not len(x.doc):
             continue
@@ -187,7 +187,7 @@ def _postings(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, crowded: np.
 
 def _words_in_lists(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
     """word, n: the words of the prefixes of a sample's sets, each set of a batch once."""
-    for batch in small_batches(batches, limit=4 << 20):
+    for batch in small_batches(batches, limit=1 << 20):
         x = Lines(batch.column(0), batch.column(1), ranks)
         if len(x.doc):
             once = np.zeros(len(x.doc), bool)
@@ -404,7 +404,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    with shuffles_freed(spark):
+    with shuffles_freed(spark), short_batches(spark):
         scan = stored(rows.mapInArrow(partial(_scan, threshold=threshold), _PASS), "line-scan")
         lines = scan.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("line"), "k1", "k2")
         owners = stored(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-owners")

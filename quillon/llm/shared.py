@@ -115,17 +115,25 @@ def discard(df: DataFrame) -> None:
 
 
 @contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Inside, Spark deletes the shuffle files of each job at its end, instead of when the driver collects its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _set_to(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def shuffles_freed(spark: SparkSession):
+    """Inside, Spark deletes the shuffle files of each job at its end, instead of when the driver collects its garbage."""
+    return _set_to(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def short_batches(spark: SparkSession):
+    """Inside, Spark sends Python tasks batches of at most 8 MB (or one row), held on both sides outside the JVM's heap."""
+    return _set_to(spark, "spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def smallest_reachable(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of the undirected edges; component is the smallest node reachable.
 
