@@ -102,11 +102,11 @@ def scored_examples(spark, sf_dir):
 
 def _streamed(spark, r, ex, files, compact):
     """The cells after a stream of results that come in so many batches (column part) has gone through."""
-    at = shared_path(spark, "stream")
-    for k in range(files):  # a file a batch, in order
-        r.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{at}/in/part={k}")
+    at, tasks = shared_path(spark, "stream"), spark.sparkContext.defaultParallelism
+    for k in range(files):  # as many files a batch as there are cores, in order
+        r.where(F.col("part") == k).drop("part").repartition(tasks).write.mode("append").parquet(f"{at}/in/part={k}")
     schema = r.drop("part").schema
-    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{at}/in/part=*")
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", tasks).option("latestFirst", False).parquet(f"{at}/in/part=*")
     changes = stream.cell_changes(arriving, ex)
     stream.start_cells(changes, f"{at}/cells", f"{at}/state", compact).awaitTermination()
     return stream.read_cells(spark, f"{at}/cells", changes.schema)

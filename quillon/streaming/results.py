@@ -6,6 +6,8 @@ failure writes the same files in the same place; readers put the batches togethe
 
 from __future__ import annotations
 
+import pickle
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +21,9 @@ from quillon.operators.pareto import pareto_front
 
 #: Batches after which a store is written anew as one.
 COMPACT = 50
+#: Parts that the examples of a stream of results are dealt into by hash: what Python keeps and works on at a time.
+BUCKETS = 4096
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -41,45 +46,61 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def cell_changes(results: DataFrame, examples: DataFrame, keys: tuple[str, ...] = ("version",), keep: str | None = None) -> DataFrame:
+def cell_changes(results: DataFrame, examples: DataFrame, keys: tuple[str, ...] = ("version",), keep: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """keys, true_route, pred_route, n (1 or -1): how results (with arrived, a timestamp) change the confusion cells as they come.
 
     Of several results of an example the last by arrived counts, of equal ones the first to come: one that comes again
     changes nothing, and a correction takes back the cell that the result before it added; one with an error only takes
     back. Examples are a static table. With keep (as "7 days") the state of an example goes that long after the
     watermark has passed its result, and what comes later still is dropped.
+
+    Python sees a bucket of examples at a time, by hash, since a call costs far more than a row. Their number, like that
+    of the partitions of state, stays what it was when a stream began; a batch calls for as many buckets as it touches.
     """
     known = examples.select(F.col("id").alias("example_id"), F.col("route").alias("true_route"))
     cell = results.select(*keys, "example_id", "arrived", F.col("error").isNull().alias("good"), F.coalesce("output.route", F.lit(NO_OUTPUT)).alias("pred_route"))
+    kinds = cell.select(*keys).schema
     cell = cell.withWatermark("arrived", keep) if keep else cell
     cell = cell.join(known, "example_id")
-    types = dict(cell.dtypes)
-    kinds = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    named = F.to_json(F.struct(*keys), _JSON) if keys else F.lit("{}")
+    cell = cell.select(F.pmod(F.xxhash64(*keys, "example_id"), F.lit(buckets)).alias("bucket"), named.alias("named"), "example_id", "arrived", "true_route", "pred_route", "good")
     wait = int(pd.Timedelta(keep).total_seconds() * 1000) if keep else 0
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames), ignore_index=True)
-        last = rows.loc[rows["arrived"].idxmax()]
-        moment = int(last["arrived"].value // 1000)
-        before = state.get if state.exists else None
-        if before is not None and moment <= before[0]:
-            return
-        now = (moment, str(last["true_route"]), str(last["pred_route"]), bool(last["good"]))
-        state.update(now)
+        held = pickle.loads(state.get[0]) if state.exists else {}
+        passed = state.getCurrentWatermarkMs() if wait else 0
+        came = {}
+        for rows in () if state.hasTimedOut else frames:
+            moments = rows["arrived"].to_numpy("datetime64[us]").astype("int64").tolist()
+            columns = [map(sys.intern, rows[c].astype(str).tolist()) for c in ("true_route", "pred_route")]
+            for name, example, *now in zip(map(sys.intern, rows["named"].tolist()), rows["example_id"].tolist(), moments, *columns, rows["good"].tolist()):
+                before = came.get((name, example))
+                if before is None or now[0] > before[0]:
+                    came[name, example] = now
+        made = []
+        for place, now in came.items():
+            before = held.get(place)
+            if before is not None and now[0] <= before[0]:
+                continue
+            held[place] = (*now, max(now[0] // 1000, passed) + wait if wait else 0)
+            changes = [(before, -1)] if before is not None and before[3] else []
+            changes += [(now, 1)] if now[3] else []
+            if len(changes) < 2 or tuple(before[1:3]) != tuple(now[1:3]):
+                made += [(place[0], c[1], c[2], n) for c, n in changes]
         if wait:
-            state.setTimeoutTimestamp(max(moment // 1000, state.getCurrentWatermarkMs()) + wait)
-        changes = [(before, -1)] if before is not None and before[3] else []
-        changes += [(now, 1)] if now[3] else []
-        if len(changes) == 2 and before[1:3] == now[1:3]:
-            return
-        made = [(*key[: len(keys)], c[1], c[2], n) for c, n in changes]
-        yield pd.DataFrame(made, columns=[*keys, "true_route", "pred_route", "n"])
+            held = {place: x for place, x in held.items() if x[4] >= passed or place in came}
+        if held:
+            state.update((pickle.dumps(held, pickle.HIGHEST_PROTOCOL),))
+        elif state.exists:
+            state.remove()
+        if held and wait:
+            state.setTimeoutTimestamp(max(min(x[4] for x in held.values()), passed + 1))
+        if made:
+            yield pd.DataFrame(made, columns=["named", "true_route", "pred_route", "n"])
 
     timeout = GroupStateTimeout.EventTimeTimeout if keep else GroupStateTimeout.NoTimeout
-    return cell.groupBy(*keys, "example_id").applyInPandasWithState(run, f"{kinds}, true_route string, pred_route string, n long", "moment long, true_route string, pred_route string, good boolean", "update", timeout)
+    changes = cell.groupBy("bucket").applyInPandasWithState(run, "named string, true_route string, pred_route string, n long", "held binary", "update", timeout)
+    return changes.select(*[F.from_json("named", kinds, _JSON)[k].alias(k) for k in keys], "true_route", "pred_route", "n")
 
 
 def cell_sink(path: str, compact: int = COMPACT):

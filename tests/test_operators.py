@@ -1,7 +1,9 @@
 """Operators on small literal frames and against plain Python."""
 
+import collections
 import copy
 import csv
+import datetime
 import json
 import math
 import random
@@ -655,3 +657,46 @@ def test_json_array_of_many_blocks(spark, small_blocks, tmp_path):
         (tmp_path / f"bad{k}.json").write_text(content)
         with pytest.raises(ValueError, match="not a JSON array"):
             files.read_json_array(spark, str(tmp_path / f"bad{k}.json"))
+
+
+def _streamed_cells(spark, tmp_path, batches, keep=None):
+    """(the cells after a stream of batches, examples' state at the end): two keys, one of which may be null, in three buckets."""
+    ex = spark.createDataFrame([(f"e{i}", f"r{i % 3}") for i in range(60)], "id string, route string")
+    kind = "version string, k long, example_id string, output struct<route: string>, error string, arrived timestamp"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/in/part={i}")
+    arriving = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*")
+    changes = streams.cell_changes(arriving, ex, ("version", "k"), keep, buckets=3)
+    run = streams.start_cells(changes, f"{tmp_path}/cells", f"{tmp_path}/state", 2)
+    run.awaitTermination()
+    cells = {tuple(r) for r in streams.read_cells(spark, f"{tmp_path}/cells", changes.schema).collect()}
+    return cells, [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress]
+
+
+def test_stream_calls_by_bucket(spark, tmp_path):
+    rng, last, batches = random.Random(5), {}, []
+    times = iter(rng.sample(range(1000), 360))
+    for _ in range(3):
+        rows = []
+        for _ in range(120):
+            v, k, e, t = rng.choice("ab"), rng.choice([None, 7, 2**60 + 1]), rng.randrange(60), next(times)
+            route, error = rng.choice([None, "r0", "r1"]), rng.choice([None, None, "down"])
+            rows.append((v, k, f"e{e}", (route,) if route else None, error, datetime.datetime(2024, 1, 1) + datetime.timedelta(microseconds=t)))
+            if (v, k, e) not in last or t > last[v, k, e][0]:
+                last[v, k, e] = (t, f"r{e % 3}", route or "", error)
+        batches.append(rows)
+    want = collections.Counter((v, k, true, pred) for (v, k, _), (_, true, pred, error) in last.items() if error is None)
+    cells, states = _streamed_cells(spark, tmp_path, batches)
+    assert cells == {(*cell, n) for cell, n in want.items()}
+    assert 0 < max(states) <= 3  # a row of state and a call a bucket, not an example
+
+
+def test_stream_state_goes_after_its_time(spark, tmp_path):
+    day = lambda d: datetime.datetime(2024, 1, d)
+    row = lambda e, route, d: ("a", 1, e, (route,), None, day(d))
+    first = [row(f"e{i}", "r0", 1) for i in range(30)]
+    batches = [first, [row("e0", "r1", 2)], [row("e40", "r1", 20)], [row("e41", "r1", 20)], [row("e1", "r2", 3)]]
+    cells, states = _streamed_cells(spark, tmp_path, batches, "2 days")
+    counts = collections.Counter((f"r{i % 3}", "r0") for i in range(1, 30)) + collections.Counter([("r0", "r1"), ("r1", "r1"), ("r2", "r1")])
+    assert cells == {("a", 1, *cell, n) for cell, n in counts.items()}  # the last batch comes too late
+    assert states[-1] <= 2 and max(states) == 3
