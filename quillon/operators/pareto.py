@@ -121,7 +121,8 @@ def near_misses(points: DataFrame, front: DataFrame, keys: tuple[str, ...] = KEY
         rank[order] = np.arange(len(f))
         low = np.searchsorted(q, p["quality"].to_numpy(), "left")
         high = np.searchsorted(c, p["cost"].to_numpy(), "right")
-        on_front = (low < high) & (q[np.minimum(low, len(f) - 1)] == p["quality"].to_numpy()) & (c[np.maximum(high - 1, 0)] == p["cost"].to_numpy())
+        first = np.minimum(low, len(f) - 1)  # one point of the front at most has this quality; another one may have this cost
+        on_front = (low < high) & (q[first] == p["quality"].to_numpy()) & (c[first] == p["cost"].to_numpy())
         some = (low < high) & ~on_front
         p, low, high = p[some], low[some], high[some]
         best = order[_range_least(rank, low, high)]

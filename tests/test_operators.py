@@ -239,6 +239,12 @@ def test_near_misses_match_pairs(spark, seed):
     assert got == want
 
 
+def test_near_misses_between_two_of_the_front(spark):
+    """As good as one point of the front and as dear as another: dominated by both."""
+    df = points(spark, [("a", 5, 1), ("b", 9, 4), ("between", 5, 4)])
+    assert [tuple(r)[1:] for r in pareto.near_misses(df, pareto.pareto_front(df)).collect()] == [("between", "a", 0, 3)]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_incremental_front(spark, seed):
     rng = random.Random(seed)
