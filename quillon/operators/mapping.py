@@ -56,6 +56,11 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _apart(value: Column, name: str) -> Column:
+    """value as a column that filters aren't pushed through: a filter on what is made of it would work out a copy of the whole mapping for each mention."""
+    return F.explode(F.array(value)).alias(name)
+
+
 def _numeric(value: Column) -> Column:
     """A string that reads as a number as one, whole or with a point; anything else as it is."""
 
@@ -136,12 +141,12 @@ def mapped_documents(rows: DataFrame, mapping: dict[str, str], v: str = "v") ->
     for source, target in pairs:
         if target.count("*") > source.count("*"):
             raise ValueError(f"{'.'.join(target)} has more stars than {'.'.join(source)}")
-    found = rows.select("row_idx", *[_found(F.col(v), source, target[0] not in ("id", "input")).alias(f"found {i}") for i, (source, target) in enumerate(pairs)])
-    parts = [(target, F.col(f"found {i}"), 0) for i, (_, target) in enumerate(pairs)]
+    found = rows.select("row_idx", _apart(F.struct(*[_found(F.col(v), source, target[0] not in ("id", "input")).alias(f"f{i}") for i, (source, target) in enumerate(pairs)]), "found"))
+    parts = [(target, F.col("found")[f"f{i}"], 0) for i, (_, target) in enumerate(pairs)]
     if not any(target[0] == "id" and len(target) > 1 for _, target in pairs):
         named = F.struct(F.array().cast("array<string>").alias("keys"), F.concat(F.lit("row-"), "row_idx").cast("variant").alias("value"))
         parts = [(("id",), F.array(named), 0), *parts]
-    return found.select("row_idx", _built(parts).alias("doc"))
+    return found.select("row_idx", _apart(_built(parts), "doc"))
 
 
 def apply_mapping(rows: DataFrame, mapping: dict[str, str], v: str = "v") -> DataFrame:
@@ -150,7 +155,7 @@ def apply_mapping(rows: DataFrame, mapping: dict[str, str], v: str = "v") -> Dat
     read = lambda x, field: coerce_numeric(F.try_variant_get(x, f"$.{field}", "string")).alias(field)
     routes = F.transform_values(F.try_variant_get("doc", "$.expected.routes", _OBJECT), lambda _, x: F.struct(read(x, "cost"), read(x, "quality_score")))
     text = lambda path: F.try_variant_get("doc", path, "string")
-    return docs.select("row_idx", text("$.id").alias("id"), text("$.input").alias("input"), text("$.expected.route").alias("route"), routes.alias("routes"))
+    return docs.select("row_idx", text("$.id").alias("id"), text("$.input").alias("input"), text("$.expected.route").alias("route"), _apart(routes, "routes"))
 
 
 def route_not_in_routes(examples: DataFrame) -> DataFrame:

@@ -271,6 +271,11 @@ def mapped_examples(spark, sf_dir):
     return m.select("row_idx", "id", "input", "route", F.col("routes")["a"]["cost"].alias("cost_a"), F.col("routes")["a"]["quality_score"].alias("quality_a"), F.col("routes")["b"]["cost"].alias("cost_b"))
 
 
+def _parts(spark, sf_dir):
+    """The part table over all cores: its file is small for the work that a mapping does on a row."""
+    return spark.read.parquet(f"{sf_dir}/part.parquet").repartition(4 * spark.sparkContext.defaultParallelism)
+
+
 @query("""SELECT p_partkey AS row_idx, r AS route, CAST(p_size AS DOUBLE) AS cost, p_partkey % 3 / 2 AS quality_score FROM part, (VALUES ('m0'), ('m1')) AS t(r)""")
 def mapped_wildcards(spark, sf_dir):
     nested = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS row_idx", "try_parse_json(to_json(struct(p_name AS q, 'm0' AS best, map('m0', struct(p_size AS price, p_partkey % 3 / 2 AS score), 'm1', struct(p_size AS price, p_partkey % 3 / 2 AS score)) AS models))) AS v")
@@ -286,7 +291,7 @@ SELECT row_idx, 'fixed', 7.5, CASE WHEN row_idx % 4 = 0 THEN 1.5 END FROM p)
 SELECT row_idx, concat('row-', row_idx) AS id, 'm0' AS best, route, cost, quality_score FROM r""")
 def mapped_two_objects(spark, sf_dir):
     """Costs in one object, scores in another, with different keys, and one route by a path without a star; some costs are strings."""
-    raw = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS row_idx", """try_parse_json(concat('{"q": "x", "best": "m0", "costs": {"m0": "', p_size, '", ', IF(p_partkey % 3 = 0, '"only cost": "0.25"', concat('"m1": ', p_size / 4)),
+    raw = _parts(spark, sf_dir).selectExpr("p_partkey AS row_idx", """try_parse_json(concat('{"q": "x", "best": "m0", "costs": {"m0": "', p_size, '", ', IF(p_partkey % 3 = 0, '"only cost": "0.25"', concat('"m1": ', p_size / 4)),
       '}, "scores": {"m0": ', p_size % 7 / 8, ', "m1": 0.5}, "price": "7.5"', IF(p_partkey % 4 = 0, ', "extra": {"fixed": 1.5}', ''), '}')) AS v""")
     m = p.apply_mapping(raw, {"q": "input", "best": "expected.route", "costs.*": "expected.routes.*.cost", "scores.*": "expected.routes.*.quality_score", "price": "expected.routes.fixed.cost", "extra.*": "expected.routes.*.quality_score"})
     return m.select("row_idx", "id", F.col("route").alias("best"), F.explode("routes").alias("route", "r")).select("row_idx", "id", "best", "route", "r.cost", "r.quality_score")

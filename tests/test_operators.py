@@ -706,3 +706,13 @@ def test_stream_state_goes_after_its_time(spark, tmp_path):
     counts = collections.Counter((f"r{i % 3}", "r0") for i in range(1, 30)) + collections.Counter([("r0", "r1"), ("r1", "r1"), ("r2", "r1")])
     assert cells == {("a", 1, *cell, n) for cell, n in counts.items()}  # the last batch comes too late
     assert states[-1] <= 2 and max(states) == 3
+
+
+def test_filters_do_not_copy_the_mapping(spark):
+    """A filter on the routes mapped, as explode brings one along, stays above the documents that they are made of."""
+    rows = spark.range(3).select(F.col("id").alias("row_idx"), F.expr("try_parse_json(concat('{\"q\": \"x\", \"best\": \"a\", \"costs\": {\"a\": ', id, '}}'))").alias("v"))
+    m = mapping_op.apply_mapping(rows, {"q": "input", "best": "expected.route", "costs.*": "expected.routes.*.cost"})
+    out = m.where("routes IS NOT NULL").select("row_idx", F.explode("routes").alias("route", "r"))
+    assert sorted((r.row_idx, r.route, r.r.cost) for r in out.collect()) == [(0, "a", 0.0), (1, "a", 1.0), (2, "a", 2.0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform_values") == 1 and plan.count("parse_json") <= 1
