@@ -278,7 +278,7 @@ def _parts(spark, sf_dir):
 
 @query("""SELECT p_partkey AS row_idx, r AS route, CAST(p_size AS DOUBLE) AS cost, p_partkey % 3 / 2 AS quality_score FROM part, (VALUES ('m0'), ('m1')) AS t(r)""")
 def mapped_wildcards(spark, sf_dir):
-    nested = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS row_idx", "try_parse_json(to_json(struct(p_name AS q, 'm0' AS best, map('m0', struct(p_size AS price, p_partkey % 3 / 2 AS score), 'm1', struct(p_size AS price, p_partkey % 3 / 2 AS score)) AS models))) AS v")
+    nested = _parts(spark, sf_dir).selectExpr("p_partkey AS row_idx", "try_parse_json(to_json(struct(p_name AS q, 'm0' AS best, map('m0', struct(p_size AS price, p_partkey % 3 / 2 AS score), 'm1', struct(p_size AS price, p_partkey % 3 / 2 AS score)) AS models))) AS v")
     m = p.apply_mapping(nested, {"q": "input", "best": "expected.route", "models.*.price": "expected.routes.*.cost", "models.*.score": "expected.routes.*.quality_score"})
     return m.select("row_idx", F.explode("routes").alias("route", "r")).select("row_idx", "route", "r.cost", "r.quality_score")
 
