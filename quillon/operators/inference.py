@@ -104,13 +104,15 @@ def scored_so_far(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy(F.col("r.example_id").alias("key")).agg(F.max_by("r", "place").alias("r")).select("r.*")
 
 
-def score_into(examples: DataFrame, predict: Predict, path: str, fingerprint: dict[str, str], batches: int = 8, **options) -> DataFrame:
+def score_into(examples: DataFrame, predict: Predict, path: str, fingerprint: dict[str, str], batches: int = 8, tasks: int | None = None, **options) -> DataFrame:
     """Scores what is left of the examples into path, batch by batch, and gives one result for each of them.
 
     fingerprint (prompt_version, backend, data_source) is kept beside the batches: a run that goes on where another
     was stopped scores the examples without a success in a finished batch; one with another fingerprint starts over.
     Each batch (a share of the ids by hash, one Spark job) is there as a whole or not at all, so a stop at any time costs
-    one batch, and the results are those of a run without one. options go to score_examples.
+    one batch, and the results are those of a run without one. A batch is dealt out by id over `tasks` tasks, as many as
+    there are cores unless given: rows are narrow and calls slow, so what Spark takes for the size of one task may be hours
+    of work. options go to score_examples.
     """
     spark = examples.sparkSession
     head, files = _file_system(spark, f"{path}/_run.json")
@@ -135,6 +137,8 @@ def score_into(examples: DataFrame, predict: Predict, path: str, fingerprint: di
     dealt = left.withColumn("_batch", F.pmod(F.xxhash64("id"), F.lit(batches)))
     for k in range(batches):
         part = dealt.where(F.col("_batch") == k).drop("_batch")
+        # by a hash: by the id alone Spark may take the partitions of the join before, and those it puts together by size
+        part = part.repartition(tasks or spark.sparkContext.defaultParallelism, F.xxhash64("id"))
         score_examples(part, predict, **options).write.parquet(f"{path}/batch-{number + k:06d}-{uuid.uuid4().hex}")
     ids = examples.select(F.col("id").alias("example_id")).distinct()
     return scored_so_far(spark, path).join(ids, "example_id", "left_semi")

@@ -11,6 +11,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from quillon.operators import bootstrap, compare, identity, inference, metrics, pareto, quality_checks, review
@@ -459,6 +460,18 @@ def test_scoring_goes_on_after_a_stop(spark, tmp_path):
     assert len((tmp_path / "third").read_text().split()) == 60 and inference.scored_so_far(spark, path).count() == 60
 
 
+def test_batches_are_scored_by_all_cores(spark, tmp_path):
+    ex = spark.createDataFrame([(f"e{i}", "x", "mid") for i in range(400)], "id string, input string, route string").coalesce(1)
+    run = {"prompt_version": "v1", "backend": "b", "data_source": "d"}
+    for name, tasks, want in (("all", None, spark.sparkContext.defaultParallelism), ("two", 2, 2)):
+        path = f"file://{tmp_path}/{name}"
+        inference.score_into(ex.where("id < 'e3'"), lambda frame: [TaskContext.get().partitionId()] * len(frame), path, run, batches=1, tasks=tasks)
+        out = inference.score_into(ex, lambda frame: [TaskContext.get().partitionId()] * len(frame), path, run, batches=1, tasks=tasks).collect()
+        assert len(out) == 400 and not any(r.error for r in out)
+        for half in (True, False):  # the first go and what it left
+            assert len({r.output.route for r in out if (r.example_id < "e3") == half}) == want
+
+
 def test_targets_and_best_version(spark):
     m = spark.createDataFrame([("r", "a", "x", 1.0), ("r", "b", "x", 3.0), ("r", "b", "y", 1.0)], "run_id string, version string, key string, value double")
     t = spark.createDataFrame([("x", ">=", 2.0), ("y", ">=", 2.0)], "metric string, operator string, threshold double")
