@@ -544,6 +544,46 @@ def test_mapped_documents_match_dictionaries(spark, mapping):
         assert got[i] == mapped(source, mapping, i), i
 
 
+MORE_MAPPINGS = [
+    {"q": "input", "A.x": "m.one", "a.x": "m.two", "a.*": "m.all.*", "A.*.k": "m.k.*", "a.x.k": "m.k.fixed"},
+    {"q": "input", "deep.*.*": "m.*.*", "deep.*.l": "m.*.z", "wide.*.*": "m.*.*", "deep.k.l": "m.k.l.under", "a": "m.fixed.y", "A.x.k": "m.fixed.y.deeper"},
+    {"*.*": "m.*.*", "*.x": "n.*", "*": "o.last", "`t`.*": "`t`.*.s", "it's \"so\".*.n": "u.*.n"},
+    {"deep.*.*": "m.*.at.*", "wide.*.*": "m.*.at.*", "A.*": "m.*.own", "numbers.*": "m.k.at.*", "numbers": "p"},
+    {"gone": "a.b.c", "gone.*": "a.b.*", "gone.*.x": "d.*"},
+]
+MORE_SOURCES = [
+    {"q": "1.5", "A": {"x": {"k": "3"}, "y": {"k": None}}, "a": {"x": {"k": " 7 "}, "fixed": "8"}, "deep": {"k": {"l": {"o": 1}, "m": "2"}, "n": {"l": "5."}}, "wide": {"k": {"l": ".5", "w": []}, "o": {"l": {}}},
+     "`t`": {"a`b": "x"}, "it's \"so\"": {"e": {"n": "-4"}}, "numbers": {"a": "1.5d", "b": "2.5f", "c": "0x1.8p1", "d": "-1.e3", "e": "1.5e-3", "f": "+.5", "g": "1e5", "h": "1.", "i": ".", "j": "1.2.3"}},
+    {"q": 3, "A": {"x": "none", "y": {"k": True}}, "a": None, "deep": {"k": None, "n": {}}, "wide": 4, "numbers": {}}, {"deep": {"z": {"l": None}, "k": {"l": 0.5}}, "a": {"x": None}, "wide": {"k": {"l": "last"}}},
+]
+
+
+@pytest.mark.parametrize("mapping", MORE_MAPPINGS)
+def test_mapped_documents_of_sources_that_share_objects(spark, mapping):
+    rows = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(MORE_SOURCES)], "row_idx long, j string").select("row_idx", F.parse_json("j").alias("v"))
+    docs = mapping_op.mapped_documents(rows, mapping)
+    got = {r.row_idx: None if r.doc is None else json.loads(r.doc) for r in docs.select("row_idx", F.to_json("doc").alias("doc")).collect()}
+    for i, source in enumerate(copy.deepcopy(MORE_SOURCES)):
+        assert got[i] == mapped(source, mapping, i), i
+
+
+def test_mapping_keeps_what_is_no_string(spark):
+    """Binary values and dates, which JSON doesn't have, stay what they are."""
+    values = F.create_map(F.lit("x"), F.expr("cast(encode('12', 'utf-8') as variant)"), F.lit("y"), F.expr("cast(date'2024-01-01' as variant)"), F.lit("z"), F.expr("cast('12' as variant)"), F.lit("w"), F.expr("cast(12.50BD as variant)"))
+    rows = spark.range(1).select(F.col("id").alias("row_idx"), F.call_function("to_variant_object", values).alias("v"))
+    doc = mapping_op.mapped_documents(rows, {"*": "m.*", "x": "one", "z": "two"}).select(F.schema_of_variant("doc")).first()[0]
+    assert doc == "OBJECT<id: STRING, m: OBJECT<w: DECIMAL(3,1), x: BINARY, y: DATE, z: BIGINT>, one: BINARY, two: BIGINT>"
+
+
+def test_mapping_reads_a_row_once(spark):
+    """Sources below the same objects are opened together, and what no star stands above is built by generated code."""
+    rows = spark.createDataFrame([(0, '{"f": {"a": {"s": {"b": {"part": "1", "label": "x"}}}}, "o": {"a": {"b": "2.5"}}, "one": "y"}')], "row_idx long, j string").select("row_idx", F.parse_json("j").alias("v")).repartition(1)
+    docs = mapping_op.mapped_documents(rows, {"f.*.s.*.part": "m.by.*.*.n", "f.*.s.*.label": "m.by.*.*.label", "o.*.*": "m.by.*.*.more", "one": "expected.route"})
+    assert json.loads(docs.select(F.to_json("doc")).first()[0]) == {"id": "row-0", "m": {"by": {"a": {"b": {"n": 1, "label": "x", "more": 2.5}}}}, "expected": {"route": "y"}}
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get(v#") == 1 and plan.count("map_zip_with") == 2 and plan.count("map_filter") == 3
+
+
 def test_mapping_errors(spark):
     rows = spark.createDataFrame([(0, "{}")], "row_idx long, j string").select("row_idx", F.parse_json("j").alias("v"))
     with pytest.raises(ValueError, match="more stars"):
